@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as ex
 from ..functions.lineage import cut_lineage
@@ -63,7 +64,7 @@ def _sample(pool, size, n_slates, single_grade, seed, only_full=False):
     choice = F.filter("_grades", lambda g: g["n"] >= size) if only_full else F.col("_grades")
     slates = (
         grades.withColumn("_c", choice)
-        .withColumn("slate", F.explode(F.sequence(F.lit(0), F.lit(n_slates - 1))).cast("bigint"))
+        .withColumn("slate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_slates - 1).cast("bigint"))))
         .withColumn("_alone", (ex.uniform(seed, "qid", "slate") < single_grade) & (F.size("_c") > 0))
         .withColumn("_at", F.floor(ex.uniform(seed + 1, "qid", "slate") * F.size("_c")).cast("int"))
         .withColumn("_g", F.when(F.col("_alone"), F.get("_c", F.col("_at"))))
@@ -113,15 +114,72 @@ def connectivity(design: DataFrame) -> DataFrame:
     )
 
 
-def fit_additive(
+SOLVER_ROWS = 50_000
+
+
+def fit_additive(obs: DataFrame, solver_rows: int = SOLVER_ROWS, **sweep_options) -> DataFrame:
+    """Least squares of y = l(item) - c(slate), per query.
+
+    Input (qid, slate, item_id, y, ...); adds l_hat, c_hat, residual and the connected
+    component. The shift that the model leaves open is fixed per component by
+    sum(l) + sum(c) = 0. A query's design is small, so its equations are solved in one step
+    where its rows are; queries with more than ``solver_rows`` observations are fitted by
+    distributed sweeps instead.
+    """
+    sizes = obs.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.filter(F.col("_n") > solver_rows).select("qid")
+    if large.isEmpty():
+        return _solve(obs)
+    return _solve(obs.join(large, "qid", "left_anti")).unionByName(
+        _sweep(obs.join(large, "qid", "left_semi"), **sweep_options)
+    )
+
+
+def _solve(obs: DataFrame) -> DataFrame:
+    """Eliminate the items, solve for the slate offsets, one small system per query."""
+    types = obs.schema["slate"].dataType
+    schema = T.StructType(
+        [*obs.schema.fields, T.StructField("component", types)]
+        + [T.StructField(c, T.DoubleType()) for c in ("l_hat", "c_hat", "residual")]
+    )
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf["y"].to_numpy(float)
+        _, i = np.unique(pdf["item_id"].to_numpy(), return_inverse=True)
+        names, s = np.unique(pdf["slate"].to_numpy(), return_inverse=True)
+        share = np.zeros((i.max() + 1, len(names)))
+        np.add.at(share, (i, s), 1.0)
+        per_item = share.sum(1)
+        laplacian = np.diag(share.sum(0)) - share.T @ (share / per_item[:, None])
+        right = share.T @ (np.bincount(i, y) / per_item) - np.bincount(s, y)
+        c = np.linalg.lstsq(laplacian, right, rcond=None)[0]
+        level = np.bincount(i, y + c[s]) / per_item
+        label = np.arange(len(names))
+        while True:  # smallest slate number reachable through shared items
+            low = np.full(len(level), len(names))
+            np.minimum.at(low, i, label[s])
+            new = label.copy()
+            np.minimum.at(new, s, low[i])
+            if (new == label).all():
+                break
+            label = new
+        of_item = label[s][np.unique(i, return_index=True)[1]]
+        total = np.bincount(of_item, level, len(names)) + np.bincount(label, c, len(names))
+        count = np.bincount(of_item, minlength=len(names)) + np.bincount(label, minlength=len(names))
+        shift = total / np.maximum(count, 1)
+        level, c = level - shift[of_item], c - shift[label]
+        return pdf.assign(component=names[label][s], l_hat=level[i], c_hat=c[s], residual=y - level[i] + c[s])
+
+    return obs.groupBy("qid").applyInPandas(one, schema)
+
+
+def _sweep(
     obs: DataFrame, tolerance: float = 1e-9, sweeps_per_check: int = 10, max_checks: int = 60
 ) -> DataFrame:
-    """Least squares of y = l(item) - c(slate) by alternating means, per query.
+    """Alternating means over (query, item) and (query, slate) until nothing moves.
 
-    Input (qid, slate, item_id, y, ...); adds l_hat, c_hat, residual and the last change.
-    Both means are windows inside the query, so after the first shuffle the sweeps move no
-    data; every few sweeps the rows are written and the largest change is read back. The
-    shift that the model leaves open is fixed per connected component by sum(l) + sum(c) = 0.
+    Every few sweeps the rows are written to reliable storage and the largest change is read
+    back; no group is larger than one item's or one slate's rows.
     """
     by_item, by_slate = Window.partitionBy("qid", "item_id"), Window.partitionBy("qid", "slate")
     rows = obs.withColumn("c_hat", F.lit(0.0)).withColumn("_change", F.lit(None).cast("double"))
@@ -137,8 +195,7 @@ def fit_additive(
         rows = cut_lineage(rows)
         if (rows.agg(F.max("_change")).first()[0] or 0.0) < tolerance:
             break
-    comp = components(obs)
-    labelled = rows.join(comp, ["qid", "slate"])
+    labelled = rows.drop("_change").join(components(obs), ["qid", "slate"])
     items = labelled.groupBy("qid", "component", "item_id").agg(F.first("l_hat").alias("v"))
     slates = labelled.groupBy("qid", "component", "slate").agg(F.first("c_hat").alias("v"))
     shift = (

@@ -94,6 +94,29 @@ def query_weights(queries: DataFrame, terms: DataFrame | None = None) -> DataFra
     return asked.join(terms.select("term", F.col("idf").alias("weight")), "term")
 
 
+def with_signature_recall(pairs: DataFrame, corpus: DataFrame, queries: DataFrame, sig: str = "signature") -> DataFrame:
+    """Add ``recall`` to (qid, doc_id, signature) rows: :func:`text.signature_recall` as a job.
+
+    Documents are tokenised once for all queries that hold them; per pair only the query's
+    own terms found in the document are kept (a list no longer than the query).
+    """
+    keys = pairs.select("qid", "doc_id").distinct()
+    terms = query_terms(queries).select("qid", "term")
+    named = corpus.join(keys.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = named.select("doc_id", F.explode(F.array_distinct(tx.raw_tokens("text"))).alias("term"))
+    in_doc = (
+        found.join(terms.join(keys, "qid"), ["doc_id", "term"])
+        .groupBy("qid", "doc_id")
+        .agg(F.collect_set("term").alias("_in"))
+    )
+    kept = F.size(F.array_intersect("_in", tx.raw_tokens(sig))).cast("double")
+    return (
+        pairs.join(in_doc, ["qid", "doc_id"], "left")
+        .withColumn("recall", F.coalesce(F.try_divide(kept, F.size("_in")), F.lit(1.0)))
+        .drop("_in")
+    )
+
+
 def candidate_pools(
     ranked: DataFrame, qrels: DataFrame, corpus: DataFrame, k: int = 100, threshold: int = 1, chars: int = 2000
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as ex
 from .budget import slate_budget
@@ -136,7 +137,7 @@ def score_slates(
     log-probabilities per row. It is called once per Arrow batch inside the task, so a model
     can be kept in the worker process.
     """
-    schema = packed.select("qid", "slate", "item_ids").schema.add("log_probs", "array<double>")
+    schema = packed.select("qid", "slate", "item_ids").schema.add("log_probs", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -207,7 +208,7 @@ def training_slates(
         pool.withColumn("_n", F.count(F.lit(1)).over(w))
         .withColumn("_has_pos", F.max(F.col("grade") >= 2).over(w))
         .filter(F.col("_n") >= n)
-        .withColumn("slate", F.explode(F.sequence(F.lit(0), F.lit(slates_per_query - 1))).cast("bigint"))
+        .withColumn("slate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slates_per_query - 1).cast("bigint"))))
     )
     u, edge, difficulty = ex.uniform(seed, "qid", "slate"), 0.0, None
     for name, part in mix.items():

@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from . import text_queries  # noqa: F401
+from . import frontier_queries, slate_queries, text_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -12,6 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 CTES: dict[str, str] = {}
+HOME: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -22,6 +23,7 @@ def query(name: str, sql: str | None = None):
         if name in QUERIES:
             raise ValueError(f"{name} registered twice")
         QUERIES[name] = lambda spark, sf: fn(Tables(spark, sf))
+        HOME[name] = fn.__module__.rsplit(".", 1)[-1]
         if sql is not None:
             ORACLE[name] = compose(sql)
         return fn

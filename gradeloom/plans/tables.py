@@ -267,10 +267,10 @@ SELECT user_id AS qid, event_id AS doc_id, value, CASE event_type WHEN 'purchase
 concat_ws(' ', event_type, 'by user', user_id, props) AS words FROM events)))) WHERE first_rank<={DEPTH}""")
 
 
-def _items(name: str, slate: str, a: int) -> None:
+def anchored_items(name: str, slate: str, a: int) -> None:
     per = 10 - a
-    cte(f"dealt{name}", f"""SELECT * EXCLUDE (at, n_slates), {slate} AS slate FROM (
-SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first_rank, doc_id)-1 AS at, ceil(count(*) OVER (PARTITION BY qid)/{per}.0)::BIGINT AS n_slates FROM pool)""")
+    cte(f"dealt{name}", f"""SELECT * EXCLUDE (ord, n_slates), {slate} AS slate FROM (
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first_rank, doc_id)-1 AS ord, ceil(count(*) OVER (PARTITION BY qid)/{per}.0)::BIGINT AS n_slates FROM pool)""")
     cte(f"slots{name}", f"""SELECT qid, slate, slot, ((slate*{a}+slot)%4)::INT AS anchor_no FROM (SELECT DISTINCT qid, slate FROM dealt{name}), (SELECT unnest(range({a})) AS slot)""")
     cte(f"items{name}", f"""SELECT qid, slate, doc_id AS item_id, false AS is_anchor, NULL::INT AS anchor_no, l, grade, NULL::DOUBLE AS utility, text FROM dealt{name}
 UNION ALL SELECT qid, slate, -anchor_no-1, true, anchor_no, round((anchor_no*2.0-3.0)/2.0+{q.u(3, 'qid', 'slate', 'anchor_no')}-0.5,6), NULL, (anchor_no*2.0-3.0)::DOUBLE, 'anchor '||anchor_no FROM slots{name}""")
@@ -283,9 +283,9 @@ FROM slate_logits{name} WHERE is_anchor GROUP BY 1,2))""")
 FROM slate_logits{name} JOIN fits{name} USING (qid, slate) WHERE NOT is_anchor""")
 
 
-_items("", "at%n_slates", 4)
-_items("_blocked", "(at//6)", 4)
-_items("_two", "at%n_slates", 2)
+anchored_items("", "ord%n_slates", 4)
+anchored_items("_blocked", "(ord//6)", 4)
+anchored_items("_two", "ord%n_slates", 2)
 cte("verdicts", f"""SELECT *, {q.r6('list_sum(list_transform(level_probs, lambda x, i: x*(i-1)))')} AS expected_grade FROM (
 SELECT qid, item_id, grade, first_rank, l, list_transform(p, lambda x: round(x/list_sum(p),6)) AS level_probs, 250::BIGINT AS tokens,
 CASE WHEN item_id%4<>0 THEN 250*0.042::DOUBLE/1e6 END AS cost_usd FROM (

@@ -232,9 +232,9 @@ def signature_title_lexical(t):
 SELECT qid, doc_id, list_intersect(qt, regexp_extract_all(lower(text),'[a-z0-9]+')) AS in_doc, regexp_extract_all(lower({q.strip(f'substr({HEAD},1,148)')}),'[a-z0-9]+') AS sg
 FROM bm25_ranked JOIN corpus USING (doc_id) JOIN (SELECT qid, list(DISTINCT term) AS qt FROM query_tf GROUP BY 1) USING (qid))""")
 def signature_recall(t):
-    pairs = t.ranked.join(t.corpus, "doc_id").join(t.queries.withColumnRenamed("text", "query"), "qid")
-    sig = pairs.withColumn("signature", tx.signature("head", 37))
-    return sig.select("qid", "doc_id", ex.r6(tx.signature_recall("query", "signature", "text")).alias("recall"))
+    pairs = t.ranked.join(t.corpus, "doc_id").select("qid", "doc_id", tx.signature("head", 37).alias("signature"))
+    out = retrieval.with_signature_recall(pairs, t.corpus, t.queries)
+    return out.select("qid", "doc_id", ex.r6("recall").alias("recall"))
 
 
 @query("candidate_pools", """SELECT qid, doc_id, score, rank, grade, substr(CASE WHEN title='' THEN text ELSE title||chr(10)||text END,1,2000) AS passage FROM (
@@ -282,8 +282,8 @@ def _sweep(t):
         F.struct(F.lit(f"{kind}@{budget}").alias("config"), tx.signature(kind, budget).alias("signature"))
         for kind in tx.SIGNATURES for budget in (16, 37)
     ])
-    rows = rows.select("qid", "doc_id", "grade", "query", "text", F.inline(configs))
-    rows = rows.withColumn("recall", tx.signature_recall("query", "signature", "text"))
+    rows = rows.select("qid", "doc_id", "grade", "query", F.inline(configs))
+    rows = retrieval.with_signature_recall(rows, t.corpus, t.queries)
     kept = F.size(F.array_intersect(tx.tokens("query"), tx.tokens("signature"))).cast("double")
     scored = rows.select("config", "qid", "doc_id", "grade", "recall", kept.alias("score"))
     return retrieval.evidence_sweep(retrieval.evidence_rows(scored))
