@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
 from . import frontier_queries, slate_queries, text_queries  # noqa: F401
-from .registry import ORACLE, QUERIES
+from .registry import QUERIES, oracle
 
-__all__ = ["ORACLE", "QUERIES"]
+__all__ = ["QUERIES", "oracle"]

@@ -69,7 +69,7 @@ SELECT qid, d, sum(CASE WHEN best<={K} THEN gain/log2(best+1) ELSE 0.0 END) AS i
 SELECT *, row_number() OVER (PARTITION BY qid, d ORDER BY gain DESC, item_id) AS best FROM {name}_draw) GROUP BY 1,2) GROUP BY 1""")
 
 
-_regret_ctes("regret", "scored", 5, False)
+_regret_ctes("regret_all", "scored", 5, False)
 _regret_ctes("regret_clipped", "scored", 5, True)
 
 
@@ -77,7 +77,7 @@ def _regret(t, scale="utility"):
     return fr.expected_regret(t.scored, K, SAMPLES, seed=5, scale=scale).withColumn("regret", ex.r6("regret"))
 
 
-@query("expected_regret", f"SELECT qid, {q.r6('regret')} AS regret FROM regret")
+@query("expected_regret", f"SELECT qid, {q.r6('regret')} AS regret FROM regret_all")
 def expected_regret(t):
     return _regret(t)
 
@@ -87,7 +87,7 @@ def expected_regret_clipped(t):
     return _regret(t, None)
 
 
-cte("qstate", f"SELECT qid, sum(on_frontier::INT)::BIGINT AS frontier_size, max(utility) AS pool_quality, count(*) AS n_candidates, any_value(r) AS regret FROM front JOIN (SELECT qid, {q.r6('regret')} AS r FROM regret) USING (qid) GROUP BY 1")
+cte("qstate", f"SELECT qid, sum(on_frontier::INT)::BIGINT AS frontier_size, max(utility) AS pool_quality, count(*) AS n_candidates, any_value(r) AS regret FROM front JOIN (SELECT qid, {q.r6('regret')} AS r FROM regret_all) USING (qid) GROUP BY 1")
 cte("action_list", "SELECT * FROM (VALUES " + ",".join(f"({i},'{a['action']}',{a['cost_usd']!r}::DOUBLE,{a['latency_ms']}::DOUBLE,{a['resolves']}::DOUBLE,{a['min_frontier']})" for i, a in enumerate(fr.ACTIONS)) + ") v(no, action, cost_usd, latency_ms, resolves, min_frontier)")
 
 
@@ -108,7 +108,7 @@ def decide(t):
     return d.select("qid", "regret", "frontier_size", "action", ex.r6("value").alias("value"), ex.big(F.size("action_values")).alias("n_open"))
 
 
-@query("break_even_lambda", f"SELECT qid, {q.r6('max(resolves*r/greatest(cost_usd,1e-12))', 3)} AS break_even_lambda FROM (SELECT qid, {q.r6('regret')} AS r FROM regret), action_list GROUP BY 1")
+@query("break_even_lambda", f"SELECT qid, {q.r6('max(resolves*r/greatest(cost_usd,1e-12))', 3)} AS break_even_lambda FROM (SELECT qid, {q.r6('regret')} AS r FROM regret_all), action_list GROUP BY 1")
 def break_even_lambda(t):
     b = fr.break_even_lambda(_regret(t))
     return b.select("qid", ex.r6("break_even_lambda", 3).alias("break_even_lambda"))
@@ -127,7 +127,7 @@ def fuse_verdicts(t):
 
 # the cascade: common random numbers before and after, targets only where a judge is bought
 _decision_ctes("cas_decision", "60.0::DOUBLE", 0.0, "qid", "cas_state")
-cte("cas_state", "SELECT qid, sum(on_frontier::INT)::BIGINT AS frontier_size, max(utility) AS pool_quality, count(*) AS n_candidates, any_value(g.regret) AS regret FROM front JOIN regret g USING (qid) GROUP BY 1")
+cte("cas_state", "SELECT qid, sum(on_frontier::INT)::BIGINT AS frontier_size, max(utility) AS pool_quality, count(*) AS n_candidates, any_value(g.regret) AS regret FROM front JOIN regret_all g USING (qid) GROUP BY 1")
 cte("cas_bought", """SELECT c.qid, c.item_id, c.utility, c.sigma, v.expected_grade, v.cost_usd, v.level_probs FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p_swap DESC, item_id) AS cr FROM front WHERE on_frontier) WHERE cr<=30) c
 JOIN verdicts v ON v.qid=c.qid AND v.item_id=c.item_id JOIN cas_decision d ON d.qid=c.qid WHERE d.action IN ('teacher_rubric','teacher_choice')""")
 cte("cas_fused", """SELECT s.qid, s.item_id, CASE WHEN e IS NOT NULL THEN 0.3::DOUBLE*s.utility+0.7::DOUBLE*(e*2.0-3.0) ELSE s.utility END AS utility, CASE WHEN e IS NOT NULL THEN least(s.sigma,0.12::DOUBLE) ELSE s.sigma END AS sigma

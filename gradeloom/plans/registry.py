@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = lambda spark, sf: fn(Tables(spark, sf))
         HOME[name] = fn.__module__.rsplit(".", 1)[-1]
         if sql is not None:
-            ORACLE[name] = compose(sql)
+            ORACLE[name] = sql
         return fn
 
     return add
@@ -35,14 +35,18 @@ def cte(name: str, body: str) -> None:
     CTES[name] = body
 
 
+def oracle() -> dict[str, str]:
+    return {name: compose(sql) for name, sql in ORACLE.items()}
+
+
 def compose(body: str) -> str:
     """Put the common table expressions that a statement mentions in front of it."""
     needed: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, of: str = "") -> None:
         for name in CTES:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                visit(CTES[name])
+            if name != of and name not in needed and re.search(rf"\b{name}\b", text):
+                visit(CTES[name], name)
                 if name not in needed:
                     needed.append(name)
 
