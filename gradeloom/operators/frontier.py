@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
+from ..functions.lineage import cut_lineage
 
 Z, P_FLOOR = 1.64, 0.02
 MAX_POOL = 10_000
@@ -206,6 +207,7 @@ def cascade(
     ``verdicts`` is (qid, item_id, expected_grade, level_probs, cost_usd); without it nothing
     is escalated. Returns the final order, a per-query summary and the escalation log.
     """
+    scored = cut_lineage(scored)  # the pools are read by every step below; make them once
     front = frontier(scored, k)
     before = expected_regret(scored, k, samples, seed)
     decided = decide(query_state(front, before), lambda_cost)

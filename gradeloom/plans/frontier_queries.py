@@ -118,11 +118,11 @@ cte("fused_all", """SELECT s.qid, s.item_id, CASE WHEN e IS NOT NULL THEN 0.3::D
 FROM scored s LEFT JOIN (SELECT c.qid, c.item_id, expected_grade AS e FROM contested c JOIN verdicts v ON v.qid=c.qid AND v.item_id=c.item_id) x ON x.qid=s.qid AND x.item_id=s.item_id""")
 
 
-@query("fuse_verdicts", f"SELECT qid, item_id, {q.r6('utility')} AS utility, {q.r6('sigma')} AS sigma, judged FROM fused_all")
+@query("fuse_verdicts", f"SELECT qid, item_id, {q.r6('utility', 8)} AS utility, {q.r6('sigma', 8)} AS sigma, judged FROM fused_all")
 def fuse_verdicts(t):
     grades = _contested(t).select("qid", "item_id").join(t.verdicts, ["qid", "item_id"])
     f = fr.fuse(t.scored, grades)
-    return f.select("qid", "item_id", ex.r6("utility").alias("utility"), ex.r6("sigma").alias("sigma"), "judged")
+    return f.select("qid", "item_id", ex.r6("utility", 8).alias("utility"), ex.r6("sigma", 8).alias("sigma"), "judged")
 
 
 # the cascade: common random numbers before and after, targets only where a judge is bought
@@ -158,11 +158,11 @@ def escalation_log(t):
 
 
 LAMBDAS = [0.0, 10.0, 30.0, 60.0, 100.0, 300.0, 1000.0]
-cte("lam_state", f"SELECT s.*, lambda FROM qstate s, (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in LAMBDAS)}]) AS lambda)")
-_decision_ctes("lam_decision", "lambda", 0.0, "qid, lambda", "lam_state")
+cte("lam_state", f"""SELECT s.*, "lambda" FROM qstate s, (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in LAMBDAS)}]) AS "lambda")""")
+_decision_ctes("lam_decision", '"lambda"', 0.0, 'qid, "lambda"', "lam_state")
 
 
-@query("lambda_sweep", f"""SELECT lambda, count(*) AS n_queries, {q.r6('avg(cost)*1000.0')} AS cost_per_1k, {q.r6('avg(gain)')} AS quality, {q.r6("avg((action IN ('teacher_rubric','teacher_choice'))::INT)")} AS escalation_rate, {q.r6("avg((action<>'stop')::INT)")} AS acted_rate FROM lam_decision GROUP BY 1""")
+@query("lambda_sweep", f"""SELECT "lambda", count(*) AS n_queries, {q.r6('avg(cost)*1000.0')} AS cost_per_1k, {q.r6('avg(gain)')} AS quality, {q.r6("avg((action IN ('teacher_rubric','teacher_choice'))::INT)")} AS escalation_rate, {q.r6("avg((action<>'stop')::INT)")} AS acted_rate FROM lam_decision GROUP BY 1""")
 def lambda_sweep(t):
     s = fr.lambda_sweep(fr.query_state(_front(t), _regret(t)), LAMBDAS)
     return s.withColumns({c: ex.r6(c) for c in ("cost_per_1k", "quality", "escalation_rate", "acted_rate")})
