@@ -193,3 +193,9 @@ def inline_rows(rows: list[dict], types: dict[str, str]) -> Column:
     return F.array(
         *[F.struct(*[F.lit(r[n]).cast(t).alias(n) for n, t in types.items()]) for r in rows]
     )
+
+
+def variants(names: tuple[str, ...], *rows: tuple) -> Column:
+    """An array of structs with the same field names, to be inlined into rows."""
+    cells = [[c if isinstance(c, Column) else F.lit(c) for c in r] for r in rows]
+    return F.array(*[F.struct(*[c.alias(n) for n, c in zip(names, r)]) for r in cells])

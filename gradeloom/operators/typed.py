@@ -113,12 +113,13 @@ def permute_options(rows: DataFrame, epoch: int = 0, seed: int = 0, key: str = "
 def label_report(rows: DataFrame) -> DataFrame:
     """Long report (section, key, n, share): by type, by option count, by label, soft share
     and majority baseline (most frequent label over all examples)."""
-    facts = F.array(
-        F.struct(F.lit("type").alias("section"), F.col("qtype").alias("key")),
-        F.struct(F.lit("options"), F.col("k").cast("string")),
-        F.struct(F.lit("label"), F.col("label").cast("string")),
-        F.struct(F.lit("soft"), F.col("soft_label").isNotNull().cast("string")),
-        F.struct(F.lit("examples"), F.lit("all")),
+    facts = ex.variants(
+        ("section", "key"),
+        ("type", F.col("qtype")),
+        ("options", F.col("k").cast("string")),
+        ("label", F.col("label").cast("string")),
+        ("soft", F.col("soft_label").isNotNull().cast("string")),
+        ("examples", "all"),
     )
     counts = (
         rows.select(F.inline(facts)).filter(F.col("key").isNotNull())

@@ -207,10 +207,11 @@ def frozen_pool_evaluation(t):
     """Three orders of the same pools; pools with fewer than 60 candidates are skipped."""
     big = t.pool.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 60).select("qid")
     c = scale.calibrate(t.slate_logits(False)).join(t.pool.select("qid", F.col("doc_id").alias("item_id"), "first_score"), ["qid", "item_id"])
-    arms = F.array(
-        F.struct(F.lit("anchored").alias("arm"), ex.r6("utility").alias("score")),
-        F.struct(F.lit("naive"), F.round("lp", 6)),
-        F.struct(F.lit("first_stage"), F.col("first_score")),
+    arms = ex.variants(
+        ("arm", "score"),
+        ("anchored", ex.r6("utility")),
+        ("naive", F.round("lp", 6)),
+        ("first_stage", F.col("first_score")),
     )
     run = c.join(big, "qid", "left_semi").select("qid", F.col("item_id").alias("doc_id"), "grade", F.inline(arms))
     scores = ev.ndcg(run, run.select("arm", "qid", "doc_id", "grade"), by=["arm", "qid"])
@@ -226,10 +227,11 @@ cte("arm_long", "SELECT arm, metric, value FROM arm_metrics UNPIVOT (value FOR m
 @query("arm_comparison", """SELECT metric, min(value) AS lowest, max(value) AS highest, CASE WHEN metric='mean_conf' THEN '-' WHEN (max(value)-min(value))/(CASE WHEN max(abs(value))=0 THEN 1.0 ELSE max(abs(value)) END)<0.05 THEN 'tie'
 WHEN metric='accuracy' THEN (SELECT arm FROM arm_long b WHERE b.metric=a.metric ORDER BY value DESC, arm DESC LIMIT 1) ELSE (SELECT arm FROM arm_long b WHERE b.metric=a.metric ORDER BY value, arm LIMIT 1) END AS best FROM arm_long a GROUP BY metric""")
 def arm_comparison(t):
-    arms = F.array(
-        F.struct(F.lit("hard").alias("arm"), F.col("probs").alias("p")),
-        F.struct(F.lit("soft"), F.transform(ex.softmax("logits", 1.5), lambda x: F.round(x, 9))),
-        F.struct(F.lit("sharp"), F.transform(ex.softmax("logits", 0.7), lambda x: F.round(x, 9))),
+    arms = ex.variants(
+        ("arm", "p"),
+        ("hard", F.col("probs")),
+        ("soft", F.transform(ex.softmax("logits", 1.5), lambda x: F.round(x, 9))),
+        ("sharp", F.transform(ex.softmax("logits", 0.7), lambda x: F.round(x, 9))),
     )
     rows = ev.prediction_columns(t.labelled.select("ex_id", "label", F.inline(arms)).withColumnRenamed("p", "probs"))
     m = (

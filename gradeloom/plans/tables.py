@@ -141,10 +141,11 @@ class Tables:
     @cached_property
     def system_scores(self) -> DataFrame:
         """Three systems on the same pools, with a probability of relevance each."""
-        s = F.array(
-            F.struct(F.lit("first").alias("system"), F.col("first_score").alias("score")),
-            F.struct(F.lit("latent"), F.col("l")),
-            F.struct(F.lit("chance"), F.round(4.0 * ex.uniform(5, "qid", "doc_id") - 2.0, 6)),
+        s = ex.variants(
+            ("system", "score"),
+            ("first", F.col("first_score")),
+            ("latent", F.col("l")),
+            ("chance", F.round(4.0 * ex.uniform(5, "qid", "doc_id") - 2.0, 6)),
         )
         rows = self.pool.select("qid", "doc_id", "grade", F.inline(s))
         return rows.withColumn("prob", F.round(ex.sigmoid(F.col("score") * 2.0), 9)).withColumn(
