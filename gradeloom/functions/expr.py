@@ -199,3 +199,15 @@ def variants(names: tuple[str, ...], *rows: tuple) -> Column:
     """An array of structs with the same field names, to be inlined into rows."""
     cells = [[c if isinstance(c, Column) else F.lit(c) for c in r] for r in rows]
     return F.array(*[F.struct(*[c.alias(n) for n, c in zip(names, r)]) for r in cells])
+
+
+def settle(df, cols: dict[str, Column], keep: list[str] | None = None):
+    """Add columns that later steps use many times.
+
+    The optimiser copies a projected expression into every later filter that uses it, which
+    grows without end when derived columns build on one another. A one-element ``inline``
+    computes the values once per row and stops the copying.
+    """
+    one = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
+    kept = [c for c in (keep or df.columns) if c not in cols]
+    return df.select(*kept, F.inline(one))

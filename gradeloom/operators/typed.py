@@ -21,7 +21,7 @@ def resolve_labels(parsed: DataFrame) -> DataFrame:
         .when(F.col("label_kind") == "flag", (F.col("label_text") == "true").cast("int"))
         .when(F.col("label_kind") == "index", F.col("label_text").try_cast("int"))
     )
-    return parsed.withColumn("label", label.cast("int"))
+    return ex.settle(parsed, {"label": label.cast("int")})
 
 
 def render_options(parsed: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def render_options(parsed: DataFrame) -> DataFrame:
         .when(F.col("qtype") == "score", level)
         .when(F.col("qtype") == "noul", F.array(answer("false", NOUL_FALSE), answer("true", NOUL_TRUE)))
     )
-    return parsed.withColumn("options", texts).withColumn("k", F.coalesce(F.size("options"), F.lit(0)))
+    return ex.settle(parsed, {"options": texts}).withColumn("k", F.coalesce(F.nullif(F.size("options"), F.lit(-1)), F.lit(0)))
 
 
 def check_examples(rows: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def check_examples(rows: DataFrame) -> DataFrame:
         "no label": F.col("label").isNull() & soft.isNull() & ~F.coalesce(named, F.lit(False)),
     }
     flags = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items()])
-    return rows.withColumn("errors", F.filter(flags, lambda e: e.isNotNull()))
+    return ex.settle(rows, {"errors": F.filter(flags, lambda e: e.isNotNull())})
 
 
 def prepare(parsed: DataFrame) -> DataFrame:
@@ -102,9 +102,9 @@ def permute_options(rows: DataFrame, epoch: int = 0, seed: int = 0, key: str = "
         return F.transform("_order", lambda i: F.get(c, i))
 
     return (
-        rows.withColumn("_order", order)
+        ex.settle(rows, {"_order": order})
         .withColumn("options", moved("options"))
-        .withColumn("soft_label", moved("soft_label"))
+        .withColumn("soft_label", F.when(F.col("soft_label").isNotNull(), moved("soft_label")))
         .withColumn("label", (F.array_position("_order", F.col("label")) - 1).cast("int"))
         .withColumnRenamed("_order", "order")
     )

@@ -5,58 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import col
+from ..functions.expr import col, settle
 
 
 def read_typed_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return parse_typed_lines(spark.read.text(path).withColumnRenamed("value", "line"), "line")
 
 
-def raw_json(line: Column, field: str) -> Column:
-    """Sub-JSON text of a field; strings come out unquoted; key order is kept."""
-    return F.get_json_object(line, f"$.{field}")
+SCHEMA = (
+    "state string, type string, instructions string, criteria string, label variant, "
+    "soft_label array<double>, weight double, meta map<string,string>, _corrupt_record string"
+)
 
 
 def parse_typed_lines(df: DataFrame, line: str = "line") -> DataFrame:
     """One row per non-blank line; the polymorphic fields are kept as text plus a kind.
 
     The file's key order decides what a label given by name means, so ``criteria`` stays raw
-    JSON and its keys are read in order (a VARIANT would sort them). A line that is not a
-    JSON object gives ``is_json = false`` and NULLs, to be sorted out by ``check_examples``.
+    JSON and its keys are read in order (a VARIANT would sort them). A state that is not a
+    string becomes compact JSON. A line that is no JSON object, or has a field of a wrong
+    type, gives ``is_json = false``, to be sorted out by ``check_examples``.
     """
-    ln = F.col(line)
-    rows = df.filter(F.length(F.trim(ln)) > 0)
-    label_schema = "struct<label:variant,soft_label:array<double>,weight:double,meta:map<string,string>>"
-    parsed = F.from_json(ln, label_schema)
-    criteria = raw_json(ln, "criteria")
-    kind = F.when(F.startswith(criteria, F.lit("{")), F.lit("object")).when(
-        F.startswith(criteria, F.lit("[")), F.lit("list")
+    rows = df.filter(F.length(F.trim(line)) > 0)
+    parsed = F.from_json(line, SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    raw = rows.select(*[c for c in df.columns if c != line], F.inline(F.array(parsed)))
+    criteria, kind = F.col("criteria"), F.col("criteria_kind")
+    raw = raw.withColumn(
+        "criteria_kind",
+        F.when(F.startswith(criteria, F.lit("{")), "object").when(F.startswith(criteria, F.lit("[")), "list"),
     )
-    return (
-        rows.withColumn("_p", parsed)
-        .withColumn("is_json", F.try_parse_json(ln).isNotNull())
-        .withColumn("state", raw_json(ln, "state"))
-        .withColumn("qtype", raw_json(ln, "type"))
-        .withColumn("instructions", raw_json(ln, "instructions"))
-        .withColumn("criteria", criteria)
-        .withColumn("criteria_kind", kind)
-        .withColumn(
-            "option_keys",
-            F.when(F.col("criteria_kind") == "object", F.json_object_keys("criteria"))
-            .when(F.col("criteria_kind") == "list", F.from_json("criteria", "array<string>"))
-            .when(F.col("qtype") == "noul", F.array(F.lit("false"), F.lit("true"))),
-        )
-        .withColumn(
-            "option_notes",
-            F.when(F.col("criteria_kind") == "object", F.from_json("criteria", "map<string,string>")),
-        )
-        .withColumn("label_text", raw_json(ln, "label"))
-        .withColumn("label_kind", label_kind(F.col("_p.label")))
-        .withColumn("soft_label", F.col("_p.soft_label"))
-        .withColumn("weight", F.coalesce(F.col("_p.weight"), F.lit(1.0)))
-        .withColumn("meta", F.coalesce(F.col("_p.meta"), F.create_map().cast("map<string,string>")))
-        .drop("_p")
+    keys = (
+        F.when(kind == "object", F.json_object_keys("criteria"))
+        .when(kind == "list", F.from_json("criteria", "array<string>"))
+        .when(F.col("qtype") == "noul", F.array(F.lit("false"), F.lit("true")))
     )
+    return settle(
+        raw.withColumnRenamed("type", "qtype"),
+        {
+            "is_json": F.col("_corrupt_record").isNull(),
+            "option_keys": keys,
+            "option_notes": F.when(kind == "object", F.from_json("criteria", "map<string,string>")),
+            "label_text": F.col("label").cast("string"),
+            "label_kind": label_kind("label"),
+            "weight": F.coalesce("weight", F.lit(1.0)),
+            "meta": F.coalesce("meta", F.create_map().cast("map<string,string>")),
+        },
+    ).drop("label", "_corrupt_record")
 
 
 def label_kind(v: Column | str) -> Column:
