@@ -61,14 +61,16 @@ def temperature_grid(rows: DataFrame, grid: list[float], by: list[str], loss=Non
 
 
 def fit_temperature(
-    rows: DataFrame, by: list[str], lo: float = 0.02, hi: float = 10.0, points: int = 16, passes: int = 8, loss=None
+    rows: DataFrame, by: list[str], lo: float = 0.02, hi: float = 10.0, points: int = 24, passes: int = 6, loss=None
 ) -> DataFrame:
     """Temperature minimising the mean loss per group, by a narrowing grid.
 
     The loss has one minimum in t, so the neighbours of the best of ``points`` geometric
     candidates bracket it; every pass cuts the bracket (in log t) to 2/(points-1). All
-    groups are searched in the same pass, one aggregate each.
+    groups are searched in the same pass, one aggregate each. The rows are read ``passes``
+    times and kept for that long.
     """
+    rows = rows.persist()
     loss = loss or (lambda t: _nll(F.col("logits"), F.col("label"), t))
     brackets = rows.select(*by).distinct().withColumns({"_lo": F.lit(float(lo)), "_hi": F.lit(float(hi))})
     for _ in range(passes):
@@ -86,7 +88,9 @@ def fit_temperature(
             "n",
         ).withColumnsRenamed({"_lo2": "_lo", "_hi2": "_hi"})
         last, brackets = brackets, brackets.select(*by, "_lo", "_hi")
-    return last.select(*by, "n", F.sqrt(F.col("_lo") * F.col("_hi")).alias("t"), "nll")
+    found = cut_lineage(last.select(*by, "n", F.sqrt(F.col("_lo") * F.col("_hi")).alias("t"), "nll"))
+    rows.unpersist()
+    return found
 
 
 def fit_temperature_map(records: DataFrame, min_samples: int = MIN_SAMPLES, grid: list[float] | None = None) -> DataFrame:

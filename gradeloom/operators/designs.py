@@ -126,6 +126,7 @@ def fit_additive(obs: DataFrame, solver_rows: int = SOLVER_ROWS, **sweep_options
     where its rows are; queries with more than ``solver_rows`` observations are fitted by
     distributed sweeps instead.
     """
+    obs = cut_lineage(obs)
     sizes = obs.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > solver_rows).select("qid")
     if large.isEmpty():
@@ -213,24 +214,29 @@ def _sweep(
 
 
 def additive_summary(fit: DataFrame) -> DataFrame:
-    """Per query: RMSE, R^2, number of observations, range and spread of offsets and items."""
-    rows = fit.groupBy("qid").agg(
+    """Per query: RMSE, R^2, number of observations, range and spread of offsets and items.
+
+    A slate (an item) appears once per observation; weighting by one over its appearances
+    gives the spread over slates (items) in the same pass.
+    """
+    sq = F.lit(2.0)
+    w = fit.withColumn("_ws", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("qid", "slate"))).withColumn(
+        "_wi", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("qid", "item_id"))
+    )
+
+    def spread(value: str, weight: str):
+        mean = F.sum(F.col(weight) * F.col(value)) / F.sum(weight)
+        return F.sqrt(F.greatest(F.sum(F.col(weight) * F.pow(value, sq)) / F.sum(weight) - mean * mean, F.lit(0.0)))
+
+    tot = F.var_pop("y") * F.count(F.lit(1))
+    return w.groupBy("qid").agg(
         F.count(F.lit(1)).alias("n_obs"),
-        F.sqrt(F.avg(F.pow("residual", F.lit(2.0)))).alias("rmse"),
-        F.sum(F.pow("residual", F.lit(2.0))).alias("_res"),
-        (F.var_pop("y") * F.count(F.lit(1))).alias("_tot"),
+        F.sqrt(F.avg(F.pow("residual", sq))).alias("rmse"),
         F.max(F.abs("residual")).alias("resid_max_abs"),
-    )
-    slates = fit.groupBy("qid", "slate").agg(F.first("c_hat").alias("c")).groupBy("qid").agg(
-        (F.max("c") - F.min("c")).alias("c_range"), F.stddev_pop("c").alias("c_std")
-    )
-    items = fit.groupBy("qid", "item_id").agg(F.first("l_hat").alias("l")).groupBy("qid").agg(
-        F.stddev_pop("l").alias("l_std")
-    )
-    return (
-        rows.join(slates, "qid").join(items, "qid")
-        .withColumn("r2", F.when(F.col("_tot") > 0, 1.0 - F.col("_res") / F.col("_tot")).otherwise(0.0))
-        .drop("_res", "_tot")
+        (F.max("c_hat") - F.min("c_hat")).alias("c_range"),
+        spread("c_hat", "_ws").alias("c_std"),
+        spread("l_hat", "_wi").alias("l_std"),
+        F.when(tot > 0, 1.0 - F.sum(F.pow("residual", sq)) / tot).otherwise(0.0).alias("r2"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
+from ..functions.lineage import cut_lineage
 from ..functions.ranks import running
 
 BINS = 15
@@ -228,12 +229,33 @@ def slice_report(pred: DataFrame, key: Column, n_bins: int = BINS) -> DataFrame:
     rows = prediction_columns(pred.filter(F.col("label").isNotNull())).select(
         F.explode(F.array(key, F.lit(ALL))).alias("slice"), "ex_id", "label", "conf", "correct", "brier"
     )
-    heads = accuracy_and_majority(rows, ["slice"])
-    means = rows.groupBy("slice").agg(F.avg("brier").alias("brier"), F.avg("conf").alias("mean_conf"))
+    # counts per (slice, label, bin) hold all that the metrics without ranks need
+    cells = cut_lineage(
+        rows.withColumn("bin", ece_bin("conf", n_bins))
+        .groupBy("slice", "label", "bin")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("correct").alias("correct"),
+            F.sum("conf").alias("sum_p"),
+            F.sum("brier").alias("brier"),
+        )
+    )
+    n = F.sum("n")
+    heads = cells.groupBy("slice").agg(
+        n.alias("n"),
+        (F.sum("correct") / n).alias("accuracy"),
+        (F.sum("brier") / n).alias("brier"),
+        (F.sum("sum_p") / n).alias("mean_conf"),
+    )
+    labels = cells.groupBy("slice", "label").agg(n.alias("n")).groupBy("slice").agg(F.max("n").alias("top"))
+    bins = cells.groupBy("slice", "bin").agg(
+        n.alias("n"), F.sum("sum_p").alias("sum_p"), F.sum("correct").cast("double").alias("sum_y")
+    )
     out = (
-        heads.join(means, "slice")
-        .join(ece(rows, ["slice"], n_bins=n_bins).select("slice", "ece"), "slice")
+        heads.join(labels, "slice")
+        .join(ece_from_bins(bins, ["slice"]).select("slice", "ece"), "slice")
         .join(aurc(rows, ["slice"]), "slice")
+        .withColumn("majority", F.col("top") / F.col("n"))
         .select("slice", "n", *[F.round(c, 4).alias(c) for c in ("accuracy", "majority", "ece", "brier", "aurc", "mean_conf")])
     )
     worst = out.filter(F.col("slice") != ALL).agg(F.max("ece")).scalar()
@@ -257,12 +279,13 @@ def paired_bootstrap(
 ) -> DataFrame:
     """Mean difference, 95 % interval and two-sided p per comparison.
 
-    Every resample draws n rows with replacement. The draws are keyed (comparison, resample,
-    position), the drawn positions are counted per resample before they meet the values,
-    and only sums per resample reach the percentile step, so no group grows with n.
+    Every resample draws n rows with replacement by keyed draws (resample, position). Draws
+    meet the values by an equi-join on the drawn position and are summed per resample
+    before the shuffle; only the resample means reach the percentile step, so no group
+    there grows with n.
     """
     placed = running(diffs.select(*by, key, "diff"), by, [F.col(key)], rank="_i")
-    sizes = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_diff"))
+    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_diff"))
     draws = (
         placed.select(*by, "_i")
         .join(sizes.select(*by, "n"), by)
@@ -286,6 +309,7 @@ def paired_bootstrap(
 
 def comparison_grid(scores: DataFrame, baseline: str, value: str = "ndcg") -> DataFrame:
     """(system, qid, value) -> per-query differences to the baseline and to the best system."""
+    scores = cut_lineage(scores)  # one row per system and query, read four times
     mean = scores.groupBy("system").agg(F.avg(value).alias("m"))
     best = mean.agg(F.max_by("system", F.struct(F.col("m"), F.col("system")))).scalar()
     base = scores.filter(F.col("system") == baseline).select("qid", F.col(value).alias("_base"))

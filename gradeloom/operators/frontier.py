@@ -210,7 +210,7 @@ def cascade(
     scored = cut_lineage(scored)  # the pools are read by every step below; make them once
     front = frontier(scored, k)
     before = expected_regret(scored, k, samples, seed)
-    decided = decide(query_state(front, before), lambda_cost)
+    decided = cut_lineage(decide(query_state(front, before), lambda_cost))  # one row per query
     escalate = decided.filter(F.col("action").isin("teacher_rubric", "teacher_choice")).select("qid")
     targets = most_contested(front, batch).join(escalate, "qid", "left_semi")
     if verdicts is None:
@@ -218,7 +218,7 @@ def cascade(
             "qid", "item_id", F.lit(None).cast("double").alias("expected_grade"),
             F.lit(None).cast("array<double>").alias("level_probs"), F.lit(None).cast("double").alias("cost_usd"),
         ).filter(F.lit(False))
-    bought = targets.join(verdicts, ["qid", "item_id"])
+    bought = cut_lineage(targets.join(verdicts, ["qid", "item_id"]))  # the escalation log's rows
     fused = fuse(scored, bought, weight)
     after = expected_regret(fused, k, samples, seed).withColumnRenamed("regret", "regret_after")
     spend = bought.groupBy("qid").agg(F.count(F.lit(1)).alias("n_judged"), F.sum("cost_usd").alias("cost_usd"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_corr
+from ..functions.lineage import broadcast_if_small, cut_lineage
 from ..sources.collections import full_text
 from . import text as tx
 from .evaluation import ndcg
@@ -39,33 +40,40 @@ def bm25_search(
     k1: float = tx.K1,
     b: float = tx.B,
 ) -> DataFrame:
-    """Search without a stored index: only tokens of the query vocabulary are shuffled.
+    """Search without a stored index: one pass over the texts, and only tokens of the query
+    vocabulary are shuffled.
 
-    Catalyst broadcasts the vocabulary and the query terms while their measured size stays
-    under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles by term beyond it.
+    The weighted query terms are broadcast while they are few (counted), so that scores are
+    added up where a document's tokens lie; a larger query set joins by shuffle.
     """
     asked = query_terms(queries)
-    vocabulary = asked.select("term").distinct()
+    # every document keeps one marker row, so that lengths and counts need no second pass
+    marker = F.lit("")
+    vocabulary = asked.select("term").unionByName(asked.limit(1).select(marker.alias("term"))).distinct()
     rows = corpus.select("doc_id", tx.tokens(text).alias("_t")).withColumn("dl", F.size("_t").cast("bigint"))
-    totals = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    n_docs, avgdl = totals.select("n_docs").scalar(), totals.select("avgdl").scalar()
-    hits = (
-        rows.select("doc_id", "dl", F.explode("_t").alias("term"))
+    hits = cut_lineage(
+        rows.select("doc_id", "dl", F.explode(F.array_append("_t", marker)).alias("term"))
         .join(vocabulary, "term", "left_semi")
         .groupBy("doc_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+    totals = hits.filter(F.col("term") == marker).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    n_docs, avgdl = totals.select("n_docs").scalar(), totals.select("avgdl").scalar()
     idf = (
-        hits.groupBy("term")
+        hits.filter(F.col("term") != marker)
+        .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
         .select("term", tx.idf(n_docs, F.col("df")).alias("idf"))
     )
-    wanted = asked.join(idf, "term")
+    wanted, small = broadcast_if_small(asked.join(idf, "term"))
     weight = tx.doc_weight(F.col("tf"), F.col("dl"), avgdl, k1, b)
+    weighted = hits.filter(F.col("term") != marker).select("doc_id", "term", weight.alias("w"))
+    # with all of a document's terms in one place, its scores need no shuffle of their own
     scored = (
-        hits.join(wanted, "term")
+        (weighted.repartition("doc_id") if small else weighted)
+        .join(wanted, "term")
         .groupBy("qid", "doc_id")
-        .agg(F.round(F.sum(weight * F.col("idf") * F.col("qtf")), SCORE_DIGITS).alias("score"))
+        .agg(F.round(F.sum(F.col("w") * F.col("idf") * F.col("qtf")), SCORE_DIGITS).alias("score"))
     )
     return top_k(scored, k)
 

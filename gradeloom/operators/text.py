@@ -170,6 +170,7 @@ def best_windows(
         .select("doc_id", F.size("_w").alias("_n"), F.posexplode("_w").alias("_pos", "_word"))
         .filter(F.col("_n") > window)
         .select("doc_id", "_n", "_pos", F.explode(raw_tokens("_word")).alias("term"))
+        .join(weights.select("term").distinct(), "term", "left_semi")
     )
     wanted = pairs.select("qid", "doc_id").join(weights.select("qid", "term", "weight"), "qid")
     hits = placed.join(wanted, ["doc_id", "term"]).groupBy("qid", "doc_id", "_n", "_pos").agg(

@@ -275,10 +275,10 @@ def temperature_map(t):
 cte("tempered", f"SELECT ex_id, label, qtype, k, bucket, list_transform({q.softmax('logits', 't')}, lambda z: round(z,9)) AS probs FROM (SELECT p.*, {q.bucket('qtype', 'k')} AS bucket, coalesce(s.t,(SELECT t FROM temps WHERE bucket='(global)')) AS t FROM labelled p LEFT JOIN temps s ON s.bucket={q.bucket('p.qtype', 'p.k')})")
 
 
-@query("apply_temperature", f"SELECT ex_id, {q.r6('list_max(probs)')} AS conf, {q.argmax0('probs')}::INT AS pick FROM tempered")
+@query("apply_temperature", f"SELECT ex_id, {q.r6('list_max(probs)', 9)} AS conf, {q.argmax0('probs')}::INT AS pick FROM tempered")
 def apply_temperature(t):
     a = cal.apply_temperature(t.labelled, _temps(t)).withColumn("probs", F.transform("probs", lambda x: F.round(x, 9)))
-    return a.select("ex_id", ex.r6(F.array_max("probs")).alias("conf"), ex.argmax0("probs").alias("pick"))
+    return a.select("ex_id", ex.r6(F.array_max("probs"), 9).alias("conf"), ex.argmax0("probs").alias("pick"))
 
 
 def _bucket_ece(src: str) -> str:
@@ -352,10 +352,10 @@ def level_probabilities(t):
     return p.select("ex_id", *[ex.r6(F.col("p")[i]).alias(f"p{i}") for i in range(4)], ex.r6(cal.tail_mass("p", 2)).alias("at_least_2"))
 
 
-@query("decision_features", f"SELECT ex_id, {q.r6('b[1]')} AS top1, {q.r6('b[1]-b[2]')} AS margin, {q.r6(q.entropy('probs', '1e-9') + '/ln(k)')} AS entropy, {q.r6('k/255.0')} AS size FROM (SELECT *, list_sort(probs,'DESC') AS b FROM predictions)")
+@query("decision_features", f"SELECT ex_id, {q.r6('b[1]', 9)} AS top1, {q.r6('b[1]-b[2]', 9)} AS margin, {q.r6(q.entropy('probs', '1e-9') + '/ln(k)')} AS entropy, {q.r6('k/255.0')} AS size FROM (SELECT *, list_sort(probs,'DESC') AS b FROM predictions)")
 def decision_features(t):
     d = t.predictions.select("ex_id", cal.decision_features("probs").alias("f"))
-    return d.select("ex_id", *[ex.r6(f"f.{c}").alias(c) for c in ("top1", "margin", "entropy", "size")])
+    return d.select("ex_id", *[ex.r6(f"f.{c}", 9 if c in ("top1", "margin") else 6).alias(c) for c in ("top1", "margin", "entropy", "size")])
 
 
 # ---------------------------------------------------------------------- losses

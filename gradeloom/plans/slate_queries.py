@@ -319,13 +319,13 @@ def _perms(t):
     return p.withColumn("lp", F.round("lp", 6))
 
 
-@query("order_noise", f"""SELECT qid, slate, {q.r6('m')} AS std_mean, {q.r6('x')} AS std_max, {q.r6('rg')} AS range_mean, {q.r6('1.0-n::DOUBLE/t')} AS argmax_changed, t AS n_permutations FROM (
+@query("order_noise", f"""SELECT qid, slate, {q.r6('m')} AS std_mean, {q.r6('x')} AS std_max, {q.r6('rg', 9)} AS range_mean, {q.r6('1.0-n::DOUBLE/t')} AS argmax_changed, t AS n_permutations FROM (
 SELECT qid, slate, avg(s) AS m, max(s) AS x, avg(r) AS rg FROM (SELECT qid, slate, item_id, stddev_samp(lp) AS s, max(lp)-min(lp) AS r FROM perms GROUP BY 1,2,3) GROUP BY 1,2)
 JOIN (SELECT qid, slate, max(n) AS n, sum(n)::BIGINT AS t FROM (SELECT qid, slate, item_id, count(*) AS n FROM (
 SELECT *, row_number() OVER (PARTITION BY qid, slate, perm ORDER BY lp DESC, item_id) AS r FROM perms) WHERE r=1 GROUP BY 1,2,3) GROUP BY 1,2) USING (qid, slate)""")
 def order_noise(t):
     n = scale.order_noise(_perms(t))
-    return n.select("qid", "slate", *[ex.r6(c).alias(c) for c in ("std_mean", "std_max", "range_mean", "argmax_changed")], "n_permutations")
+    return n.select("qid", "slate", *[ex.r6(c, 9 if c == "range_mean" else 6).alias(c) for c in ("std_mean", "std_max", "range_mean", "argmax_changed")], "n_permutations")
 
 
 cte("probe_slates", f"""SELECT qid, slate, {q.corr('r::DOUBLE', 'd::DOUBLE')} AS rank_corr, min((r=d)::INT)=1 AS exact, max(lp)-min(lp) AS spread FROM (

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
+from ..functions.lineage import cut_lineage
 from ..operators import retrieval, scale, slates, text as tx
+from ..sources.tables import read_table
 from . import sql as q
 from .registry import cte
 
@@ -27,7 +29,7 @@ class Tables:
         self.spark, self.root = spark, root.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return read_table(self.spark, f"{self.root}/{name}.parquet")
 
     # ------------------------------------------------------------ documents
     @cached_property
@@ -64,6 +66,11 @@ class Tables:
     def ranked(self) -> DataFrame:
         return retrieval.bm25_search(self.corpus, self.queries, k=DEPTH)
 
+    @cached_property
+    def ranked_once(self) -> DataFrame:
+        """The ranking written out, for queries that read it several times."""
+        return cut_lineage(self.ranked)
+
     # ----------------------------------------------------------- event pools
     @cached_property
     def pool(self) -> DataFrame:

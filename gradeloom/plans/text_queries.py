@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
+from ..functions.lineage import cut_lineage
 from ..operators import evaluation, retrieval, text as tx
 from ..sources import collections as col, ledger, typed_json
 from . import sql as q
@@ -206,12 +207,15 @@ cte("pair_best", """SELECT qid, doc_id, title, text, ws, CASE WHEN len(ws)>40 TH
 cte("pair_window", """SELECT qid, doc_id, title, text, array_to_string(ws[(CASE WHEN best.v>0 THEN -best.neg ELSE 0 END)+1 : (CASE WHEN best.v>0 THEN -best.neg ELSE 0 END)+40], ' ') AS win FROM pair_best""")
 
 
-def _windows(t):
+def _idf_weights(t):
     n = t.corpus.agg(F.count(F.lit(1))).scalar()
     asked = retrieval.query_terms(t.queries).select("term").distinct()
     counted = tx.term_counts(t.corpus, "doc_id").join(asked, "term", "left_semi")
-    weights = retrieval.query_weights(t.queries, tx.term_statistics(counted, n))
-    return tx.best_windows(t.ranked.select("qid", "doc_id"), t.corpus, weights)
+    return retrieval.query_weights(t.queries, tx.term_statistics(counted, n))
+
+
+def _windows(t):
+    return tx.best_windows(t.ranked_once.select("qid", "doc_id"), t.corpus, _idf_weights(t))
 
 
 @query("signature_lexical", f"SELECT qid, doc_id, {q.strip('substr(win,1,148)')} AS signature FROM pair_window")
@@ -232,7 +236,7 @@ def signature_title_lexical(t):
 SELECT qid, doc_id, list_intersect(qt, regexp_extract_all(lower(text),'[a-z0-9]+')) AS in_doc, regexp_extract_all(lower({q.strip(f'substr({HEAD},1,148)')}),'[a-z0-9]+') AS sg
 FROM bm25_ranked JOIN corpus USING (doc_id) JOIN (SELECT qid, list(DISTINCT term) AS qt FROM query_tf GROUP BY 1) USING (qid))""")
 def signature_recall(t):
-    pairs = t.ranked.join(t.corpus, "doc_id").select("qid", "doc_id", tx.signature("head", 37).alias("signature"))
+    pairs = t.ranked_once.join(t.corpus, "doc_id").select("qid", "doc_id", tx.signature("head", 37).alias("signature"))
     out = retrieval.with_signature_recall(pairs, t.corpus, t.queries)
     return out.select("qid", "doc_id", ex.r6("recall").alias("recall"))
 
@@ -282,7 +286,7 @@ def _sweep(t):
         F.struct(F.lit(f"{kind}@{budget}").alias("config"), tx.signature(kind, budget).alias("signature"))
         for kind in tx.SIGNATURES for budget in (16, 37)
     ])
-    rows = rows.select("qid", "doc_id", "grade", "query", F.inline(configs))
+    rows = cut_lineage(rows.select("qid", "doc_id", "grade", "query", F.inline(configs)))
     rows = retrieval.with_signature_recall(rows, t.corpus, t.queries)
     kept = F.size(F.array_intersect(tx.tokens("query"), tx.tokens("signature"))).cast("double")
     scored = rows.select("config", "qid", "doc_id", "grade", "recall", kept.alias("score"))

@@ -16,6 +16,8 @@ def local_session(cores: int | None = None, partitions: int | None = None, name:
         .config("spark.sql.shuffle.partitions", str(partitions or n))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # small test data: keep one piece per core although the pieces hold few bytes
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("GRADELOOM_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
