@@ -101,6 +101,7 @@ def fit_temperature_map(records: DataFrame, min_samples: int = MIN_SAMPLES, grid
 
 
 def with_fallback(fits: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFrame:
+    fits = cut_lineage(fits)  # one row per bucket
     t_all = fits.filter(F.col("bucket") == GLOBAL).agg(F.max("t")).scalar()
     fitted = (F.col("n") >= min_samples) | (F.col("bucket") == GLOBAL)
     return fits.select(
@@ -153,7 +154,7 @@ def ece_by_bucket(pred: DataFrame, probs: str = "probs") -> DataFrame:
         F.array_max(p).alias("conf"),
         (ex.argmax0(p) == F.col("label")).cast("int").alias("correct"),
     )
-    bins = binned(rows, ["bucket"], "conf", "correct")
+    bins = cut_lineage(binned(rows, ["bucket"], "conf", "correct"))  # one row per bucket and bin
     sets = bins.rollup("bin", "bucket").agg(
         F.sum("n").alias("n"), F.sum("sum_p").alias("sum_p"), F.sum("sum_y").alias("sum_y"), F.grouping_id().alias("g")
     )
@@ -208,11 +209,12 @@ def with_intervals(rows: DataFrame, fit: DataFrame, alpha: float = 0.1) -> DataF
 
 def coverage_by_group(hits: DataFrame, alpha: float = 0.1, group: str = "grp") -> DataFrame:
     """Realised coverage per group and overall, with the worst group."""
-    r = hits.rollup(group).agg(
+    counted = hits.rollup(group).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(ex.share(F.col("covered")), 4).alias("coverage"),
         F.grouping(group).alias("_all"),
     )
+    r = cut_lineage(counted)  # one row per group
     worst = r.filter(F.col("_all") == 0).agg(F.min("coverage")).scalar()
     total = F.col("_all") == 1
     return r.select(

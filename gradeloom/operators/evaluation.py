@@ -258,6 +258,7 @@ def slice_report(pred: DataFrame, key: Column, n_bins: int = BINS) -> DataFrame:
         .withColumn("majority", F.col("top") / F.col("n"))
         .select("slice", "n", *[F.round(c, 4).alias(c) for c in ("accuracy", "majority", "ece", "brier", "aurc", "mean_conf")])
     )
+    out = cut_lineage(out)  # one row per slice
     worst = out.filter(F.col("slice") != ALL).agg(F.max("ece")).scalar()
     is_all = F.col("slice") == ALL
     return out.withColumn("worst_slice_ece", F.when(is_all, worst)).withColumn(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
@@ -20,16 +21,17 @@ def request_digest(backend: Column | str, query: Column | str, signatures: Colum
 
 
 def build_requests(targets: DataFrame, rubric: list[str], backend: str, cap: int = BATCH, rank: str = "contest_rank") -> DataFrame:
-    """One batched request per query: all its candidates in one state, ``c0..cn``.
+    """Batched requests: up to ``cap`` candidates of a query in one state, ``c0..cn``.
 
-    ``cap`` is the provider's batch size; candidates past it are not asked about.
+    ``rank`` is the candidate's 1-based place; those past the cap go into further batches,
+    so every candidate is asked about exactly once.
     """
     if not 2 <= len(rubric) <= 10:
         raise ValueError("a rubric has 2 to 10 levels")
     levels = F.array(*[F.lit(r) for r in rubric])
     rows = (
-        targets.filter(F.col(rank) <= cap)
-        .groupBy("qid", "query")
+        targets.withColumn("batch", F.floor((F.col(rank) - 1) / F.lit(cap)).cast("bigint"))
+        .groupBy("qid", "query", "batch")
         .agg(F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), "item_id", "text"))).alias("_c"))
     )
     texts = F.transform("_c", lambda x: x["text"])
@@ -51,6 +53,7 @@ def build_requests(targets: DataFrame, rubric: list[str], backend: str, cap: int
         request_digest(F.lit(backend), "query", texts, levels).alias("digest"),
         F.lit(backend).alias("backend"),
         "qid",
+        "batch",
         F.transform("_c", lambda x: x["item_id"]).alias("item_ids"),
         F.to_json(F.struct(state.alias("state"), questions.alias("questions"))).alias("payload"),
     )
@@ -62,6 +65,24 @@ def cache_lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
     return requests.join(cache, on), requests.join(cache.select(*on), on, "left_anti")
 
 
+def load_verdicts(spark: SparkSession, path: str, backend: str | None = None) -> DataFrame:
+    """The stored verdicts; naming a backend reads only its partition."""
+    rows = spark.read.parquet(path)
+    return rows if backend is None else rows.filter(F.col("backend") == backend)
+
+
+def store_verdicts(verdicts: DataFrame, path: str) -> None:
+    """Append verdicts (backend, digest, ...) to the cache, leaving out digests it holds."""
+    spark = verdicts.sparkSession
+    try:
+        known = load_verdicts(spark, path).select("backend", "digest")
+        verdicts = verdicts.join(known, ["backend", "digest"], "left_anti")
+    except AnalysisException as err:  # the first write
+        if "PATH_NOT_FOUND" not in str(err):
+            raise
+    verdicts.write.mode("append").partitionBy("backend").parquet(path)
+
+
 def require_complete(misses: DataFrame) -> None:
     """Read-only replay: fail when anything would have to be asked."""
     if not misses.isEmpty():

@@ -44,9 +44,9 @@ def improvement_over(points: DataFrame, baseline: str) -> DataFrame:
     """
     front = pareto(points)
     base = points.filter(F.col("name") == baseline).agg(
-        F.max("cost_per_1k").alias("c"), F.max("quality").alias("q"), F.count(F.lit(1)).alias("n")
-    )
-    bc, bq, n = (base.select(x).scalar() for x in ("c", "q", "n"))
+        F.struct(F.max("cost_per_1k").alias("c"), F.max("quality").alias("q"), F.count(F.lit(1)).alias("n"))
+    ).scalar()
+    bc, bq, n = base["c"], base["q"], base["n"]
     rows = front.filter("on_front").select("name", "cost_per_1k", "quality", bc.alias("_bc"), bq.alias("_bq"), n.alias("_n"))
     can = F.col("cost_per_1k") <= F.col("_bc")
     good = F.col("quality") >= F.col("_bq")

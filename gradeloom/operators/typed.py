@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
+from ..functions.lineage import cut_lineage
 
 TYPES = ("choice", "score", "noul")
 # fixed values: how the two answers of a yes/no question read by default
@@ -121,7 +122,7 @@ def label_report(rows: DataFrame) -> DataFrame:
         ("soft", F.col("soft_label").isNotNull().cast("string")),
         ("examples", "all"),
     )
-    counts = (
+    counts = cut_lineage(
         rows.select(F.inline(facts)).filter(F.col("key").isNotNull())
         .groupBy("section", "key").agg(F.count(F.lit(1)).alias("n"))
     )

@@ -141,9 +141,9 @@ def typed_split_counts(t):
 
 # ------------------------------------------------------------- judgement data
 _US = "chr(31)"
-cte("req_items", "SELECT p.qid, p.doc_id, p.first_rank, p.text FROM pool p WHERE first_rank<=30")
-cte("requests", f"""SELECT qid, 'panel' AS backend, n, substr(sha256('panel'||{_US}||'user '||qid||{_US}||sigs||{_US}||'{chr(31).join(RUBRIC)}'||{_US}),1,20) AS digest FROM (
-SELECT qid, count(*) AS n, string_agg(text, {_US} ORDER BY first_rank) AS sigs FROM req_items GROUP BY 1)""")
+cte("req_items", "SELECT p.qid, p.doc_id, p.first_rank, (p.first_rank-1)//30 AS batch, p.text FROM pool p")
+cte("requests", f"""SELECT qid, batch, 'panel' AS backend, n, substr(sha256('panel'||{_US}||'user '||qid||{_US}||sigs||{_US}||'{chr(31).join(RUBRIC)}'||{_US}),1,20) AS digest FROM (
+SELECT qid, batch, count(*) AS n, string_agg(text, {_US} ORDER BY first_rank) AS sigs FROM req_items GROUP BY 1,2)""")
 
 
 def _requests(t):
@@ -151,18 +151,18 @@ def _requests(t):
     return jd.build_requests(rows, RUBRIC, "panel", rank="first_rank")
 
 
-@query("request_digest", "SELECT qid, digest FROM requests")
+@query("request_digest", "SELECT qid, batch, digest FROM requests")
 def request_digest(t):
-    return _requests(t).select("qid", "digest")
+    return _requests(t).select("qid", "batch", "digest")
 
 
 _Q = "'{\"type\":\"score\",\"instructions\":{\"question\":\"How well does candidate c'||i||' answer the query?\",\"candidate_id\":\"c'||i||'\"},\"criteria\":[" + ",".join(f'\"{r}\"' for r in RUBRIC) + "]}'"
 
 
-@query("request_payloads", f"""SELECT qid, '{{"state":{{"query":"user '||qid||'","candidates":{{'||string_agg('"c'||i||'":'||to_json(text)::VARCHAR, ',' ORDER BY i)||'}}}},"questions":{{'||string_agg('"c'||i||'":'||{_Q}, ',' ORDER BY i)||'}}}}' AS payload
-FROM (SELECT *, first_rank-1 AS i FROM req_items) GROUP BY 1""")
+@query("request_payloads", f"""SELECT qid, batch, '{{"state":{{"query":"user '||qid||'","candidates":{{'||string_agg('"c'||i||'":'||to_json(text)::VARCHAR, ',' ORDER BY i)||'}}}},"questions":{{'||string_agg('"c'||i||'":'||{_Q}, ',' ORDER BY i)||'}}}}' AS payload
+FROM (SELECT *, (first_rank-1)%30 AS i FROM req_items) GROUP BY 1,2""")
 def request_payloads(t):
-    return _requests(t).select("qid", "payload")
+    return _requests(t).select("qid", "batch", "payload")
 
 
 cte("cached", f"SELECT backend, digest, n*0.00001::DOUBLE AS cost_usd FROM requests WHERE {q.u(111, 'digest')}<0.6")
@@ -193,11 +193,11 @@ def verdict_cache_stats(t):
 
 
 # stored responses: some miss a candidate, some carry an empty map, some name no cost
-cte("resp_items", """SELECT v.qid, v.item_id, level_probs, first_rank-1 AS pos, qid%5=1 AND first_rank=3 AS gone, qid%5=2 AND first_rank=2 AS hollow, count(*) OVER (PARTITION BY qid) AS n FROM verdicts v WHERE first_rank<=30""")
+cte("resp_items", """SELECT v.qid, v.item_id, level_probs, first_rank-1 AS pos, qid%5=1 AND first_rank=3 AS gone, qid%5=2 AND first_rank=2 AS hollow, count(*) OVER (PARTITION BY qid) AS n FROM verdicts v""")
 
 
 def _responses(t):
-    v = t.verdicts.filter(F.col("first_rank") <= 30).withColumn("pos", F.col("first_rank") - 1)
+    v = t.verdicts.withColumn("pos", F.col("first_rank") - 1)
     gone = (F.col("qid") % 5 == 1) & (F.col("first_rank") == 3)
     hollow = (F.col("qid") % 5 == 2) & (F.col("first_rank") == 2)
     dist = F.concat_ws(",", F.transform("level_probs", lambda x, i: F.concat(F.lit('"'), i.cast("string"), F.lit('":'), x.cast("decimal(8,6)").cast("string"))))
@@ -240,7 +240,7 @@ def answer_parse(t):
 
 def _hand(t):
     """Requests answered by hand: by grades, by level rows, wrongly, or not at all."""
-    rows = t.pool.filter(F.col("first_rank") <= 5).groupBy("qid").agg(
+    rows = t.pool.groupBy("qid").agg(
         F.sort_array(F.collect_list(F.struct("first_rank", "doc_id", "grade"))).alias("c")
     )
     req = rows.select(F.col("qid").alias("digest"), F.transform("c", lambda x: x["doc_id"]).alias("item_ids"))
@@ -255,7 +255,7 @@ def _hand(t):
     return req, resp
 
 
-cte("hand_items", "SELECT qid, doc_id AS item_id, grade, first_rank, qid%6 AS kind FROM pool WHERE first_rank<=5")
+cte("hand_items", "SELECT qid, doc_id AS item_id, grade, first_rank, qid%6 AS kind FROM pool")
 
 
 @query("hand_verdicts", f"""SELECT qid AS digest, item_id, kind=0 AS pending, CASE kind WHEN 3 THEN 'grade off the rubric' WHEN 4 THEN 'count mismatch' WHEN 5 THEN 'neither grades nor level_probs' END AS problem,

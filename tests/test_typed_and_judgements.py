@@ -114,6 +114,21 @@ def test_cache_replay(spark):
     jd.require_complete(jd.cache_lookup(req.filter("digest = 'd1'"), cache)[1])
 
 
+def test_stored_verdicts_grow_by_what_is_new(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = spark.createDataFrame([("b", "d1", 0.5), ("c", "d1", 0.1)], "backend string, digest string, cost_usd double")
+    jd.store_verdicts(rows, path)
+    jd.store_verdicts(rows.unionByName(rows.limit(1).withColumn("digest", F.lit("d2"))), path)
+    assert jd.load_verdicts(spark, path).count() == 3
+
+
+def test_every_candidate_is_asked_about(spark):
+    t = spark.range(1, 66).select(F.lit(1).alias("qid"), F.lit("q").alias("query"), F.col("id").alias("item_id"), F.col("id").alias("contest_rank"), F.lit("t").alias("text"))
+    r = jd.build_requests(t, ["no", "yes"], "b").collect()
+    assert sorted(len(x.item_ids) for x in r) == [5, 30, 30] and len({i for x in r for i in x.item_ids}) == 65
+    assert set(json.loads(r[0].payload)) == {"state", "questions"}
+
+
 def test_grades(spark):
     df = spark.range(1).select(
         jd.smooth_grade(F.lit(2)).alias("p"), jd.smooth_grade(F.lit(4)).alias("off"),
