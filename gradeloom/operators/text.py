@@ -173,9 +173,16 @@ def best_windows(
         .join(weights.select("term").distinct(), "term", "left_semi")
     )
     wanted = pairs.select("qid", "doc_id").join(weights.select("qid", "term", "weight"), "qid")
-    hits = placed.join(wanted, ["doc_id", "term"]).groupBy("qid", "doc_id", "_n", "_pos").agg(
-        F.max("weight").alias("weight")
+    # one shuffle by pair serves the words, the stretches and the windows that follow
+    hits = (
+        placed.join(wanted, ["doc_id", "term"])
+        .repartition("qid", "doc_id")
+        .groupBy("qid", "doc_id", "_n", "_pos")
+        .agg(F.max("weight").alias("weight"))
     )
+    if window % stride == 0:  # windows are made of whole stretches of ``stride`` words
+        stretch = (F.floor(F.col("_pos") / stride) * stride).cast("int")
+        hits = hits.groupBy("qid", "doc_id", "_n", stretch.alias("_pos")).agg(F.sum("weight").alias("weight"))
     first = F.greatest(F.ceil((F.col("_pos") - (window - 1)) / stride), F.lit(0))
     last = F.least(F.floor(F.col("_pos") / stride), F.floor((F.col("_n") - window) / stride))
     mass = (
