@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import col, strip
+from ..functions.lineage import cut_lineage
 
 # fixed values: the token pattern and the stop list
 TOKEN = "[a-z0-9]+"
@@ -164,6 +165,7 @@ def best_windows(
     only the words that hit a query term travel on; a hit adds to the few windows that
     cover it, so neither long documents nor many windows per document are ever gathered.
     """
+    weights = cut_lineage(weights)  # as many rows as the queries have terms; read twice
     named = corpus.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     placed = (
         named.select("doc_id", words("text").alias("_w"))
