@@ -200,9 +200,9 @@ def best_windows(
     start = F.coalesce("_start", F.lit(0)).cast("int") + 1
     return (
         pairs.join(best, ["qid", "doc_id"], "left")
-        .join(corpus, "doc_id")
-        .withColumn(out, F.array_join(F.slice(words("text"), start, F.lit(window)), " "))
-        .drop("_start")
+        .join(corpus.withColumn("_w", words("text")), "doc_id")  # split once per document
+        .withColumn(out, F.array_join(F.slice("_w", start, F.lit(window)), " "))
+        .drop("_start", "_w")
     )
 
 
