@@ -1,18 +1,20 @@
 """Byte-level BPE encoding and decoding over a global shuffle of distinct words.
 
-1. Every text is split by the vocabulary's pattern; all documents of a block (an Arrow batch)
-   share one list of distinct pre-tokens, and a document becomes its sequence of positions in
-   that list.
+1. Every text is split by the vocabulary's pattern, once. All documents of a block (an Arrow
+   batch) share one list of distinct pre-tokens; a document becomes its sequence of places in
+   that list, ordered by frequency so that places are small. The sequences stay where they are
+   made: one file per block in the shared folder.
 2. The distinct pre-tokens of a block go to ``BUCKETS`` word buckets by hash. A bucket meets in
    one task, which encodes each distinct word once, whatever the number of blocks that hold it.
    A word occurs once per block at most, so no word is hot.
-3. Ids travel back to their block and are put in place of the positions. Decoding looks each id
-   of a word up in the token-byte table (50,256 rows, fixed by the vocabulary).
+3. The ids travel back to their block, whose file is opened where they meet, and are put in place
+   of the places. Decoding looks the ids up in the token-byte table (50,256 rows, fixed by the
+   vocabulary).
 
-Only the word lists and the position sequences are shuffled, both packed, never the texts.
-
-Splitting is done twice (once for the words, once for the positions) rather than stored between:
-both passes read the same rows in the same batches and give the same lists.
+Only distinct words and their ids are shuffled, packed, never texts or sequences. A task holds
+one block. A block's name is taken from its words and every word is counted back in, so a task
+that is repeated on other rows (an input whose order is not stable) ends in an error, not in
+wrong ids; its file carries the attempt's name and is read only through the row that names it.
 
 Defined cases: a NULL text is empty; no ids have the digest of nothing; repeated rows and NULL
 ids are encoded like any other row; other columns are ignored; an empty table gives an empty
@@ -21,20 +23,21 @@ result.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.fs as pafs
 import regex
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import scratch
 
 BUCKETS = 1024
 #: A block ends with the text that takes it over this many characters.
@@ -71,129 +74,176 @@ def _unpack_words(packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[np.ndarray], list[list[bytes]]]]:
-    """(block, doc ids, positions per document, words per bucket); positions count through the buckets in order."""
-    count = 0
-    for batch in batches:
-        doc_ids, places, seqs, chars = [], _Places(), [], 0
-        for k, (doc_id, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"])):
-            words = SPLIT.findall(text.as_py() or "")
-            seqs.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
-            doc_ids.append(doc_id)
-            chars += len(text.as_py() or "")
-            if chars > BLOCK_CHARS or k + 1 == batch.num_rows:
-                words = [w.encode() for w in places]
-                bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int64)
-                order = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
-                where = np.empty(len(words), np.uint32)
-                where[order] = np.arange(len(words), dtype=np.uint32)
-                lists = [[] for _ in range(BUCKETS)]
-                for i in order:
-                    lists[bucket[i]].append(words[i])
-                yield TaskContext.get().partitionId() << 32 | count, doc_ids, [where[s] for s in seqs], lists
-                count += 1
-                doc_ids, places, seqs, chars = [], _Places(), [], 0
+class Block:
+    """Documents that share a list of words."""
+
+    def __init__(self):
+        self.doc_ids, self.seqs, self.places, self.chars = [], [], _Places(), 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        words = SPLIT.findall(text)
+        self.doc_ids.append(doc_id)
+        self.seqs.append(np.fromiter(map(self.places.__getitem__, words), np.uint32, len(words)))
+        self.chars += len(text)
+
+    def by_frequency(self) -> list[str]:
+        """The words, most frequent first; sequences are renumbered to that order."""
+        words = list(self.places)
+        count = np.bincount(np.concatenate(self.seqs), minlength=len(words))
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        self.seqs = [rank[s] for s in self.seqs]
+        return [words[i] for i in order.tolist()]
+
+    def write(self, folder: str, name: str) -> str:
+        fs, path = pafs.FileSystem.from_uri(f"{folder}/{name}")
+        with fs.open_output_stream(path) as sink, pa.ipc.new_stream(sink, SEQUENCES) as out:
+            for lo in range(0, len(self.seqs), 256):
+                packed = [_planes(s) for s in self.seqs[lo:lo + 256]]
+                out.write_batch(pa.record_batch([pa.array(self.doc_ids[lo:lo + 256], pa.int64()), pa.array(packed, pa.binary())], schema=SEQUENCES))
+        return name
 
 
 def _arrow(columns: dict, kinds: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in kinds.items()], names=list(kinds))
 
 
-WORD_ROWS = {"block": pa.int64(), "bucket": pa.int32(), "packed": pa.binary()}
+SEQUENCES = pa.schema({"doc_id": pa.int64(), "packed": pa.binary()})
+WORD_ROWS = {"block": pa.int64(), "words_in_block": pa.int32(), "file": pa.string(), "bucket": pa.int32(), "places": pa.binary(), "packed": pa.binary()}
+WORD_SCHEMA = "block long, words_in_block int, file string, bucket int, places binary, packed binary"
 
 
-def block_words(docs: DataFrame) -> DataFrame:
-    """(block, bucket, packed): the distinct pre-tokens of a block that fall in a bucket."""
+def block_words(docs: DataFrame, folder: str) -> DataFrame:
+    """Per block and word bucket, the words with their places; the sequences go to the block's file."""
     def run(batches):
-        for block, _, _, lists in _blocks(batches):
-            full = [b for b in range(BUCKETS) if lists[b]]
-            yield _arrow({"block": [block] * len(full), "bucket": full, "packed": [_pack_words(lists[b]) for b in full]}, WORD_ROWS)
+        task = TaskContext.get()
+        made = 0
+
+        def rows(block: Block) -> pa.RecordBatch:
+            words = [w.encode() for w in block.by_frequency()]
+            lists = [([], []) for _ in range(BUCKETS)]
+            for place, word in enumerate(words):
+                at = lists[zlib.crc32(word) % BUCKETS]
+                at[0].append(place)
+                at[1].append(word)
+            full = [b for b in range(BUCKETS) if lists[b][1]] or [0]  # a block without words has a row too
+            packed = [_pack_words(lists[b][1]) for b in full]
+            name = xxhash.xxh64_intdigest(b"".join(packed), task.partitionId() << 20 | made) - (1 << 63)
+            file = block.write(folder, f"{task.partitionId()}-{made}-{task.taskAttemptId()}.arrows")
+            n = len(full)
+            return _arrow({"block": [name] * n, "words_in_block": [len(words)] * n, "file": [file] * n, "bucket": full,
+                           "places": [_planes(np.array(lists[b][0], np.uint32)) for b in full], "packed": packed}, WORD_ROWS)
+
+        for batch in batches:
+            block = Block()
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                block.add(doc_id, text.as_py() or "")
+                if block.chars > BLOCK_CHARS:
+                    yield rows(block)
+                    made, block = made + 1, Block()
+            if block.doc_ids:
+                yield rows(block)
+                made += 1
 
-    return docs.mapInArrow(run, "block long, bucket int, packed binary")
+    return docs.mapInArrow(run, WORD_SCHEMA)
 
 
 def encode_words(words: DataFrame, vocabulary: str = tokens.RANKS) -> DataFrame:
-    """(block, bucket, packed): in place of each word the number of its ids, then all ids."""
+    """The same rows; ``packed`` now holds the number of words, the number of ids of each, and all ids."""
     def run(batches):
         bpe, known, bucket_now = tokens.encoder(vocabulary), {}, None
         for batch in batches:
             out = []
-            for bucket, packed in zip(batch["bucket"].to_pylist(), batch["packed"].to_pylist()):
+            for bucket, packed in zip(batch["bucket"].to_pylist(), batch["packed"]):
                 if bucket != bucket_now:  # rows come bucket by bucket: a word of an earlier one does not return
                     known, bucket_now = {}, bucket
                 listed = []
-                for word in _unpack_words(packed):
+                for word in _unpack_words(packed.as_py()):
                     ids = known.get(word)
                     if ids is None:
                         ids = known[word] = bpe.encode_ordinary(word.decode())
                     listed.append(ids)
                 flat = [len(listed), *map(len, listed), *(i for ids in listed for i in ids)]
                 out.append(_planes(np.array(flat, np.uint32)))
-            yield _arrow({"block": batch["block"], "bucket": batch["bucket"], "packed": out}, WORD_ROWS)
+            yield _arrow({c: batch[c] for c in WORD_ROWS} | {"packed": out}, WORD_ROWS)
 
-    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket int, packed binary")
+    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, WORD_SCHEMA)
 
 
-PLACED = {"block": pa.int64(), "bucket": pa.int32(), "doc_id": pa.int64(), "packed": pa.binary()}
+def _gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    n = count[seq].astype(np.int64)
+    return flat[np.repeat(start[seq] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
-def block_positions(docs: DataFrame) -> DataFrame:
-    """(block, bucket, doc_id, packed): a document's positions; bucket is past all word buckets."""
-    def run(batches):
-        for block, doc_ids, seqs, _ in _blocks(batches):
-            n = len(doc_ids)
-            yield _arrow({"block": [block] * n, "bucket": [BUCKETS] * n, "doc_id": doc_ids, "packed": [_planes(s) for s in seqs]}, PLACED)
+class Dictionary:
+    """Ids and bytes of a block's words by place."""
 
-    return docs.mapInArrow(run, "block long, bucket int, doc_id long, packed binary")
+    def __init__(self, rows: list[tuple[bytes, bytes]], words: int, table: list[bytes]):
+        places, counts, ids = [], [], []
+        for where, packed in rows:
+            numbers = _numbers(packed)
+            n = int(numbers[0])
+            places.append(_numbers(where))
+            counts.append(numbers[1:n + 1])
+            ids.append(numbers[n + 1:])
+        places, counts = np.concatenate(places), np.concatenate(counts)
+        if len(places) != words:
+            raise RuntimeError("a block met the words of another: the input's rows changed between attempts of a task")
+        self.flat, ends = np.concatenate(ids), np.cumsum(counts, dtype=np.int64)
+        self.count, self.start, self.words = np.zeros(words, np.uint32), np.zeros(words, np.int64), [b""] * words
+        self.count[places], self.start[places] = counts, ends - counts
+        pieces = [table[i] for i in self.flat.tolist()]
+        for place, lo, hi in zip(places.tolist(), (ends - counts).tolist(), ends.tolist()):
+            self.words[place] = b"".join(pieces[lo:hi])
 
+    def encode(self, seq: np.ndarray) -> bytes:
+        return _gather(self.flat, self.start, self.count, seq).astype("<u4").tobytes()
 
-def _gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray, seq: np.ndarray) -> np.ndarray:
-    n = count[seq].astype(np.int64)
-    return flat[np.repeat(start[seq] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    def decode(self, seq: np.ndarray) -> bytes:
+        return b"".join(map(self.words.__getitem__, seq.tolist()))
 
 
-def reassemble(encoded: DataFrame, placed: DataFrame, vocabulary: str = tokens.RANKS) -> DataFrame:
+def reassemble(encoded: DataFrame, folder: str, vocabulary: str = tokens.RANKS) -> DataFrame:
     """(doc_id, ids, decoded) per document, ids as little-endian unsigned 32-bit integers."""
-    rows = encoded.select("block", "bucket", F.lit(None).cast("long").alias("doc_id"), "packed").union(placed)
-    out_kinds = {"doc_id": pa.int64(), "ids": pa.binary(), "decoded": pa.binary()}
+    kinds = {"doc_id": pa.int64(), "ids": pa.binary(), "decoded": pa.binary()}
+
+    def documents(file: str, found: Dictionary):
+        fs, path = pafs.FileSystem.from_uri(f"{folder}/{file}")
+        with fs.open_input_stream(path) as source, pa.ipc.open_stream(source) as stored:
+            for batch in stored:
+                out, size = {c: [] for c in kinds}, 0
+                for doc_id, packed in zip(batch["doc_id"].to_pylist(), batch["packed"]):
+                    seq = _numbers(packed.as_py())
+                    for c, value in zip(kinds, (doc_id, found.encode(seq), found.decode(seq))):
+                        out[c].append(value)
+                    size += len(out["ids"][-1])
+                    if size > 1 << 24:
+                        yield _arrow(out, kinds)
+                        out, size = {c: [] for c in kinds}, 0
+                if out["doc_id"]:
+                    yield _arrow(out, kinds)
 
     def run(batches):
-        table, block_now, counts, ids, words = tokens.token_bytes(vocabulary), None, [], [], None
+        table, now, rows = tokens.token_bytes(vocabulary), None, []
         for batch in batches:
-            out = {"doc_id": [], "ids": [], "decoded": []}
-            size = 0
-            for block, bucket, doc_id, packed in zip(*(batch[c].to_pylist() for c in PLACED)):
-                if block != block_now:
-                    block_now, counts, ids, words = block, [], [], None
-                numbers = _numbers(packed)
-                if bucket < BUCKETS:
-                    n = int(numbers[0])
-                    counts.append(numbers[1:n + 1])
-                    ids.append(numbers[n + 1:])
-                    continue
-                if words is None:  # the block's word rows, in bucket order, came before its documents
-                    count = np.concatenate(counts) if counts else np.empty(0, np.uint32)
-                    flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-                    start = np.cumsum(count, dtype=np.int64) - count
-                    pieces = [table[i] for i in flat.tolist()]
-                    words = [b"".join(pieces[a:a + n]) for a, n in zip(start.tolist(), count.tolist())]
-                out["doc_id"].append(doc_id)
-                out["ids"].append(_gather(flat, start, count, numbers).astype("<u4").tobytes())
-                out["decoded"].append(b"".join(map(words.__getitem__, numbers.tolist())))
-                size += len(out["ids"][-1])
-                if size > 1 << 24:
-                    yield _arrow(out, out_kinds)
-                    out, size = {"doc_id": [], "ids": [], "decoded": []}, 0
-            if out["doc_id"]:
-                yield _arrow(out, out_kinds)
-
-    return rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+            for block, words, file, where, packed in zip(*(batch[c].to_pylist() for c in ("block", "words_in_block", "file", "places", "packed"))):
+                if now and block != now[0]:
+                    yield from documents(now[2], Dictionary(rows, now[1], table))
+                    rows = []
+                now = block, words, file
+                rows.append((where, packed))
+        if now:
+            yield from documents(now[2], Dictionary(rows, now[1], table))
+
+    return encoded.repartition("block").sortWithinPartitions("block").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = tokens.RANKS) -> DataFrame:
     """(doc_id, ids, decoded) for every row of ``docs``."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    return reassemble(encode_words(block_words(texts), vocabulary), block_positions(texts), vocabulary)
+    folder = scratch(docs.sparkSession, "bpe")
+    words = block_words(docs.select(F.col("doc_id").cast("long"), "text"), folder)
+    return reassemble(encode_words(words, vocabulary), folder, vocabulary)
 
 
 def op8(docs: DataFrame) -> DataFrame:

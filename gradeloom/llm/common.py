@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.lineage import shared_folder
+
 #: Words everywhere in this package: runs of anything but space, tab, line feed, VT, FF and CR.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -35,3 +40,18 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
                      for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for one job under the shared folder, removed when the driver ends."""
+    at = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, path = pafs.FileSystem.from_uri(at)
+    fs.create_dir(path, recursive=True)
+    atexit.register(_remove, at)
+    return at
+
+
+def _remove(at: str) -> None:
+    fs, path = pafs.FileSystem.from_uri(at)
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)
