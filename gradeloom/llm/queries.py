@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .common import table
-from . import bpe, packing, simhash
+from . import bpe, packing, quality, simhash
 
 QUERIES = {
     "op2_simhash": lambda spark, sf: simhash.op2(table(spark, sf, "documents")),
+    "op5_quality": lambda spark, sf: quality.op5(table(spark, sf, "documents")),
     "op6_packing": lambda spark, sf: packing.pack_documents(table(spark, sf, "documents")),
     "op8_bpe": lambda spark, sf: bpe.op8(table(spark, sf, "documents")),
 }
