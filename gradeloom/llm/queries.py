@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .common import table
-from . import bpe, language, packing, quality, simhash
+from . import bpe, language, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op2_simhash": lambda spark, sf: simhash.op2(table(spark, sf, "documents")),
+    "op3_toxicity": lambda spark, sf: toxicity.op3(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op4_language": lambda spark, sf: language.op4(table(spark, sf, "documents")),
     "op5_quality": lambda spark, sf: quality.op5(table(spark, sf, "documents")),
     "op6_packing": lambda spark, sf: packing.pack_documents(table(spark, sf, "documents")),
