@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .common import table
-from . import bpe, language, packing, quality, simhash, toxicity
+from . import bpe, chat, language, packing, pii, quality, simhash, toxicity
 
 QUERIES = {
+    "op1_pii": lambda spark, sf: pii.op1(table(spark, sf, "documents")),
     "op2_simhash": lambda spark, sf: simhash.op2(table(spark, sf, "documents")),
     "op3_toxicity": lambda spark, sf: toxicity.op3(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op4_language": lambda spark, sf: language.op4(table(spark, sf, "documents")),
     "op5_quality": lambda spark, sf: quality.op5(table(spark, sf, "documents")),
     "op6_packing": lambda spark, sf: packing.pack_documents(table(spark, sf, "documents")),
     "op8_bpe": lambda spark, sf: bpe.op8(table(spark, sf, "documents")),
+    "op9_chat": lambda spark, sf: chat.op9(table(spark, sf, "conversations")),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_chat": chat.oracle(),
+}
