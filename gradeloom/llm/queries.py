@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import bpe, chat, language, packing, pii, quality, simhash, toxicity
+from . import bpe, chat, language, packing, pii, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_pii": lambda spark, sf: pii.op1(table(spark, sf, "documents")),
@@ -14,8 +14,10 @@ QUERIES = {
     "op6_packing": lambda spark, sf: packing.pack_documents(table(spark, sf, "documents")),
     "op8_bpe": lambda spark, sf: bpe.op8(table(spark, sf, "documents")),
     "op9_chat": lambda spark, sf: chat.op9(table(spark, sf, "conversations")),
+    "op10_warc": lambda spark, sf: warc.op10(table(spark, sf, "pages")),
 }
 
 ORACLE: dict[str, str] = {
     "op9_chat": chat.oracle(),
+    "op10_warc": warc.oracle(),
 }
