@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import bpe, chat, language, packing, pii, quality, simhash, toxicity, warc
+from . import ann, bpe, chat, language, packing, pii, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_pii": lambda spark, sf: pii.op1(table(spark, sf, "documents")),
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_language": lambda spark, sf: language.op4(table(spark, sf, "documents")),
     "op5_quality": lambda spark, sf: quality.op5(table(spark, sf, "documents")),
     "op6_packing": lambda spark, sf: packing.pack_documents(table(spark, sf, "documents")),
+    "op7_ann": lambda spark, sf: ann.op7(table(spark, sf, "embeddings")),
     "op8_bpe": lambda spark, sf: bpe.op8(table(spark, sf, "documents")),
     "op9_chat": lambda spark, sf: chat.op9(table(spark, sf, "conversations")),
     "op10_warc": lambda spark, sf: warc.op10(table(spark, sf, "pages")),
