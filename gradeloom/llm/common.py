@@ -55,3 +55,14 @@ def _remove(at: str) -> None:
     fs, path = pafs.FileSystem.from_uri(at)
     if fs.get_file_info(path).type == pafs.FileType.Directory:
         fs.delete_dir(path)
+
+
+def keep_rows(df: DataFrame, wanted: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """The rows of ``df`` that ``wanted`` marks, all columns as they are."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        kept = batch.filter(pa.array(wanted(batch), pa.bool_()))
+        return {name: kept.column(k) for k, name in enumerate(kept.schema.names)}
+
+    return per_batch(df, run, schema)

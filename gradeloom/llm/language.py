@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import keep_rows, per_batch
 
 PROFILE = 300
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
+#: Texts further from every profile than this are in none of the languages.
+MIN_SCORE = 0.1
 #: Code points handled at once in a long text.
 STRETCH = 1 << 19
 SPACE = 32
@@ -143,6 +145,17 @@ def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]]) -> DataFrame
     return per_batch(docs, run, f"{schema}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, profiles: list[tuple[str, list[int]]], min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text is in one of the languages; ``und`` and scores below ``min_score`` are rejected."""
+    model = RankOrder(profiles)
+
+    def wanted(batch: pa.RecordBatch) -> list[bool]:
+        made = (model.predict(t.as_py()) for t in batch["text"])
+        return [lang != UNKNOWN and score >= min_score for lang, score in made]
+
+    return keep_rows(docs, wanted)
+
+
 def op4(docs: DataFrame) -> DataFrame:
     """Every document's language; documents whose crc32(doc_id) mod 4 is 2 are held out of training."""
     held_out = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2).alias("held_out")

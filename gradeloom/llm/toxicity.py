@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
-from .common import per_batch
+from .common import keep_rows, per_batch
 
 FIT_ROWS = 10_000
 MAX_FEATURES = 256
@@ -227,6 +227,11 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     return per_batch(docs, run, f"{schema}, severity double, grade int, p_toxic double, toxic boolean")
 
 
+def clean(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+    """The rows of ``docs`` that are not toxic."""
+    return keep_rows(docs, lambda batch: [bool(model.above(t.as_py())[0] < TOXIC_AT) for t in batch["text"]])
+
+
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Expected severity (0 to 3) and its parts for every document."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
