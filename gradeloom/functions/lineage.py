@@ -36,17 +36,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-BROADCAST_ROWS = 500_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Write the rows, count them, and mark them for broadcast only when they are few.
-
-    A side that is larger stays a plain table and joins by shuffle; the flag tells which.
-    """
-    from pyspark.sql import functions as F
-
-    made = cut_lineage(df)
-    small = made.count() <= max_rows
-    return (F.broadcast(made) if small else made), small

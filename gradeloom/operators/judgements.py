@@ -59,10 +59,17 @@ def build_requests(targets: DataFrame, rubric: list[str], backend: str, cap: int
     )
 
 
+def _distinct_entries(cache: DataFrame) -> DataFrame:
+    """One stored verdict per backend and digest: the one with the lowest cost, NULL costs last."""
+    rest = [c for c in cache.columns if c not in ("backend", "digest")]
+    first = F.min_by(F.struct(*rest), F.struct(F.col("cost_usd").isNull(), "cost_usd")) if "cost_usd" in rest else F.first(F.struct(*rest))
+    return cache.groupBy("backend", "digest").agg(first.alias("_v")).select("backend", "digest", "_v.*")
+
+
 def cache_lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits with the stored verdict, misses to be asked), by backend and digest."""
+    """(hits with the stored verdict, misses to be asked), by backend and digest; a digest stored twice hits once."""
     on = ["backend", "digest"]
-    return requests.join(cache, on), requests.join(cache.select(*on), on, "left_anti")
+    return requests.join(_distinct_entries(cache), on), requests.join(cache.select(*on), on, "left_anti")
 
 
 def load_verdicts(spark: SparkSession, path: str, backend: str | None = None) -> DataFrame:
@@ -72,8 +79,9 @@ def load_verdicts(spark: SparkSession, path: str, backend: str | None = None) ->
 
 
 def store_verdicts(verdicts: DataFrame, path: str) -> None:
-    """Append verdicts (backend, digest, ...) to the cache, leaving out digests it holds."""
+    """Append verdicts (backend, digest, ...) to the cache, one per digest, leaving out digests it holds."""
     spark = verdicts.sparkSession
+    verdicts = verdicts.dropDuplicates(["backend", "digest"])
     try:
         known = load_verdicts(spark, path).select("backend", "digest")
         verdicts = verdicts.join(known, ["backend", "digest"], "left_anti")
@@ -90,14 +98,18 @@ def require_complete(misses: DataFrame) -> None:
 
 
 def cache_stats(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Per backend: hits, misses, hit rate and the spend of asked and saved calls."""
-    j = requests.select("backend", "digest").join(
-        cache.select("backend", "digest", F.col("cost_usd").alias("_c")), ["backend", "digest"], "left"
-    )
+    """Per backend: hits, misses, hit rate and the spend of saved calls.
+
+    A request is a hit when its digest is stored, with a cost or without, and counts once
+    however often it is stored.
+    """
+    stored = cache.groupBy("backend", "digest").agg(F.min("cost_usd").alias("_c"), F.lit(True).alias("_held"))
+    j = requests.select("backend", "digest").join(stored, ["backend", "digest"], "left")
+    held = F.coalesce("_held", F.lit(False))
     return j.groupBy("backend").agg(
-        F.count_if(F.col("_c").isNotNull()).alias("hits"),
-        F.count_if(F.col("_c").isNull()).alias("misses"),
-        ex.share(F.col("_c").isNotNull()).alias("hit_rate"),
+        F.count_if(held).alias("hits"),
+        F.count_if(~held).alias("misses"),
+        ex.share(held).alias("hit_rate"),
         F.coalesce(F.sum("_c"), F.lit(0.0)).alias("saved_usd"),
     )
 

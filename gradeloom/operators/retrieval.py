@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_corr
-from ..functions.lineage import broadcast_if_small, cut_lineage
+from ..functions.lineage import cut_lineage
 from ..sources.collections import full_text
 from . import text as tx
 from .evaluation import ndcg
@@ -43,8 +43,7 @@ def bm25_search(
     """Search without a stored index: one pass over the texts, and only tokens of the query
     vocabulary are shuffled.
 
-    The weighted query terms are broadcast while they are few (counted), so that scores are
-    added up where a document's tokens lie; a larger query set joins by shuffle.
+    How the weighted query terms meet them is left to Spark's byte threshold and AQE.
     """
     asked = query_terms(queries)
     # every document keeps one marker row, so that lengths and counts need no second pass
@@ -65,13 +64,11 @@ def bm25_search(
         .agg(F.count(F.lit(1)).alias("df"))
         .select("term", tx.idf(n_docs, F.col("df")).alias("idf"))
     )
-    wanted, small = broadcast_if_small(asked.join(idf, "term"))
+    wanted = asked.join(idf, "term")
     weight = tx.doc_weight(F.col("tf"), F.col("dl"), avgdl, k1, b)
     weighted = hits.filter(F.col("term") != marker).select("doc_id", "term", weight.alias("w"))
-    # with all of a document's terms in one place, its scores need no shuffle of their own
     scored = (
-        (weighted.repartition("doc_id") if small else weighted)
-        .join(wanted, "term")
+        weighted.join(wanted, "term")
         .groupBy("qid", "doc_id")
         .agg(F.round(F.sum(F.col("w") * F.col("idf") * F.col("qtf")), SCORE_DIGITS).alias("score"))
     )

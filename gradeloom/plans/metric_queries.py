@@ -11,10 +11,10 @@ from .registry import cte, query
 
 # ------------------------------------------------------------ ranking metrics
 cte("sys_top", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY system, qid ORDER BY score DESC, doc_id) AS rank FROM system_scores) WHERE rank<=10")
-cte("pool_ideal", "SELECT qid, sum((2.0**grade-1)/log2(r+1)) AS idcg FROM (SELECT qid, grade, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc_id) AS r FROM pool) WHERE r<=10 GROUP BY 1")
+cte("pool_ideal", "SELECT qid, sum((2.0**grade-1)/log2(r+1)) AS idcg FROM (SELECT qid, grade, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc_id) AS r FROM candidates) WHERE r<=10 GROUP BY 1")
 cte("sys_metrics", """SELECT system, qid, coalesce(CASE WHEN idcg>0 THEN dcg/idcg END,0.0) AS ndcg, coalesce(hits::DOUBLE/nullif(total,0),0.0) AS recall, coalesce(1.0/first,0.0) AS mrr FROM (
 SELECT system, qid, sum((2.0**grade-1)/log2(rank+1)) AS dcg, sum((grade>=1)::INT) AS hits, min(CASE WHEN grade>=2 THEN rank END) AS first FROM sys_top GROUP BY 1,2)
-JOIN pool_ideal USING (qid) JOIN (SELECT qid, sum((grade>=1)::INT) AS total FROM pool GROUP BY 1) USING (qid)""")
+JOIN pool_ideal USING (qid) JOIN (SELECT qid, sum((grade>=1)::INT) AS total FROM candidates GROUP BY 1) USING (qid)""")
 
 
 def _one(t, system="first"):

@@ -1,7 +1,7 @@
 """Tables derived from the driver tables, and the same derivations as SQL.
 
 No table is cut: pools are the first ``DEPTH`` candidates of a first stage, which is what a
-first stage returns.
+first stage returns, and what has no first stage reads all candidates.
 """
 
 from __future__ import annotations
@@ -45,11 +45,28 @@ class Tables:
 
     @cached_property
     def qrels_raw(self) -> DataFrame:
-        """Grades from the overlap of distinct tokens; only judged pairs are listed."""
+        """Grades from the overlap of distinct tokens; only judged pairs are listed.
+
+        A judged pair shares at least half of the query's n tokens, so the document holds one of
+        the query's n - ceil(n / 2) + 1 rarest tokens. Documents are looked up by these, rarest
+        first, and the overlap is counted for the pairs so found only.
+        """
         asked = self.queries.select("qid", F.array_distinct(tx.raw_tokens("text")).alias("t"))
-        qt = asked.select("qid", F.size("t").alias("n"), F.explode("t").alias("term"))
-        dt = self.corpus.select("doc_id", F.explode(F.array_distinct(tx.raw_tokens("text"))).alias("term"))
-        c = dt.join(qt, "term").groupBy("qid", "doc_id", "n").agg(F.count(F.lit(1)).alias("c"))
+        qt = asked.select("qid", "t", F.size("t").alias("n"), F.explode("t").alias("term"))
+        held = cut_lineage(
+            self.corpus.select("doc_id", F.explode(F.array_distinct(tx.raw_tokens("text"))).alias("term"))
+            .join(qt.select("term").distinct(), "term", "left_semi")
+        )
+        df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        rarest = Window.partitionBy("qid").orderBy(F.coalesce("df", F.lit(0)), "term")  # a query's own tokens
+        prefix = (
+            qt.join(df, "term", "left").withColumn("_r", F.row_number().over(rarest))
+            .filter(F.col("_r") <= F.col("n") - F.ceil(F.col("n") / 2) + 1)
+        )
+        found = held.join(prefix.select("qid", "term"), "term").select("qid", "doc_id").distinct()
+        own = held.groupBy("doc_id").agg(F.collect_set("term").alias("_own"))  # at most the queries' tokens
+        c = found.join(own, "doc_id").join(asked, "qid").select(
+            "qid", "doc_id", F.size("t").alias("n"), F.size(F.array_intersect("_own", "t")).alias("c"))
         flip = (F.col("qid") + F.col("doc_id")) % 7 == 0
         grade = (
             F.when(100 * F.col("c") >= 99 * F.col("n"), 2)
@@ -73,7 +90,8 @@ class Tables:
 
     # ----------------------------------------------------------- event pools
     @cached_property
-    def pool(self) -> DataFrame:
+    def candidates(self) -> DataFrame:
+        """Every event as a candidate of its user's query, with its first-stage rank."""
         grade = F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "click", 2).when(
             F.col("event_type") == "view", 1
         ).otherwise(0)
@@ -89,13 +107,17 @@ class Tables:
         w = Window.partitionBy("qid").orderBy(F.col("first_score").desc(), "doc_id")
         return (
             e.withColumn("first_rank", F.row_number().over(w).cast("bigint"))
-            .filter(F.col("first_rank") <= DEPTH)
             .select("qid", "doc_id", "grade", "l", "first_score", "first_rank", "text")
         )
 
+    @cached_property
+    def pool(self) -> DataFrame:
+        """What a first stage hands on: the first ``DEPTH`` candidates."""
+        return self.candidates.filter(F.col("first_rank") <= DEPTH)
+
     @cached_property
     def pool_qrels(self) -> DataFrame:
-        return self.pool.select("qid", "doc_id", "grade")
+        return self.candidates.select("qid", "doc_id", "grade")
 
     def dealt(self, stratify: bool = True, n_anchors: int = 4) -> DataFrame:
         return slates.deal(self.pool, 10, n_anchors, stratify)
@@ -130,13 +152,13 @@ class Tables:
 
     @cached_property
     def verdicts(self) -> DataFrame:
-        """Level probabilities of a judge for every pool row."""
+        """Level probabilities of a judge for every candidate."""
         raw = F.transform(
             F.sequence(F.lit(0), F.lit(3)),
             lambda i: F.exp(-F.pow((i - F.col("grade")).cast("double"), F.lit(2.0)) / 2.0)
             * (0.5 + ex.uniform(4, "qid", "doc_id", i)),
         )
-        p = self.pool.select("qid", F.col("doc_id").alias("item_id"), "grade", "first_rank", "l", ex.normalise(raw).alias("_p"))
+        p = self.candidates.select("qid", F.col("doc_id").alias("item_id"), "grade", "first_rank", "l", ex.normalise(raw).alias("_p"))
         p = p.withColumn("level_probs", F.transform("_p", lambda x: F.round(x, 6)))
         cost = F.when(F.col("item_id") % 4 != 0, F.lit(250 * 0.042 / 1e6))
         return p.select(
@@ -147,14 +169,14 @@ class Tables:
 
     @cached_property
     def system_scores(self) -> DataFrame:
-        """Three systems on the same pools, with a probability of relevance each."""
+        """Three systems on the same candidates, with a probability of relevance each."""
         s = ex.variants(
             ("system", "score"),
             ("first", F.col("first_score")),
             ("latent", F.col("l")),
             ("chance", F.round(4.0 * ex.uniform(5, "qid", "doc_id") - 2.0, 6)),
         )
-        rows = self.pool.select("qid", "doc_id", "grade", F.inline(s))
+        rows = self.candidates.select("qid", "doc_id", "grade", F.inline(s))
         return rows.withColumn("prob", F.round(ex.sigmoid(F.col("score") * 2.0), 9)).withColumn(
             "relevant", (F.col("grade") >= 2).cast("int")
         )
@@ -267,12 +289,13 @@ cte("term_df", "SELECT term, count(*) AS df, ln(1+((SELECT n_docs FROM totals)-c
 cte("postings", "SELECT term, doc_id, tf, tf*1.9::DOUBLE/(tf+0.9::DOUBLE*(0.6::DOUBLE+0.4::DOUBLE*dl/(SELECT avgdl FROM totals))) AS w FROM doc_tf JOIN doc_len USING (doc_id)")
 cte("bm25_ranked", f"""SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
 FROM (SELECT qid, doc_id, round(sum(w*idf*qtf),6) AS score FROM postings JOIN query_tf USING (term) JOIN term_df USING (term) GROUP BY 1,2)) WHERE rank<={DEPTH}""")
-cte("pool", f"""SELECT qid, doc_id, grade, l, first_score, first_rank, repeat(words, (doc_id%4+1)::INT) AS text FROM (
+cte("candidates", f"""SELECT qid, doc_id, grade, l, first_score, first_rank, repeat(words, (doc_id%4+1)::INT) AS text FROM (
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first_score DESC, doc_id) AS first_rank FROM (
 SELECT *, round(l+2.0*{q.u(2, 'qid', 'doc_id')}-1.0,6) AS first_score FROM (
 SELECT *, round(grade*0.8::DOUBLE-1.2::DOUBLE+0.15::DOUBLE*ln(1+value)+2.4::DOUBLE*({q.u(1, 'qid', 'doc_id')}-0.5),6) AS l FROM (
 SELECT user_id AS qid, event_id AS doc_id, value, CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS grade,
-concat_ws(' ', event_type, 'by user', user_id, props) AS words FROM events)))) WHERE first_rank<={DEPTH}""")
+concat_ws(' ', event_type, 'by user', user_id, props) AS words FROM events))))""")
+cte("pool", f"SELECT * FROM candidates WHERE first_rank<={DEPTH}")
 
 
 def anchored_items(name: str, slate: str, a: int) -> None:
@@ -297,11 +320,11 @@ anchored_items("_two", "ord%n_slates", 2)
 cte("verdicts", f"""SELECT *, {q.r6('list_sum(list_transform(level_probs, lambda x, i: x*(i-1)))')} AS expected_grade FROM (
 SELECT qid, item_id, grade, first_rank, l, list_transform(p, lambda x: round(x/list_sum(p),6)) AS level_probs, 250::BIGINT AS tokens,
 CASE WHEN item_id%4<>0 THEN 250*0.042::DOUBLE/1e6 END AS cost_usd FROM (
-SELECT qid, doc_id AS item_id, grade, first_rank, l, [{', '.join(f"exp(-(({i}-grade)::DOUBLE*({i}-grade))/2.0)*(0.5+{q.u(4, 'qid', 'doc_id', str(i))})" for i in range(4))}] AS p FROM pool))""")
+SELECT qid, doc_id AS item_id, grade, first_rank, l, [{', '.join(f"exp(-(({i}-grade)::DOUBLE*({i}-grade))/2.0)*(0.5+{q.u(4, 'qid', 'doc_id', str(i))})" for i in range(4))}] AS p FROM candidates))""")
 cte("system_scores", f"""SELECT *, round(1.0/(1.0+exp(-score*2.0)),9) AS prob, (grade>=2)::INT AS relevant FROM (
-SELECT qid, doc_id, grade, 'first' AS system, first_score AS score FROM pool
-UNION ALL SELECT qid, doc_id, grade, 'latent', l FROM pool
-UNION ALL SELECT qid, doc_id, grade, 'chance', round(4.0*{q.u(5, 'qid', 'doc_id')}-2.0,6) FROM pool)""")
+SELECT qid, doc_id, grade, 'first' AS system, first_score AS score FROM candidates
+UNION ALL SELECT qid, doc_id, grade, 'latent', l FROM candidates
+UNION ALL SELECT qid, doc_id, grade, 'chance', round(4.0*{q.u(5, 'qid', 'doc_id')}-2.0,6) FROM candidates)""")
 cte("predictions", f"""SELECT ex_id, source, qtype, k, CASE WHEN ex_id%41<>0 THEN truth END AS label, logits, list_transform({q.softmax('logits')}, lambda z: round(z,9)) AS probs FROM (
 SELECT *, CASE WHEN k=2 THEN 'noul' WHEN k<=10 AND ex_id%3=0 THEN 'score' ELSE 'choice' END AS qtype,
 list_transform(range(k), lambda i: round((1.0+0.3::DOUBLE*ln(1+value))*(CASE WHEN i=truth THEN 1.2::DOUBLE ELSE 0.0::DOUBLE END+2.0*{q.u(12, 'ex_id', 'i')}),6)) AS logits FROM (

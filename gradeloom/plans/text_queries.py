@@ -94,7 +94,8 @@ def _run_lines(t):
         (F.col("n") * 0.5).alias("wall_seconds"),
         F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("config"),
     ))
-    metrics = F.to_json(F.struct(F.col("n").alias("events"), F.col("means").alias("mean")))
+    deep = F.struct(F.struct(F.array(F.col("n"), F.col("n") + 1).alias("l"), F.struct(F.col("n").alias("d")).alias("c")).alias("b"))
+    metrics = F.to_json(F.struct(F.col("n").alias("events"), F.col("means").alias("mean"), deep.alias("a")))
     return runs.select(F.col("user_id").cast("string").alias("run"), manifest.alias("manifest"), metrics.alias("metrics"))
 
 
@@ -104,7 +105,8 @@ def run_ledger(t):
 
 
 @query("run_metrics", """SELECT user_id::VARCHAR AS run, 'events' AS path, sum(n)::DOUBLE AS value FROM run_src GROUP BY user_id
-UNION ALL SELECT user_id::VARCHAR, 'mean.'||event_type, m FROM run_src""")
+UNION ALL SELECT user_id::VARCHAR, 'mean.'||event_type, m FROM run_src
+UNION ALL SELECT user_id::VARCHAR, unnest(['a.b.l.0','a.b.l.1','a.b.c.d']), unnest([sum(n),sum(n)+1,sum(n)])::DOUBLE FROM run_src GROUP BY user_id""")
 def run_metrics(t):
     return ledger.run_metrics(ledger.parse_runs(_run_lines(t)))
 

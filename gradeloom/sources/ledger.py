@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,21 +42,30 @@ def parse_runs(df: DataFrame) -> DataFrame:
     )
 
 
+def _numbers(path: str, value) -> list[tuple[str, float]]:
+    """Numbers below a JSON value, by dotted path; list items go by position."""
+    if isinstance(value, bool) or value is None:
+        return []
+    if isinstance(value, (int, float)):
+        return [(path, float(value))]
+    inner = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+    return [x for key, v in inner for x in _numbers(f"{path}.{key}" if path else str(key), v)]
+
+
 def run_metrics(runs: DataFrame) -> DataFrame:
-    """Long form (run, metric path, value); nested objects give dotted paths, one level down."""
-    top = runs.select("run", F.explode(F.from_json("metrics", "map<string,string>")).alias("k", "v"))
-    nested = F.from_json("v", "map<string,double>")
-    flat = top.withColumn(
-        "pairs",
-        F.when(
-            F.startswith("v", F.lit("{")),
-            F.transform(
-                F.map_entries(nested),
-                lambda e: F.struct(F.concat("k", F.lit("."), e["key"]).alias("path"), e["value"].alias("value")),
-            ),
-        ).otherwise(F.array(F.struct(F.col("k").alias("path"), F.col("v").try_cast("double").alias("value")))),
-    )
-    return flat.select("run", F.inline("pairs")).filter(F.col("value").isNotNull())
+    """Long form (run, metric path, value) of every number, however deep; broken JSON has none."""
+
+    @F.pandas_udf("array<struct<path:string,value:double>>")
+    def flat(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            try:
+                out.append([{"path": p, "value": v} for p, v in _numbers("", json.loads(text or "{}"))])
+            except ValueError:
+                out.append([])
+        return pd.Series(out)
+
+    return runs.select("run", F.inline(flat("metrics")))
 
 
 def stage_deltas(history: DataFrame, run: str = "run", step: str = "step", value: str = "value") -> DataFrame:
