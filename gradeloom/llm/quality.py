@@ -46,6 +46,8 @@ STATISTICS: dict[str, tuple[str, float]] = {
     "repeats": ("sqrt(n_repeat_words / (n_words + 20))", 0.15),
 }
 NAMES = list(STATISTICS)
+#: Rows meet their group's estimate in this many pieces, so that no group is one task.
+SALTS = 32
 GRID = 4096
 
 
@@ -97,9 +99,14 @@ def _factor(estimate: DataFrame, mean: dict[str, Column], cov) -> DataFrame:
     return out.select("group", "size", *[f"m_{n}" for n in NAMES], *[f"l_{i}_{j}" for i in range(len(NAMES)) for j in range(i + 1)])
 
 
+def _spread(small: DataFrame) -> DataFrame:
+    """A table of one row per group, once for every piece."""
+    return small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _distances(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
     """Squared Mahalanobis distance ``d2`` of every row from its group's estimate, by forward substitution."""
-    out = vectors.join(estimate, "group", "left")
+    out = vectors.join(_spread(estimate), ["group", "_salt"], "left")
     for i, name in enumerate(NAMES):
         rest = F.col(name) - F.col(f"m_{name}") - sum((F.col(f"l_{i}_{k}") * F.col(f"_z{k}") for k in range(i)), F.lit(0.0))
         out = out.withColumn(f"_z{i}", rest / F.col(f"l_{i}_{i}"))
@@ -117,7 +124,7 @@ def robust_estimates(vectors: DataFrame, support: float = SUPPORT, steps: int =
         # distances on a grid: their exact quantile takes a bounded number of distinct values
         near = _distances(vectors, estimate).withColumn("_step", F.round(F.log1p("d2") * 256))
         edge = near.groupBy("group").agg(F.percentile("_step", F.lit(support)).alias("_edge"))
-        inner = near.join(edge, "group").filter("_step <= _edge")
+        inner = near.join(_spread(edge), ["group", "_salt"]).filter("_step <= _edge")
         sums = inner.groupBy("group").agg(
             F.first("size").alias("size"), F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(n).alias(f"s_{n}") for n in NAMES],
             *[F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q_{i}_{j}") for i in range(len(NAMES)) for j in range(i + 1)])
@@ -135,9 +142,10 @@ def judge(docs: DataFrame) -> DataFrame:
     """Base counts, ``base_failed``, the squared distance ``d2`` (NULL where none) and ``kept`` per row of ``docs``."""
     counts = text_counts(docs.select("doc_id", "lang", "source", "text"))
     grid = {n: F.round(F.expr(e) * GRID) / GRID for n, (e, _) in STATISTICS.items()}
-    counted = cut_lineage(counts.select("*", F.struct("lang", "source").alias("group"), *[c.alias(n) for n, c in grid.items()]))
+    salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int").alias("_salt")
+    counted = cut_lineage(counts.select("*", F.struct("lang", "source").alias("group"), salt, *[c.alias(n) for n, c in grid.items()]))
     passed = counted.filter(~F.col("base_failed"))
-    judged = _distances(counted, robust_estimates(passed.select("group", *NAMES)))
+    judged = _distances(counted, robust_estimates(passed.select("group", "_salt", *NAMES)))
     outlier = F.coalesce((F.col("size") >= MIN_GROUP) & (F.col("d2") > CUTOFF), F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~outlier)
 

@@ -177,7 +177,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                         yield _batch(out, RECORD)
 
     stretch = F.floor(F.col("offset") / STRETCH_BYTES)
-    dealt = index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    # index rows are small: their number says nothing of the bytes behind them, so the bytes set the tasks
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // STRETCH_BYTES))
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, RECORD_SCHEMA)
 
 
