@@ -40,8 +40,20 @@ def bm25_search(
     k1: float = tx.K1,
     b: float = tx.B,
 ) -> DataFrame:
+    """:func:`search`, the ranking only."""
+    return search(corpus, queries, k, text, k1, b)[0]
+
+
+def search(
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int = 100,
+    text: Column | str = "text",
+    k1: float = tx.K1,
+    b: float = tx.B,
+) -> tuple[DataFrame, DataFrame]:
     """Search without a stored index: one pass over the texts, and only tokens of the query
-    vocabulary are shuffled.
+    vocabulary are shuffled. Returns the ranking and the query terms' idf.
 
     How the weighted query terms meet them is left to Spark's byte threshold and AQE.
     """
@@ -72,7 +84,7 @@ def bm25_search(
         .groupBy("qid", "doc_id")
         .agg(F.round(F.sum(F.col("w") * F.col("idf") * F.col("qtf")), SCORE_DIGITS).alias("score"))
     )
-    return top_k(scored, k)
+    return top_k(scored, k), idf
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -82,7 +94,7 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 
 def query_terms_present(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Distinct query terms known to the index, in alphabetical order."""
+    """Distinct query terms known to the index (a ``term`` column), in alphabetical order."""
     return (
         query_terms(queries)
         .join(vocabulary.select("term").distinct(), "term", "left_semi")
@@ -109,6 +121,7 @@ def with_signature_recall(pairs: DataFrame, corpus: DataFrame, queries: DataFram
     terms = query_terms(queries).select("qid", "term")
     named = corpus.join(keys.select("doc_id").distinct(), "doc_id", "left_semi")
     found = named.select("doc_id", F.explode(F.array_distinct(tx.raw_tokens("text"))).alias("term"))
+    found = found.join(terms.select("term").distinct(), "term", "left_semi")  # only the queries' words travel
     in_doc = (
         found.join(terms.join(keys, "qid"), ["doc_id", "term"])
         .groupBy("qid", "doc_id")

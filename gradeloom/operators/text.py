@@ -79,30 +79,50 @@ def doc_weight(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float =
     return tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * norm)
 
 
+def document_frequencies(corpus: DataFrame, text: Column | str = "text") -> DataFrame:
+    """(term, df): each document names a term once, so only partial counts by term are shuffled."""
+    return corpus.select(F.explode(F.array_distinct(tokens(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def counted_terms(corpus: DataFrame, text: Column | str = "text") -> DataFrame:
+    """(doc_id, dl, term, tf) without a shuffle: equal tokens stand side by side once a document's are sorted."""
+    rows = corpus.select("doc_id", F.array_sort(tokens(text)).alias("_t")).withColumn("dl", F.size("_t").cast("bigint"))
+    first = F.filter(
+        F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))
+    )
+    rows = rows.filter("dl > 0").withColumn("_s", first)
+    runs = F.transform("_s", lambda i, k: F.struct(
+        F.get("_t", i).alias("term"), (F.coalesce(F.get("_s", k + 1).cast("bigint"), F.col("dl")) - i).alias("tf")))
+    return rows.select("doc_id", "dl", F.inline(runs))
+
+
 def build_postings(
     corpus: DataFrame, text: Column | str = "text", k1: float = K1, b: float = B
 ) -> DataFrame:
-    """(term, doc_id, tf, w). Write it bucketed and sorted by term to serve later queries.
+    """(term, doc_id, tf, w), made where the documents lie; the mean length is one aggregate before.
 
-    The length is computed in the document's own row and carried through the explode, so
-    the only shuffle is the one that counts (doc, term).
+    :func:`store_postings` keeps them by term for later queries.
     """
-    rows = corpus.select("doc_id", tokens(text).alias("_t")).withColumn("dl", F.size("_t").cast("bigint"))
-    avgdl = rows.agg(F.avg("dl")).scalar()
-    counted = (
-        rows.select("doc_id", "dl", F.explode("_t").alias("term"))
-        .groupBy("doc_id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    return counted.select("term", "doc_id", "tf", doc_weight(F.col("tf"), F.col("dl"), avgdl, k1, b).alias("w"))
+    avgdl = document_lengths(corpus, text).agg(F.avg("dl")).scalar()
+    return counted_terms(corpus, text).select(
+        "term", "doc_id", "tf", doc_weight(F.col("tf"), F.col("dl"), avgdl, k1, b).alias("w"))
 
 
-def term_statistics(postings: DataFrame, n_docs: Column) -> DataFrame:
-    return (
-        postings.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("idf", idf(n_docs, F.col("df")))
-    )
+def store_postings(postings: DataFrame, table: str, path: str, buckets: int | None = None) -> DataFrame:
+    """Write the postings bucketed and sorted by term and return the stored table.
+
+    Queries that join it by term read their buckets and move nothing of the index.
+    """
+    spark = postings.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (postings.repartition(n, "term").write.mode("overwrite").option("path", path)
+     .bucketBy(n, "term").sortBy("term").saveAsTable(table))
+    return spark.table(table)
+
+
+def term_statistics(frequencies: DataFrame, n_docs: Column) -> DataFrame:
+    """(term, df) with the terms' idf."""
+    return frequencies.select("term", "df", idf(n_docs, F.col("df")).alias("idf"))
 
 
 # ------------------------------------------------------------------- evidence
@@ -114,22 +134,34 @@ def cut(text: Column | str, budget: Column | int, trim: bool = True) -> Column:
 
 
 def cut_exact(counter: Callable[[str], int], trim: bool = True):
-    """Pandas UDF (text, budget) -> longest prefix that the caller's counter accepts."""
-
-    def one(text: str, budget: int) -> str:
-        if budget <= 0:
-            return ""
-        if counter(text) <= budget:
-            return text
-        fits, over = 0, len(text)
-        while over - fits > 1:
-            mid = (fits + over) // 2
-            fits, over = (mid, over) if counter(text[:mid]) <= budget else (fits, mid)
-        return text[:fits].strip() if trim else text[:fits]
+    """Pandas UDF (text, budget) -> longest prefix that the caller's counter accepts; NULL stays NULL.
+
+    A prefix grows from the front, doubling until it is over the budget, and only its last
+    stretch is narrowed: the counter never sees more than about twice what is kept.
+    """
+
+    def longest(text: str, budget: int) -> int:
+        good, size = 0, max(1, budget)
+        while good < len(text):
+            size = min(size, len(text))
+            if counter(text[:size]) > budget:
+                break
+            good, size = size, 2 * size
+        else:
+            return good
+        for step in (1 << k for k in reversed(range((size - good).bit_length()))):
+            if good + step < size and counter(text[:good + step]) <= budget:
+                good += step
+        return good
 
     @F.pandas_udf("string")
-    def run(text: pd.Series, budget: pd.Series) -> pd.Series:
-        return pd.Series([one(t, int(b)) for t, b in zip(text, budget)])
+    def run(texts: pd.Series, budgets: pd.Series) -> pd.Series:
+        out = []
+        for text, budget in zip(texts, budgets):
+            size = 0 if text is None or budget <= 0 else longest(text, int(budget))
+            part = text if text is None or size == len(text) and budget > 0 else text[:size]
+            out.append(part.strip() if trim and part is not None and size < len(text) else part)
+        return pd.Series(out, dtype=object)
 
     return run
 
@@ -154,8 +186,9 @@ def best_windows(
     window: int = 40,
     stride: int = 10,
     out: str = "window",
+    keep: tuple[str, ...] = ("title",),
 ) -> DataFrame:
-    """(qid, doc_id) pairs with title, text and the ``window`` words of most query weight.
+    """(qid, doc_id) pairs with ``keep`` columns and the ``window`` words of most query weight.
 
     ``weights`` is (qid, term, weight) with a query's distinct terms. A word scores the best
     weight among its tokens, the earliest of equal windows wins, and a document that is
@@ -200,7 +233,7 @@ def best_windows(
     start = F.coalesce("_start", F.lit(0)).cast("int") + 1
     return (
         pairs.join(best, ["qid", "doc_id"], "left")
-        .join(corpus.withColumn("_w", words("text")), "doc_id")  # split once per document
+        .join(named.select("doc_id", *keep, words("text").alias("_w")), "doc_id")  # split once per document
         .withColumn(out, F.array_join(F.slice("_w", start, F.lit(window)), " "))
         .drop("_start", "_w")
     )
@@ -213,12 +246,14 @@ def window_signature(budget: Column | int, window: str = "window") -> Column:
 def title_then_window(
     budget: int, title: str = "title", window: str = "window", title_share: float = 0.5
 ) -> Column:
-    """Title in its share of the budget, the best window in what is left of it."""
-    head = F.coalesce(cut(F.coalesce(F.col(title), F.lit("")), int(budget * title_share)), F.lit(""))
-    used = F.floor(F.length(head) / CHARS_PER_TOKEN).cast("int")
-    rest = F.greatest(F.lit(budget) - used - 1, F.lit(0))
-    tail = cut(window, rest)
-    return F.when(head != "", strip(F.concat(head, F.lit(" "), tail))).otherwise(tail)
+    """Title in its share of the budget, the best window in what is left of it.
+
+    The blank between the two counts as one token.
+    """
+    lead = F.coalesce(cut(F.coalesce(F.col(title), F.lit("")), int(budget * title_share)), F.lit(""))
+    spent = F.floor(F.length(lead) / CHARS_PER_TOKEN).cast("int") + 1
+    body = cut(window, F.greatest(F.lit(budget) - spent, F.lit(0)))
+    return F.when(lead == "", body).otherwise(strip(F.concat_ws(" ", lead, body)))
 
 
 SIGNATURES = ("title", "head", "lexical", "title+lexical")

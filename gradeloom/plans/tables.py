@@ -81,7 +81,16 @@ class Tables:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return retrieval.bm25_search(self.corpus, self.queries, k=DEPTH)
+        return self._search[0]
+
+    @cached_property
+    def _search(self) -> tuple[DataFrame, DataFrame]:
+        return retrieval.search(self.corpus, self.queries, k=DEPTH)
+
+    @cached_property
+    def query_idf(self) -> DataFrame:
+        """(term, idf) of the queries' terms, from the search's own pass over the texts."""
+        return self._search[1]
 
     @cached_property
     def ranked_once(self) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
-from ..functions.lineage import cut_lineage
+from ..functions.lineage import cut_lineage, shared_folder
 from ..operators import evaluation, retrieval, text as tx
 from ..sources import collections as col, ledger, typed_json
 from . import sql as q
@@ -133,7 +135,7 @@ def _plural(term: str) -> str:
 
 @query("stemmed_terms", """SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM (SELECT doc_id, CASE WHEN length(term)>3 AND term LIKE '%s' AND term NOT LIKE '%ss' THEN left(term, length(term)-1) ELSE term END AS term, sum(tf) AS tf FROM doc_tf GROUP BY 1,2) GROUP BY 1""")
 def stemmed_terms(t):
-    counted = tx.term_counts(t.corpus, "doc_id")
+    counted = cut_lineage(tx.counted_terms(t.corpus).select("doc_id", "term", "tf"))  # read for the vocabulary and for the counts
     stems = tx.stem_vocabulary(counted, _plural)
     s = tx.apply_stems(counted, stems, ["doc_id"], "tf")
     return s.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
@@ -147,7 +149,7 @@ def bm25_postings(t):
 @query("term_statistics", f"SELECT term, df, {q.r6('idf')} AS idf FROM term_df")
 def term_statistics(t):
     n = t.corpus.agg(F.count(F.lit(1))).scalar()
-    return tx.term_statistics(tx.term_counts(t.corpus, "doc_id"), n).select("term", "df", ex.r6("idf").alias("idf"))
+    return tx.term_statistics(tx.document_frequencies(t.corpus), n).select("term", "df", ex.r6("idf").alias("idf"))
 
 
 @query("corpus_totals", f"SELECT n_docs, {q.r6('avgdl')} AS avgdl FROM totals")
@@ -163,15 +165,17 @@ def bm25_topk(t):
 
 @query("bm25_topk_indexed", "SELECT qid, doc_id, score, rank FROM bm25_ranked")
 def bm25_topk_indexed(t):
-    postings = tx.build_postings(t.corpus)
+    """The index is stored by term and read back, for its statistics and for the scores."""
+    name = f"postings_{uuid.uuid4().hex}"
+    postings = tx.store_postings(tx.build_postings(t.corpus), name, f"{shared_folder(t.spark).rstrip('/')}/{name}")
     n = t.corpus.agg(F.count(F.lit(1))).scalar()
-    return retrieval.bm25_topk(postings, tx.term_statistics(postings, n), t.queries, k=100)
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return retrieval.bm25_topk(postings, tx.term_statistics(df, n), t.queries, k=100)
 
 
 @query("query_terms_present", "SELECT qid, string_agg(term, ' ' ORDER BY term) AS terms FROM query_tf WHERE term IN (SELECT term FROM term_df) GROUP BY 1")
 def query_terms_present(t):
-    vocab = tx.term_counts(t.corpus, "doc_id").select("term")
-    p = retrieval.query_terms_present(t.queries, vocab)
+    p = retrieval.query_terms_present(t.queries, tx.document_frequencies(t.corpus))
     return p.select("qid", F.array_join("terms", " ").alias("terms"))
 
 
@@ -209,15 +213,9 @@ cte("pair_best", """SELECT qid, doc_id, title, text, ws, CASE WHEN len(ws)>40 TH
 cte("pair_window", """SELECT qid, doc_id, title, text, array_to_string(ws[(CASE WHEN best.v>0 THEN -best.neg ELSE 0 END)+1 : (CASE WHEN best.v>0 THEN -best.neg ELSE 0 END)+40], ' ') AS win FROM pair_best""")
 
 
-def _idf_weights(t):
-    n = t.corpus.agg(F.count(F.lit(1))).scalar()
-    asked = retrieval.query_terms(t.queries).select("term").distinct()
-    counted = tx.term_counts(t.corpus, "doc_id").join(asked, "term", "left_semi")
-    return retrieval.query_weights(t.queries, tx.term_statistics(counted, n))
-
-
-def _windows(t):
-    return tx.best_windows(t.ranked_once.select("qid", "doc_id"), t.corpus, _idf_weights(t))
+def _windows(t, keep=("title",)):
+    weights = retrieval.query_weights(t.queries, t.query_idf)
+    return tx.best_windows(t.ranked_once.select("qid", "doc_id"), t.corpus, weights, keep=keep)
 
 
 @query("signature_lexical", f"SELECT qid, doc_id, {q.strip('substr(win,1,148)')} AS signature FROM pair_window")
@@ -238,7 +236,8 @@ def signature_title_lexical(t):
 SELECT qid, doc_id, list_intersect(qt, regexp_extract_all(lower(text),'[a-z0-9]+')) AS in_doc, regexp_extract_all(lower({q.strip(f'substr({HEAD},1,148)')}),'[a-z0-9]+') AS sg
 FROM bm25_ranked JOIN corpus USING (doc_id) JOIN (SELECT qid, list(DISTINCT term) AS qt FROM query_tf GROUP BY 1) USING (qid))""")
 def signature_recall(t):
-    pairs = t.ranked_once.join(t.corpus, "doc_id").select("qid", "doc_id", tx.signature("head", 37).alias("signature"))
+    heads = t.corpus.select("doc_id", tx.signature("head", 37).alias("signature"))  # the cut travels, not the text
+    pairs = t.ranked_once.select("qid", "doc_id").join(heads, "doc_id")
     out = retrieval.with_signature_recall(pairs, t.corpus, t.queries)
     return out.select("qid", "doc_id", ex.r6("recall").alias("recall"))
 
@@ -281,7 +280,7 @@ def _sweep(t):
     probes = retrieval.balanced_probes(
         t.ranked.join(t.qrels, ["qid", "doc_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0))), 12, 2, 4
     )
-    win = _windows(t)
+    win = _windows(t, ("title", "text"))
     asked = t.queries.withColumnRenamed("text", "query")
     rows = probes.join(win, ["qid", "doc_id"]).join(asked, "qid")
     configs = F.array(*[

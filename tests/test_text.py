@@ -21,7 +21,7 @@ def test_bm25_by_hand(spark):
     assert got == {1: round(2 * idf * w(2, 4), 6), 2: round(2 * idf * w(1, 2), 6)}
     n = docs(spark).agg(F.count(F.lit(1))).scalar()
     p = tx.build_postings(docs(spark))
-    stored = {r.doc_id: r.score for r in retrieval.bm25_topk(p, tx.term_statistics(p, n), q, 10).collect()}
+    stored = {r.doc_id: r.score for r in retrieval.bm25_topk(p, tx.term_statistics(tx.document_frequencies(docs(spark)), n), q, 10).collect()}
     assert stored == got
 
 
