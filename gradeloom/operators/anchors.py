@@ -56,7 +56,7 @@ def _greedy(items: Column, n: int, target) -> Column:
 
     def step(taken: Column, t: Column) -> Column:
         left = F.filter(items, lambda x: ~F.array_contains(taken, x["at"]))
-        ranked = F.transform(left, lambda x: F.struct(F.abs(x["v"] - target(t)).alias("gap"), x["at"].alias("at")))
+        ranked = F.transform(left, lambda x: F.struct(F.round(F.abs(x["v"] - target(t)), 9).alias("gap"), x["at"].alias("at")))
         best = F.array_min(ranked)
         return F.when(best.isNull(), taken).otherwise(F.concat(taken, F.array(best["at"])))
 
@@ -74,7 +74,7 @@ def graded_anchors(pool: DataFrame, n: int = 4, depth: int = 30, grade: str = "e
     """From the first ``depth`` candidates the n whose judged grades are spread most evenly.
 
     Targets run evenly from the lowest to the highest grade; each takes the nearest
-    candidate not used yet (ties: better first-stage rank).
+    candidate not used yet (ties to nine digits: better first-stage rank).
     """
     lo = F.element_at(F.col("_items"), 1)["v"]
     hi = F.element_at(F.col("_items"), -1)["v"]
@@ -82,17 +82,22 @@ def graded_anchors(pool: DataFrame, n: int = 4, depth: int = 30, grade: str = "e
     return _chosen(_pooled(pool, grade, rank, depth), picks).withColumn("utility", F.col("v") * 2.0 - 3.0)
 
 
-def spread_anchors(pool: DataFrame, n: int = 4, value: str = "utility", rank: str = "first_rank", depth: int = 100) -> DataFrame:
-    """The n candidates nearest to an even grid of the 5 % to 95 % quantiles of a value."""
-    size = F.size("_items")
+def spread_anchors(pool: DataFrame, n: int = 4, value: str = "utility", rank: str = "first_rank") -> DataFrame:
+    """The n candidates nearest to an even grid of the 5 % to 95 % quantiles of a value.
 
-    def target(t: Column) -> Column:
-        at = (F.lit(0.05) + F.lit(0.90) * t / F.lit(float(max(n - 1, 1)))) * (size - 1)
-        low = F.element_at("_items", F.floor(at).cast("int") + 1)["v"]
-        high = F.element_at("_items", F.ceil(at).cast("int") + 1)["v"]
-        return low + (at - F.floor(at)) * (high - low)
-
-    return _chosen(_pooled(pool, value, rank, depth), _greedy(F.col("_items"), n, target))
+    Targets take turns; each takes the nearest candidate not used yet (ties to nine
+    digits: better rank). A target can need no more than its n nearest candidates on either side, so
+    only these (2 n per target) are gathered, whatever the size of the pool.
+    """
+    levels = [0.05 + 0.90 * t / max(n - 1, 1) for t in range(n)]
+    rows = pool.select("qid", "doc_id", F.col(value).cast("double").alias("v"), F.col(rank).cast("bigint").alias("at")).filter("v IS NOT NULL")
+    targets = rows.groupBy("qid").agg(F.percentile("v", F.array(*[F.lit(x) for x in levels])).alias("_targets"))
+    near = rows.join(targets, "qid").select("qid", "doc_id", "v", "at", "_targets", F.posexplode("_targets").alias("_t", "_to"))
+    side = Window.partitionBy("qid", "_t", F.col("v") < F.col("_to")).orderBy(F.round(F.abs(F.col("v") - F.col("_to")), 9), "at")
+    near = near.withColumn("_n", F.row_number().over(side)).filter(F.col("_n") <= n)
+    item = F.struct("v", "at", "doc_id")
+    gathered = near.groupBy("qid").agg(F.sort_array(F.collect_set(item)).alias("_items"), F.first("_targets").alias("_targets"))
+    return _chosen(gathered, _greedy(F.col("_items"), n, lambda t: F.get("_targets", t)))
 
 
 def _chosen(rows: DataFrame, picks: Column) -> DataFrame:

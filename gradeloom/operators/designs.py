@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import expr as ex
 from ..functions.lineage import cut_lineage
@@ -85,24 +84,25 @@ def appearances(design: DataFrame) -> DataFrame:
     return design.groupBy("qid", "item_id").agg(F.count(F.lit(1)).alias("n_slates"))
 
 
-def components(design: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(design: DataFrame, hops: int = 2) -> DataFrame:
     """(qid, slate, component): slates that share items, directly or through others.
 
-    Labels start as the slate's own number and spread through shared items until none
-    changes; each round is two windows inside the query and one small aggregate.
+    Labels start as the slate's own number. A round passes the smallest label on through shared
+    items (``hops`` times, inside the query's partition) and then replaces each label by the
+    label of the slate that it names, so that a chain folds in about as many rounds as its
+    length has binary digits. Rounds end when no label moves.
     """
-    rows = design.select("qid", "slate", "item_id").withColumn("label", F.col("slate"))
+    rows = design.select("qid", "slate", "item_id").repartition("qid").withColumn("label", F.col("slate"))
     by_item, by_slate = Window.partitionBy("qid", "item_id"), Window.partitionBy("qid", "slate")
-    for _ in range(max_rounds):
-        moved = rows.withColumn("_l", F.min("label").over(by_item)).withColumn("_n", F.min("_l").over(by_slate))
+    while True:
+        moved = rows.withColumn("_new", F.col("label"))
+        for _ in range(hops):
+            moved = moved.withColumn("_l", F.min("_new").over(by_item)).withColumn("_new", F.min("_l").over(by_slate)).drop("_l")
         moved = cut_lineage(moved)
-        changed = moved.filter(F.col("_n") != F.col("label")).limit(1).count()
-        rows = moved.select("qid", "slate", "item_id", F.col("_n").alias("label"))
-        if not changed:
-            break
-    else:
-        raise RuntimeError("labels still moving; raise max_rounds")
-    return rows.groupBy("qid", "slate").agg(F.min("label").alias("component"))
+        if moved.filter(F.col("_new") != F.col("label")).isEmpty():
+            return moved.groupBy("qid", "slate").agg(F.min("label").alias("component"))
+        named = moved.groupBy("qid", F.col("slate").alias("_new")).agg(F.min("_new").alias("_far"))
+        rows = moved.join(named, ["qid", "_new"]).select("qid", "slate", "item_id", F.least("_new", "_far").alias("label"))
 
 
 def connectivity(design: DataFrame) -> DataFrame:
@@ -114,102 +114,59 @@ def connectivity(design: DataFrame) -> DataFrame:
     )
 
 
-SOLVER_ROWS = 50_000
-
-
-def fit_additive(obs: DataFrame, solver_rows: int = SOLVER_ROWS, **sweep_options) -> DataFrame:
+def fit_additive(obs: DataFrame, tolerance: float = 1e-11, per_check: int = 4, max_checks: int = 100) -> DataFrame:
     """Least squares of y = l(item) - c(slate), per query.
 
     Input (qid, slate, item_id, y, ...); adds l_hat, c_hat, residual and the connected
     component. The shift that the model leaves open is fixed per component by
-    sum(l) + sum(c) = 0. A query's design is small, so its equations are solved in one step
-    where its rows are; queries with more than ``solver_rows`` observations are fitted by
-    distributed sweeps instead.
-    """
-    obs = cut_lineage(obs)
-    sizes = obs.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > solver_rows).select("qid")
-    if large.isEmpty():
-        return _solve(obs)
-    return _solve(obs.join(large, "qid", "left_anti")).unionByName(
-        _sweep(obs.join(large, "qid", "left_semi"), **sweep_options)
-    )
-
+    sum(l) + sum(c) = 0.
 
-def _solve(obs: DataFrame) -> DataFrame:
-    """Eliminate the items, solve for the slate offsets, one small system per query."""
-    types = obs.schema["slate"].dataType
-    schema = T.StructType(
-        [*obs.schema.fields, T.StructField("component", types)]
-        + [T.StructField(c, T.DoubleType()) for c in ("l_hat", "c_hat", "residual")]
-    )
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf["y"].to_numpy(float)
-        _, i = np.unique(pdf["item_id"].to_numpy(), return_inverse=True)
-        names, s = np.unique(pdf["slate"].to_numpy(), return_inverse=True)
-        share = np.zeros((i.max() + 1, len(names)))
-        np.add.at(share, (i, s), 1.0)
-        per_item = share.sum(1)
-        laplacian = np.diag(share.sum(0)) - share.T @ (share / per_item[:, None])
-        right = share.T @ (np.bincount(i, y) / per_item) - np.bincount(s, y)
-        c = np.linalg.lstsq(laplacian, right, rcond=None)[0]
-        level = np.bincount(i, y + c[s]) / per_item
-        label = np.arange(len(names))
-        while True:  # smallest slate number reachable through shared items
-            low = np.full(len(level), len(names))
-            np.minimum.at(low, i, label[s])
-            new = label.copy()
-            np.minimum.at(new, s, low[i])
-            if (new == label).all():
-                break
-            label = new
-        of_item = label[s][np.unique(i, return_index=True)[1]]
-        total = np.bincount(of_item, level, len(names)) + np.bincount(label, c, len(names))
-        count = np.bincount(of_item, minlength=len(names)) + np.bincount(label, minlength=len(names))
-        shift = total / np.maximum(count, 1)
-        level, c = level - shift[of_item], c - shift[label]
-        return pdf.assign(component=names[label][s], l_hat=level[i], c_hat=c[s], residual=y - level[i] + c[s])
-
-    return obs.groupBy("qid").applyInPandas(one, schema)
-
-
-def _sweep(
-    obs: DataFrame, tolerance: float = 1e-9, sweeps_per_check: int = 10, max_checks: int = 60
-) -> DataFrame:
-    """Alternating means over (query, item) and (query, slate) until nothing moves.
-
-    Every few sweeps the rows are written to reliable storage and the largest change is read
-    back; no group is larger than one item's or one slate's rows.
+    With the items eliminated, the slate offsets of all queries solve one sparse system, by
+    conjugate gradients whose every product is two grouped means over the observations. The rows
+    carry the state, are dealt by query once, and are written to reliable storage every
+    ``per_check`` steps, when the largest relative residual is read. Not reaching ``tolerance``
+    is an error.
     """
     by_item, by_slate = Window.partitionBy("qid", "item_id"), Window.partitionBy("qid", "slate")
-    rows = obs.withColumn("c_hat", F.lit(0.0)).withColumn("_change", F.lit(None).cast("double"))
+    by_query = Window.partitionBy("qid")
+    own = obs.columns
+
+    def inner(a: str, b: str) -> Column:  # over slates: each stands in as many rows as it has observations
+        return F.sum(F.col(a) * F.col(b) / F.col("_ns")).over(by_query)
+
+    rows = (
+        obs.repartition("qid")
+        .withColumns({"_ni": F.count(F.lit(1)).over(by_item), "_my": F.avg("y").over(by_item)})
+        .withColumns({"_ns": F.count(F.lit(1)).over(by_slate), "_r": F.sum(F.col("_my") - F.col("y")).over(by_slate)})
+        .withColumns({"c_hat": F.lit(0.0), "_p": F.col("_r")})
+        .withColumn("_rr", inner("_r", "_r"))
+        .withColumn("_rr0", F.col("_rr"))
+    )
     for _ in range(max_checks):
-        for _ in range(sweeps_per_check):
+        for _ in range(per_check):
             rows = (
-                rows.withColumn("l_hat", F.avg(F.col("y") + F.col("c_hat")).over(by_item))
-                .withColumn("_c", F.avg(F.col("l_hat") - F.col("y")).over(by_slate))
-                .withColumn("_change", F.abs(F.col("_c") - F.col("c_hat")))
-                .withColumn("c_hat", F.col("_c"))
-                .drop("_c")
+                rows.withColumn("_m", F.avg("_p").over(by_item))
+                .withColumn("_q", F.sum(F.col("_p") - F.col("_m")).over(by_slate))
+                .withColumn("_pq", inner("_p", "_q"))
+                .withColumn("_a", F.when((F.col("_pq") > 0) & (F.col("_rr") > tolerance**2 * F.col("_rr0")), F.col("_rr") / F.col("_pq")).otherwise(0.0))
+                .withColumns({"c_hat": F.col("c_hat") + F.col("_a") * F.col("_p"), "_r": F.col("_r") - F.col("_a") * F.col("_q")})
+                .withColumn("_new", inner("_r", "_r"))
+                .withColumn("_p", F.when(F.col("_a") > 0, F.col("_r") + F.col("_new") / F.col("_rr") * F.col("_p")).otherwise(F.col("_p")))
+                .withColumn("_rr", F.col("_new"))
+                .drop("_m", "_q", "_pq", "_a", "_new")
             )
         rows = cut_lineage(rows)
-        if (rows.agg(F.max("_change")).first()[0] or 0.0) < tolerance:
+        if rows.filter(F.col("_rr") > tolerance**2 * F.col("_rr0")).isEmpty():
             break
-    labelled = rows.drop("_change").join(components(obs), ["qid", "slate"])
-    items = labelled.groupBy("qid", "component", "item_id").agg(F.first("l_hat").alias("v"))
-    slates = labelled.groupBy("qid", "component", "slate").agg(F.first("c_hat").alias("v"))
-    shift = (
-        items.drop("item_id").unionByName(slates.drop("slate"))
-        .groupBy("qid", "component")
-        .agg(F.avg("v").alias("_shift"))
-    )
+    else:
+        raise RuntimeError("the additive fit has not converged")
+    fitted = rows.withColumn("l_hat", F.avg(F.col("y") + F.col("c_hat")).over(by_item)).join(components(obs), ["qid", "slate"])
+    parts = Window.partitionBy("qid", "component")
+    shift = F.sum(F.col("l_hat") / F.col("_ni") + F.col("c_hat") / F.col("_ns")).over(parts) / F.sum(1.0 / F.col("_ni") + 1.0 / F.col("_ns")).over(parts)
     return (
-        labelled.join(shift, ["qid", "component"])
-        .withColumn("l_hat", F.col("l_hat") - F.col("_shift"))
-        .withColumn("c_hat", F.col("c_hat") - F.col("_shift"))
-        .withColumn("residual", F.col("y") - (F.col("l_hat") - F.col("c_hat")))
-        .drop("_shift")
+        fitted.withColumn("_shift", shift)
+        .withColumns({"l_hat": F.col("l_hat") - F.col("_shift"), "c_hat": F.col("c_hat") - F.col("_shift")})
+        .select(*own, "component", "l_hat", "c_hat", (F.col("y") - F.col("l_hat") + F.col("c_hat")).alias("residual"))
     )
 
 

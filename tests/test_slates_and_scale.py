@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,9 +85,28 @@ def test_additive_fit_residuals_cancel(spark):
         assert worst < 1e-8
     level = solved.select("item_id", "l_hat").distinct().agg(F.sum("l_hat")).first()[0] + solved.select("slate", "c_hat").distinct().agg(F.sum("c_hat")).first()[0]
     assert abs(level) < 1e-6
-    swept = designs.fit_additive(d, solver_rows=0, tolerance=1e-8)
-    gap = swept.alias("a").join(solved.alias("b"), ["qid", "slate", "item_id"]).agg(F.max(F.abs(F.col("a.residual") - F.col("b.residual")))).first()[0]
-    assert gap < 1e-5
+    rows = solved.collect()
+    items, slates_ = sorted({r.item_id for r in rows}), sorted({r.slate for r in rows})
+    x = np.zeros((len(rows), len(items) + len(slates_)))
+    for k, r in enumerate(rows):
+        x[k, items.index(r.item_id)], x[k, len(items) + slates_.index(r.slate)] = 1.0, -1.0
+    y = np.array([r.y for r in rows])
+    plain = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    assert np.abs(plain - np.array([r.residual for r in rows])).max() < 1e-8
+
+
+def test_long_chains_are_one_component(spark):
+    order = np.random.default_rng(3).permutation(150).tolist()
+    chain = [(1, order[k], i) for k in range(150) for i in (1000 + k, 1001 + k)]
+    got = designs.components(spark.createDataFrame(chain + [(1, 999, 5)], "qid int, slate int, item_id int")).collect()
+    assert {r.slate: r.component for r in got} == {**{s: 0 for s in range(150)}, 999: 999}
+
+
+def test_spread_anchors_read_the_whole_pool(spark):
+    pool = spark.range(200).select(F.lit(1).alias("qid"), F.col("id").alias("doc_id"), F.col("id").alias("first_rank"), F.col("id").cast("double").alias("utility"))
+    assert [r.v for r in anchors.spread_anchors(pool, 4).orderBy("anchor_no").collect()] == [10.0, 70.0, 129.0, 189.0]
+    flat = pool.withColumn("utility", F.lit(1.0))
+    assert sorted(r.doc_id for r in anchors.spread_anchors(flat, 4).collect()) == [0, 1, 2, 3]
 
 
 def test_disjoint_slates_are_not_connected(spark):
