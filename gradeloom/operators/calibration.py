@@ -28,67 +28,84 @@ def _binary_nll(logit: Column, y: Column, t: Column) -> Column:
 
 
 def bucketed(records: DataFrame) -> DataFrame:
-    """Every record twice: under its type and size bucket and under the global key."""
-    bucket = ex.size_bucket("qtype", F.size("logits"))
-    return records.filter(F.col("label").isNotNull()).select(
-        F.explode(F.array(bucket, F.lit(GLOBAL))).alias("bucket"), "logits", "label"
-    )
+    """Labelled records under their type and size bucket."""
+    return records.filter(F.col("label").isNotNull()).select(ex.size_bucket("qtype", F.size("logits")).alias("bucket"), "logits", "label")
 
 
-def _losses(rows: DataFrame, by: list[str], loss, grid: Column) -> DataFrame:
-    """Mean loss per group and candidate temperature; the candidates multiply rows only
-    inside the map-side aggregation."""
-    return (
-        rows.withColumn("t", F.explode(grid))
-        .withColumn("_loss", loss(F.col("t")))
-        .groupBy(*by, "t")
-        .agg(F.avg("_loss").alias("nll"), F.count(F.lit(1)).alias("n"))
-    )
+def _loss_sums(rows: DataFrame, by: list[str], loss, grids: dict[str, list[Column]]) -> DataFrame:
+    """One row per group: its rows ``n`` and, for every grid, the summed loss of each candidate.
+
+    All candidates of a row are added up where the row lies; no row is copied.
+    """
+    sums = [F.sum(loss(t)).alias(f"{name}{i}") for name, grid in grids.items() for i, t in enumerate(grid)]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
-def _best_of_grid(losses: DataFrame, by: list[str]) -> DataFrame:
-    return losses.groupBy(*by).agg(
-        F.min_by("t", F.struct(F.round("nll", 12), F.col("t"))).alias("t"),
-        F.min("nll").alias("nll"),
-        F.max("n").alias("n"),
-    )
+def _best(sums: DataFrame, keys: list[str], name: str, grid: list[Column]) -> DataFrame:
+    """The candidate with the lowest mean loss (to twelve digits, then the lowest) per row of ``sums``."""
+    means = F.array(*[F.struct(F.round(F.col(f"{name}{i}") / F.col("n"), 12).alias("r"), t.alias("t"), (F.col(f"{name}{i}") / F.col("n")).alias("nll"))
+                      for i, t in enumerate(grid)])
+    return sums.withColumn("_b", F.array_min(means)).select(*keys, F.col("_b.t").alias("t"), F.col("_b.nll").alias("nll"), "n")
+
+
+def _whole(sums: DataFrame, name: str, points: int) -> DataFrame:
+    """The sums of everything from the sums of the groups."""
+    return sums.agg(F.sum("n").alias("n"), *[F.sum(f"{name}{i}").alias(f"{name}{i}") for i in range(points)])
 
 
-def temperature_grid(rows: DataFrame, grid: list[float], by: list[str], loss=None) -> DataFrame:
-    """Single pass: the grid temperature with the lowest mean loss per group."""
+def temperature_grid(rows: DataFrame, grid: list[float], by: list[str], loss=None, total: str | None = None) -> DataFrame:
+    """Single pass: the grid temperature with the lowest mean loss per group.
+
+    ``total`` names a further group that holds all rows (then ``by`` is one column).
+    """
     loss = loss or (lambda t: _nll(F.col("logits"), F.col("label"), t))
-    return _best_of_grid(_losses(rows, by, loss, F.array(*[F.lit(float(g)) for g in grid])), by)
+    ts = [F.lit(float(g)) for g in grid]
+    sums = cut_lineage(_loss_sums(rows, by, loss, {"_l": ts}))  # one row per group
+    found = _best(sums, by, "_l", ts)
+    if total is not None:
+        found = found.unionByName(_best(_whole(sums, "_l", len(ts)).withColumn(by[0], F.lit(total)), by, "_l", ts))
+    return found
 
 
 def fit_temperature(
-    rows: DataFrame, by: list[str], lo: float = 0.02, hi: float = 10.0, points: int = 24, passes: int = 6, loss=None
+    rows: DataFrame, by: list[str], lo: float = 0.02, hi: float = 10.0, points: int = 24, passes: int = 6, loss=None, total: str | None = None
 ) -> DataFrame:
     """Temperature minimising the mean loss per group, by a narrowing grid.
 
     The loss has one minimum in t, so the neighbours of the best of ``points`` geometric
     candidates bracket it; every pass cuts the bracket (in log t) to 2/(points-1). All
-    groups are searched in the same pass, one aggregate each. The rows are read ``passes``
-    times and kept for that long.
+    groups, and everything together under the name ``total``, are searched in the same pass,
+    one aggregate each. The rows are read ``passes`` times and kept for that long.
     """
     rows = rows.persist()
     loss = loss or (lambda t: _nll(F.col("logits"), F.col("label"), t))
+
+    def spread(a: Column, b: Column) -> list[Column]:
+        return [a * F.pow(b / a, F.lit(i / (points - 1))) for i in range(points)]
+
+    def narrowed(best: DataFrame) -> DataFrame:
+        step = F.pow(F.col("_hi") / F.col("_lo"), F.lit(1.0 / (points - 1)))
+        return best.select(*by, F.greatest(F.col("t") / step, F.col("_lo")).alias("_lo"), F.least(F.col("t") * step, F.col("_hi")).alias("_hi"), "nll", "n")
+
     brackets = rows.select(*by).distinct().withColumns({"_lo": F.lit(float(lo)), "_hi": F.lit(float(hi))})
+    whole = (float(lo), float(hi))
+    own = spread(F.col("_lo"), F.col("_hi"))
     for _ in range(passes):
-        # one row per group: small, and measured, so the join is a broadcast while it stays so
-        brackets = cut_lineage(brackets)
-        step = F.pow(F.col("_hi") / F.col("_lo"), F.lit(1.0 / (points - 1)))
-        grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_lo") * F.pow(step, i))
-        losses = _losses(rows.join(brackets, by), [*by, "_lo", "_hi"], loss, grid)
-        best = _best_of_grid(losses, [*by, "_lo", "_hi"])
-        brackets = best.select(
-            *by,
-            F.greatest(F.col("t") / step, F.col("_lo")).alias("_lo2"),
-            F.least(F.col("t") * step, F.col("_hi")).alias("_hi2"),
-            "nll",
-            "n",
-        ).withColumnsRenamed({"_lo2": "_lo", "_hi2": "_hi"})
-        last, brackets = brackets, brackets.select(*by, "_lo", "_hi")
-    found = cut_lineage(last.select(*by, "n", F.sqrt(F.col("_lo") * F.col("_hi")).alias("t"), "nll"))
+        grids = {"_l": own}
+        if total is not None:
+            everything = spread(F.lit(whole[0]), F.lit(whole[1]))
+            grids["_w"] = everything
+        # one row per group; the brackets meet the rows by a join whose form Spark picks
+        sums = cut_lineage(_loss_sums(rows.join(brackets.select(*by, "_lo", "_hi"), by), [*by, "_lo", "_hi"], loss, grids))
+        brackets = narrowed(_best(sums, [*by, "_lo", "_hi"], "_l", own))
+        if total is not None:
+            last = narrowed(_best(_whole(sums, "_w", points).withColumns({by[0]: F.lit(total), "_lo": F.lit(whole[0]), "_hi": F.lit(whole[1])}), [*by, "_lo", "_hi"], "_w", everything)).first()
+            whole = (last["_lo"], last["_hi"]) if last and last["_lo"] is not None else whole  # three numbers
+    found = brackets.select(*by, "n", F.sqrt(F.col("_lo") * F.col("_hi")).alias("t"), "nll")
+    if total is not None and last:
+        found = found.unionByName(_whole(sums, "_w", points).select(
+            F.lit(total).alias(by[0]), "n", F.lit((whole[0] * whole[1]) ** 0.5).alias("t"), F.lit(last["nll"]).alias("nll")))
+    found = cut_lineage(found)
     rows.unpersist()
     return found
 
@@ -96,7 +113,7 @@ def fit_temperature(
 def fit_temperature_map(records: DataFrame, min_samples: int = MIN_SAMPLES, grid: list[float] | None = None) -> DataFrame:
     """(bucket, n, t, source): thin buckets take the global temperature and say so."""
     rows = bucketed(records)
-    fits = temperature_grid(rows, grid, ["bucket"]) if grid else fit_temperature(rows, ["bucket"])
+    fits = temperature_grid(rows, grid, ["bucket"], total=GLOBAL) if grid else fit_temperature(rows, ["bucket"], total=GLOBAL)
     return with_fallback(fits, min_samples)
 
 

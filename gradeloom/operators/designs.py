@@ -41,7 +41,7 @@ def anchored_design(
     """
     per = slate_size - n_anchors
     if per < 1:
-        raise ValueError("anchors consume the entire slate")
+        raise ValueError("a slate needs room for at least one candidate beside its anchors")
     others = pool.join(anchors.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
     drawn = _sample(others, per, n_slates, single_grade, seed, only_full=True).withColumn(
         "is_anchor", F.lit(False)
@@ -129,13 +129,14 @@ def fit_additive(obs: DataFrame, tolerance: float = 1e-11, per_check: int = 4, m
     """
     by_item, by_slate = Window.partitionBy("qid", "item_id"), Window.partitionBy("qid", "slate")
     by_query = Window.partitionBy("qid")
+    obs = cut_lineage(obs.repartition("qid"))  # read by the fit and by the components
     own = obs.columns
 
     def inner(a: str, b: str) -> Column:  # over slates: each stands in as many rows as it has observations
         return F.sum(F.col(a) * F.col(b) / F.col("_ns")).over(by_query)
 
     rows = (
-        obs.repartition("qid")
+        obs
         .withColumns({"_ni": F.count(F.lit(1)).over(by_item), "_my": F.avg("y").over(by_item)})
         .withColumns({"_ns": F.count(F.lit(1)).over(by_slate), "_r": F.sum(F.col("_my") - F.col("y")).over(by_slate)})
         .withColumns({"c_hat": F.lit(0.0), "_p": F.col("_r")})

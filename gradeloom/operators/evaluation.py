@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -271,38 +273,35 @@ def paired_differences(a: DataFrame, b: DataFrame, key: str = "qid", value: str
     """a - b per key; a key that only one side has raises an error when the rows are read."""
     j = a.select(key, F.col(value).alias("_a")).join(b.select(key, F.col(value).alias("_b")), key, "full")
     fine = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    msg = F.lit("paired comparison needs aligned per-query scores")
+    msg = F.lit("a query is scored on one side of the comparison only")
     return j.select(key, F.when(fine, F.col("_a") - F.col("_b")).otherwise(F.raise_error(msg).cast("double")).alias("diff"))
 
 
+#: Cumulative probabilities of a Poisson variable of mean one: a draw counts those at or below a uniform.
+POISSON = [math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+
+
 def paired_bootstrap(
     diffs: DataFrame, by: list[str], key: str = "qid", resamples: int = 10_000, seed: int = 0
 ) -> DataFrame:
     """Mean difference, 95 % interval and two-sided p per comparison.
 
-    Every resample draws n rows with replacement by keyed draws (resample, position). Draws
-    meet the values by an equi-join on the drawn position and are summed per resample
-    before the shuffle; only the resample means reach the percentile step, so no group
-    there grows with n.
+    In every resample each row counts a keyed Poisson(1) number of times, and the resample's mean
+    is the ratio of the two sums. Sums are combined before the shuffle, so that ``resamples``
+    rows per comparison and task are moved, whatever the number of rows.
     """
-    placed = running(diffs.select(*by, key, "diff"), by, [F.col(key)], rank="_i")
-    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_diff"))
-    draws = (
-        placed.select(*by, "_i")
-        .join(sizes.select(*by, "n"), by)
-        .select(*by, "n", F.col("_i").alias("_j"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-        .withColumn("_i", F.floor(ex.uniform(seed, "resample", "_j") * F.col("n")) + 1)
-    )
-    boot = (
-        draws.join(placed.select(*by, "_i", "diff"), [*by, "_i"])
-        .groupBy(*by, "resample")
-        .agg(F.avg("diff").alias("m"))
-    )
+    rows = diffs.select(*by, key, "diff")
+    draws = rows.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    u = ex.uniform(seed, "resample", key)
+    weight = sum(((u >= F.lit(c)).cast("int") for c in POISSON), F.lit(0))
+    boot = draws.withColumn("_w", weight).groupBy(*by, "resample").agg(
+        F.try_divide(F.sum(F.col("_w") * F.col("diff")), F.sum("_w").cast("double")).alias("m"))
     stats = boot.groupBy(*by).agg(
         F.percentile("m", F.lit(0.025)).alias("lo"),
         F.percentile("m", F.lit(0.975)).alias("hi"),
         (2.0 * F.least(ex.share(F.col("m") <= 0), ex.share(F.col("m") >= 0))).alias("_p"),
     )
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_diff"))
     return sizes.join(stats, by).select(
         *by, "n", "mean_diff", "lo", "hi", F.least("_p", F.lit(1.0)).alias("p_value")
     )

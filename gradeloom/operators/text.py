@@ -85,21 +85,15 @@ def document_frequencies(corpus: DataFrame, text: Column | str = "text") -> Data
 
 
 def counted_terms(corpus: DataFrame, text: Column | str = "text") -> DataFrame:
-    """(doc_id, dl, term, tf) without a shuffle: equal tokens stand side by side once a document's are sorted."""
-    rows = corpus.select("doc_id", F.array_sort(tokens(text)).alias("_t")).withColumn("dl", F.size("_t").cast("bigint"))
-    first = F.filter(
-        F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))
-    )
-    rows = rows.filter("dl > 0").withColumn("_s", first)
-    runs = F.transform("_s", lambda i, k: F.struct(
-        F.get("_t", i).alias("term"), (F.coalesce(F.get("_s", k + 1).cast("bigint"), F.col("dl")) - i).alias("tf")))
-    return rows.select("doc_id", "dl", F.inline(runs))
+    """(doc_id, dl, term, tf); the length is computed in the document's own row and carried along."""
+    rows = corpus.select("doc_id", tokens(text).alias("_t")).withColumn("dl", F.size("_t").cast("bigint"))
+    return rows.select("doc_id", "dl", F.explode("_t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def build_postings(
     corpus: DataFrame, text: Column | str = "text", k1: float = K1, b: float = B
 ) -> DataFrame:
-    """(term, doc_id, tf, w), made where the documents lie; the mean length is one aggregate before.
+    """(term, doc_id, tf, w); the only shuffle counts (document, term).
 
     :func:`store_postings` keeps them by term for later queries.
     """

@@ -117,9 +117,11 @@ def slice_report(t):
     return ev.slice_report(t.predictions, typed.slice_key("options"))
 
 
-RESAMPLES = 100
+RESAMPLES = 1000
+# cumulative Poisson(1) probabilities: a draw is the number of them at or below a uniform
+_DRAW = "(" + "+".join(f"({{u}}>={c!r}::DOUBLE)::INT" for c in ev.POISSON) + ")"
 cte("paired", "SELECT a.qid, a.ndcg-b.ndcg AS diff, row_number() OVER (ORDER BY a.qid) AS i, count(*) OVER () AS n FROM sys_metrics a JOIN sys_metrics b ON a.qid=b.qid AND a.system='latent' AND b.system='first'")
-cte("boot", f"""SELECT r, avg(diff) AS m FROM (SELECT r, floor({q.u(91, 'r', 'i')}*n)::BIGINT+1 AS pick FROM paired, (SELECT unnest(range({RESAMPLES})) AS r)) JOIN (SELECT i AS pick, diff FROM paired) USING (pick) GROUP BY 1""")
+cte("boot", f"""SELECT r, sum(w*diff)/nullif(sum(w),0) AS m FROM (SELECT r, diff, {_DRAW.format(u=q.u(91, 'r', 'qid'))} AS w FROM paired, (SELECT unnest(range({RESAMPLES})) AS r)) GROUP BY 1""")
 
 
 @query("paired_bootstrap", f"""SELECT 'latent' AS system, (SELECT count(*) FROM paired) AS n, (SELECT {q.r6('avg(diff)')} FROM paired) AS mean_diff, {q.r6('quantile_cont(m,0.025)')} AS lo, {q.r6('quantile_cont(m,0.975)')} AS hi,
@@ -182,7 +184,7 @@ cte("best_system", "SELECT system FROM sys_metrics GROUP BY 1 ORDER BY avg(ndcg)
 cte("grid_rows", """SELECT s.system, 'baseline' AS versus, s.qid, s.ndcg-b.ndcg AS diff FROM sys_metrics s JOIN sys_metrics b ON b.qid=s.qid AND b.system='first'
 UNION ALL SELECT s.system, 'best', s.qid, s.ndcg-b.ndcg FROM sys_metrics s JOIN sys_metrics b ON b.qid=s.qid AND b.system=(SELECT system FROM best_system)""")
 cte("grid_placed", "SELECT *, row_number() OVER (PARTITION BY system, versus ORDER BY qid) AS i, count(*) OVER (PARTITION BY system, versus) AS n FROM grid_rows")
-cte("grid_boot", f"""SELECT system, versus, r, avg(diff) AS m FROM (SELECT system, versus, r, floor({q.u(92, 'r', 'i')}*n)::BIGINT+1 AS pick FROM grid_placed, (SELECT unnest(range({RESAMPLES})) AS r)) JOIN (SELECT system, versus, i AS pick, diff FROM grid_placed) USING (system, versus, pick) GROUP BY 1,2,3""")
+cte("grid_boot", f"""SELECT system, versus, r, sum(w*diff)/nullif(sum(w),0) AS m FROM (SELECT system, versus, r, diff, {_DRAW.format(u=q.u(92, 'r', 'qid'))} AS w FROM grid_placed, (SELECT unnest(range({RESAMPLES})) AS r)) GROUP BY 1,2,3""")
 
 
 @query("comparison_grid", f"""SELECT system, versus, n, {q.r6('mean_diff')} AS mean_diff, {q.r6('lo')} AS lo, {q.r6('hi')} AS hi, {q.r6('p')} AS p_value FROM (SELECT system, versus, count(*) AS n, avg(diff) AS mean_diff FROM grid_rows GROUP BY 1,2)
@@ -257,13 +259,13 @@ def _temps(t):
 
 @query("temperature_grid_fit", f"SELECT bucket, t, {q.r6('nll')} AS nll, n FROM temp_fit")
 def temperature_grid_fit(t):
-    g = cal.temperature_grid(cal.bucketed(t.predictions), TGRID, ["bucket"])
+    g = cal.temperature_grid(cal.bucketed(t.predictions), TGRID, ["bucket"], total=cal.GLOBAL)
     return g.select("bucket", "t", ex.r6("nll").alias("nll"), "n")
 
 
 @query("temperature_search")
 def temperature_search(t):
-    f = cal.fit_temperature(cal.bucketed(t.predictions), ["bucket"])
+    f = cal.fit_temperature(cal.bucketed(t.predictions), ["bucket"], total=cal.GLOBAL)
     return f.select("bucket", "n", ex.r6("t", 3).alias("t"), ex.r6("nll").alias("nll"))
 
 
