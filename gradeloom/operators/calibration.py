@@ -32,25 +32,25 @@ def bucketed(records: DataFrame) -> DataFrame:
     return records.filter(F.col("label").isNotNull()).select(ex.size_bucket("qtype", F.size("logits")).alias("bucket"), "logits", "label")
 
 
-def _loss_sums(rows: DataFrame, by: list[str], loss, grids: dict[str, list[Column]]) -> DataFrame:
-    """One row per group: its rows ``n`` and, for every grid, the summed loss of each candidate.
+def _loss_sums(rows: DataFrame, by: list[str], loss, grid: Column) -> DataFrame:
+    """(by.., i, s, n): the summed loss of every candidate of ``grid`` (an array) per group.
 
-    All candidates of a row are added up where the row lies; no row is copied.
+    A row's losses are one array made where the row lies; only numbers go on from there, and they
+    are added up before the shuffle.
     """
-    sums = [F.sum(loss(t)).alias(f"{name}{i}") for name, grid in grids.items() for i, t in enumerate(grid)]
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
+    return rows.select(*by, F.posexplode(F.transform(grid, loss)).alias("i", "_loss")).groupBy(*by, "i").agg(F.sum("_loss").alias("s"), F.count(F.lit(1)).alias("n"))
 
 
-def _best(sums: DataFrame, keys: list[str], name: str, grid: list[Column]) -> DataFrame:
-    """The candidate with the lowest mean loss (to twelve digits, then the lowest) per row of ``sums``."""
-    means = F.array(*[F.struct(F.round(F.col(f"{name}{i}") / F.col("n"), 12).alias("r"), t.alias("t"), (F.col(f"{name}{i}") / F.col("n")).alias("nll"))
-                      for i, t in enumerate(grid)])
-    return sums.withColumn("_b", F.array_min(means)).select(*keys, F.col("_b.t").alias("t"), F.col("_b.nll").alias("nll"), "n")
+def _best(sums: DataFrame, by: list[str], t: Column) -> DataFrame:
+    """The candidate with the lowest mean loss (to twelve digits, then the lowest ``t``) per group."""
+    rows = sums.withColumns({"_t": t, "_m": F.col("s") / F.col("n")})
+    best = F.min_by(F.struct("_t", "_m"), F.struct(F.round("_m", 12), F.col("_t")))
+    return rows.groupBy(*by).agg(best.alias("_b"), F.max("n").alias("n")).select(*by, F.col("_b._t").alias("t"), F.col("_b._m").alias("nll"), "n")
 
 
-def _whole(sums: DataFrame, name: str, points: int) -> DataFrame:
+def _whole(sums: DataFrame) -> DataFrame:
     """The sums of everything from the sums of the groups."""
-    return sums.agg(F.sum("n").alias("n"), *[F.sum(f"{name}{i}").alias(f"{name}{i}") for i in range(points)])
+    return sums.groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 def temperature_grid(rows: DataFrame, grid: list[float], by: list[str], loss=None, total: str | None = None) -> DataFrame:
@@ -59,12 +59,12 @@ def temperature_grid(rows: DataFrame, grid: list[float], by: list[str], loss=Non
     ``total`` names a further group that holds all rows (then ``by`` is one column).
     """
     loss = loss or (lambda t: _nll(F.col("logits"), F.col("label"), t))
-    ts = [F.lit(float(g)) for g in grid]
-    sums = cut_lineage(_loss_sums(rows, by, loss, {"_l": ts}))  # one row per group
-    found = _best(sums, by, "_l", ts)
+    ts = F.array(*[F.lit(float(g)) for g in grid])
+    sums = _loss_sums(rows, by, loss, ts)
     if total is not None:
-        found = found.unionByName(_best(_whole(sums, "_l", len(ts)).withColumn(by[0], F.lit(total)), by, "_l", ts))
-    return found
+        sums = cut_lineage(sums)  # a row per group and candidate, read twice
+        sums = sums.unionByName(_whole(sums).withColumn(by[0], F.lit(total)))
+    return _best(sums, by, F.get(ts, F.col("i")))
 
 
 def fit_temperature(
@@ -79,33 +79,26 @@ def fit_temperature(
     """
     rows = rows.persist()
     loss = loss or (lambda t: _nll(F.col("logits"), F.col("label"), t))
-
-    def spread(a: Column, b: Column) -> list[Column]:
-        return [a * F.pow(b / a, F.lit(i / (points - 1))) for i in range(points)]
-
-    def narrowed(best: DataFrame) -> DataFrame:
-        step = F.pow(F.col("_hi") / F.col("_lo"), F.lit(1.0 / (points - 1)))
-        return best.select(*by, F.greatest(F.col("t") / step, F.col("_lo")).alias("_lo"), F.least(F.col("t") * step, F.col("_hi")).alias("_hi"), "nll", "n")
-
-    brackets = rows.select(*by).distinct().withColumns({"_lo": F.lit(float(lo)), "_hi": F.lit(float(hi))})
-    whole = (float(lo), float(hi))
-    own = spread(F.col("_lo"), F.col("_hi"))
+    brackets = rows.select(*by).distinct()
+    if total is not None:
+        brackets = brackets.union(rows.sparkSession.createDataFrame([(total,)], brackets.schema))
+    brackets = brackets.withColumns({"_lo": F.lit(float(lo)), "_hi": F.lit(float(hi))})
     for _ in range(passes):
-        grids = {"_l": own}
-        if total is not None:
-            everything = spread(F.lit(whole[0]), F.lit(whole[1]))
-            grids["_w"] = everything
-        # one row per group; the brackets meet the rows by a join whose form Spark picks
-        sums = cut_lineage(_loss_sums(rows.join(brackets.select(*by, "_lo", "_hi"), by), [*by, "_lo", "_hi"], loss, grids))
-        brackets = narrowed(_best(sums, [*by, "_lo", "_hi"], "_l", own))
-        if total is not None:
-            last = narrowed(_best(_whole(sums, "_w", points).withColumns({by[0]: F.lit(total), "_lo": F.lit(whole[0]), "_hi": F.lit(whole[1])}), [*by, "_lo", "_hi"], "_w", everything)).first()
-            whole = (last["_lo"], last["_hi"]) if last and last["_lo"] is not None else whole  # three numbers
-    found = brackets.select(*by, "n", F.sqrt(F.col("_lo") * F.col("_hi")).alias("t"), "nll")
-    if total is not None and last:
-        found = found.unionByName(_whole(sums, "_w", points).select(
-            F.lit(total).alias(by[0]), "n", F.lit((whole[0] * whole[1]) ** 0.5).alias("t"), F.lit(last["nll"]).alias("nll")))
-    found = cut_lineage(found)
+        step = F.pow(F.col("_hi") / F.col("_lo"), F.lit(1.0 / (points - 1)))
+        grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_lo") * F.pow(step, i))
+        # one row per group: small, and how they meet the rows is left to Spark
+        brackets = cut_lineage(brackets.withColumn("_grid", grid))
+        mine = rows.join(brackets.select(*by, "_grid"), by)
+        if total is None:
+            sums = _loss_sums(mine, by, loss, F.col("_grid"))
+        else:
+            whole = brackets.filter(F.col(by[0]) == total).select("_grid").scalar()
+            both = cut_lineage(_loss_sums(mine.withColumn("_grid", F.concat("_grid", whole)), by, loss, F.col("_grid")))
+            rest = _whole(both.filter(F.col("i") >= points)).select(F.lit(total).alias(by[0]), (F.col("i") - points).alias("i"), "s", "n")
+            sums = both.filter(F.col("i") < points).unionByName(rest)
+        best = _best(sums.join(brackets.select(*by, "_lo", "_hi", "_grid"), by), [*by, "_lo", "_hi"], F.get("_grid", F.col("i")))
+        brackets = best.select(*by, F.greatest(F.col("t") / step, F.col("_lo")).alias("_lo"), F.least(F.col("t") * step, F.col("_hi")).alias("_hi"), "nll", "n")
+    found = cut_lineage(brackets.select(*by, "n", F.sqrt(F.col("_lo") * F.col("_hi")).alias("t"), "nll"))
     rows.unpersist()
     return found
 

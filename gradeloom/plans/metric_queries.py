@@ -149,7 +149,21 @@ def binary_temperature(t):
     return cal.fit_binary_temperature(rows, ["system"], grid=GRID).select("system", "t")
 
 
-@query("binary_temperature_search")
+def _search_sql(rows: str, by: str, loss: str, lo: float, hi: float, columns: str) -> str:
+    """The narrowing grid, pass by pass: 24 candidates, six passes."""
+    out = [f"b0 AS (SELECT DISTINCT {by}, {lo}::DOUBLE AS lo, {hi}::DOUBLE AS hi FROM {rows})"]
+    for k in range(6):
+        out.append(f"g{k} AS (SELECT {by}, lo, hi, lo*pow(hi/lo, i/23.0::DOUBLE) AS t FROM b{k}, (SELECT unnest(range(24)) AS i))")
+        out.append(f"l{k} AS (SELECT g.{by}, lo, hi, t, avg({loss}) AS nll, count(*) AS n FROM {rows} x JOIN g{k} g ON g.{by}=x.{by} GROUP BY 1,2,3,4)")
+        out.append(f"""b{k + 1} AS (SELECT {by}, greatest(t/pow(hi/lo,1/23.0::DOUBLE),lo) AS lo, least(t*pow(hi/lo,1/23.0::DOUBLE),hi) AS hi, nll, n FROM (
+SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY round(nll,12), t) AS r FROM l{k}) WHERE r=1)""")
+    return "WITH " + ",\n".join(out) + f"\nSELECT {by}, {q.r6('sqrt(lo*hi)', 3)} AS t, {columns} FROM b6"
+
+
+cte("logit_rows", f"SELECT system, relevant, {_LOGIT} AS z FROM system_scores")
+
+
+@query("binary_temperature_search", _search_sql("logit_rows", "system", "greatest(z/t,0.0)+ln(1+exp(-abs(z/t)))-relevant*z/t", 0.05, 20.0, "n"))
 def binary_temperature_search(t):
     f = cal.fit_binary_temperature(t.system_scores, ["system"])
     return f.select("system", ex.r6("t", 3).alias("t"), "n")
@@ -263,7 +277,7 @@ def temperature_grid_fit(t):
     return g.select("bucket", "t", ex.r6("nll").alias("nll"), "n")
 
 
-@query("temperature_search")
+@query("temperature_search", _search_sql("bucket_rows", "bucket", f"{q.lse('logits', 't')}-(logits[label+1]-list_max(logits))/t", 0.02, 10.0, f"{q.r6('nll')} AS nll, n"))
 def temperature_search(t):
     f = cal.fit_temperature(cal.bucketed(t.predictions), ["bucket"], total=cal.GLOBAL)
     return f.select("bucket", "n", ex.r6("t", 3).alias("t"), ex.r6("nll").alias("nll"))
