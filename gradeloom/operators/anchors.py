@@ -14,9 +14,9 @@ TEMPLATES = [
     {"anchor_no": 1, "name": "background", "grade": 1, "utility": -1.0,
      "template": "An overview of {query}: how the subject came up and where it is studied. No finding is given."},
     {"anchor_no": 2, "name": "partial", "grade": 2, "utility": 1.0,
-     "template": "On {query}: one sentence of this long report touches the point and hints at an answer."},
+     "template": "Minutes of a meeting at which {query} came up twice. A figure was quoted; nobody drew a conclusion."},
     {"anchor_no": 3, "name": "direct", "grade": 3, "utility": 3.0,
-     "template": "{query}. The answer is stated here in full, with its conditions and the evidence for it."},
+     "template": "Settled: {query}. What holds, by how much, under which conditions and who measured it follows."},
 ]
 _TYPES = {"anchor_no": "int", "name": "string", "grade": "int", "utility": "double", "template": "string"}
 

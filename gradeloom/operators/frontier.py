@@ -1,7 +1,6 @@
 """Which candidates are still contested, what that may cost, and what to do about it.
 
-Input is the scored pool (qid, item_id, utility, sigma); pools hold at most ``MAX_POOL``
-rows, guarded where a pool becomes one row.
+Input is the scored pool (qid, item_id, utility, sigma) of a first stage, whose depth bounds it.
 """
 
 from __future__ import annotations
@@ -11,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as ex
 from ..functions.lineage import cut_lineage
+from .judgements import PRICE_PER_MILLION
 
 Z, P_FLOOR = 1.64, 0.02
-MAX_POOL = 10_000
 TARGET_SIGMA = 0.12
 # fixed values: price, latency and share of the regret an action resolves, in listed order
 ACTIONS = [
@@ -71,35 +70,28 @@ def expected_regret(
     seed: int = 0,
     scale: str | None = "utility",
     carry: list[str] | None = None,
+    clip: bool = True,
 ) -> DataFrame:
     """Expected nDCG@k lost by shipping the current order, per query.
 
     Each draw perturbs every utility by its sigma and treats the result as the truth. Draws
     are keyed by (query, item, draw), so a before/after pair sees common random numbers.
-    ``scale`` names a column whose clipped range [max(min,0), max(max,0)] the draws are
-    mapped onto; None clips the draws at 0 instead.
+    ``scale`` names a column whose range the draws are mapped onto, cut off below at 0 where
+    ``clip`` says so; None clips the draws at 0 instead.
 
-    A pool is gathered once into a sorted list and the draws are made from that row: the
-    draws multiply neither shuffled rows nor windows. A pool above MAX_POOL rows is an
-    error, not a cut.
+    A pool is gathered once into a sorted list and all draws are made inside that row, one after
+    the other: the draws copy no row and multiply neither shuffles nor windows.
     """
     item = F.struct((-F.col("utility")).alias("neg"), F.col("item_id"), F.col("sigma"))
     aggs = [F.sort_array(F.collect_list(item)).alias("_items")]
     if scale is not None:
         aggs += [
-            F.greatest(F.min(scale), F.lit(0.0)).alias("_lo"),
-            F.greatest(F.max(scale), F.lit(0.0)).alias("_hi"),
+            (F.greatest(F.min(scale), F.lit(0.0)) if clip else F.min(scale)).alias("_lo"),
+            (F.greatest(F.max(scale), F.lit(0.0)) if clip else F.max(scale)).alias("_hi"),
             F.min("utility").alias("_ulo"),
             F.max("utility").alias("_uhi"),
         ]
     pools = scored.groupBy("qid", *(carry or [])).agg(*aggs)
-    items = F.when(F.size("_items") <= MAX_POOL, F.col("_items")).otherwise(
-        F.raise_error(F.lit("pool too large; retrieve fewer candidates")).cast(pools.schema["_items"].dataType)
-    )
-    draws = pools.withColumn("_items", items).withColumn(
-        "_draw", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
-    )
-
     def rel(x: Column) -> Column:
         if scale is None:
             return F.greatest(x, F.lit(0.0))
@@ -107,20 +99,20 @@ def expected_regret(
         width = F.greatest(F.col("_uhi") - F.col("_ulo"), F.lit(1e-9))
         return F.col("_lo") + (x - F.col("_ulo")) / width * span
 
-    def drawn(x: Column) -> Column:
-        noise = ex.normal(seed, "qid", x["item_id"], F.col("_draw"))
+    def drawn(x: Column, draw: Column) -> Column:
+        noise = ex.normal(seed, "qid", x["item_id"], draw)
         return ex.gain(rel(noise * x["sigma"] - x["neg"]))
 
     def dcg(a: Column) -> Column:
         return ex.arr_sum(F.transform(F.slice(a, 1, k), lambda g, i: g * ex.discount(i + 1)))
 
-    gains = draws.withColumn("_g", F.transform("_items", drawn))
-    # gains grow with the draw, so sorting them is ranking by the draw
-    losses = gains.select(
-        "qid", *(carry or []), dcg(F.col("_g")).alias("_shipped"), dcg(F.sort_array("_g", asc=False)).alias("_ideal")
-    )
-    loss = F.when(F.col("_ideal") > 0, (F.col("_ideal") - F.col("_shipped")) / F.col("_ideal")).otherwise(0.0)
-    return losses.groupBy("qid", *(carry or [])).agg(F.avg(F.greatest(loss, F.lit(0.0))).alias("regret"))
+    def loss(gains: Column) -> Column:
+        # gains grow with the draw, so sorting them is ranking by the draw
+        shipped, ideal = dcg(gains), dcg(F.sort_array(gains, asc=False))
+        return F.greatest(F.when(ideal > 0, (ideal - shipped) / ideal).otherwise(0.0), F.lit(0.0))
+
+    gains = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda d: F.transform("_items", lambda x: drawn(x, d)))
+    return pools.select("qid", *(carry or []), (ex.arr_sum(F.transform(gains, loss)) / samples).alias("regret"))
 
 
 def break_even_lambda(regrets: DataFrame, actions: list[dict] | None = None, action: str | None = None) -> DataFrame:
@@ -204,8 +196,9 @@ def cascade(
 ) -> dict[str, DataFrame]:
     """Regret, frontier, decision, judgement, fusion and the new regret for all queries.
 
-    ``verdicts`` is (qid, item_id, expected_grade, level_probs, cost_usd); without it nothing
-    is escalated. Returns the final order, a per-query summary and the escalation log.
+    ``verdicts`` is (qid, item_id, expected_grade, level_probs, cost_usd and maybe tokens);
+    without it nothing is judged. Returns the final order, a per-query summary (with cost and
+    latency of its action), the escalation log and the targets without a verdict.
     """
     scored = cut_lineage(scored)  # the pools are read by every step below; make them once
     front = frontier(scored, k)
@@ -218,16 +211,23 @@ def cascade(
             "qid", "item_id", F.lit(None).cast("double").alias("expected_grade"),
             F.lit(None).cast("array<double>").alias("level_probs"), F.lit(None).cast("double").alias("cost_usd"),
         ).filter(F.lit(False))
-    bought = cut_lineage(targets.join(verdicts, ["qid", "item_id"]))  # the escalation log's rows
+    if "tokens" in verdicts.columns:  # a verdict that names no price costs its tokens
+        price = F.col("tokens") / 1e6 * PRICE_PER_MILLION
+        verdicts = verdicts.withColumn("cost_usd", F.coalesce("cost_usd", price)).drop("tokens")
+    # the escalation log's rows, and the targets that nobody answered
+    asked = cut_lineage(targets.join(verdicts.withColumn("_answered", F.lit(True)), ["qid", "item_id"], "left"))
+    bought, unanswered = asked.filter("_answered").drop("_answered"), asked.filter("_answered IS NULL").select("qid", "item_id", "contest_rank")
     fused = fuse(scored, bought, weight)
     after = expected_regret(fused, k, samples, seed).withColumnRenamed("regret", "regret_after")
-    spend = bought.groupBy("qid").agg(F.count(F.lit(1)).alias("n_judged"), F.sum("cost_usd").alias("cost_usd"))
+    spend = asked.groupBy("qid").agg(
+        F.count("_answered").alias("n_judged"), F.count_if(F.col("_answered").isNull()).alias("n_unanswered"), F.sum("cost_usd").alias("cost_usd"))
+    latency = F.coalesce(*[F.when(F.col("action") == a["action"], F.lit(a["latency_ms"])) for a in ACTIONS], F.lit(0.0))
     summary = (
         decided.withColumnRenamed("regret", "regret_before")
         .join(after, "qid")
         .join(spend, "qid", "left")
-        .withColumn("n_judged", F.coalesce("n_judged", F.lit(0)))
-        .withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0.0)))
+        .fillna({"n_judged": 0, "n_unanswered": 0, "cost_usd": 0.0})
+        .withColumn("latency_ms", latency)
         .withColumn("escalated", F.col("n_judged") > 0)
         .withColumn("regret_resolved", F.col("regret_before") - F.col("regret_after"))
     )
@@ -236,7 +236,7 @@ def cascade(
     log = bought.select(
         "qid", "item_id", "level_probs", F.col("utility").alias("student_utility"), F.col("sigma").alias("student_sigma")
     )
-    return {"order": order, "summary": summary, "log": log}
+    return {"order": order, "summary": summary, "log": log, "unanswered": unanswered}
 
 
 def lambda_sweep(state: DataFrame, lambdas: list[float], quality: str | None = None, **kw) -> DataFrame:

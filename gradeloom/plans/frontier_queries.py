@@ -128,23 +128,27 @@ def fuse_verdicts(t):
 # the cascade: common random numbers before and after, targets only where a judge is bought
 _decision_ctes("cas_decision", "60.0::DOUBLE", 0.0, "qid", "cas_state")
 cte("cas_state", "SELECT qid, sum(on_frontier::INT)::BIGINT AS frontier_size, max(utility) AS pool_quality, count(*) AS n_candidates, any_value(g.regret) AS regret FROM front JOIN regret_all g USING (qid) GROUP BY 1")
-cte("cas_bought", """SELECT c.qid, c.item_id, c.utility, c.sigma, v.expected_grade, v.cost_usd, v.level_probs FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p_swap DESC, item_id) AS cr FROM front WHERE on_frontier) WHERE cr<=30) c
-JOIN verdicts v ON v.qid=c.qid AND v.item_id=c.item_id JOIN cas_decision d ON d.qid=c.qid WHERE d.action IN ('teacher_rubric','teacher_choice')""")
+cte("cas_asked", f"""SELECT c.qid, c.item_id, c.cr, c.utility, c.sigma, v.expected_grade, coalesce(v.cost_usd, v.tokens/1e6*0.042::DOUBLE) AS cost_usd, v.level_probs, v.qid IS NOT NULL AS answered FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p_swap DESC, item_id) AS cr FROM front WHERE on_frontier) WHERE cr<=30) c
+LEFT JOIN (SELECT * FROM verdicts WHERE {q.u(93, 'qid', 'item_id')}>=0.1) v ON v.qid=c.qid AND v.item_id=c.item_id JOIN cas_decision d ON d.qid=c.qid WHERE d.action IN ('teacher_rubric','teacher_choice')""")
+cte("cas_bought", "SELECT * FROM cas_asked WHERE answered")
 cte("cas_fused", """SELECT s.qid, s.item_id, CASE WHEN e IS NOT NULL THEN 0.3::DOUBLE*s.utility+0.7::DOUBLE*(e*2.0-3.0) ELSE s.utility END AS utility, CASE WHEN e IS NOT NULL THEN least(s.sigma,0.12::DOUBLE) ELSE s.sigma END AS sigma
 FROM scored s LEFT JOIN (SELECT qid, item_id, expected_grade AS e FROM cas_bought) x ON x.qid=s.qid AND x.item_id=s.item_id""")
 _regret_ctes("cas_after", "cas_fused", 5, False)
 
 
 def _cascade(t):
-    v = t.verdicts.select("qid", "item_id", "expected_grade", "level_probs", "cost_usd")
+    """A tenth of the verdicts never arrives; a quarter of the others names tokens but no price."""
+    v = t.verdicts.filter(ex.uniform(93, "qid", "item_id") >= 0.1)
+    v = v.select("qid", "item_id", "expected_grade", "level_probs", "cost_usd", "tokens")
     return fr.cascade(t.scored, v, K, SAMPLES, lambda_cost=60.0, seed=5)
 
 
-@query("cascade_summary", f"""SELECT d.qid, d.frontier_size, d.action, {q.r6('d.regret')} AS regret_before, {q.r6('a.regret')} AS regret_after, {q.r6('d.regret-a.regret')} AS regret_resolved, coalesce(n,0) AS n_judged, {q.r6('coalesce(c,0.0)', 9)} AS cost_usd, coalesce(n,0)>0 AS escalated
-FROM cas_decision d JOIN cas_after a ON a.qid=d.qid LEFT JOIN (SELECT qid, count(*) AS n, sum(cost_usd) AS c FROM cas_bought GROUP BY 1) b ON b.qid=d.qid""")
+@query("cascade_summary", f"""SELECT d.qid, d.frontier_size, d.action, {q.r6('d.regret')} AS regret_before, {q.r6('a.regret')} AS regret_after, {q.r6('d.regret-a.regret')} AS regret_resolved, coalesce(n,0) AS n_judged, {q.r6('coalesce(c,0.0)', 9)} AS cost_usd, coalesce(n,0)>0 AS escalated,
+coalesce(u,0) AS n_unanswered, coalesce((SELECT latency_ms FROM action_list l WHERE l.action=d.action),0.0) AS latency_ms
+FROM cas_decision d JOIN cas_after a ON a.qid=d.qid LEFT JOIN (SELECT qid, count_if(answered) AS n, count_if(NOT answered) AS u, sum(cost_usd) AS c FROM cas_asked GROUP BY 1) b ON b.qid=d.qid""")
 def cascade_summary(t):
     s = _cascade(t)["summary"]
-    return s.select("qid", "frontier_size", "action", *[ex.r6(c).alias(c) for c in ("regret_before", "regret_after", "regret_resolved")], "n_judged", ex.r6("cost_usd", 9).alias("cost_usd"), "escalated")
+    return s.select("qid", "frontier_size", "action", *[ex.r6(c).alias(c) for c in ("regret_before", "regret_after", "regret_resolved")], "n_judged", ex.r6("cost_usd", 9).alias("cost_usd"), "escalated", "n_unanswered", "latency_ms")
 
 
 @query("cascade_order", f"SELECT qid, item_id, row_number() OVER (PARTITION BY qid ORDER BY utility DESC, item_id) AS rank FROM cas_fused")
@@ -152,6 +156,11 @@ def cascade_order(t):
     return _cascade(t)["order"].select("qid", "item_id", "rank")
 
 
+@query("unanswered_targets", "SELECT qid, item_id, cr AS contest_rank FROM cas_asked WHERE NOT answered")
+def unanswered_targets(t):
+    return _cascade(t)["unanswered"]
+
+
 @query("escalation_log", "SELECT qid, item_id, level_probs, utility AS student_utility, sigma AS student_sigma FROM cas_bought")
 def escalation_log(t):
     return _cascade(t)["log"]

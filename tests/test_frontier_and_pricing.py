@@ -84,3 +84,13 @@ def test_pareto_equals_brute_force_on_many_points(spark):
     want = {a[0] for a in rows if not any(b[1] <= a[1] and b[2] >= a[2] and (b[1] < a[1] or b[2] > a[2]) for b in rows)}
     pts = spark.createDataFrame(rows, "name string, cost_per_1k double, quality double, family string")
     assert {r.name for r in pricing.pareto(pts).filter("on_front").collect()} == want
+
+
+def test_targets_without_a_verdict_are_reported_and_missing_prices_filled(spark):
+    s = scored(spark, [3.0 - 0.01 * i for i in range(30)], [0.8] * 30)
+    v = spark.createDataFrame([(1, i, 2.0, [0.25] * 4, None, 1000) for i in range(2)],
+                              "qid int, item_id int, expected_grade double, level_probs array<double>, cost_usd double, tokens long")
+    out = fr.cascade(s, v, samples=16, lambda_cost=1.0)
+    row = out["summary"].first()
+    assert row.n_judged + row.n_unanswered == 30 and row.n_judged == 2 and out["unanswered"].count() == 28
+    assert abs(row.cost_usd - 2 * 1000 / 1e6 * 0.042) < 1e-12 and row.latency_ms > 0

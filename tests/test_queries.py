@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 QUICK = [
     "bm25_topk", "signature_lexical", "qrels_parse", "validate_examples", "request_digest", "verdict_parse", "pack_state",
     "calibrated_pool", "scale_report_pooled", "frontier", "expected_regret", "cascade_summary", "pareto_front", "slice_report",
-    "comparison_grid", "ece_by_bucket_raw", "conformal_fit", "rolling_coverage", "lambda_ranknet", "training_slates",
+    "comparison_grid", "ece_by_bucket_raw", "temperature_grid_fit", "unanswered_targets", "additive_fit", "bm25_topk_indexed", "run_metrics",
+    "verdict_cache_stats", "scorer_violations", "conformal_fit", "rolling_coverage", "lambda_ranknet", "training_slates",
 ]
 needs_data = pytest.mark.skipif(not Path(SF).exists(), reason="driver tables not here")
 

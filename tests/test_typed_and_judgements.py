@@ -172,3 +172,20 @@ def test_coverage_streams(spark, tmp_path):
     whole = coverage.windowed_coverage(base, "1 hour")
     first = {(r.window.start, r.grp): r.n for r in whole.collect()}
     assert all(first[(r.window.start, r.grp)] >= r.n for r in w.filter("window.start > timestamp_seconds(3600)").collect())
+
+
+def test_run_metrics_of_any_depth(spark):
+    from gradeloom.sources import ledger
+
+    text = '{"a":1,"b":{"c":2,"d":{"e":3,"on":true}},"by":{"4":{"r":0.5}},"l":[1,{"x":2},[3]],"s":"no","n":null}'
+    rows = spark.createDataFrame([("r", text), ("broken", "{"), ("none", None)], "run string, metrics string")
+    got = {(r.run, r.path): r.value for r in ledger.run_metrics(rows).collect()}
+    assert got == {("r", p): v for p, v in {"a": 1, "b.c": 2, "b.d.e": 3, "by.4.r": 0.5, "l.0": 1, "l.1.x": 2, "l.2.0": 3}.items()}
+
+
+def test_a_stored_verdict_without_a_cost_is_a_hit_once(spark):
+    req = spark.createDataFrame([("b", "d1"), ("b", "d2"), ("b", "d3")], "backend string, digest string")
+    cache = spark.createDataFrame([("b", "d1", 0.5), ("b", "d1", None), ("b", "d2", None)], "backend string, digest string, cost_usd double")
+    got = jd.cache_stats(req, cache).first()
+    assert (got.hits, got.misses, got.saved_usd) == (2, 1, 0.5)
+    assert jd.cache_lookup(req, cache)[0].count() == 2
