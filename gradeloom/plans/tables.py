@@ -73,7 +73,8 @@ class Tables:
             .when(10 * F.col("c") >= 6 * F.col("n"), 1)
             .otherwise(F.when(flip, -1).otherwise(0))
         )
-        return c.filter(10 * F.col("c") >= 5 * F.col("n")).select("qid", "doc_id", grade.alias("grade"))
+        # the judged pairs are few, and most users read them more than once
+        return cut_lineage(c.filter(10 * F.col("c") >= 5 * F.col("n")).select("qid", "doc_id", grade.alias("grade")))
 
     @cached_property
     def qrels(self) -> DataFrame:
