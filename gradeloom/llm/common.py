@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.lineage import shared_folder
 
@@ -66,3 +67,24 @@ def keep_rows(df: DataFrame, wanted: Callable[[pa.RecordBatch], list[bool]]) ->
         return {name: kept.column(k) for k, name in enumerate(kept.schema.names)}
 
     return per_batch(df, run, schema)
+
+
+def text_key() -> Column:
+    """The 64-bit hash that stands for a text; NULL is the empty text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def one_per_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each class of ``classes`` (text_key, component).
+
+    The row with the smallest doc_id stays (rows without one come last), among these the first by
+    hash of text and row. Minima are combined before the shuffle and hold no text.
+    """
+    columns = docs.columns
+    row = F.xxhash64(*[x for c in columns for x in (F.col(c).cast("string"), F.col(c).isNull())])
+    keyed = docs.withColumns({"_text": text_key(), "_row": row})
+    first = keyed.select("doc_id", "_text", "_row").join(classes.select(F.col("text_key").alias("_text"), "component"), "_text").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_row")).alias("f"))
+    heads = first.select(F.col("f.doc_id").alias("_id"), F.col("f._text").alias("_t"), F.col("f._row").alias("_r"))
+    kept = keyed.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")) & (F.col("_row") == F.col("_r")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text", "_row"]).select(*columns)

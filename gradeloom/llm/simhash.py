@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.components import connected_components
 from ..functions.lineage import cut_lineage
-from .common import per_batch
+from .common import one_per_class, per_batch, text_key
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -194,13 +194,18 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS, limit: int
     return _bucketed_links(usual, max_bits).union(_ball_links(full.select("fp").distinct(), 2))
 
 
+def _components(distinct: DataFrame, max_bits: int, limit: int) -> DataFrame:
+    """``distinct`` (fp and other columns) with the ``component`` of every fingerprint."""
+    classes = connected_components(link_fingerprints(distinct.select("fp"), max_bits, limit), "a", "b")
+    named = distinct.join(classes.select(F.col("node").alias("fp"), "component"), "fp", "left")
+    return named.withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE_WORDS, limit: int = BUCKET_LIMIT) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``: the smallest doc_id reachable by links."""
     marked = cut_lineage(fingerprints(docs, shingle))
     distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    classes = connected_components(link_fingerprints(distinct.select("fp"), max_bits, limit), "a", "b")
-    named = distinct.join(classes.select(F.col("node").alias("fp"), "component"), "fp", "left")
-    named = named.withColumn("component", F.coalesce("component", "fp"))
+    named = _components(distinct, max_bits, limit)
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return marked.join(named.join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -211,16 +216,10 @@ def op2(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stand for their class: the one with the smallest id.
-
-    Rows that share that smallest id (repeats, or other texts of the class) leave one row, the
-    first by text; rows without an id are kept only if their class has no id at all.
-    """
-    from pyspark.sql import Window
+    """One row of ``docs`` for each class, with its smallest id (see :func:`common.one_per_class`)."""
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"text_key": batch["text_key"], "fp": [fingerprint(t) for t in batch["text"].to_pylist()]}
 
-    found = near_duplicates(docs)
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    same = F.struct(*[F.col(c).cast("string") for c in docs.columns])
-    kept = docs.join(heads.select(F.col("doc_id").alias("_head")).distinct(), F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(same))
-    return kept.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    marked = cut_lineage(per_batch(docs.select(text_key().alias("text_key"), "text"), run, "text_key long, fp long").distinct())
+    named = _components(cut_lineage(marked.select("fp").distinct()), MAX_BITS, BUCKET_LIMIT)
+    return one_per_class(docs, marked.join(named, "fp").select("text_key", "component"))
