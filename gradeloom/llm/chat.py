@@ -5,14 +5,14 @@ reply is trainable. The template is ``### role: text</turn>`` and a line feed fo
 roles and texts ``\\``, ``#`` and ``<`` (and ``:`` in roles) are written as two-character escapes,
 so no text can hold a control string, and reading back is exact.
 
-The text of an example is a beginning of the text of the next one. So an example's row holds the
-part that is new (the turns since the reply before, and its own reply), the length of what goes
-before, and the span of its reply in the whole; parts together are as long as the conversation.
-:func:`full_texts` joins the parts to whole examples where those are wanted (their size grows with
-the square of a conversation). Turns after the last reply are a last row without a target.
+The text of an example is a beginning of the text of the next one. :func:`examples` makes the part
+that is new (the turns since the reply before, and its own reply) and the span of the reply in the
+whole; :func:`full_texts` joins the parts to whole examples, whose size grows with the square of a
+conversation. Turns after the last reply are a last row without a target. :func:`op9` builds every
+whole example and reads its reply back from it; the turns are those of the longest one.
 
-Turns are numbered by a window over one conversation, which Spark streams and spills; only the
-turns of one part, or of one digest, meet in a row.
+Turns are numbered by a window over one conversation, which Spark streams and spills. Whole
+examples are read where they are made, one at a time, and never shuffled.
 
 Defined cases: a NULL text or role is empty; turns with equal numbers follow role, then text; NULL
 turn numbers come last; rows without a conversation id are one conversation; repeated rows are
@@ -68,24 +68,30 @@ def examples(turns: DataFrame) -> DataFrame:
         F.min("_at").alias("context_chars"), F.max(start).alias("loss_start"), F.max(start + F.col("_body")).alias("loss_end"))
 
 
-def full_texts(made: DataFrame) -> DataFrame:
-    """(conv_id, example, text, loss_start, loss_end) with the whole context in every text."""
-    so_far = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def full_texts(made: DataFrame, rest: bool = False) -> DataFrame:
+    """(conv_id, example, text, loss_start, loss_end) with the whole context in every text.
+
+    ``rest`` adds the rows without a target, and ``last`` for the longest text of each conversation.
+    """
+    order = Window.partitionBy("conv_id").orderBy("example")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = made.withColumn("text", F.array_join(F.collect_list("part").over(so_far), ""))
+    if rest:
+        return whole.withColumn("last", F.lead("example").over(order).isNull()).select("conv_id", "example", "text", "loss_start", "loss_end", "last")
     return whole.filter("loss_start IS NOT NULL").select("conv_id", "example", "text", "loss_start", "loss_end")
 
 
-def read_back(made: DataFrame) -> DataFrame:
-    """(conv_id, example, turns, loss, chars): what a reader of the parts sees."""
-    turns = F.filter(F.split("part", END, -1), lambda t: t != "")
+def read_back(whole: DataFrame) -> DataFrame:
+    """(conv_id, example, turns, loss, chars) from whole texts; ``turns`` of the longest only, NULL elsewhere."""
+    turns = F.filter(F.split("text", END, -1), lambda t: t != "")
 
     def parsed(turn: Column) -> Column:
         colon = F.instr(turn, ": ")
         return F.struct(unescape(F.substr(turn, F.lit(5), colon - 5)).alias("role"), unescape(F.substr(turn, colon + 2)).alias("text"))
 
-    at = F.col("loss_start") - F.col("context_chars") + 1
-    loss = unescape(F.substr("part", at.cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))
-    return made.select("conv_id", "example", F.transform(turns, parsed).alias("turns"), F.coalesce(loss, F.lit("")).alias("loss"), F.length("part").cast("long").alias("chars"))
+    loss = unescape(F.substr("text", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))
+    return whole.select("conv_id", "example", F.when(F.col("last"), F.transform(turns, parsed)).alias("turns"),
+                        F.coalesce(loss, F.lit("")).alias("loss"), F.length("text").cast("long").alias("chars"))
 
 
 def hard_case(spark: SparkSession) -> DataFrame:
@@ -95,9 +101,9 @@ def hard_case(spark: SparkSession) -> DataFrame:
 
 def op9(conversations: DataFrame) -> DataFrame:
     turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(hard_case(conversations.sparkSession))
-    seen = read_back(examples(turns))
-    whole = seen.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "turns", "loss"))).alias("_e"), F.sum("chars").alias("formatted_chars"))
-    said = F.flatten(F.transform("_e", lambda e: e["turns"]))
+    seen = read_back(full_texts(examples(turns), rest=True))
+    whole = seen.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "loss"))).alias("_e"), F.first("turns", ignorenulls=True).alias("_said"), F.max("chars").alias("formatted_chars"))
+    said = F.col("_said")
     loss = F.array_join(F.transform("_e", lambda e: e["loss"]), "")
     lines = F.array_join(F.transform(said, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return whole.select(
