@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import ann, bpe, chat, language, packing, pii, quality, simhash, toxicity, warc
+from . import ann, bpe, chat, divergence, language, packing, pii, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_pii": lambda spark, sf: pii.op1(table(spark, sf, "documents")),
@@ -16,9 +16,11 @@ QUERIES = {
     "op8_bpe": lambda spark, sf: bpe.op8(table(spark, sf, "documents")),
     "op9_chat": lambda spark, sf: chat.op9(table(spark, sf, "conversations")),
     "op10_warc": lambda spark, sf: warc.op10(table(spark, sf, "pages")),
+    "op11_divergence": lambda spark, sf: divergence.op11(table(spark, sf, "documents")),
 }
 
 ORACLE: dict[str, str] = {
     "op9_chat": chat.oracle(),
     "op10_warc": warc.oracle(),
+    "op11_divergence": divergence.oracle(),
 }
