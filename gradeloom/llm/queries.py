@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import ann, bpe, chat, divergence, language, packing, pii, quality, simhash, spelling, toxicity, warc
+from . import ann, bpe, chat, divergence, fingerprints, language, packing, pii, quality, simhash, spelling, toxicity, warc
 
 QUERIES = {
     "op1_pii": lambda spark, sf: pii.op1(table(spark, sf, "documents")),
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_warc": lambda spark, sf: warc.op10(table(spark, sf, "pages")),
     "op11_divergence": lambda spark, sf: divergence.op11(table(spark, sf, "documents")),
     "op12_spelling": lambda spark, sf: spelling.op12(table(spark, sf, "documents")),
+    "op13_fingerprints": lambda spark, sf: fingerprints.op13(table(spark, sf, "documents")),
 }
 
 ORACLE: dict[str, str] = {
