@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as ex
 from ..functions.lineage import cut_lineage
 from .judgements import PRICE_PER_MILLION
+from .regret import expected_regret
 
 Z, P_FLOOR = 1.64, 0.02
 TARGET_SIGMA = 0.12
@@ -63,58 +64,6 @@ def most_contested(front: DataFrame, m: int = 30) -> DataFrame:
     )
 
 
-def expected_regret(
-    scored: DataFrame,
-    k: int = 10,
-    samples: int = 256,
-    seed: int = 0,
-    scale: str | None = "utility",
-    carry: list[str] | None = None,
-    clip: bool = True,
-) -> DataFrame:
-    """Expected nDCG@k lost by shipping the current order, per query.
-
-    Each draw perturbs every utility by its sigma and treats the result as the truth. Draws
-    are keyed by (query, item, draw), so a before/after pair sees common random numbers.
-    ``scale`` names a column whose range the draws are mapped onto, cut off below at 0 where
-    ``clip`` says so; None clips the draws at 0 instead.
-
-    A pool is gathered once into a sorted list and all draws are made inside that row, one after
-    the other: the draws copy no row and multiply neither shuffles nor windows.
-    """
-    item = F.struct((-F.col("utility")).alias("neg"), F.col("item_id"), F.col("sigma"))
-    aggs = [F.sort_array(F.collect_list(item)).alias("_items")]
-    if scale is not None:
-        aggs += [
-            (F.greatest(F.min(scale), F.lit(0.0)) if clip else F.min(scale)).alias("_lo"),
-            (F.greatest(F.max(scale), F.lit(0.0)) if clip else F.max(scale)).alias("_hi"),
-            F.min("utility").alias("_ulo"),
-            F.max("utility").alias("_uhi"),
-        ]
-    pools = scored.groupBy("qid", *(carry or [])).agg(*aggs)
-    def rel(x: Column) -> Column:
-        if scale is None:
-            return F.greatest(x, F.lit(0.0))
-        span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9))
-        width = F.greatest(F.col("_uhi") - F.col("_ulo"), F.lit(1e-9))
-        return F.col("_lo") + (x - F.col("_ulo")) / width * span
-
-    def drawn(x: Column, draw: Column) -> Column:
-        noise = ex.normal(seed, "qid", x["item_id"], draw)
-        return ex.gain(rel(noise * x["sigma"] - x["neg"]))
-
-    def dcg(a: Column) -> Column:
-        return ex.arr_sum(F.transform(F.slice(a, 1, k), lambda g, i: g * ex.discount(i + 1)))
-
-    def loss(gains: Column) -> Column:
-        # gains grow with the draw, so sorting them is ranking by the draw
-        shipped, ideal = dcg(gains), dcg(F.sort_array(gains, asc=False))
-        return F.greatest(F.when(ideal > 0, (ideal - shipped) / ideal).otherwise(0.0), F.lit(0.0))
-
-    gains = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda d: F.transform("_items", lambda x: drawn(x, d)))
-    return pools.select("qid", *(carry or []), (ex.arr_sum(F.transform(gains, loss)) / samples).alias("regret"))
-
-
 def break_even_lambda(regrets: DataFrame, actions: list[dict] | None = None, action: str | None = None) -> DataFrame:
     """The price of money at which the best action stops paying for itself."""
     specs = [a for a in (actions or ACTIONS) if action in (None, a["action"])]
@@ -196,8 +145,8 @@ def cascade(
 ) -> dict[str, DataFrame]:
     """Regret, frontier, decision, judgement, fusion and the new regret for all queries.
 
-    ``verdicts`` is (qid, item_id, expected_grade, level_probs, cost_usd and maybe tokens);
-    without it nothing is judged. Returns the final order, a per-query summary (with cost and
+    ``verdicts`` is (qid, item_id, expected_grade, level_probs, cost_usd and maybe tokens), one
+    without a grade never arrived; without the table nothing is judged. Returns the final order, a per-query summary (with cost and
     latency of its action), the escalation log and the targets without a verdict.
     """
     scored = cut_lineage(scored)  # the pools are read by every step below; make them once
@@ -215,10 +164,14 @@ def cascade(
         price = F.col("tokens") / 1e6 * PRICE_PER_MILLION
         verdicts = verdicts.withColumn("cost_usd", F.coalesce("cost_usd", price)).drop("tokens")
     # the escalation log's rows, and the targets that nobody answered
-    asked = cut_lineage(targets.join(verdicts.withColumn("_answered", F.lit(True)), ["qid", "item_id"], "left"))
+    asked = targets.join(verdicts, ["qid", "item_id"], "left").withColumn("_answered", F.when(F.col("expected_grade").isNotNull(), True))
+    asked = cut_lineage(asked.withColumn("cost_usd", F.when(F.col("_answered"), F.col("cost_usd"))))
     bought, unanswered = asked.filter("_answered").drop("_answered"), asked.filter("_answered IS NULL").select("qid", "item_id", "contest_rank")
     fused = fuse(scored, bought, weight)
-    after = expected_regret(fused, k, samples, seed).withColumnRenamed("regret", "regret_after")
+    # draws are keyed, so only a query that got a verdict has another regret than before
+    changed = bought.select("qid").distinct()
+    after = expected_regret(fused.join(changed, "qid", "left_semi"), k, samples, seed).unionByName(
+        decided.join(changed, "qid", "left_anti").select("qid", "regret")).withColumnRenamed("regret", "regret_after")
     spend = asked.groupBy("qid").agg(
         F.count("_answered").alias("n_judged"), F.count_if(F.col("_answered").isNull()).alias("n_unanswered"), F.sum("cost_usd").alias("cost_usd"))
     latency = F.coalesce(*[F.when(F.col("action") == a["action"], F.lit(a["latency_ms"])) for a in ACTIONS], F.lit(0.0))

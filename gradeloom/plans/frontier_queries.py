@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as ex
 from ..operators import frontier as fr, pricing
+from ..operators.regret import DRAW, MIX
 from . import sql as q
 from .registry import cte, query
 
-K, SAMPLES = 10, 32
+K, SAMPLES = 10, 256
 
 cte("front0", "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY utility DESC, item_id) AS rank, count(*) OVER (PARTITION BY qid) AS n FROM scored")
 
@@ -61,9 +62,13 @@ def most_contested(t):
 
 def _regret_ctes(name: str, src: str, seed: int, clip: bool) -> None:
     rel = "greatest(drawn,0.0)" if clip else "lo+(drawn-ulo)/greatest(uhi-ulo,1e-9)*greatest(hi-lo,1e-9)"
-    cte(f"{name}_draw", f"""SELECT *, 2.0::DOUBLE**({rel})-1.0 AS gain FROM (SELECT s.qid, item_id, d, utility, utility+{q.normal(seed, 's.qid', 'item_id', 'd')}*sigma AS drawn, lo, hi, ulo, uhi,
-row_number() OVER (PARTITION BY s.qid, d ORDER BY utility DESC, item_id) AS shipped FROM {src} s JOIN (SELECT qid, greatest(min(utility),0) AS lo, greatest(max(utility),0) AS hi, min(utility) AS ulo, max(utility) AS uhi FROM {src} GROUP BY 1) r ON r.qid=s.qid,
-(SELECT unnest(range({SAMPLES})) AS d))""")
+    words = f"""SELECT s.qid, item_id, utility, sigma, row_number() OVER (PARTITION BY s.qid ORDER BY utility DESC, item_id) AS shipped, {q.word(seed, ('s.qid', 'item_id'), 1)} AS w0, {q.word(seed, ('s.qid', 'item_id'), 9)} AS w1, lo, hi, ulo, uhi
+FROM {src} s JOIN (SELECT qid, greatest(min(utility),0) AS lo, greatest(max(utility),0) AS hi, min(utility) AS ulo, max(utility) AS uhi FROM {src} GROUP BY 1) r ON r.qid=s.qid"""
+    mixed = f"SELECT * EXCLUDE (w0, w1), (w0+d*{DRAW[0]})&4294967295 AS x, (w1+d*{DRAW[1]})&4294967295 AS y FROM ({words}), (SELECT unnest(range({SAMPLES})) AS d)"
+    for shift, factor in zip((16, 15), MIX):
+        mixed = f"SELECT * REPLACE ((xor(x, x>>{shift})*{factor})&4294967295 AS x, (xor(y, y>>{shift})*{factor})&4294967295 AS y) FROM ({mixed})"
+    drawn = f"SELECT *, utility+sigma*sqrt(-2.0*ln((xor(x, x>>16)+0.5)/4294967296.0))*cos(2.0*pi()*(xor(y, y>>16)+0.5)/4294967296.0) AS drawn FROM ({mixed})"
+    cte(f"{name}_draw", f"SELECT *, 2.0::DOUBLE**({rel})-1.0 AS gain FROM ({drawn})")
     cte(name, f"""SELECT qid, avg(greatest(CASE WHEN idcg>0 THEN (idcg-dcg)/idcg ELSE 0.0 END,0.0)) AS regret FROM (
 SELECT qid, d, sum(CASE WHEN best<={K} THEN gain/log2(best+1) ELSE 0.0 END) AS idcg, sum(CASE WHEN shipped<={K} THEN gain/log2(shipped+1) ELSE 0.0 END) AS dcg FROM (
 SELECT *, row_number() OVER (PARTITION BY qid, d ORDER BY gain DESC, item_id) AS best FROM {name}_draw) GROUP BY 1,2) GROUP BY 1""")
@@ -137,9 +142,7 @@ _regret_ctes("cas_after", "cas_fused", 5, False)
 
 
 def _cascade(t):
-    """A tenth of the verdicts never arrives; a quarter of the others names tokens but no price."""
-    v = t.verdicts.filter(ex.uniform(93, "qid", "item_id") >= 0.1)
-    v = v.select("qid", "item_id", "expected_grade", "level_probs", "cost_usd", "tokens")
+    v = t.late_verdicts.select("qid", "item_id", "expected_grade", "level_probs", "cost_usd", "tokens")
     return fr.cascade(t.scored, v, K, SAMPLES, lambda_cost=60.0, seed=5)
 
 

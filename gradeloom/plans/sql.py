@@ -7,9 +7,13 @@ from ..operators.text import STOPWORDS
 STOP = "(" + ",".join(f"'{w}'" for w in STOPWORDS) + ")"
 
 
-def _word(seed: int, keys: tuple[str, ...], at: int) -> str:
+def word(seed: int, keys: tuple[str, ...], at: int) -> str:
     joined = ",".join(["'%d'" % seed, *keys])
-    return f"((CAST(('0x'||substr(md5(concat_ws('|',{joined})),{at},8)) AS BIGINT)::DOUBLE+0.5::DOUBLE)/4294967296.0::DOUBLE)"
+    return f"CAST(('0x'||substr(md5(concat_ws('|',{joined})),{at},8)) AS BIGINT)"
+
+
+def _word(seed: int, keys: tuple[str, ...], at: int) -> str:
+    return f"(({word(seed, keys, at)}::DOUBLE+0.5::DOUBLE)/4294967296.0::DOUBLE)"
 
 
 def u(seed: int, *keys: str) -> str:

@@ -177,6 +177,12 @@ class Tables:
             F.lit(250).cast("bigint").alias("tokens"), cost.alias("cost_usd"),
         )
 
+    @cached_property
+    def late_verdicts(self) -> DataFrame:
+        """The verdicts of a judge that answers nine requests in ten; the others come back without a grade."""
+        there = ex.uniform(93, "qid", "item_id") >= 0.1
+        return self.verdicts.withColumns({c: F.when(there, F.col(c)) for c in ("expected_grade", "level_probs", "cost_usd")})
+
     @cached_property
     def system_scores(self) -> DataFrame:
         """Three systems on the same candidates, with a probability of relevance each."""
