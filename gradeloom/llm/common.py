@@ -74,17 +74,28 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def one_per_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """One row of ``docs`` for each class of ``classes`` (text_key, component).
 
     The row with the smallest doc_id stays (rows without one come last), among these the first by
-    hash of text and row. Minima are combined before the shuffle and hold no text.
+    hash of text and row. Minima are combined before the shuffle and hold no text. Columns of
+    ``docs`` stay as they are, whatever their names: what is worked out here is in one column
+    with a name that they do not use.
     """
-    columns = docs.columns
-    row = F.xxhash64(*[x for c in columns for x in (F.col(c).cast("string"), F.col(c).isNull())])
-    keyed = docs.withColumns({"_text": text_key(), "_row": row})
-    first = keyed.select("doc_id", "_text", "_row").join(classes.select(F.col("text_key").alias("_text"), "component"), "_text").groupBy("component").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_row")).alias("f"))
-    heads = first.select(F.col("f.doc_id").alias("_id"), F.col("f._text").alias("_t"), F.col("f._row").alias("_r"))
-    kept = keyed.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")) & (F.col("_row") == F.col("_r")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text", "_row"]).select(*columns)
+    columns, own = docs.columns, unused(docs, "_own")
+    row = F.xxhash64(*[x for c in columns for x in (F.col(f"`{c}`").cast("string"), F.col(f"`{c}`").isNull())])
+    keyed = docs.withColumn(own, F.struct(F.col("doc_id").alias("id"), text_key().alias("text"), row.alias("row")))
+    named = keyed.select(F.col(f"{own}.*")).join(classes.select(F.col("text_key").alias("text"), "component"), "text")
+    heads = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text", "row")).alias("f")).select("f.id", "f.text", "f.row")
+    mine = keyed.alias("k")
+    same = (F.col(f"k.{own}.id").eqNullSafe(F.col("h.id"))) & (F.col(f"k.{own}.text") == F.col("h.text")) & (F.col(f"k.{own}.row") == F.col("h.row"))
+    kept = mine.join(heads.alias("h"), same, "left_semi")
+    return kept.dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in columns])

@@ -15,7 +15,8 @@ which a repeated task makes again as it reads the same rows.
 
 Ids equal those of the ``tokenizers`` file ``byte_bpe_50k.json`` without special tokens; they are
 made with ``tiktoken`` from the same vocabulary, about five times as fast (tests compare the two
-on whole tables). A marker such as ``<|endoftext|>`` inside a text is ordinary text.
+on whole tables). A marker that the file lists, such as ``<|endoftext|>``, is its one id wherever
+it stands in a text.
 
 Defined cases: a NULL or empty text is the end id alone; repeated rows and NULL ids are packed
 like any other row; other columns are ignored; an empty table gives no pieces.
@@ -115,13 +116,13 @@ class Packer:
         self.sequences += 1
 
 
-def pack_documents(docs: DataFrame, tiers: tuple[int, ...] = TIERS, vocabulary: str = tokens.RANKS) -> DataFrame:
+def pack_documents(docs: DataFrame, tiers: tuple[int, ...] = TIERS, vocabulary: str = tokens.RANKS, marked: str = tokens.MARKED) -> DataFrame:
     """One row per piece of the documents' ids, with its place in a window."""
     if any(t & (t - 1) for t in tiers):
         raise ValueError("context sizes must be powers of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, packer = tokens.encoder(vocabulary), Packer(TaskContext.get().partitionId(), tiers)
+        bpe, packer = tokens.marked_encoder(vocabulary, marked), Packer(TaskContext.get().partitionId(), tiers)
         kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -133,7 +134,7 @@ def pack_documents(docs: DataFrame, tiers: tuple[int, ...] = TIERS, vocabulary:
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = bpe.encode_to_numpy(text.as_py() or "", disallowed_special=())
+                ids = bpe.encode_to_numpy(text.as_py() or "", allowed_special="all")
                 packer.add(doc_id, np.append(ids, END_ID).astype("<u4"))
                 if packer.waiting >= POOL_TOKENS:
                     packer.pack()

@@ -30,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.components import connected_components
 from ..functions.lineage import cut_lineage
 from .common import one_per_class, per_batch, text_key
+from .components import connected_components
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2

@@ -9,13 +9,12 @@ from tokenizers import Tokenizer
 from gradeloom.llm import packing, tokens
 
 LONG = "word " * 30_000
-HARD = [None, "", " ", "a", "<|endoftext|> x", "é" * 5000, "x\x1cy \x85z  q  w", "a" * 40_000, LONG, "tie", "tie"]
+HARD = [None, "", " ", "a", "<|endoftext|> x", "a<|endoftext|><|endoftext|>b <|endoftext|", "é" * 5000, "x\x1cy \x85z  q  w", "a" * 40_000, LONG, "tie", "tie"]
 
 
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -85,3 +84,8 @@ def test_tiers_and_steps():
 
 def test_vocabularies_agree():
     assert len(tokens.token_bytes()) == 50_256 and all(tokens.token_bytes())
+
+
+def test_a_marker_is_one_id(reference):
+    assert tokens.marked_encoder().encode("<|endoftext|> x", allowed_special="all") == [50256, 2124]
+    assert reference("<|endoftext|> x") == [50256, 2124, 1]
