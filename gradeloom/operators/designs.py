@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import expr as ex
 from ..functions.lineage import cut_lineage
@@ -114,18 +116,98 @@ def connectivity(design: DataFrame) -> DataFrame:
     )
 
 
-def fit_additive(obs: DataFrame, tolerance: float = 1e-11, per_check: int = 4, max_checks: int = 100) -> DataFrame:
+#: Observations of a query that are solved in one place; larger queries are solved by windows over their rows.
+LOCAL_OBS = 1 << 20
+
+
+def fit_additive(obs: DataFrame, tolerance: float = 1e-11, local_obs: int = LOCAL_OBS) -> DataFrame:
     """Least squares of y = l(item) - c(slate), per query.
 
     Input (qid, slate, item_id, y, ...); adds l_hat, c_hat, residual and the connected
     component. The shift that the model leaves open is fixed per component by
-    sum(l) + sum(c) = 0.
+    sum(l) + sum(c) = 0. Not reaching ``tolerance`` is an error.
+
+    With the items eliminated, a query's slate offsets solve a sparse system of its own, by
+    conjugate gradients over slates. Queries are dealt over the cluster, and each is solved where its
+    observations lie, in a few numbers per observation; its size is counted first, and
+    queries above ``local_obs`` go by :func:`fit_wide`, which never holds a query.
+    """
+    sizes = obs.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    wide = sizes.filter(F.col("n") > local_obs).select("qid")
+    if wide.isEmpty():
+        return _fit_local(obs, tolerance)
+    rest = _fit_local(obs.join(wide, "qid", "left_anti"), tolerance)
+    return rest.unionByName(fit_wide(obs.join(wide, "qid", "left_semi"), tolerance).select(*rest.columns))
+
+
+def solve_additive(slate: np.ndarray, item: np.ndarray, y: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(component per slate, l per item, c per slate); slates and items are numbered from 0.
 
-    With the items eliminated, the slate offsets of all queries solve one sparse system, by
-    conjugate gradients whose every product is two grouped means over the observations. The rows
-    carry the state, are dealt by query once, and are written to reliable storage every
-    ``per_check`` steps, when the largest relative residual is read. Not reaching ``tolerance``
-    is an error.
+    A product of the reduced matrix with p is one mean per item and one sum per slate.
+    """
+    n_s, n_i = np.bincount(slate), np.bincount(item)
+
+    def reduced(p: np.ndarray) -> np.ndarray:
+        own = p[slate]
+        return np.bincount(slate, own - (np.bincount(item, own) / n_i)[item])
+
+    c = np.zeros(len(n_s))
+    r = np.bincount(slate, (np.bincount(item, y) / n_i)[item] - y)
+    p, rr = r.copy(), r @ r
+    goal = tolerance**2 * rr
+    for _ in range(20 * len(n_s) + 100):
+        q = reduced(p)
+        pq = p @ q
+        if rr <= goal or pq <= 0:
+            break
+        c, r = c + rr / pq * p, r - rr / pq * q
+        rr, before = r @ r, rr
+        p = r + rr / before * p
+    else:
+        raise RuntimeError("the additive fit has not converged")
+    l_hat = np.bincount(item, y + c[slate]) / n_i
+    # the smallest slate that shares items, through any number of others
+    component = np.arange(len(n_s))
+    while True:
+        low = np.full(len(n_i), len(n_s))
+        np.minimum.at(low, item, component[slate])
+        new = component.copy()
+        np.minimum.at(new, slate, low[item])
+        new = new[new]
+        if (new == component).all():
+            break
+        component = new
+    of_item = np.zeros(len(n_i), np.int64)
+    of_item[item] = component[slate]
+    total = np.bincount(of_item, l_hat, len(n_s)) + np.bincount(component, c, len(n_s))
+    members = np.bincount(of_item, minlength=len(n_s)) + np.bincount(component, minlength=len(n_s))
+    shift = np.divide(total, members, out=np.zeros(len(n_s)), where=members > 0)
+    return component, l_hat - shift[of_item], c - shift[component]
+
+
+def _fit_local(obs: DataFrame, tolerance: float) -> DataFrame:
+    own, slate_type = obs.schema.fields, obs.schema["slate"].dataType
+
+    def solve(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        codes = rows["slate"].to_numpy()
+        slates, slate = np.unique(codes, return_inverse=True)
+        item = rows["item_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+        y = rows["y"].to_numpy().astype(float)
+        component, l_hat, c_hat = solve_additive(slate, item, y, tolerance)
+        for name, values in (("component", slates[component][slate]), ("l_hat", l_hat[item]), ("c_hat", c_hat[slate]), ("residual", y - l_hat[item] + c_hat[slate])):
+            rows = rows.append_column(name, pa.array(values))
+        return rows
+
+    added = [StructField("component", slate_type), *[StructField(n, DoubleType()) for n in ("l_hat", "c_hat", "residual")]]
+    return obs.groupBy("qid").applyInArrow(solve, StructType([*own, *added]))
+
+
+def fit_wide(obs: DataFrame, tolerance: float = 1e-11, per_check: int = 4, max_checks: int = 100) -> DataFrame:
+    """:func:`fit_additive` for queries of any size: every product is two grouped means over the rows.
+
+    The rows carry the state, are dealt by query once, and are written to reliable storage every
+    ``per_check`` steps, when the largest relative residual is read.
     """
     by_item, by_slate = Window.partitionBy("qid", "item_id"), Window.partitionBy("qid", "slate")
     by_query = Window.partitionBy("qid")

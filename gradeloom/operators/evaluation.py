@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..functions import expr as ex
+from ..functions.draws import uniforms, words
 from ..functions.lineage import cut_lineage
 from ..functions.ranks import running
 
@@ -279,6 +285,17 @@ def paired_differences(a: DataFrame, b: DataFrame, key: str = "qid", value: str
 
 #: Cumulative probabilities of a Poisson variable of mean one: a draw counts those at or below a uniform.
 POISSON = [math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+#: Keys whose resample weights are made together, and comparisons whose sums a task keeps before it hands them on.
+KEYS_AT_ONCE, SUMS_AT_ONCE = 128, 64
+
+
+def resample_weights(word: np.ndarray, resamples: int) -> np.ndarray:
+    """Keys x resamples: how often a key counts in each resample, Poisson(1) and keyed."""
+    u = uniforms(word, resamples)
+    weight = np.zeros(u.shape)
+    for c in POISSON:
+        weight += u >= c
+    return weight
 
 
 def paired_bootstrap(
@@ -287,24 +304,63 @@ def paired_bootstrap(
     """Mean difference, 95 % interval and two-sided p per comparison.
 
     In every resample each row counts a keyed Poisson(1) number of times, and the resample's mean
-    is the ratio of the two sums. Sums are combined before the shuffle, so that ``resamples``
-    rows per comparison and task are moved, whatever the number of rows.
+    is the ratio of the two sums; a key counts alike in every comparison. All resamples of a row
+    are one vector: a task adds up rows by one product of matrices and hands on two vectors
+    of sums per comparison, which are added element by element as they stream in.
     """
-    rows = diffs.select(*by, key, "diff")
-    draws = rows.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = ex.uniform(seed, "resample", key)
-    weight = sum(((u >= F.lit(c)).cast("int") for c in POISSON), F.lit(0))
-    boot = draws.withColumn("_w", weight).groupBy(*by, "resample").agg(
-        F.try_divide(F.sum(F.col("_w") * F.col("diff")), F.sum("_w").cast("double")).alias("m"))
-    stats = boot.groupBy(*by).agg(
-        F.percentile("m", F.lit(0.025)).alias("lo"),
-        F.percentile("m", F.lit(0.975)).alias("hi"),
-        (2.0 * F.least(ex.share(F.col("m") <= 0), ex.share(F.col("m") >= 0))).alias("_p"),
-    )
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_diff"))
-    return sizes.join(stats, by).select(
-        *by, "n", "mean_diff", "lo", "hi", F.least("_p", F.lit(1.0)).alias("p_value")
-    )
+    word, _ = words(seed, key)
+    rows = diffs.filter("diff IS NOT NULL").select(*by, F.col("diff").cast("double").alias("diff"), word.alias("_word"))
+    keys = [f for f in rows.schema.fields if f.name in by]
+    sums = StructType([*keys, StructField("n", LongType()), StructField("total", DoubleType()), *[StructField(c, ArrayType(DoubleType())) for c in ("of_diff", "of_weight")]])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for group, (n, total, of_diff, of_weight) in held.items():
+                values = [*group, n, total, of_diff, of_weight]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, arrow.types)], names=arrow.names)
+            held.clear()
+
+        for batch in batches:
+            names = list(zip(*(batch[f.name].to_pylist() for f in keys))) if keys else [()] * batch.num_rows
+            code: dict[tuple, int] = {}
+            group = np.array([code.setdefault(x, len(code)) for x in names])
+            diff = batch["diff"].to_numpy()
+            word, at = np.unique(batch["_word"].to_numpy(), return_inverse=True)
+            for start in range(0, len(word), KEYS_AT_ONCE):
+                weight = resample_weights(word[start:start + KEYS_AT_ONCE], resamples)
+                mine = np.flatnonzero((at >= start) & (at < start + len(weight)))
+                for x, g in code.items():
+                    own = mine[group[mine] == g]
+                    if len(own):
+                        count, total = (np.bincount(at[own] - start, w, len(weight)) for w in (None, diff[own]))
+                        sums = held.setdefault(x, [0, 0.0, np.zeros(resamples), np.zeros(resamples)])
+                        sums[0] += len(own)
+                        sums[1] += float(diff[own].sum())
+                        sums[2] += total @ weight
+                        sums[3] += count @ weight
+                        if len(held) > SUMS_AT_ONCE:
+                            yield from handed_on()
+        yield from handed_on()
+
+    def merged(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, of_diff, of_weight = 0, 0.0, np.zeros(resamples), np.zeros(resamples)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                n, total = n + batch["n"][k].as_py(), total + batch["total"][k].as_py()
+                of_diff += batch["of_diff"][k].values.to_numpy()
+                of_weight += batch["of_weight"][k].values.to_numpy()
+        some = of_weight > 0
+        means = of_diff[some] / of_weight[some]
+        lo, hi = np.percentile(means, [2.5, 97.5]) if some.any() else (None, None)
+        p = min(2.0 * min((means <= 0).mean(), (means >= 0).mean()), 1.0) if some.any() else None
+        values = [*(x.as_py() for x in group), n, total / n, lo, hi, p]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, result.types)], names=result.names)
+
+    final = StructType([*keys, StructField("n", LongType()), *[StructField(c, DoubleType()) for c in ("mean_diff", "lo", "hi", "p_value")]])
+    arrow, result = to_arrow_schema(sums), to_arrow_schema(final)
+    return rows.mapInArrow(added, sums).groupBy(*[f.name for f in keys]).applyInArrow(merged, final)
 
 
 def comparison_grid(scores: DataFrame, baseline: str, value: str = "ndcg") -> DataFrame:

@@ -8,8 +8,8 @@ of two parts of a pool can be put together and thinned again: at most k (draws +
 stay of any number. Rows are thinned where they lie, before the shuffle, and again while a pool's
 rows stream by; no pool is ever gathered in a row or a task's memory.
 
-Draws are made from two words of a row's digest, so they follow from (seed, qid, item_id, draw) alone and
-a before/after pair sees the same ones. The arithmetic stays within 63 bits, so SQL can repeat it.
+Draws are those of :mod:`functions.draws`, keyed by (seed, qid, item_id, draw), so a before/after
+pair sees the same ones.
 """
 
 from __future__ import annotations
@@ -22,28 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-#: Odd multipliers: one per word for the draw's number, two for the mix (below 2^31, see above).
-DRAW = (2654435761, 2246822507)
-MIX = (2146121005, 1815976681)
+from ..functions.draws import normals, words
+
 #: Rows of a pool that are held before they are thinned, at least.
 BLOCK = 4096
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    for shift, factor in zip((16, 15), MIX):
-        x = (x ^ (x >> np.uint32(shift))) * np.uint32(factor)
-    return x ^ (x >> np.uint32(16))
-
-
-def normals(words: np.ndarray, draws: int) -> np.ndarray:
-    """Rows x draws of standard normals; ``words`` holds two 32-bit words per row."""
-    d = np.arange(draws, dtype=np.uint32)
-    a, b = (
-        (_mixed(words[:, i].astype(np.uint32)[:, None] + d * np.uint32(DRAW[i])) + 0.5) / 2.0**32
-        for i in (0, 1))
-    return np.sqrt(-2.0 * np.log(a)) * np.cos(2.0 * np.pi * b)
-
-
 class _Pool:
     """What is left of a pool's rows, in columns."""
 
@@ -116,11 +100,10 @@ def expected_regret(
     keys = ["qid", *(carry or [])]
     most = k * (samples + 1) + 4  # what may be left of any number of rows
     block = max(BLOCK, 2 * most)
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("qid").cast("string"), F.col("item_id").cast("string")))
-    word = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    first, second = words(seed, "qid", "item_id")
     rows = scored.select(
         *keys, "item_id", *[F.col(c).cast("double").alias(c) for c in ("utility", "sigma")],
-        F.col(scale or "utility").cast("double").alias("_scale"), word(1).alias("_w0"), word(9).alias("_w1"),
+        F.col(scale or "utility").cast("double").alias("_scale"), first.alias("_w0"), second.alias("_w1"),
     ).dropna(subset=["utility", "sigma", "_scale"])
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,16 +20,62 @@ def query_terms(queries: DataFrame) -> DataFrame:
 SCORE_DIGITS = 6  # sums come in any order; rounding keeps equal scores equal
 
 
+def term_bounds(postings: DataFrame) -> DataFrame:
+    """(term, df, top): in how many documents a term is, and the largest weight it has in one."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top"))
+
+
 def bm25_topk(postings: DataFrame, terms: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
-    """Score stored postings: (qid, doc_id, score, rank), matches only, ties by doc_id."""
-    wanted = query_terms(queries).join(terms.select("term", "idf"), "term")
-    scored = (
-        postings.select("term", "doc_id", "w")
-        .join(wanted, "term")
-        .groupBy("qid", "doc_id")
-        .agg(F.round(F.sum(F.col("w") * F.col("idf") * F.col("qtf")), SCORE_DIGITS).alias("score"))
-    )
-    return top_k(scored, k)
+    """Score stored postings: (qid, doc_id, score, rank), matches only, ties by doc_id.
+
+    ``terms`` is (term, idf) and, where the index keeps them, (df, top) of :func:`term_bounds`.
+    """
+    known = terms if {"df", "top"} <= set(terms.columns) else terms.select("term", "idf").join(term_bounds(postings), "term")
+    return pruned_topk(postings, query_terms(queries).join(known, "term"), k)["ranked"]
+
+
+LEAD = 10  # the first guess reads a query's strongest terms until they name this many times k documents
+SLACK = 1e-5  # bounds are sums of doubles, scores are rounded: a score this close to a bound is kept
+
+
+def pruned_topk(postings: DataFrame, asked: DataFrame, k: int = 100, lead: int = LEAD) -> dict[str, DataFrame]:
+    """The best k of every query without forming the pairs that cannot be among them.
+
+    ``postings`` is (term, doc_id, w), ``asked`` (qid, term, qtf, idf, df, top). A term adds at
+    most ``top * idf * qtf`` to a score. (1) A query's strongest terms propose k documents, whose
+    whole scores say how good the k-th best is at least (``floor``). (2) Its weakest terms, as many as
+    together stay below that, cannot carry a document alone: only the postings of the others form
+    pairs. (3) Pairs that stay below the floor even with all weak terms go, and the rest is completed.
+    Frequent terms are the weak ones, so their postings meet only documents already chosen, by
+    (document, term), and no join runs on a frequent term alone.
+
+    Returns ``ranked`` and, for reports, ``pairs`` (formed) and ``open`` (left after the bound).
+    """
+    by_bound = Window.partitionBy("qid").orderBy(F.desc("most"), "term")  # the terms of one query
+    terms = asked.select("qid", "term", "df", (F.col("idf") * F.col("qtf")).alias("gain"), (F.col("idf") * F.col("qtf") * F.col("top")).alias("most"))
+    terms = cut_lineage(terms.select(
+        "*", F.coalesce(F.sum("df").over(by_bound.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("most").over(by_bound.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("rest")))
+
+    def met(some: DataFrame) -> DataFrame:
+        """(qid, doc_id, score) from the postings of some terms."""
+        return postings.select("term", "doc_id", "w").join(some.select("qid", "term", "gain"), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("gain")).alias("score"))
+
+    def completed(pairs: DataFrame, some: DataFrame) -> DataFrame:
+        """(qid, doc_id, score): what some terms add to chosen pairs."""
+        wanted = pairs.select("qid", "doc_id").join(some.select("qid", "term", "gain"), "qid")
+        return wanted.join(postings.select("term", "doc_id", "w"), ["doc_id", "term"]).groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("gain")).alias("score"))
+
+    guessed = top_k(met(terms.filter(F.col("before") < lead * k)), k).select("qid", "doc_id")
+    floor = completed(guessed, terms).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
+    floor = floor.filter(F.col("n") >= k).select("qid", (F.col("floor") - SLACK).alias("floor"))
+    terms = cut_lineage(terms.join(floor, "qid", "left").withColumn("strong", F.col("floor").isNull() | (F.col("rest") >= F.col("floor"))))
+    strong, weak = terms.filter("strong"), terms.filter("NOT strong")
+    limits = terms.groupBy("qid").agg(F.first("floor").alias("floor"), F.coalesce(F.sum(F.when(~F.col("strong"), F.col("most"))), F.lit(0.0)).alias("weak"))
+    pairs = met(strong)
+    chosen = cut_lineage(pairs.join(limits, "qid").filter(F.col("floor").isNull() | (F.col("score") + F.col("weak") >= F.col("floor"))).select("qid", "doc_id", "score"))
+    scored = chosen.unionByName(completed(chosen, weak)).groupBy("qid", "doc_id").agg(F.round(F.sum("score"), SCORE_DIGITS).alias("score"))
+    return {"ranked": top_k(scored, k), "pairs": pairs, "open": chosen}
 
 
 def bm25_search(
@@ -68,23 +114,21 @@ def search(
         .groupBy("doc_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    totals = hits.filter(F.col("term") == marker).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return search_hits(hits.withColumn("term", F.nullif("term", marker)), queries, k, k1, b)
+
+
+def search_hits(hits: DataFrame, queries: DataFrame, k: int = 100, k1: float = tx.K1, b: float = tx.B) -> tuple[DataFrame, DataFrame]:
+    """:func:`search` over rows (doc_id, dl, term, tf) that were made before.
+
+    Besides the terms every document has one row with a NULL term; :func:`text.positional_hits`
+    gives such rows.
+    """
+    totals = hits.filter(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     n_docs, avgdl = totals.select("n_docs").scalar(), totals.select("avgdl").scalar()
-    idf = (
-        hits.filter(F.col("term") != marker)
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .select("term", tx.idf(n_docs, F.col("df")).alias("idf"))
-    )
-    wanted = asked.join(idf, "term")
     weight = tx.doc_weight(F.col("tf"), F.col("dl"), avgdl, k1, b)
-    weighted = hits.filter(F.col("term") != marker).select("doc_id", "term", weight.alias("w"))
-    scored = (
-        weighted.join(wanted, "term")
-        .groupBy("qid", "doc_id")
-        .agg(F.round(F.sum(F.col("w") * F.col("idf") * F.col("qtf")), SCORE_DIGITS).alias("score"))
-    )
-    return top_k(scored, k), idf
+    weighted = hits.filter(F.col("term").isNotNull()).select("doc_id", "term", weight.alias("w"))
+    known = cut_lineage(term_bounds(weighted).withColumn("idf", tx.idf(n_docs, F.col("df"))))
+    return pruned_topk(weighted, query_terms(queries).join(known, "term"), k)["ranked"], known.select("term", "idf")
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -111,19 +155,23 @@ def query_weights(queries: DataFrame, terms: DataFrame | None = None) -> DataFra
     return asked.join(terms.select("term", F.col("idf").alias("weight")), "term")
 
 
-def with_signature_recall(pairs: DataFrame, corpus: DataFrame, queries: DataFrame, sig: str = "signature") -> DataFrame:
+def with_signature_recall(
+    pairs: DataFrame, corpus: DataFrame, queries: DataFrame, sig: str = "signature", index: DataFrame | None = None
+) -> DataFrame:
     """Add ``recall`` to (qid, doc_id, signature) rows: :func:`text.signature_recall` as a job.
 
-    Documents are tokenised once for all queries that hold them; per pair only the query's
+    Which query terms a document holds is read from ``index`` (rows (doc_id, term), as a search
+    makes them); without one the documents named are tokenised once. Per pair only the query's
     own terms found in the document are kept (a list no longer than the query).
     """
     keys = pairs.select("qid", "doc_id").distinct()
     terms = query_terms(queries).select("qid", "term")
-    named = corpus.join(keys.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = named.select("doc_id", F.explode(F.array_distinct(tx.raw_tokens("text"))).alias("term"))
-    found = found.join(terms.select("term").distinct(), "term", "left_semi")  # only the queries' words travel
+    if index is None:
+        named = corpus.join(keys.select("doc_id").distinct(), "doc_id", "left_semi")
+        found = named.select("doc_id", F.explode(F.array_distinct(tx.raw_tokens("text"))).alias("term"))
+        index = found.join(terms.select("term").distinct(), "term", "left_semi")  # only the queries' words travel
     in_doc = (
-        found.join(terms.join(keys, "qid"), ["doc_id", "term"])
+        index.filter("term IS NOT NULL").select("doc_id", "term").join(terms.join(keys, "qid"), ["doc_id", "term"])
         .groupBy("qid", "doc_id")
         .agg(F.collect_set("term").alias("_in"))
     )

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import col, strip
@@ -102,15 +104,16 @@ def build_postings(
         "term", "doc_id", "tf", doc_weight(F.col("tf"), F.col("dl"), avgdl, k1, b).alias("w"))
 
 
-def store_postings(postings: DataFrame, table: str, path: str, buckets: int | None = None) -> DataFrame:
+def store_postings(postings: DataFrame, table: str, path: str | None = None, buckets: int | None = None) -> DataFrame:
     """Write the postings bucketed and sorted by term and return the stored table.
 
-    Queries that join it by term read their buckets and move nothing of the index.
+    Queries that join it by term read their buckets and move nothing of the index. Without a
+    ``path`` the session's warehouse keeps the files and dropping the table removes them.
     """
     spark = postings.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (postings.repartition(n, "term").write.mode("overwrite").option("path", path)
-     .bucketBy(n, "term").sortBy("term").saveAsTable(table))
+    writer = postings.repartition(n, "term").write.mode("overwrite").bucketBy(n, "term").sortBy("term")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     return spark.table(table)
 
 
@@ -173,6 +176,57 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(col(text), F.lit(r"\S+"), F.lit(0))
 
 
+def positional_hits(corpus: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, dl, n_words, term, tf, positions): where the words of a vocabulary (``term``) stand.
+
+    One row per document and term, made in one pass over the texts; a position counts the
+    document's words (runs of anything but blanks), of which a word with several tokens holds
+    several terms. A document without such a word has one row with a NULL term.
+    """
+    rows = corpus.select("doc_id", tokens(text).alias("_t"), words(text).alias("_w")).select(
+        "doc_id", F.size("_t").cast("bigint").alias("dl"), F.size("_w").alias("n_words"), "_w")
+    placed = (
+        rows.select("doc_id", "dl", "n_words", F.posexplode("_w").alias("_pos", "_word"))
+        .select("doc_id", "dl", "n_words", "_pos", F.explode(tokens("_word")).alias("term"))
+        .join(vocabulary.select("term").distinct(), "term", "left_semi")
+    )
+    found = placed.groupBy("doc_id", "dl", "n_words", "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("_pos")).alias("positions"))
+    marks = rows.select("doc_id", "dl", "n_words", F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("tf"), F.lit(None).cast("array<int>").alias("positions"))
+    return found.unionByName(marks)
+
+
+def best_starts(hits: DataFrame, window: int = 40, stride: int = 10) -> DataFrame:
+    """(qid, doc_id, start) of the best window, for pairs that have one with weight.
+
+    ``hits`` is (qid, doc_id, n_words, weight, positions), one row per query term in a document.
+    A pair's lists, no longer than its document, meet in one row; a word scores the best weight
+    among its terms, and the windows' sums are differences of one running sum.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = []
+            for n, found in zip(batch["n_words"].to_pylist(), batch["_hits"]):
+                weight = np.zeros(n)
+                for hit in found:
+                    at = np.asarray(hit["positions"].values)
+                    weight[at] = np.maximum(weight[at], hit["weight"].as_py())
+                run = np.r_[0.0, np.cumsum(weight)]
+                at = np.arange(0, n - window + 1, stride)
+                mass = np.round(run[at + window] - run[at], 9)
+                starts.append(int(at[mass.argmax()]) if mass.max() > 0 else None)
+            yield pa.RecordBatch.from_arrays([batch["qid"], batch["doc_id"], pa.array(starts, pa.int32())], ["qid", "doc_id", "start"])
+
+    pairs = hits.filter(F.col("n_words") > window).groupBy("qid", "doc_id", "n_words").agg(F.collect_list(F.struct("weight", "positions")).alias("_hits"))
+    types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    return pairs.mapInArrow(run, f"qid {types['qid']}, doc_id {types['doc_id']}, start int").filter("start IS NOT NULL")
+
+
+#: Queries that are served by one copy of a document's text.
+PER_TEXT = 128
+
+
 def best_windows(
     pairs: DataFrame,
     corpus: DataFrame,
@@ -181,6 +235,7 @@ def best_windows(
     stride: int = 10,
     out: str = "window",
     keep: tuple[str, ...] = ("title",),
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """(qid, doc_id) pairs with ``keep`` columns and the ``window`` words of most query weight.
 
@@ -188,49 +243,24 @@ def best_windows(
     weight among its tokens, the earliest of equal windows wins, and a document that is
     short or holds no query term gives its first ``window`` words.
 
-    Every document is tokenised once, whatever the number of queries that retrieved it, and
-    only the words that hit a query term travel on; a hit adds to the few windows that
-    cover it, so neither long documents nor many windows per document are ever gathered.
+    Where the words stand is read from ``index`` (:func:`positional_hits`, made here if not given),
+    so texts are not searched again. Each is met once by the starts of (up to ``PER_TEXT`` of) the
+    queries that retrieved it, and the winning words are cut where it lies: no list of words
+    is shuffled. ``pairs`` must not repeat a (qid, doc_id).
     """
     weights = cut_lineage(weights)  # as many rows as the queries have terms; read twice
-    named = corpus.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    placed = (
-        named.select("doc_id", words("text").alias("_w"))
-        .select("doc_id", F.size("_w").alias("_n"), F.posexplode("_w").alias("_pos", "_word"))
-        .filter(F.col("_n") > window)
-        .select("doc_id", "_n", "_pos", F.explode(raw_tokens("_word")).alias("term"))
-        .join(weights.select("term").distinct(), "term", "left_semi")
-    )
+    if index is None:
+        index = positional_hits(corpus.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), weights)
     wanted = pairs.select("qid", "doc_id").join(weights.select("qid", "term", "weight"), "qid")
-    # one shuffle by pair serves the words, the stretches and the windows that follow
-    hits = (
-        placed.join(wanted, ["doc_id", "term"])
-        .repartition("qid", "doc_id")
-        .groupBy("qid", "doc_id", "_n", "_pos")
-        .agg(F.max("weight").alias("weight"))
-    )
-    if window % stride == 0:  # windows are made of whole stretches of ``stride`` words
-        stretch = (F.floor(F.col("_pos") / stride) * stride).cast("int")
-        hits = hits.groupBy("qid", "doc_id", "_n", stretch.alias("_pos")).agg(F.sum("weight").alias("weight"))
-    first = F.greatest(F.ceil((F.col("_pos") - (window - 1)) / stride), F.lit(0))
-    last = F.least(F.floor(F.col("_pos") / stride), F.floor((F.col("_n") - window) / stride))
-    mass = (
-        hits.filter(first <= last)
-        .select("qid", "doc_id", "weight", F.explode(F.sequence(first, last)).alias("_at"))
-        .groupBy("qid", "doc_id", "_at")
-        .agg(F.round(F.sum("weight"), 9).alias("_mass"))
-        .filter(F.col("_mass") > 0)
-    )
-    best = mass.groupBy("qid", "doc_id").agg(
-        F.max_by(F.col("_at") * stride, F.struct(F.col("_mass"), (-F.col("_at")).alias("neg"))).alias("_start")
-    )
-    start = F.coalesce("_start", F.lit(0)).cast("int") + 1
-    return (
-        pairs.join(best, ["qid", "doc_id"], "left")
-        .join(named.select("doc_id", *keep, words("text").alias("_w")), "doc_id")  # split once per document
-        .withColumn(out, F.array_join(F.slice("_w", start, F.lit(window)), " "))
-        .drop("_start", "_w")
-    )
+    hits = index.filter("term IS NOT NULL").select("doc_id", "n_words", "term", "positions").join(wanted, ["doc_id", "term"])
+    starts = pairs.join(best_starts(hits, window, stride), ["qid", "doc_id"], "left")
+    own = [c for c in pairs.columns if c != "doc_id"]
+    asked = starts.withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    asked = asked.groupBy("doc_id", F.pmod(F.xxhash64("qid"), F.ceil(F.col("_many") / PER_TEXT)).alias("_part")).agg(
+        F.collect_list(F.struct(*own, F.coalesce("start", F.lit(0)).alias("_start"))).alias("_asked"))
+    split = asked.join(corpus.select("doc_id", *keep, F.col("text").alias("_text")), "doc_id").withColumn("_w", words("_text"))
+    cut_out = F.transform("_asked", lambda a: F.struct(*[a[c].alias(c) for c in own], F.array_join(F.slice("_w", a["_start"] + 1, F.lit(window)), " ").alias(out)))
+    return split.select("doc_id", *keep, F.inline(cut_out)).select(*pairs.columns, *keep, out)
 
 
 def window_signature(budget: Column | int, window: str = "window") -> Column:

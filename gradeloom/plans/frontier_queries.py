@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
+from ..functions.draws import DRAW, MIX, SHIFTS
 from ..operators import frontier as fr, pricing
-from ..operators.regret import DRAW, MIX
 from . import sql as q
 from .registry import cte, query
 
@@ -65,7 +65,7 @@ def _regret_ctes(name: str, src: str, seed: int, clip: bool) -> None:
     words = f"""SELECT s.qid, item_id, utility, sigma, row_number() OVER (PARTITION BY s.qid ORDER BY utility DESC, item_id) AS shipped, {q.word(seed, ('s.qid', 'item_id'), 1)} AS w0, {q.word(seed, ('s.qid', 'item_id'), 9)} AS w1, lo, hi, ulo, uhi
 FROM {src} s JOIN (SELECT qid, greatest(min(utility),0) AS lo, greatest(max(utility),0) AS hi, min(utility) AS ulo, max(utility) AS uhi FROM {src} GROUP BY 1) r ON r.qid=s.qid"""
     mixed = f"SELECT * EXCLUDE (w0, w1), (w0+d*{DRAW[0]})&4294967295 AS x, (w1+d*{DRAW[1]})&4294967295 AS y FROM ({words}), (SELECT unnest(range({SAMPLES})) AS d)"
-    for shift, factor in zip((16, 15), MIX):
+    for shift, factor in zip(SHIFTS, MIX):
         mixed = f"SELECT * REPLACE ((xor(x, x>>{shift})*{factor})&4294967295 AS x, (xor(y, y>>{shift})*{factor})&4294967295 AS y) FROM ({mixed})"
     drawn = f"SELECT *, utility+sigma*sqrt(-2.0*ln((xor(x, x>>16)+0.5)/4294967296.0))*cos(2.0*pi()*(xor(y, y>>16)+0.5)/4294967296.0) AS drawn FROM ({mixed})"
     cte(f"{name}_draw", f"SELECT *, 2.0::DOUBLE**({rel})-1.0 AS gain FROM ({drawn})")

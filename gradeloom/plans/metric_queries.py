@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
+from ..functions.draws import DRAW, MIX, SHIFTS
 from ..operators import calibration as cal, evaluation as ev, losses as ls, scale, typed
 from . import sql as q
 from .registry import cte, query
@@ -117,11 +118,22 @@ def slice_report(t):
     return ev.slice_report(t.predictions, typed.slice_key("options"))
 
 
-RESAMPLES = 1000
+RESAMPLES = 10_000
 # cumulative Poisson(1) probabilities: a draw is the number of them at or below a uniform
 _DRAW = "(" + "+".join(f"({{u}}>={c!r}::DOUBLE)::INT" for c in ev.POISSON) + ")"
-cte("paired", "SELECT a.qid, a.ndcg-b.ndcg AS diff, row_number() OVER (ORDER BY a.qid) AS i, count(*) OVER () AS n FROM sys_metrics a JOIN sys_metrics b ON a.qid=b.qid AND a.system='latent' AND b.system='first'")
-cte("boot", f"""SELECT r, sum(w*diff)/nullif(sum(w),0) AS m FROM (SELECT r, diff, {_DRAW.format(u=q.u(91, 'r', 'qid'))} AS w FROM paired, (SELECT unnest(range({RESAMPLES})) AS r)) GROUP BY 1""")
+cte("paired", "SELECT a.qid, a.ndcg-b.ndcg AS diff FROM sys_metrics a JOIN sys_metrics b ON a.qid=b.qid AND a.system='latent' AND b.system='first'")
+
+
+def _weights_sql(name: str, source: str, seed: int) -> None:
+    """(qid, r, w): how often a query counts in each resample."""
+    x = f"SELECT qid, r, (w0+r*{DRAW[0]})&4294967295 AS x FROM (SELECT qid, {q.word(seed, ('qid',), 1)} AS w0 FROM (SELECT DISTINCT qid FROM {source})), (SELECT unnest(range({RESAMPLES})) AS r)"
+    for shift, factor in zip(SHIFTS, MIX):
+        x = f"SELECT * REPLACE ((xor(x, x>>{shift})*{factor})&4294967295 AS x) FROM ({x})"
+    cte(name, f"SELECT qid, r, {_DRAW.format(u='u')} AS w FROM (SELECT qid, r, (xor(x, x>>16)+0.5::DOUBLE)/4294967296.0::DOUBLE AS u FROM ({x}))")
+
+
+_weights_sql("boot_weights", "paired", 91)
+cte("boot", "SELECT r, sum(w*diff)/nullif(sum(w),0) AS m FROM paired JOIN boot_weights USING (qid) GROUP BY 1")
 
 
 @query("paired_bootstrap", f"""SELECT 'latent' AS system, (SELECT count(*) FROM paired) AS n, (SELECT {q.r6('avg(diff)')} FROM paired) AS mean_diff, {q.r6('quantile_cont(m,0.025)')} AS lo, {q.r6('quantile_cont(m,0.975)')} AS hi,
@@ -197,8 +209,8 @@ def system_comparison(t):
 cte("best_system", "SELECT system FROM sys_metrics GROUP BY 1 ORDER BY avg(ndcg) DESC, system DESC LIMIT 1")
 cte("grid_rows", """SELECT s.system, 'baseline' AS versus, s.qid, s.ndcg-b.ndcg AS diff FROM sys_metrics s JOIN sys_metrics b ON b.qid=s.qid AND b.system='first'
 UNION ALL SELECT s.system, 'best', s.qid, s.ndcg-b.ndcg FROM sys_metrics s JOIN sys_metrics b ON b.qid=s.qid AND b.system=(SELECT system FROM best_system)""")
-cte("grid_placed", "SELECT *, row_number() OVER (PARTITION BY system, versus ORDER BY qid) AS i, count(*) OVER (PARTITION BY system, versus) AS n FROM grid_rows")
-cte("grid_boot", f"""SELECT system, versus, r, sum(w*diff)/nullif(sum(w),0) AS m FROM (SELECT system, versus, r, diff, {_DRAW.format(u=q.u(92, 'r', 'qid'))} AS w FROM grid_placed, (SELECT unnest(range({RESAMPLES})) AS r)) GROUP BY 1,2,3""")
+_weights_sql("grid_weights", "grid_rows", 92)
+cte("grid_boot", "SELECT system, versus, r, sum(w*diff)/nullif(sum(w),0) AS m FROM grid_rows JOIN grid_weights USING (qid) GROUP BY 1,2,3")
 
 
 @query("comparison_grid", f"""SELECT system, versus, n, {q.r6('mean_diff')} AS mean_diff, {q.r6('lo')} AS lo, {q.r6('hi')} AS hi, {q.r6('p')} AS p_value FROM (SELECT system, versus, count(*) AS n, avg(diff) AS mean_diff FROM grid_rows GROUP BY 1,2)

@@ -365,15 +365,15 @@ LEFT JOIN {sizes} g ON g.qid=s.qid AND g.no=s.ord""")
 FROM {name}_slates d JOIN {pool} p ON p.qid=d.qid WHERE d.only IS NULL OR d.only=p.grade) WHERE r<={size}""")
 
 
-_design_cte("block_rows", 8, 20, 0.5, 61, "pool", "grade_sizes")
+_design_cte("block_rows", 8, 60, 0.5, 61, "pool", "grade_sizes")
 cte("fixed_anchor", "SELECT qid, doc_id, grade FROM (SELECT *, row_number() OVER (PARTITION BY qid, grade ORDER BY first_rank) AS r FROM pool) WHERE r=1")
 cte("other_pool", "SELECT p.* FROM pool p LEFT JOIN fixed_anchor a ON a.qid=p.qid AND a.doc_id=p.doc_id WHERE a.doc_id IS NULL")
 cte("other_sizes", "SELECT qid, grade, n, row_number() OVER (PARTITION BY qid ORDER BY grade) AS no, count(*) OVER (PARTITION BY qid) AS k FROM (SELECT qid, grade, count(*) AS n FROM other_pool GROUP BY 1,2) WHERE n>=6")
-_design_cte("anchored_rows", 6, 20, 0.7, 71, "other_pool", "other_sizes")
+_design_cte("anchored_rows", 6, 40, 0.7, 71, "other_pool", "other_sizes")
 
 
 def _block(t):
-    return designs.block_design(t.pool, 8, 20, 0.5, seed=61)
+    return designs.block_design(t.pool, 8, 60, 0.5, seed=61)
 
 
 @query("block_design", "SELECT qid, slate, item_id, grade FROM block_rows")
@@ -388,7 +388,7 @@ def _first_of_grade(t):
 
 @query("anchored_design", "SELECT qid, slate, item_id, grade, false AS is_anchor FROM anchored_rows UNION ALL SELECT s.qid, slate, doc_id, grade, true FROM (SELECT DISTINCT qid, slate FROM anchored_rows) s JOIN fixed_anchor a ON a.qid=s.qid")
 def anchored_design(t):
-    return designs.anchored_design(t.pool, _first_of_grade(t), 4, 10, 20, 0.7, seed=71)
+    return designs.anchored_design(t.pool, _first_of_grade(t), 4, 10, 40, 0.7, seed=71)
 
 
 @query("design_appearances", "SELECT qid, item_id, count(*) AS n_slates FROM block_rows GROUP BY 1,2")
@@ -414,11 +414,11 @@ def _observed(t):
 cte("observed", f"""SELECT qid, slate, item_id, grade, round(l-m-ln(sum(exp(l-m)) OVER (PARTITION BY qid, slate))+0.2::DOUBLE*{q.u(81, 'qid', 'slate', 'item_id')}-0.1::DOUBLE,6) AS y FROM (
 SELECT b.qid, b.slate, b.item_id, b.grade, p.l, max(p.l) OVER (PARTITION BY b.qid, b.slate) AS m FROM block_rows b JOIN pool p ON p.qid=b.qid AND p.doc_id=b.item_id)""")
 cte("fit_steps", """SELECT 0 AS n, qid, slate, item_id, grade, y, 0.0::DOUBLE AS c FROM observed UNION ALL
-SELECT n+1, qid, slate, item_id, grade, y, avg(l-y) OVER (PARTITION BY qid, slate) FROM (SELECT *, avg(y+c) OVER (PARTITION BY qid, item_id) AS l FROM fit_steps WHERE n<800)""")
+SELECT n+1, qid, slate, item_id, grade, y, avg(l-y) OVER (PARTITION BY qid, slate) FROM (SELECT *, avg(y+c) OVER (PARTITION BY qid, item_id) AS l FROM fit_steps WHERE n<200)""")
 cte("fit_reach", """SELECT DISTINCT a.qid, a.slate AS x, b.slate AS y FROM block_rows a JOIN block_rows b ON a.qid=b.qid AND a.item_id=b.item_id
 UNION SELECT r.qid, r.x, e.slate FROM fit_reach r JOIN block_rows h ON h.qid=r.qid AND h.slate=r.y JOIN block_rows e ON e.qid=r.qid AND e.item_id=h.item_id""")
 cte("fit_raw", """SELECT f.*, avg(f.y+c) OVER (PARTITION BY f.qid, item_id) AS l, count(*) OVER (PARTITION BY f.qid, item_id) AS ni, count(*) OVER (PARTITION BY f.qid, f.slate) AS ns, k.component
-FROM fit_steps f JOIN (SELECT qid, x AS slate, min(y) AS component FROM fit_reach GROUP BY 1,2) k ON k.qid=f.qid AND k.slate=f.slate WHERE n=800""")
+FROM fit_steps f JOIN (SELECT qid, x AS slate, min(y) AS component FROM fit_reach GROUP BY 1,2) k ON k.qid=f.qid AND k.slate=f.slate WHERE n=200""")
 cte("additive", """SELECT qid, slate, item_id, grade, y, ni, ns, l-shift AS l_hat, c-shift AS c_hat, y-l+c AS residual FROM (
 SELECT *, sum(l/ni+c/ns) OVER w/sum(1.0::DOUBLE/ni+1.0::DOUBLE/ns) OVER w AS shift FROM fit_raw WINDOW w AS (PARTITION BY qid, component))""")
 _ADD = "/*RECURSIVE_MARK*/"

@@ -82,11 +82,16 @@ class Tables:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return self._search[0]
+        return retrieval.bm25_search(self.corpus, self.queries, k=DEPTH)
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        """Where the queries' words stand in the documents: one pass for the search and for what cuts evidence."""
+        return cut_lineage(tx.positional_hits(self.corpus, retrieval.query_terms(self.queries)))
 
     @cached_property
     def _search(self) -> tuple[DataFrame, DataFrame]:
-        return retrieval.search(self.corpus, self.queries, k=DEPTH)
+        return retrieval.search_hits(self.positions, self.queries, k=DEPTH)
 
     @cached_property
     def query_idf(self) -> DataFrame:
@@ -95,8 +100,8 @@ class Tables:
 
     @cached_property
     def ranked_once(self) -> DataFrame:
-        """The ranking written out, for queries that read it several times."""
-        return cut_lineage(self.ranked)
+        """The ranking from the positions, written out for queries that read it several times."""
+        return cut_lineage(self._search[0])
 
     # ----------------------------------------------------------- event pools
     @cached_property

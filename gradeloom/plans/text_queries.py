@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
-from ..functions.lineage import cut_lineage, shared_folder
+from ..functions.lineage import cut_lineage
 from ..operators import evaluation, retrieval, text as tx
 from ..sources import collections as col, ledger, typed_json
 from . import sql as q
@@ -165,12 +165,16 @@ def bm25_topk(t):
 
 @query("bm25_topk_indexed", "SELECT qid, doc_id, score, rank FROM bm25_ranked")
 def bm25_topk_indexed(t):
-    """The index is stored by term and read back, for its statistics and for the scores."""
+    """The index and its terms' bounds are stored by term and read back; both tables go when the ranking is written."""
     name = f"postings_{uuid.uuid4().hex}"
-    postings = tx.store_postings(tx.build_postings(t.corpus), name, f"{shared_folder(t.spark).rstrip('/')}/{name}")
-    n = t.corpus.agg(F.count(F.lit(1))).scalar()
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return retrieval.bm25_topk(postings, tx.term_statistics(df, n), t.queries, k=100)
+    try:
+        postings = tx.store_postings(tx.build_postings(t.corpus), name)
+        n = t.corpus.agg(F.count(F.lit(1))).scalar()
+        bounds = tx.store_postings(retrieval.term_bounds(postings).withColumn("idf", tx.idf(n, F.col("df"))), f"{name}_terms")
+        return cut_lineage(retrieval.bm25_topk(postings, bounds, t.queries, k=100))
+    finally:
+        for table in (name, f"{name}_terms"):
+            t.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 @query("query_terms_present", "SELECT qid, string_agg(term, ' ' ORDER BY term) AS terms FROM query_tf WHERE term IN (SELECT term FROM term_df) GROUP BY 1")
@@ -215,7 +219,7 @@ cte("pair_window", """SELECT qid, doc_id, title, text, array_to_string(ws[(CASE
 
 def _windows(t, keep=("title",)):
     weights = retrieval.query_weights(t.queries, t.query_idf)
-    return tx.best_windows(t.ranked_once.select("qid", "doc_id"), t.corpus, weights, keep=keep)
+    return tx.best_windows(t.ranked_once.select("qid", "doc_id"), t.corpus, weights, keep=keep, index=t.positions)
 
 
 @query("signature_lexical", f"SELECT qid, doc_id, {q.strip('substr(win,1,148)')} AS signature FROM pair_window")
@@ -238,7 +242,7 @@ FROM bm25_ranked JOIN corpus USING (doc_id) JOIN (SELECT qid, list(DISTINCT term
 def signature_recall(t):
     heads = t.corpus.select("doc_id", tx.signature("head", 37).alias("signature"))  # the cut travels, not the text
     pairs = t.ranked_once.select("qid", "doc_id").join(heads, "doc_id")
-    out = retrieval.with_signature_recall(pairs, t.corpus, t.queries)
+    out = retrieval.with_signature_recall(pairs, t.corpus, t.queries, index=t.positions)
     return out.select("qid", "doc_id", ex.r6("recall").alias("recall"))
 
 
@@ -288,7 +292,7 @@ def _sweep(t):
         for kind in tx.SIGNATURES for budget in (16, 37)
     ])
     rows = cut_lineage(rows.select("qid", "doc_id", "grade", "query", F.inline(configs)))
-    rows = retrieval.with_signature_recall(rows, t.corpus, t.queries)
+    rows = retrieval.with_signature_recall(rows, t.corpus, t.queries, index=t.positions)
     kept = F.size(F.array_intersect(tx.tokens("query"), tx.tokens("signature"))).cast("double")
     scored = rows.select("config", "qid", "doc_id", "grade", "recall", kept.alias("score"))
     return retrieval.evidence_sweep(retrieval.evidence_rows(scored))

@@ -125,3 +125,25 @@ def test_lambda_ranknet_by_hand(spark):
     got = ls.lambda_ranknet(slate(spark, [(0, 0, 0.0, 1, False, None), (0, 1, 1.0, 0, False, None)])).first()
     want = math.log(1 + math.exp(1.0)) * abs(1.0 * (1 / math.log2(3) - 1.0)) / 1.0
     assert got.pairs == 1 and abs(got.pair_loss - want) < 1e-12
+
+
+def test_bootstrap_of_many_tasks_matches_plain_sums(spark, monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    monkeypatch.setattr(ev, "KEYS_AT_ONCE", 3)
+    monkeypatch.setattr(ev, "SUMS_AT_ONCE", 1)
+    rng = np.random.default_rng(0)
+    rows = [(c, i, float(rng.normal(0.1 * k, 1))) for k, c in enumerate(("a", "b", None)) for i in range(40)] + [("a", 7, 0.5)]
+    df = spark.createDataFrame(rows, "c string, qid int, diff double").repartition(5)
+    got = {r.c: r for r in ev.paired_bootstrap(df, ["c"], resamples=300, seed=4).collect()}
+    word = {i: int(hashlib.md5(f"4|{i}".encode()).hexdigest()[:8], 16) for i in range(40)}
+    weight = {i: ev.resample_weights(np.array([w]), 300)[0] for i, w in word.items()}
+    assert abs(np.mean(list(weight.values())) - 1) < 0.05 and abs(np.var(list(weight.values())) - 1) < 0.1
+    for c in ("a", "b", None):
+        mine = [r for r in rows if r[0] == c]
+        means = sum(weight[i] * d for _, i, d in mine) / sum(weight[i] for _, i, _ in mine)
+        want = (len(mine), np.mean([d for _, _, d in mine]), *np.percentile(means, [2.5, 97.5]), min(2 * min((means <= 0).mean(), (means >= 0).mean()), 1))
+        assert np.allclose([got[c].n, got[c].mean_diff, got[c].lo, got[c].hi, got[c].p_value], want)
+    assert ev.paired_bootstrap(df.limit(0), ["c"]).count() == 0

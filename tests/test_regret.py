@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom.functions import draws
 from gradeloom.operators import regret as rg
 
 
@@ -16,20 +17,20 @@ def words(seed, qid, item):
 
 def plain_normal(seed, qid, item, draw):
     units = []
-    for word, factor in zip(words(seed, qid, item), rg.DRAW):
+    for word, factor in zip(words(seed, qid, item), draws.DRAW):
         x = (word + draw * factor) % 2**32
-        for shift, m in zip((16, 15), rg.MIX):
+        for shift, m in zip((16, 15), draws.MIX):
             x = (x ^ (x >> shift)) * m % 2**32
         units.append(((x ^ (x >> 16)) + 0.5) / 2**32)
     return np.sqrt(-2 * np.log(units[0])) * np.cos(2 * np.pi * units[1])
 
 
-def brute(rows, k, draws, seed, scaled, clip):
+def brute(rows, k, samples, seed, scaled, clip):
     """rows: (qid, item, utility, sigma) of one query"""
     u = [r[2] for r in rows]
     lo, hi = (max(e, 0.0) if clip else e for e in (min(u), max(u)))
     total = 0.0
-    for d in range(draws):
+    for d in range(samples):
         def gain(r):
             x = r[2] + r[3] * plain_normal(seed, r[0], r[1], d)
             x = lo + (x - min(u)) / max(max(u) - min(u), 1e-9) * max(hi - lo, 1e-9) if scaled else max(x, 0.0)
@@ -39,12 +40,12 @@ def brute(rows, k, draws, seed, scaled, clip):
         ideal = dcg(sorted(rows, key=gain, reverse=True))
         ships = dcg(sorted(rows, key=lambda r: (-r[2], r[1])))
         total += max((ideal - ships) / ideal, 0.0) if ideal > 0 else 0.0
-    return total / draws
+    return total / samples
 
 
 def test_normals_are_normal_and_match_the_plain_ones():
     w = np.array([words(3, "q", i) for i in range(400)])
-    x = rg.normals(w, 256)
+    x = draws.normals(w, 256)
     assert abs(x.mean()) < 0.01 and abs(x.std() - 1) < 0.01 and abs(np.corrcoef(x[:, 0], x[:, 1])[0, 1]) < 0.15
     assert np.allclose([x[5, 7], x[399, 255]], [plain_normal(3, "q", 5, 7), plain_normal(3, "q", 399, 255)])
 
@@ -62,16 +63,16 @@ def test_pools_of_many_parts_match_brute_force(spark, monkeypatch, scale, clip):
 
 def test_thinning_keeps_what_counts():
     rng = np.random.default_rng(2)
-    n, k, draws = 3000, 5, 20
+    n, k, samples = 3000, 5, 20
     pool = object.__new__(rg._Pool)
     pool.u, pool.s, pool.ids, pool.words = np.round(rng.normal(size=n), 2), rng.random(n), np.arange(n), rng.integers(0, 2**32, (n, 2))
     pool.scale = rng.normal(size=n)
-    want = pool.regret(k, draws, True, True)
-    left = pool.take(pool.needed(k, draws))
-    assert len(left) <= k * (draws + 1) + 4 and left.regret(k, draws, True, True) == want
+    want = pool.regret(k, samples, True, True)
+    left = pool.take(pool.needed(k, samples))
+    assert len(left) <= k * (samples + 1) + 4 and left.regret(k, samples, True, True) == want
     halves = [pool.take(np.arange(0, 1400)), pool.take(np.arange(1400, n))]
-    both = halves[0].take(halves[0].needed(k, draws)).plus(halves[1].take(halves[1].needed(k, draws)))
-    assert both.regret(k, draws, True, True) == want
+    both = halves[0].take(halves[0].needed(k, samples)).plus(halves[1].take(halves[1].needed(k, samples)))
+    assert both.regret(k, samples, True, True) == want
 
 
 def test_a_million_candidates_in_one_pool(spark):
