@@ -374,6 +374,33 @@ def coverage_windows(t):
 cte("coral", "SELECT ex_id, rel, cum, [greatest(1.0-s[1],1e-6), greatest(s[1]-s[2],1e-6), greatest(s[2]-s[3],1e-6), greatest(s[3]-0.0,1e-6)] AS p FROM (SELECT *, list_transform(cum, lambda z: 1.0/(1.0+exp(-z))) AS s FROM cumlogits)")
 
 
+def _covered_stream(t):
+    fit = cal.conformal_fit(t.intervals).withColumn("q", F.round("q", 6))
+    return cal.with_intervals(t.intervals_stream, fit)
+
+
+@query("coverage_windows_stream", f"SELECT grp, date_trunc('day', ts) AS day, count(*) AS n, {q.r6('avg(covered::INT)')} AS coverage, avg(covered::INT)<0.9::DOUBLE-0.05::DOUBLE AS drifted FROM covered GROUP BY 1,2")
+def coverage_windows_stream(t):
+    """The windows of a stream over the table's files; the last state of a window counts."""
+    from ..streaming.coverage import drain, windowed_coverage
+
+    w = windowed_coverage(_covered_stream(t).withColumn("ts", F.col("ts").cast("timestamp")), "1 day")
+    put = drain(w.select("grp", F.col("window.start").alias("day"), "n", "coverage", "drifted"))
+    last = put.groupBy("grp", "day").agg(F.max_by(F.struct("n", "coverage", "drifted"), "batch").alias("s")).select("grp", "day", "s.*")
+    return last.withColumn("day", F.col("day").cast("timestamp_ntz")).withColumn("coverage", ex.r6("coverage"))
+
+
+@query("coverage_last_n_stream", f"""SELECT grp, seen, {q.r6('c')} AS coverage, c<0.9::DOUBLE-0.05::DOUBLE AS drifted FROM (
+SELECT grp, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY ts, id) AS seen, avg(covered::INT) OVER (PARTITION BY grp ORDER BY ts, id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW) AS c FROM covered) WHERE seen=n""")
+def coverage_last_n_stream(t):
+    """Each group's coverage when the stream has read all files: the last row of rolling_coverage."""
+    from ..streaming.coverage import drain, last_n_coverage
+
+    put = drain(last_n_coverage(_covered_stream(t), window=500))
+    last = put.groupBy("grp").agg(F.max_by(F.struct("seen", "coverage", "drifted"), "seen").alias("s"))
+    return last.select("grp", "s.seen", ex.r6("s.coverage").alias("coverage"), "s.drifted")
+
+
 @query("level_probabilities", f"SELECT ex_id, {', '.join(q.r6(f'p[{i + 1}]') + f' AS p{i}' for i in range(4))}, {q.r6('p[3]+p[4]')} AS at_least_2 FROM coral")
 def level_probabilities(t):
     p = t.cumlogits.select("ex_id", cal.level_probs("cum").alias("p"))

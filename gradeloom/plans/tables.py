@@ -239,7 +239,17 @@ class Tables:
     # ------------------------------------------------------------- coverage
     @cached_property
     def intervals(self) -> DataFrame:
-        e = self.raw("events")
+        return self._checked(self.raw("events"))
+
+    @cached_property
+    def intervals_stream(self) -> DataFrame:
+        """The same rows as a stream over the table's files."""
+        schema = self.spark.read.parquet(f"{self.root}/events.parquet").schema
+        # as a pattern, the path may name a file as well as a folder
+        return self._checked(self.spark.readStream.schema(schema).parquet(f"{self.root}/events.parque[t]"))
+
+    @staticmethod
+    def _checked(e: DataFrame) -> DataFrame:
         wide = F.when(F.col("event_type") == "error", 3.0).otherwise(1.0)
         return e.select(
             F.col("event_id").alias("id"), "ts", F.col("event_type").alias("grp"), F.col("value").alias("u_true"),

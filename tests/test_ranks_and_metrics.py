@@ -147,3 +147,19 @@ def test_bootstrap_of_many_tasks_matches_plain_sums(spark, monkeypatch):
         want = (len(mine), np.mean([d for _, _, d in mine]), *np.percentile(means, [2.5, 97.5]), min(2 * min((means <= 0).mean(), (means >= 0).mean()), 1))
         assert np.allclose([got[c].n, got[c].mean_diff, got[c].lo, got[c].hi, got[c].p_value], want)
     assert ev.paired_bootstrap(df.limit(0), ["c"]).count() == 0
+
+
+def test_last_rows_are_kept_chunk_by_chunk():
+    import numpy as np
+    import pandas as pd
+
+    from gradeloom.streaming.coverage import LastRows
+
+    rng = np.random.default_rng(6)
+    rows = pd.DataFrame({"ts": rng.integers(0, 40, 5000), "id": rng.permutation(5000), "covered": rng.random(5000) < 0.5})
+    last = LastRows(300)
+    for at in range(0, 5000, 77):
+        last.add(rows.iloc[at:at + 77])
+        assert len(last.kept) <= 300
+    want = rows.sort_values(["ts", "id"])["covered"].to_numpy()[-300:].astype("uint8").tobytes()
+    assert last.hits() == want and last.seen == 5000 and LastRows(3).hits() == b""
