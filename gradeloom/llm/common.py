@@ -11,7 +11,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import shared_folder
+from ..functions.lineage import cut_lineage, shared_folder
 
 #: Words everywhere in this package: runs of anything but space, tab, line feed, VT, FF and CR.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -82,20 +82,34 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A table of keys with at most this many rows (some 50 MB) is sent to every task.
+MAX_KEYS = 500_000
+
+
+def beside(keys: DataFrame) -> DataFrame:
+    """``keys`` for a join with a table of whole texts: sent to the texts if counted as few, else met in a shuffle."""
+    return F.broadcast(keys) if keys.count() <= MAX_KEYS else keys
+
+
 def one_per_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """One row of ``docs`` for each class of ``classes`` (text_key, component).
 
     The row with the smallest doc_id stays (rows without one come last), among these the first by
-    hash of text and row. Minima are combined before the shuffle and hold no text. Columns of
-    ``docs`` stay as they are, whatever their names: what is worked out here is in one column
-    with a name that they do not use.
+    two hashes of the whole row; of equal rows one stays. Minima are combined before the shuffle
+    and hold no text. Columns of ``docs`` stay as they are, whatever their names.
     """
-    columns, own = docs.columns, unused(docs, "_own")
-    row = F.xxhash64(*[x for c in columns for x in (F.col(f"`{c}`").cast("string"), F.col(f"`{c}`").isNull())])
-    keyed = docs.withColumn(own, F.struct(F.col("doc_id").alias("id"), text_key().alias("text"), row.alias("row")))
-    named = keyed.select(F.col(f"{own}.*")).join(classes.select(F.col("text_key").alias("text"), "component"), "text")
-    heads = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text", "row")).alias("f")).select("f.id", "f.text", "f.row")
-    mine = keyed.alias("k")
-    same = (F.col(f"k.{own}.id").eqNullSafe(F.col("h.id"))) & (F.col(f"k.{own}.text") == F.col("h.text")) & (F.col(f"k.{own}.row") == F.col("h.row"))
-    kept = mine.join(heads.alias("h"), same, "left_semi")
-    return kept.dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in columns])
+    columns, names = [F.col(f"`{c}`") for c in docs.columns], [unused(docs, "_r1"), unused(docs, "_r2")]
+    cells = [x for c in columns for x in (c.cast("string"), c.isNull())]
+    keyed = docs.withColumns({names[0]: F.xxhash64(*cells), names[1]: F.xxhash64(F.lit(1), *cells)})
+    rows = keyed.select(F.col("doc_id").alias("id"), text_key().alias("text_key"), F.col(names[0]).alias("r1"), F.col(names[1]).alias("r2"))
+    first = rows.join(classes.select("text_key", "component"), "text_key").groupBy("component").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r1", "r2")).alias("f"))
+    heads = cut_lineage(first.select(F.col("f.r1").alias(names[0]), F.col("f.r2").alias(names[1])))
+    kept = keyed.join(beside(heads), names, "left_semi")
+    again = kept.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*names)
+    again = cut_lineage(again)  # rows that are repeated as a whole
+    if again.isEmpty():
+        return kept.select(*columns)
+    again = beside(again)
+    once = kept.join(again, names, "left_semi").dropDuplicates(names)
+    return kept.join(again, names, "left_anti").unionByName(once).select(*columns)
