@@ -6,6 +6,8 @@ number the caller chooses, so windows inside one query are bounded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,7 +17,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import expr as ex
 from ..functions.lineage import cut_lineage
-from .scale import fit_slates
+from .anchors import spread_anchors
+from .scale import fit_slates, scale_report
 
 
 def block_design(
@@ -337,3 +340,58 @@ def anchor_recovery(fit: DataFrame, anchors: DataFrame, lam: float = 1.0) -> Dat
         F.avg("slope").alias("slope_mean"),
         F.stddev_pop("slope").alias("slope_std"),
     )
+
+
+ANCHORS_BY = ("known", "latent")
+
+
+def fixed_anchor_rows(
+    pool: DataFrame,
+    score: Callable[[DataFrame], DataFrame],
+    counts: tuple[int, ...] = (2, 4, 6),
+    slate_size: int = 10,
+    free_slates: int = 60,
+    n_slates: int = 40,
+    single_grade: float = 0.7,
+    by: str = "known",
+    seed: int = 0,
+) -> DataFrame:
+    """How much anchors that every slate of a query shares help, per anchor count and query.
+
+    ``pool`` is (qid, doc_id, grade, known, first_rank, ...): ``known`` is what the anchors claim to
+    know (a judge's fractional grade, say), ``grade`` the truth that results are held against.
+    ``score`` adds ``lp`` to the rows (qid, slate, item_id, ...) of a design, as the caller's model does.
+
+    A design without anchors comes first. Its scores' spread, over that of the known values, is the
+    query's slope prior, toward which every slate's ridge fit shrinks; its additive fit is
+    each candidate's latent value. Then, for each count, the anchors are spread over the known (or the
+    latent) values of the query, put into every slate, and the slates are set on one scale by them.
+    Counts that leave less than three places for candidates are left out.
+
+    Adds ``slope_prior`` and ``distinct_anchor_utilities`` (to three digits: what leverage a fit has)
+    to the columns of :func:`scale.scale_report`.
+    """
+    if by not in ANCHORS_BY:
+        raise ValueError(f"anchors are spread by one of {ANCHORS_BY}")
+    pool = cut_lineage(pool.filter("known IS NOT NULL"))
+    free = cut_lineage(score(block_design(pool, slate_size, free_slates, 0.5, seed)))
+    spread = free.groupBy("qid").agg(F.stddev_pop("lp").alias("_s"))
+    priors = pool.groupBy("qid").agg(F.stddev_pop("known").alias("_k")).join(spread, "qid").select(
+        "qid", F.when(F.col("_s") > 1e-9, F.col("_k") / F.col("_s")).otherwise(1.0).alias("slope_prior"))
+    value = "known"
+    if by == "latent":
+        latent = fit_additive(free.withColumnRenamed("lp", "y")).groupBy("qid", F.col("item_id").alias("doc_id")).agg(F.first("l_hat").alias("_latent"))
+        pool, value = cut_lineage(pool.join(latent, ["qid", "doc_id"])), "_latent"
+    known = pool.select("qid", F.col("doc_id").alias("item_id"), F.col("known").alias("utility"), F.col("grade").cast("double").alias("truth"))
+    rows = None
+    for nth, a in enumerate(c for c in counts if slate_size - c >= 3):
+        anchors = cut_lineage(spread_anchors(pool, a, value).select("qid", "doc_id"))
+        design = anchored_design(pool, anchors, a, slate_size, n_slates, single_grade, seed + 10 * (nth + 1))
+        items = score(design).join(known, ["qid", "item_id"]).join(priors, "qid")
+        distinct = known.join(anchors.select("qid", F.col("doc_id").alias("item_id")), ["qid", "item_id"], "left_semi").groupBy("qid").agg(
+            F.count_distinct(F.round("utility", 3)).alias("distinct_anchor_utilities"))
+        report = scale_report(items, ["qid"], slope_prior="slope_prior").join(priors, "qid").join(distinct, "qid").withColumn("a", F.lit(a))
+        rows = report if rows is None else rows.unionByName(report)
+    if rows is None:
+        raise ValueError("no anchor count leaves room for candidates")
+    return rows

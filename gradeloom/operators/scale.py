@@ -147,10 +147,13 @@ def scale_report(
     return pooled.join(fits, by).withColumn("delta_r", F.col("r_anchored") - F.col("r_naive"))
 
 
-def anchor_sweep(rows: DataFrame) -> DataFrame:
-    """(a, qid, scale report columns) -> one row per anchor count."""
+SWEEP = ("r_naive", "r_anchored", "delta_r", "rmse_anchored", "anchor_residual_mean", "slope_mean", "slope_std")
+
+
+def anchor_sweep(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(a, qid, scale report columns and ``extra``) -> one row per anchor count, means over queries."""
     return rows.groupBy("a").agg(
-        *[F.avg(c).alias(c) for c in ("r_naive", "r_anchored", "delta_r", "rmse_anchored", "anchor_residual_mean", "slope_mean", "slope_std")],
+        *[F.avg(c).alias(c) for c in (*SWEEP, *extra)],
         F.stddev_pop("delta_r").alias("delta_r_std"),
         F.count(F.lit(1)).alias("n_queries"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
+from ..functions.lineage import cut_lineage
 from ..operators import anchors as an, budget, designs, scale, slates
 from . import sql as q
 from .registry import cte, query
@@ -508,3 +509,71 @@ avg(delta_r)>2.0*avg(delta_r_std)/sqrt(max(n_queries)) AS significant FROM sweep
 def anchor_sweep_verdict(t):
     v = scale.sweep_verdict(_sweep_rows(t))
     return v.withColumns({c: ex.r6(c, 4) for c in ("mean_delta_r", "per_query_se")})
+
+
+# the same anchors in every slate of a query, spread over a judge's grades
+cte("known_pool", "SELECT p.qid, p.doc_id, p.grade, p.first_rank, p.l, v.expected_grade AS known FROM pool p JOIN verdicts v ON v.qid=p.qid AND v.item_id=p.doc_id")
+_COUNTS, _FIXED_SEED = (2, 4, 6), 101
+
+
+def _scored_sql(design: str, seed: int) -> str:
+    return f"""SELECT *, round(l-m-ln(sum(exp(l-m)) OVER (PARTITION BY qid, slate))+0.2::DOUBLE*{q.u(seed, 'qid', 'slate', 'item_id')}-0.1::DOUBLE,6) AS lp FROM (
+SELECT d.*, p.known, p.l, max(p.l) OVER (PARTITION BY d.qid, d.slate) AS m FROM {design} d JOIN known_pool p ON p.qid=d.qid AND p.doc_id=d.item_id)"""
+
+
+_design_cte("free_rows", 10, 60, 0.5, _FIXED_SEED, "known_pool", "grade_sizes")
+cte("free_scored", _scored_sql("free_rows", 84))
+cte("fixed_prior", "SELECT qid, sk/sl AS prior FROM (SELECT qid, stddev_pop(known) AS sk FROM known_pool GROUP BY 1) JOIN (SELECT qid, stddev_pop(lp) AS sl FROM free_scored GROUP BY 1) USING (qid)")
+for _nth, _a in enumerate(_COUNTS):
+    _seed = _FIXED_SEED + 10 * (_nth + 1)
+    cte(f"known{_a}", "SELECT qid, doc_id, first_rank, known FROM known_pool")
+    cte(f"known{_a}_stats", "SELECT qid, " + ", ".join(f"quantile_cont(known, {0.05 + 0.90 * i / max(_a - 1, 1)!r}) AS t{i}" for i in range(_a)) + " FROM known_pool GROUP BY 1")
+    cte(f"pivot{_a}", _unrolled(f"known{_a}", "known", [f"s.t{i}" for i in range(_a)]))
+    cte(f"beside{_a}", f"SELECT p.* FROM known_pool p LEFT JOIN pivot{_a} a ON a.qid=p.qid AND a.doc_id=p.doc_id WHERE a.doc_id IS NULL")
+    cte(f"beside{_a}_sizes", f"SELECT qid, grade, n, row_number() OVER (PARTITION BY qid ORDER BY grade) AS no, count(*) OVER (PARTITION BY qid) AS k FROM (SELECT qid, grade, count(*) AS n FROM beside{_a} GROUP BY 1,2) WHERE n>={10 - _a}")
+    _design_cte(f"pivoted{_a}", 10 - _a, 40, 0.7, _seed, f"beside{_a}", f"beside{_a}_sizes")
+    cte(f"pivoted{_a}_all", f"""SELECT qid, slate, item_id, grade, false AS is_anchor FROM pivoted{_a} UNION ALL SELECT s.qid, s.slate, a.doc_id, p.grade, true FROM (SELECT DISTINCT qid, slate FROM pivoted{_a}) s
+JOIN pivot{_a} a ON a.qid=s.qid JOIN known_pool p ON p.qid=a.qid AND p.doc_id=a.doc_id""")
+    cte(f"pivoted{_a}_scored", _scored_sql(f"pivoted{_a}_all", 84))
+    cte(f"pivoted{_a}_fits", f"""SELECT *, mu-slope*mx AS intercept, sqrt(greatest(vu-2.0*slope*cov+slope*slope*vx,0.0)) AS residual FROM (SELECT *, CASE WHEN n=1 THEN prior ELSE (n*cov+prior)/(n*vx+1.0) END AS slope FROM (
+SELECT qid, slate, count(*) AS n, avg(lp) AS mx, avg(known) AS mu, covar_pop(lp,known) AS cov, var_pop(lp) AS vx, var_pop(known) AS vu FROM pivoted{_a}_scored WHERE is_anchor GROUP BY 1,2) JOIN fixed_prior USING (qid))""")
+    cte(f"pivoted{_a}_report", f"""SELECT {_a} AS a, qid, n_slates, n_pooled, r_naive, r_anchored, r_anchored-r_naive AS delta_r, rmse AS rmse_anchored, rm AS anchor_residual_mean, sm AS slope_mean, ss AS slope_std, prior AS slope_prior, d AS distinct_anchor_utilities FROM (
+SELECT qid, count(DISTINCT slate) AS n_slates, count(*) AS n_pooled, {q.corr('lp', 'truth')} AS r_naive, {q.corr('u', 'truth')} AS r_anchored, sqrt(avg((u-truth)*(u-truth))) AS rmse FROM (
+SELECT qid, slate, lp, slope*lp+intercept AS u, grade::DOUBLE AS truth FROM pivoted{_a}_scored JOIN pivoted{_a}_fits USING (qid, slate) WHERE NOT is_anchor) GROUP BY 1)
+JOIN (SELECT qid, avg(residual) AS rm, avg(slope) AS sm, stddev_pop(slope) AS ss FROM pivoted{_a}_fits GROUP BY 1) USING (qid) JOIN fixed_prior USING (qid)
+JOIN (SELECT qid, count(DISTINCT round(v,3)) AS d FROM pivot{_a} GROUP BY 1) USING (qid)""")
+cte("fixed_rows", " UNION ALL ".join(f"SELECT * FROM pivoted{a}_report" for a in _COUNTS))
+FIXED_COLUMNS = (*SCALE_COLUMNS, "slope_prior", "distinct_anchor_utilities")
+
+
+def _fixed(t):
+    judged = t.verdicts.select("qid", F.col("item_id").alias("doc_id"), F.col("expected_grade").alias("known"))
+    pool = t.pool.select("qid", "doc_id", "grade", "first_rank", "l").join(judged, ["qid", "doc_id"])
+    latent = pool.select("qid", F.col("doc_id").alias("item_id"), "l")
+
+    def score(design):
+        d = ex.log_softmax_rows(design.join(latent, ["qid", "item_id"]), "l", ["qid", "slate"], "lp")
+        return d.withColumn("lp", F.round(F.col("lp") + 0.2 * ex.uniform(84, "qid", "slate", "item_id") - 0.1, 6)).drop("l")
+
+    return cut_lineage(designs.fixed_anchor_rows(pool, score, _COUNTS, seed=_FIXED_SEED))
+
+
+@query("fixed_anchor_rows", "SELECT a, qid, n_slates, n_pooled, " + ", ".join(f"{q.r6(c, 4)} AS {c}" for c in FIXED_COLUMNS) + " FROM fixed_rows")
+def fixed_anchor_rows(t):
+    return _fixed(t).select("a", "qid", "n_slates", "n_pooled", *[ex.r6(c, 4).alias(c) for c in FIXED_COLUMNS])
+
+
+cte("fixed_sweep", "SELECT a, count(*) AS n_queries, " + ", ".join(f"avg({c}) AS {c}" for c in FIXED_COLUMNS) + ", stddev_pop(delta_r) AS delta_r_std FROM fixed_rows GROUP BY 1")
+
+
+@query("fixed_anchor_sweep", "SELECT a, n_queries, " + ", ".join(f"{q.r6(c, 4)} AS {c}" for c in (*FIXED_COLUMNS, "delta_r_std")) + " FROM fixed_sweep")
+def fixed_anchor_sweep(t):
+    s = scale.anchor_sweep(_fixed(t), ("slope_prior", "distinct_anchor_utilities"))
+    return s.select("a", "n_queries", *[ex.r6(c, 4).alias(c) for c in (*FIXED_COLUMNS, "delta_r_std")])
+
+
+@query("fixed_anchor_verdict", f"""SELECT arg_max(a, r_anchored) AS best_a, {q.r6('avg(delta_r)', 4)} AS mean_delta_r, {q.r6('avg(delta_r_std)/sqrt(max(n_queries))', 4)} AS per_query_se,
+avg(delta_r)>2.0*avg(delta_r_std)/sqrt(max(n_queries)) AS significant FROM fixed_sweep""")
+def fixed_anchor_verdict(t):
+    v = scale.sweep_verdict(scale.anchor_sweep(_fixed(t)))
+    return v.withColumns({c: ex.r6(c, 4) for c in ("mean_delta_r", "per_query_se")})
