@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import safe_corr
 from ..functions.lineage import cut_lineage
 from ..sources.collections import full_text
 from . import text as tx
@@ -230,41 +229,3 @@ def first_stage_check(
         F.lit(float(published)).alias("published"),
         (F.avg("ndcg") - F.lit(float(published))).alias("delta"),
     )
-
-
-def evidence_sweep(per_query: DataFrame) -> DataFrame:
-    """(config, qid, recall, corr, ndcg) -> one row per configuration."""
-    return per_query.groupBy("config").agg(
-        F.avg("recall").alias("signature_recall"),
-        F.avg("corr").alias("corr"),
-        F.avg("ndcg").alias("ndcg"),
-        F.count(F.lit(1)).alias("n_queries"),
-    )
-
-
-def evidence_rows(scored: DataFrame, k: int = 10) -> DataFrame:
-    """Per (config, qid) figures from (config, qid, doc_id, grade, score, recall) rows.
-
-    ``scored`` holds probe sets, so a (config, qid) group is bounded by the probe quota.
-    """
-    stats = scored.groupBy("config", "qid").agg(
-        F.avg("recall").alias("recall"),
-        safe_corr(F.col("score").cast("double"), F.col("grade").cast("double")).alias("corr"),
-    )
-    quality = ndcg(scored, scored.select("config", "qid", "doc_id", "grade"), k=k, by=["config", "qid"])
-    return stats.join(quality, ["config", "qid"])
-
-
-def evidence_verdict(sweep: DataFrame, no_signal: float = 0.25, starved: float = 0.10) -> DataFrame:
-    """Best and worst configuration by correlation and what the spread means."""
-    best, worst = F.max("corr"), F.min("corr")
-    return sweep.agg(
-        F.max_by("config", F.struct("corr", "config")).alias("best"),
-        F.min_by("config", F.struct("corr", "config")).alias("worst"),
-        best.alias("best_corr"),
-        (best - worst).alias("spread"),
-        F.when(best < no_signal, "no_signal")
-        .when(best - worst > starved, "starved")
-        .otherwise("signal_present")
-        .alias("verdict"),
-    )

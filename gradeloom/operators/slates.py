@@ -82,11 +82,25 @@ def _packed(items: DataFrame) -> DataFrame:
     return items.groupBy("qid", "slate", "query").agg(listed.alias("_i")).withColumn("n_options", F.size("_i"))
 
 
+def _budget(layout: str, n_options: Column, instructions: str) -> Column:
+    return slate_budget(n_options, F.lit(layout), instruction_tokens=len(instructions) // CHARS_PER_TOKEN)
+
+
+def candidate_tokens(
+    layout: str, n_options: Column | str | int, instructions: str = INSTRUCTIONS, query_tokens: int = 20, scaffold: int = 6
+) -> Column:
+    """Tokens of text that each of ``n_options`` candidates keeps in a layout."""
+    n = F.lit(n_options) if isinstance(n_options, int) else ex.col(n_options)
+    if layout == "options":
+        return _budget(layout, n, instructions)["option_tokens"]
+    share = F.floor((_budget(layout, n, instructions)["state_tokens"] - query_tokens - scaffold * n) / F.greatest(n, F.lit(1)))
+    return F.greatest(F.lit(0), share).cast("int")
+
+
 def pack_options(items: DataFrame, instructions: str = INSTRUCTIONS) -> DataFrame:
     """One row per slate: candidate texts are the options, the query is the state."""
-    b = slate_budget("n_options", F.lit("options"), instruction_tokens=len(instructions) // CHARS_PER_TOKEN)
-    rows = _packed(items).withColumn("budget", b)
-    tokens = F.col("budget.option_tokens")
+    rows = _packed(items).withColumn("option_tokens", candidate_tokens("options", "n_options", instructions))
+    tokens = F.col("option_tokens")
     return rows.select(
         "qid",
         "slate",
@@ -95,7 +109,7 @@ def pack_options(items: DataFrame, instructions: str = INSTRUCTIONS) -> DataFram
         F.col("query").alias("state"),
         F.transform("_i", lambda x: F.length(x["text"]) > tokens * CHARS_PER_TOKEN).alias("truncated"),
         F.transform("_i", lambda x: x["item_id"]).alias("item_ids"),
-        tokens.alias("option_tokens"),
+        "option_tokens",
     )
 
 
@@ -103,13 +117,8 @@ def pack_state(
     items: DataFrame, instructions: str = INSTRUCTIONS, prefix: str = "c", query_tokens: int = 20, scaffold: int = 6
 ) -> DataFrame:
     """One row per slate: options are bare ids, all texts share the state evenly."""
-    b = slate_budget("n_options", F.lit("state"), instruction_tokens=len(instructions) // CHARS_PER_TOKEN)
-    n = F.col("n_options")
-    share = F.floor((F.col("budget.state_tokens") - query_tokens - scaffold * n) / F.greatest(n, F.lit(1)))
-    rows = _packed(items).withColumn("budget", b).withColumn(
-        "per_candidate_tokens", F.greatest(F.lit(0), share).cast("int")
-    )
     per = F.col("per_candidate_tokens")
+    rows = _packed(items).withColumn("per_candidate_tokens", candidate_tokens("state", "n_options", instructions, query_tokens, scaffold))
 
     def ident(i: Column) -> Column:
         return F.concat(F.lit(prefix), i.cast("string"))

@@ -124,7 +124,7 @@ _DRAW = "(" + "+".join(f"({{u}}>={c!r}::DOUBLE)::INT" for c in ev.POISSON) + ")"
 cte("paired", "SELECT a.qid, a.ndcg-b.ndcg AS diff FROM sys_metrics a JOIN sys_metrics b ON a.qid=b.qid AND a.system='latent' AND b.system='first'")
 
 
-def _weights_sql(name: str, source: str, seed: int) -> None:
+def weights_sql(name: str, source: str, seed: int) -> None:
     """(qid, r, w): how often a query counts in each resample."""
     x = f"SELECT qid, r, (w0+r*{DRAW[0]})&4294967295 AS x FROM (SELECT qid, {q.word(seed, ('qid',), 1)} AS w0 FROM (SELECT DISTINCT qid FROM {source})), (SELECT unnest(range({RESAMPLES})) AS r)"
     for shift, factor in zip(SHIFTS, MIX):
@@ -132,7 +132,7 @@ def _weights_sql(name: str, source: str, seed: int) -> None:
     cte(name, f"SELECT qid, r, {_DRAW.format(u='u')} AS w FROM (SELECT qid, r, (xor(x, x>>16)+0.5::DOUBLE)/4294967296.0::DOUBLE AS u FROM ({x}))")
 
 
-_weights_sql("boot_weights", "paired", 91)
+weights_sql("boot_weights", "paired", 91)
 cte("boot", "SELECT r, sum(w*diff)/nullif(sum(w),0) AS m FROM paired JOIN boot_weights USING (qid) GROUP BY 1")
 
 
@@ -209,7 +209,7 @@ def system_comparison(t):
 cte("best_system", "SELECT system FROM sys_metrics GROUP BY 1 ORDER BY avg(ndcg) DESC, system DESC LIMIT 1")
 cte("grid_rows", """SELECT s.system, 'baseline' AS versus, s.qid, s.ndcg-b.ndcg AS diff FROM sys_metrics s JOIN sys_metrics b ON b.qid=s.qid AND b.system='first'
 UNION ALL SELECT s.system, 'best', s.qid, s.ndcg-b.ndcg FROM sys_metrics s JOIN sys_metrics b ON b.qid=s.qid AND b.system=(SELECT system FROM best_system)""")
-_weights_sql("grid_weights", "grid_rows", 92)
+weights_sql("grid_weights", "grid_rows", 92)
 cte("grid_boot", "SELECT system, versus, r, sum(w*diff)/nullif(sum(w),0) AS m FROM grid_rows JOIN grid_weights USING (qid) GROUP BY 1,2,3")
 
 

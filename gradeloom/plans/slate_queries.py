@@ -358,7 +358,7 @@ def anchor_probe_verdict(t):
 cte("grade_sizes", "SELECT qid, grade, count(*) AS n, row_number() OVER (PARTITION BY qid ORDER BY grade) AS no, count(*) OVER (PARTITION BY qid) AS k FROM pool GROUP BY 1,2")
 
 
-def _design_cte(name: str, size: int, n_slates: int, single: float, seed: int, pool: str, sizes: str) -> None:
+def design_cte(name: str, size: int, n_slates: int, single: float, seed: int, pool: str, sizes: str) -> None:
     cte(name + "_slates", f"""SELECT s.qid, s.slate, CASE WHEN g.n>={size} THEN g.grade END AS only FROM (
 SELECT qid, slate, k, CASE WHEN {q.u(seed, 'qid', 'slate')}<{single} AND k>0 THEN floor({q.u(seed + 1, 'qid', 'slate')}*k)::INT+1 END AS ord FROM (SELECT qid, max(k) AS k FROM {sizes} GROUP BY 1), (SELECT unnest(range({n_slates})) AS slate)) s
 LEFT JOIN {sizes} g ON g.qid=s.qid AND g.no=s.ord""")
@@ -366,11 +366,11 @@ LEFT JOIN {sizes} g ON g.qid=s.qid AND g.no=s.ord""")
 FROM {name}_slates d JOIN {pool} p ON p.qid=d.qid WHERE d.only IS NULL OR d.only=p.grade) WHERE r<={size}""")
 
 
-_design_cte("block_rows", 8, 60, 0.5, 61, "pool", "grade_sizes")
+design_cte("block_rows", 8, 60, 0.5, 61, "pool", "grade_sizes")
 cte("fixed_anchor", "SELECT qid, doc_id, grade FROM (SELECT *, row_number() OVER (PARTITION BY qid, grade ORDER BY first_rank) AS r FROM pool) WHERE r=1")
 cte("other_pool", "SELECT p.* FROM pool p LEFT JOIN fixed_anchor a ON a.qid=p.qid AND a.doc_id=p.doc_id WHERE a.doc_id IS NULL")
 cte("other_sizes", "SELECT qid, grade, n, row_number() OVER (PARTITION BY qid ORDER BY grade) AS no, count(*) OVER (PARTITION BY qid) AS k FROM (SELECT qid, grade, count(*) AS n FROM other_pool GROUP BY 1,2) WHERE n>=6")
-_design_cte("anchored_rows", 6, 40, 0.7, 71, "other_pool", "other_sizes")
+design_cte("anchored_rows", 6, 40, 0.7, 71, "other_pool", "other_sizes")
 
 
 def _block(t):
@@ -521,7 +521,7 @@ def _scored_sql(design: str, seed: int) -> str:
 SELECT d.*, p.known, p.l, max(p.l) OVER (PARTITION BY d.qid, d.slate) AS m FROM {design} d JOIN known_pool p ON p.qid=d.qid AND p.doc_id=d.item_id)"""
 
 
-_design_cte("free_rows", 10, 60, 0.5, _FIXED_SEED, "known_pool", "grade_sizes")
+design_cte("free_rows", 10, 60, 0.5, _FIXED_SEED, "known_pool", "grade_sizes")
 cte("free_scored", _scored_sql("free_rows", 84))
 cte("fixed_prior", "SELECT qid, sk/sl AS prior FROM (SELECT qid, stddev_pop(known) AS sk FROM known_pool GROUP BY 1) JOIN (SELECT qid, stddev_pop(lp) AS sl FROM free_scored GROUP BY 1) USING (qid)")
 for _nth, _a in enumerate(_COUNTS):
@@ -531,7 +531,7 @@ for _nth, _a in enumerate(_COUNTS):
     cte(f"pivot{_a}", _unrolled(f"known{_a}", "known", [f"s.t{i}" for i in range(_a)]))
     cte(f"beside{_a}", f"SELECT p.* FROM known_pool p LEFT JOIN pivot{_a} a ON a.qid=p.qid AND a.doc_id=p.doc_id WHERE a.doc_id IS NULL")
     cte(f"beside{_a}_sizes", f"SELECT qid, grade, n, row_number() OVER (PARTITION BY qid ORDER BY grade) AS no, count(*) OVER (PARTITION BY qid) AS k FROM (SELECT qid, grade, count(*) AS n FROM beside{_a} GROUP BY 1,2) WHERE n>={10 - _a}")
-    _design_cte(f"pivoted{_a}", 10 - _a, 40, 0.7, _seed, f"beside{_a}", f"beside{_a}_sizes")
+    design_cte(f"pivoted{_a}", 10 - _a, 40, 0.7, _seed, f"beside{_a}", f"beside{_a}_sizes")
     cte(f"pivoted{_a}_all", f"""SELECT qid, slate, item_id, grade, false AS is_anchor FROM pivoted{_a} UNION ALL SELECT s.qid, s.slate, a.doc_id, p.grade, true FROM (SELECT DISTINCT qid, slate FROM pivoted{_a}) s
 JOIN pivot{_a} a ON a.qid=s.qid JOIN known_pool p ON p.qid=a.qid AND p.doc_id=a.doc_id""")
     cte(f"pivoted{_a}_scored", _scored_sql(f"pivoted{_a}_all", 84))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
 from ..functions.lineage import cut_lineage
-from ..operators import evaluation, retrieval, text as tx
+from ..operators import evaluation, evidence, retrieval, text as tx
 from ..sources import collections as col, ledger, typed_json
 from . import sql as q
+from .metric_queries import weights_sql
 from .registry import cte, query
+from .slate_queries import design_cte
 
 
 @query("typed_examples_parse", """SELECT ex_id, CASE kind WHEN 0 THEN 'choice' WHEN 1 THEN 'score' ELSE 'noul' END AS qtype,
@@ -279,31 +284,101 @@ def first_stage_check(t):
     return c.withColumn("ndcg", ex.r6("ndcg")).withColumn("delta", ex.r6("delta"))
 
 
-def _sweep(t):
-    """Every signature at two budgets, scored by how many query terms it keeps."""
-    probes = retrieval.balanced_probes(
-        t.ranked.join(t.qrels, ["qid", "doc_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0))), 12, 2, 4
-    )
-    win = _windows(t, ("title", "text"))
-    asked = t.queries.withColumnRenamed("text", "query")
-    rows = probes.join(win, ["qid", "doc_id"]).join(asked, "qid")
-    configs = F.array(*[
-        F.struct(F.lit(f"{kind}@{budget}").alias("config"), tx.signature(kind, budget).alias("signature"))
-        for kind in tx.SIGNATURES for budget in (16, 37)
-    ])
-    rows = cut_lineage(rows.select("qid", "doc_id", "grade", "query", F.inline(configs)))
-    rows = retrieval.with_signature_recall(rows, t.corpus, t.queries, index=t.positions)
-    kept = F.size(F.array_intersect(tx.tokens("query"), tx.tokens("signature"))).cast("double")
-    scored = rows.select("config", "qid", "doc_id", "grade", "recall", kept.alias("score"))
-    return retrieval.evidence_sweep(retrieval.evidence_rows(scored))
-
-
-@query("evidence_sweep")
+# layouts and signatures against each other, on balanced probes of the first stage
+SLATE, SLATES = 10, 30
+SHARE = {"options": 16, "state": 37}  # tokens that each of ten candidates keeps, for the twin
+cte("ev_probes", """SELECT qid, doc_id, grade, score AS first_score FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n, max(grade) OVER (PARTITION BY qid)>min(grade) OVER (PARTITION BY qid) AS mixed FROM (
+SELECT r.qid, r.doc_id, r.score, coalesce(g.grade,0) AS grade, row_number() OVER (PARTITION BY r.qid, coalesce(g.grade,0) ORDER BY r.rank) AS probe FROM bm25_ranked r LEFT JOIN qrels g ON g.qid=r.qid AND g.doc_id=r.doc_id)
+WHERE probe<=12) WHERE mixed AND n>=12""")
+cte("ev_sizes", "SELECT qid, grade, count(*) AS n, row_number() OVER (PARTITION BY qid ORDER BY grade) AS no, count(*) OVER (PARTITION BY qid) AS k FROM ev_probes GROUP BY 1,2")
+design_cte("ev_design", SLATE, SLATES, 0.5, 95, "ev_probes", "ev_sizes")
+
+
+def _sig_sql(kind: str, tokens: int) -> str:
+    if kind == "title":
+        return q.strip(f"substr(coalesce(nullif(title,''),text),1,{tokens * 4})")
+    if kind == "lexical":
+        return q.strip(f"substr(win,1,{tokens * 4})")
+    lead = q.strip(f"substr(title,1,{int(tokens * 0.5) * 4})")
+    room = f"greatest({tokens - 1}-length({lead})//4,0)"
+    tail = f"CASE WHEN {room}<=0 THEN '' ELSE {q.strip(f'substr(win,1,{room}*4)')} END"
+    joined = q.strip(f"{lead}||' '||{tail}")
+    return f"CASE WHEN {lead}<>'' THEN {joined} ELSE {tail} END"
+
+
+_EV = [(layout, kind) for layout in SHARE for kind in evidence.KINDS]
+cte("ev_cuts", " UNION ALL ".join(f"SELECT '{layout}/{kind}' AS config, {SHARE[layout]} AS tokens, qid, doc_id, grade, first_score, text, {_sig_sql(kind, SHARE[layout])} AS sig FROM ev_probes JOIN pair_window USING (qid, doc_id)" for layout, kind in _EV))
+cte("ev_counts", """SELECT c.*, len(list_intersect(qraw, regexp_extract_all(lower(substr(sig,1,tokens*4)),'[a-z0-9]+'))) AS n, coalesce(len(list_intersect(list_intersect(qt, regexp_extract_all(lower(text),'[a-z0-9]+')), regexp_extract_all(lower(sig),'[a-z0-9]+')))::DOUBLE/nullif(len(list_intersect(qt, regexp_extract_all(lower(text),'[a-z0-9]+'))),0),1.0) AS recall
+FROM ev_cuts c JOIN (SELECT qid, list(DISTINCT term) AS qraw FROM query_raw_tokens GROUP BY 1) USING (qid) JOIN (SELECT qid, list(term) AS qt FROM query_tf GROUP BY 1) USING (qid)""")
+# the scores are additive as they are made: a candidate's count less what its slate holds
+cte("ev_slates", "SELECT config, d.qid, slate, ln(sum(exp(n))) AS c FROM ev_design d JOIN ev_counts k ON k.qid=d.qid AND k.doc_id=d.item_id GROUP BY 1,2,3")
+cte("ev_drawn", "SELECT DISTINCT qid, item_id AS doc_id FROM ev_design")
+cte("ev_shift", """SELECT config, qid, (si+sc)/(ni+nc) AS t FROM (SELECT config, qid, sum(n) AS si, count(*) AS ni FROM ev_counts JOIN ev_drawn USING (qid, doc_id) GROUP BY 1,2)
+JOIN (SELECT config, qid, sum(c) AS sc, count(*) AS nc FROM ev_slates GROUP BY 1,2) USING (config, qid)""")
+cte("ev_latent", "SELECT k.*, CASE WHEN d.doc_id IS NOT NULL THEN round(n-t,6) ELSE 0.0 END+0.0 AS latent FROM ev_counts k JOIN ev_shift USING (config, qid) LEFT JOIN ev_drawn d ON d.qid=k.qid AND d.doc_id=k.doc_id")
+cte("ev_placed", """SELECT *, row_number() OVER (PARTITION BY config, qid ORDER BY latent DESC, doc_id) AS rl, row_number() OVER (PARTITION BY config, qid ORDER BY first_score DESC, doc_id) AS rf,
+row_number() OVER (PARTITION BY config, qid ORDER BY grade DESC, doc_id) AS rg FROM ev_latent""")
+_DCG = "sum(CASE WHEN {r}<=10 THEN (2.0**grade-1)/log2({r}+1) ELSE 0.0 END)"
+cte("ev_rows", f"""SELECT config, qid, any_value(tokens) AS tokens, avg(recall) AS recall, count(*) AS n_probes, CASE WHEN stddev_pop(latent)>1e-9 AND stddev_pop(grade)>1e-9 THEN covar_pop(latent,grade::DOUBLE)/(stddev_pop(latent)*stddev_pop(grade)) END AS corr,
+coalesce({_DCG.format(r='rl')}/nullif({_DCG.format(r='rg')},0),0.0) AS ndcg, coalesce({_DCG.format(r='rf')}/nullif({_DCG.format(r='rg')},0),0.0) AS ndcg_first FROM ev_placed GROUP BY 1,2""")
+cte("ev_sweep", """SELECT config, tokens, sum(recall*n_probes)/sum(n_probes) AS signature_recall, avg(corr) AS corr, stddev_pop(corr)/greatest(1.0,sqrt(count(corr))) AS corr_se, avg(ndcg) AS ndcg, avg(ndcg_first) AS ndcg_first, count(*) AS n_queries FROM ev_rows GROUP BY 1,2""")
+
+
+def _count_scorer(batch):
+    """A stand-in for the caller's model: log-softmax of how many of the query's words a candidate's text holds."""
+    out = []
+    for options, state in zip(batch["options"], batch["state"]):
+        asked, texts = state, list(options)
+        if state.startswith("{"):
+            told = json.loads(state)
+            asked, texts = told["query"], [told["candidates"][o] for o in options]
+        words = set(re.findall(tx.TOKEN, asked.lower()))
+        counts = np.array([len(words & set(re.findall(tx.TOKEN, x.lower()))) for x in texts], float)
+        out.append((counts - np.log(np.exp(counts).sum())).tolist())
+    return out
+
+
+def _evidence(t):
+    graded = t.ranked_once.join(t.qrels, ["qid", "doc_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+    probes = retrieval.balanced_probes(graded, 12, 2, 12).select("qid", "doc_id", "grade", F.col("score").alias("first_score"))
+    weights = retrieval.query_weights(t.queries, t.query_idf)
+    probes = cut_lineage(tx.best_windows(probes, t.corpus, weights, keep=("title", "text"), index=t.positions))
+    return cut_lineage(evidence.evidence_rows(probes, t.queries, t.corpus, _count_scorer, slate_size=SLATE, n_slates=SLATES, seed=95, index=t.positions))
+
+
+_EV_COLUMNS = ("recall", "corr", "ndcg", "ndcg_first")
+
+
+@query("evidence_rows", "SELECT config, qid, tokens AS tokens_per_candidate, n_probes, " + ", ".join(f"{q.r6(c)} AS {c}" for c in _EV_COLUMNS) + " FROM ev_rows")
+def evidence_rows(t):
+    return _evidence(t).select("config", "qid", "tokens_per_candidate", "n_probes", *[ex.r6(c).alias(c) for c in _EV_COLUMNS])
+
+
+_EV_MEANS = ("signature_recall", "corr", "corr_se", "ndcg", "ndcg_first")
+
+
+@query("evidence_sweep", "SELECT config, tokens AS tokens_per_candidate, n_queries, " + ", ".join(f"{q.r6(c)} AS {c}" for c in _EV_MEANS) + " FROM ev_sweep")
 def evidence_sweep(t):
-    s = _sweep(t)
-    return s.select("config", "n_queries", *[ex.r6(c).alias(c) for c in ("signature_recall", "corr", "ndcg")])
+    s = evidence.evidence_sweep(_evidence(t))
+    return s.select("config", "tokens_per_candidate", "n_queries", *[ex.r6(c).alias(c) for c in _EV_MEANS])
+
+
+cte("ev_best", "SELECT arg_max(config, {'m': round(m,9), 'c': config}) AS config FROM (SELECT config, avg(ndcg) AS m FROM ev_rows GROUP BY 1)")
+cte("ev_diffs", """SELECT config, 'first stage' AS versus, qid, ndcg-ndcg_first AS diff FROM ev_rows
+UNION ALL SELECT r.config, 'best', r.qid, r.ndcg-b.ndcg FROM ev_rows r JOIN ev_rows b ON b.qid=r.qid AND b.config=(SELECT config FROM ev_best)""")
+weights_sql("ev_weights", "ev_diffs", 97)
+cte("ev_boot", "SELECT config, versus, r, sum(w*diff)/nullif(sum(w),0) AS m FROM ev_diffs JOIN ev_weights USING (qid) GROUP BY 1,2,3")
+
+
+@query("evidence_pairs", f"""SELECT config, versus, n, {q.r6('mean_diff')} AS mean_diff, {q.r6('lo')} AS lo, {q.r6('hi')} AS hi FROM (SELECT config, versus, count(*) AS n, avg(diff) AS mean_diff FROM ev_diffs GROUP BY 1,2)
+JOIN (SELECT config, versus, quantile_cont(m,0.025) AS lo, quantile_cont(m,0.975) AS hi FROM ev_boot GROUP BY 1,2) USING (config, versus)""")
+def evidence_pairs(t):
+    p = evidence.evidence_pairs(_evidence(t), seed=97)
+    return p.select("config", "versus", "n", *[ex.r6(c).alias(c) for c in ("mean_diff", "lo", "hi")])
 
 
-@query("evidence_verdict")
+@query("evidence_verdict", f"""SELECT arg_max(config, {{'m': corr, 'c': config}}) AS best, arg_min(config, {{'m': corr, 'c': config}}) AS worst, {q.r6('max(corr)')} AS best_corr, {q.r6('max(corr)-min(corr)')} AS spread,
+CASE WHEN max(corr)<0.25 THEN 'no_signal' WHEN max(corr)-min(corr)>0.10 THEN 'starved' ELSE 'signal_present' END AS verdict FROM (SELECT config, round(corr,9) AS corr FROM ev_sweep)""")
 def evidence_verdict(t):
-    return retrieval.evidence_verdict(_sweep(t))
+    s = evidence.evidence_sweep(_evidence(t)).withColumn("corr", F.round("corr", 9))
+    return evidence.evidence_verdict(s).withColumns({c: ex.r6(c) for c in ("best_corr", "spread")})
