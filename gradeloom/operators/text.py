@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import col, strip
+from ..functions.joins import few, lookup
 from ..functions.lineage import cut_lineage
 
 # fixed values: the token pattern and the stop list
@@ -45,9 +46,13 @@ def stem_vocabulary(terms: DataFrame, stemmer: Callable[[str], str], term: str =
 
 
 def apply_stems(counted: DataFrame, stems: DataFrame, by: list[str], n: str) -> DataFrame:
-    """Re-key counted terms by their stem and add the counts up."""
+    """Re-key counted terms by their stem and add the counts up.
+
+    The stem is found where the term lies, or in salted pieces if the vocabulary is large, so a
+    frequent term's rows never meet in one task (:func:`functions.joins.lookup`).
+    """
     return (
-        counted.join(stems, "term")
+        lookup(counted, stems, "term", by[0])
         .groupBy(*by, F.col("stem"))
         .agg(F.sum(n).alias(n))
         .withColumnRenamed("stem", "term")
@@ -253,12 +258,13 @@ def best_windows(
         index = positional_hits(corpus.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), weights)
     wanted = pairs.select("qid", "doc_id").join(weights.select("qid", "term", "weight"), "qid")
     hits = index.filter("term IS NOT NULL").select("doc_id", "n_words", "term", "positions").join(wanted, ["doc_id", "term"])
-    starts = pairs.join(best_starts(hits, window, stride), ["qid", "doc_id"], "left")
+    starts = cut_lineage(pairs.join(best_starts(hits, window, stride), ["qid", "doc_id"], "left"))
     own = [c for c in pairs.columns if c != "doc_id"]
     asked = starts.withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
     asked = asked.groupBy("doc_id", F.pmod(F.xxhash64("qid"), F.ceil(F.col("_many") / PER_TEXT)).alias("_part")).agg(
         F.collect_list(F.struct(*own, F.coalesce("start", F.lit(0)).alias("_start"))).alias("_asked"))
-    split = asked.join(corpus.select("doc_id", *keep, F.col("text").alias("_text")), "doc_id").withColumn("_w", words("_text"))
+    texts = corpus.select("doc_id", *keep, F.col("text").alias("_text"))
+    split = texts.join(few(asked, starts.count()), "doc_id").withColumn("_w", words("_text"))
     cut_out = F.transform("_asked", lambda a: F.struct(*[a[c].alias(c) for c in own], F.array_join(F.slice("_w", a["_start"] + 1, F.lit(window)), " ").alias(out)))
     return split.select("doc_id", *keep, F.inline(cut_out)).select(*pairs.columns, *keep, out)
 

@@ -265,8 +265,7 @@ def calibrated_pool(t):
 
 @query("unplaced_candidates", "SELECT qid, item_id AS doc_id FROM scored WHERE slate%7=3")
 def unplaced_candidates(t):
-    lost = t.scored.filter(F.col("slate") % 7 != 3)  # scores of some slates never came back
-    return scale.unplaced(t.pool, lost)
+    return scale.unplaced(t.pool, t.late_scored)
 
 
 @query("anchored_and_naive_order", """SELECT qid, item_id, row_number() OVER (PARTITION BY qid ORDER BY utility DESC, item_id) AS anchored_rank, row_number() OVER (PARTITION BY qid ORDER BY lp6 DESC, item_id) AS naive_rank FROM (SELECT *, round(lp,6) AS lp6 FROM scored_blocked)""")

@@ -80,6 +80,11 @@ class Tables:
     def qrels(self) -> DataFrame:
         return self.qrels_raw.select("qid", "doc_id", F.greatest("grade", F.lit(0)).alias("grade"))
 
+    @cached_property
+    def stray_qrels(self) -> DataFrame:
+        """Judgements of which some name a document that the collection does not have."""
+        return self.qrels_raw.withColumn("doc_id", F.when(F.col("doc_id") % 11 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")))
+
     @cached_property
     def ranked(self) -> DataFrame:
         return retrieval.bm25_search(self.corpus, self.queries, k=DEPTH)
@@ -165,6 +170,11 @@ class Tables:
             ex.r6("utility").alias("utility"), ex.r6("sigma").alias("sigma"),
         )
 
+    @cached_property
+    def late_scored(self) -> DataFrame:
+        """The calibrated pool of a model that lost the scores of some slates."""
+        return self.scored.withColumn("utility", F.when(F.col("slate") % 7 != 3, F.col("utility")))
+
     @cached_property
     def verdicts(self) -> DataFrame:
         """Level probabilities of a judge for every candidate."""
