@@ -47,9 +47,9 @@ class Tables:
     def qrels_raw(self) -> DataFrame:
         """Grades from the overlap of distinct tokens; only judged pairs are listed.
 
-        A judged pair shares at least half of the query's n tokens, so the document holds one of
-        the query's n - ceil(n / 2) + 1 rarest tokens. Documents are looked up by these, rarest
-        first, and the overlap is counted for the pairs so found only.
+        A judged pair shares at least half of the query's n tokens. The document is looked up by
+        all but the query's most frequent quarter, and must hold n / 2 less that quarter of them;
+        the whole overlap is counted for the pairs so found only.
         """
         asked = self.queries.select("qid", F.array_distinct(tx.raw_tokens("text")).alias("t"))
         qt = asked.select("qid", "t", F.size("t").alias("n"), F.explode("t").alias("term"))
@@ -59,14 +59,18 @@ class Tables:
         )
         df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         rarest = Window.partitionBy("qid").orderBy(F.coalesce("df", F.lit(0)), "term")  # a query's own tokens
-        prefix = (
-            qt.join(df, "term", "left").withColumn("_r", F.row_number().over(rarest))
-            .filter(F.col("_r") <= F.col("n") - F.ceil(F.col("n") / 2) + 1)
+        frequent = F.floor(F.col("n") / 4)
+        placed = cut_lineage(qt.join(df, "term", "left").select(
+            "qid", "term", "n", (F.row_number().over(rarest) > F.col("n") - frequent).alias("frequent"),
+            F.greatest(F.ceil(F.col("n") / 2) - frequent, F.lit(1)).alias("needed")))
+        rare, rest = placed.filter("NOT frequent"), placed.filter("frequent")
+        found = (
+            held.join(rare, "term").groupBy("qid", "doc_id", "n", "needed").agg(F.count(F.lit(1)).alias("c"))
+            .filter(F.col("c") >= F.col("needed"))
         )
-        found = held.join(prefix.select("qid", "term"), "term").select("qid", "doc_id").distinct()
-        own = held.groupBy("doc_id").agg(F.collect_set("term").alias("_own"))  # at most the queries' tokens
-        c = found.join(own, "doc_id").join(asked, "qid").select(
-            "qid", "doc_id", F.size("t").alias("n"), F.size(F.array_intersect("_own", "t")).alias("c"))
+        more = found.select("qid", "doc_id").join(rest.select("qid", "term"), "qid").join(held, ["doc_id", "term"])
+        more = more.groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("m"))
+        c = found.join(more, ["qid", "doc_id"], "left").select("qid", "doc_id", "n", (F.col("c") + F.coalesce("m", F.lit(0))).alias("c"))
         flip = (F.col("qid") + F.col("doc_id")) % 7 == 0
         grade = (
             F.when(100 * F.col("c") >= 99 * F.col("n"), 2)
