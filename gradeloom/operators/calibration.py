@@ -196,8 +196,7 @@ def conformal_fit(rows: DataFrame, alpha: float = 0.1, key: str = "id") -> DataF
     checked = F.when(n >= 20, level).otherwise(
         F.raise_error(F.lit("too few calibration rows for this interval")).cast("double")
     )
-    scored = rows.select(miss_score().alias("s"), key)
-    fit = exact_quantile(scored, [], "s", F.array(checked), key)
+    fit = exact_quantile(rows.select(miss_score().alias("s")), [], "s", F.array(checked))
     return fit.select(F.lit(alpha).alias("alpha"), "n", "level", "q")
 
 

@@ -28,7 +28,7 @@ def test_exact_quantile(spark):
     rnd = random.Random(2)
     vals = [rnd.random() for _ in range(501)]
     df = spark.createDataFrame(list(enumerate(vals)), "id int, v double")
-    got = {r.level: r.q for r in exact_quantile(df, [], "v", F.array(F.lit(0.1), F.lit(0.333)), "id").collect()}
+    got = {r.level: r.q for r in exact_quantile(df, [], "v", F.array(F.lit(0.1), F.lit(0.333))).collect()}
     s = sorted(vals)
     for level, q in got.items():
         pos = level * 500
@@ -36,6 +36,31 @@ def test_exact_quantile(spark):
         assert abs(q - (s[lo] + (pos - lo) * (s[lo + 1] - s[lo]))) < 1e-12
 
 
+def test_exact_quantiles_of_hard_groups(spark, monkeypatch):
+    import numpy as np
+
+    from gradeloom.functions import ranks
+
+    monkeypatch.setattr(ranks, "BINS", 7)
+    rng = np.random.default_rng(3)
+    groups = {
+        "hot": rng.normal(size=700).tolist(), "ties": [1.0] * 40 + [2.0] * 3, "one": [5.0], None: [-1e308, 1e308, 0.0, 1e-300],
+        "wide": (10.0 ** rng.uniform(-200, 200, 300)).tolist(), "flat": [3.25] * 9, "nan": [float("nan"), 1.0, 2.0, None],
+    }
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    levels = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.g, r.level): (r.n, r.q) for r in exact_quantile(df, ["g"], "v", F.array(*map(F.lit, levels))).collect()}
+    assert len(got) == len(groups) * len(levels)
+    for g, vs in groups.items():
+        vs = sorted(v for v in vs if v is not None and v == v)
+        for level in levels:
+            pos = level * (len(vs) - 1)
+            a, b, w = vs[math.floor(pos)], vs[math.ceil(pos)], pos - math.floor(pos)
+            want = a if a == b else a * (1 - w) + b * w
+            assert got[g, level] == (len(vs), pytest.approx(want, rel=1e-12))
+
+
 def test_rank_metrics(spark):
     run = spark.createDataFrame([(1, 1, 3.0), (1, 2, 2.0), (1, 3, 1.0), (2, 1, 1.0)], "qid int, doc_id int, score double")
     qrels = spark.createDataFrame([(1, 1, 0), (1, 2, 2), (1, 9, 1), (2, 5, 0)], "qid int, doc_id int, grade int")
