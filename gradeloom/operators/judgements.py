@@ -91,6 +91,36 @@ def store_verdicts(verdicts: DataFrame, path: str) -> None:
     verdicts.write.mode("append").partitionBy("backend").parquet(path)
 
 
+CACHE_KEY = ("backend", "digest")
+
+
+def append_verdicts(verdicts: DataFrame, table: str, buckets: int = 64) -> None:
+    """Append verdicts to a cache table bucketed by backend and digest, leaving out what it holds.
+
+    A look-up (:func:`cache_lookup` on :func:`cached_verdicts`) reads the table bucket by bucket and
+    shuffles the requests only. Two jobs may append at once: each adds files of its own, and a
+    digest that both asked about is stored twice but read once.
+    """
+    spark = verdicts.sparkSession
+    verdicts = verdicts.dropDuplicates([*CACHE_KEY])
+    if spark.catalog.tableExists(table):
+        verdicts = verdicts.join(spark.table(table).select(*CACHE_KEY), [*CACHE_KEY], "left_anti").select(*spark.table(table).columns)
+    verdicts.write.mode("append").bucketBy(buckets, *CACHE_KEY).sortBy(*CACHE_KEY).saveAsTable(table)
+
+
+def cached_verdicts(spark: SparkSession, table: str) -> DataFrame:
+    """One verdict per backend and digest, the cheapest where racing jobs stored several; no row is moved."""
+    return _distinct_entries(spark.table(table))
+
+
+def compact_verdicts(spark: SparkSession, table: str, buckets: int = 64) -> None:
+    """Rewrite a cache table with one row per backend and digest; run it while nobody appends."""
+    kept = cached_verdicts(spark, table)
+    kept.write.bucketBy(buckets, *CACHE_KEY).sortBy(*CACHE_KEY).saveAsTable(f"{table}_compact")
+    spark.sql(f"DROP TABLE {table}")
+    spark.sql(f"ALTER TABLE {table}_compact RENAME TO {table}")
+
+
 def require_complete(misses: DataFrame) -> None:
     """Read-only replay: fail when anything would have to be asked."""
     if not misses.isEmpty():

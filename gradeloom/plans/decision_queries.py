@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
+from ..functions.lineage import cut_lineage
 from ..operators import budget, judgements as jd, typed
 from ..sources import collections as col, typed_json
 from . import sql as q
@@ -182,6 +185,21 @@ def verdict_cache_hits(t):
     return hits.select("qid", "digest", ex.r6("cost_usd", 9).alias("cost_usd"))
 
 
+@query("verdict_cache_table", f"SELECT qid, digest, {q.r6('cost_usd', 9)} AS cost_usd FROM requests JOIN cached USING (backend, digest)")
+def verdict_cache_table(t):
+    """The hits of a bucketed cache table that two jobs filled at once; the table goes when the hits are written."""
+    r, name = _requests(t), f"verdicts_{uuid.uuid4().hex}"
+    cache = cut_lineage(_cache(t, r))
+    try:
+        for _ in range(2):
+            cache.write.mode("append").bucketBy(8, *jd.CACHE_KEY).sortBy(*jd.CACHE_KEY).saveAsTable(name)
+        jd.append_verdicts(cache, name, 8)
+        hits, _ = jd.cache_lookup(r, jd.cached_verdicts(t.spark, name))
+        return cut_lineage(hits.select("qid", "digest", ex.r6("cost_usd", 9).alias("cost_usd")))
+    finally:
+        t.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 @query("verdict_cache_misses", "SELECT qid, digest FROM requests WHERE digest NOT IN (SELECT digest FROM cached)")
 def verdict_cache_misses(t):
     r = _requests(t)

@@ -122,6 +122,34 @@ def test_stored_verdicts_grow_by_what_is_new(spark, tmp_path):
     assert jd.load_verdicts(spark, path).count() == 3
 
 
+def test_a_bucketed_cache_is_read_in_place_and_survives_racing_writers(spark):
+    table = "verdict_cache_of_a_test"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    one = spark.createDataFrame([("b", f"d{i}", 0.1 * i) for i in range(50)], "backend string, digest string, cost_usd double")
+    two = spark.createDataFrame([("b", f"d{i}", 0.2 * i) for i in range(25, 75)], "backend string, digest string, cost_usd double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        jd.append_verdicts(one, table, 4)
+        # the second job looked before the first had written, so both add what they were told
+        two.write.mode("append").bucketBy(4, *jd.CACHE_KEY).sortBy(*jd.CACHE_KEY).saveAsTable(table)
+        assert spark.table(table).count() == 100
+        held = {r.digest: r.cost_usd for r in jd.cached_verdicts(spark, table).collect()}
+        assert len(held) == 75 and held["d30"] == 3.0
+        jd.append_verdicts(two, table, 4)
+        assert spark.table(table).count() == 100
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        asked = spark.createDataFrame([(f"d{i}", "b") for i in range(70, 90)], "digest string, backend string")
+        hits, misses = jd.cache_lookup(asked, jd.cached_verdicts(spark, table))
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1  # the requests
+        assert hits.count() == 5 and misses.count() == 15
+        jd.compact_verdicts(spark, table, 4)
+        assert spark.table(table).count() == 75
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def test_every_candidate_is_asked_about(spark):
     t = spark.range(1, 66).select(F.lit(1).alias("qid"), F.lit("q").alias("query"), F.col("id").alias("item_id"), F.col("id").alias("contest_rank"), F.lit("t").alias("text"))
     r = jd.build_requests(t, ["no", "yes"], "b").collect()
