@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,3 +38,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one for what a job leaves to read; it goes when the driver ends."""
+    at = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, at)
+    return at
+
+
+def _remove(at: str) -> None:
+    fs, path = pafs.FileSystem.from_uri(at) if "://" in at or at.startswith("file:") else (pafs.LocalFileSystem(), at)
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)

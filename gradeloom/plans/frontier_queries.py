@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as ex
 from ..functions.draws import DRAW, MIX, SHIFTS
+from ..functions.lineage import scratch_folder
 from ..operators import frontier as fr, pricing
+from ..streaming.escalations import stream_log
 from . import sql as q
 from .registry import cte, query
 
@@ -169,6 +171,16 @@ def escalation_log(t):
     return _cascade(t)["log"]
 
 
+@query("escalation_log_stream", "SELECT qid, item_id, level_probs, utility AS student_utility, sigma AS student_sigma FROM cas_bought")
+def escalation_log_stream(t):
+    """The log as a stream over what cascades wrote: every micro-batch becomes a round, read back as a table."""
+    at = scratch_folder(t.spark, "escalations")
+    _cascade(t)["log"].write.parquet(f"{at}/bought")
+    schema = t.spark.read.parquet(f"{at}/bought").schema
+    stream_log(t.spark.readStream.schema(schema).parquet(f"{at}/bought"), f"{at}/log", f"{at}/progress").awaitTermination()
+    return t.spark.read.schema(schema).parquet(f"{at}/log").drop("round")
+
+
 LAMBDAS = [0.0, 10.0, 30.0, 60.0, 100.0, 300.0, 1000.0]
 cte("lam_state", f"""SELECT s.*, "lambda" FROM qstate s, (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in LAMBDAS)}]) AS "lambda")""")
 _decision_ctes("lam_decision", '"lambda"', 0.0, 'qid, "lambda"', "lam_state")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.expr import share
-from ..functions.lineage import shared_folder
+from ..functions.lineage import scratch_folder
 
 
 def windowed_coverage(
@@ -90,7 +89,7 @@ def drain(monitor: DataFrame) -> DataFrame:
     Rows go to the shared folder batch by batch; a batch that is repeated after a failure replaces itself.
     """
     spark = monitor.sparkSession
-    at = f"{shared_folder(spark).rstrip('/')}/monitor-{uuid.uuid4().hex}"
+    at = scratch_folder(spark, "monitor")
 
     def keep(rows: DataFrame, batch: int) -> None:
         rows.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{at}/rows/run={batch}")
