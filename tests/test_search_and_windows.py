@@ -113,7 +113,7 @@ def test_large_queries_are_fitted_over_their_rows(spark):
 @pytest.mark.parametrize("by", designs.ANCHORS_BY)
 def test_fixed_anchors_put_slates_on_one_scale(spark, by):
     rng = np.random.default_rng(2)
-    rows = [(q, i, int(g := rng.integers(0, 4)), g + float(rng.normal(0, 0.2)), i, g * 1.5 + float(rng.normal(0, 0.2))) for q in (1, 2) for i in range(45)]
+    rows = [(q, i, g, float(g + rng.normal(0, 0.2)), i, float(g * 1.5 + rng.normal(0, 0.2))) for q in (1, 2) for i, g in enumerate(rng.integers(0, 4, 45).tolist())]
     pool = spark.createDataFrame(rows, "qid int, doc_id long, grade int, known double, first_rank long, l double")
     latent = pool.select("qid", F.col("doc_id").alias("item_id"), "l")
 
