@@ -52,28 +52,40 @@ def normal(seed: int, *keys: Column | str) -> Column:
 
 
 # ---------------------------------------------------------------------- arrays
+def bind(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once a row, also where ``fn`` uses it for every element of an array."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def arr_sum(a: Column | str) -> Column:
     return F.aggregate(col(a), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def normalise(a: Column | str) -> Column:
     """Divide by the total; NULL when there is no mass."""
-    total = F.nullif(arr_sum(a), F.lit(0.0))
-    return F.transform(col(a), lambda x: x / total)
+    def scaled(v: Column) -> Column:
+        return bind(F.nullif(arr_sum(v), F.lit(0.0)), lambda total: F.transform(v, lambda x: x / total))
+
+    return bind(col(a), scaled)
 
 
 def softmax(a: Column | str, temperature: Column | float = 1.0) -> Column:
     t = F.lit(temperature) if isinstance(temperature, (int, float)) else temperature
-    top = F.array_max(col(a))
-    e = F.transform(col(a), lambda x: F.exp((x - top) / t))
-    return normalise(e)
+
+    def raised(v: Column) -> Column:
+        return bind(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp((x - top) / t)))
+
+    return normalise(bind(col(a), raised))
 
 
 def log_softmax(a: Column | str, temperature: Column | float = 1.0) -> Column:
     t = F.lit(temperature) if isinstance(temperature, (int, float)) else temperature
-    top = F.array_max(col(a))
-    lse = F.ln(F.aggregate(col(a), F.lit(0.0), lambda acc, x: acc + F.exp((x - top) / t)))
-    return F.transform(col(a), lambda x: (x - top) / t - lse)
+
+    def lowered(v: Column, top: Column) -> Column:
+        lse = F.ln(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp((x - top) / t)))
+        return bind(lse, lambda m: F.transform(v, lambda x: (x - top) / t - m))
+
+    return bind(col(a), lambda v: bind(F.array_max(v), lambda top: lowered(v, top)))
 
 
 def argmax0(a: Column | str) -> Column:

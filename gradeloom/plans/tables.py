@@ -221,7 +221,8 @@ class Tables:
     def predictions(self) -> DataFrame:
         e = self.raw("events").select(F.col("event_id").alias("ex_id"), F.col("event_type").alias("source"), "value")
         k = F.element_at(F.array(*[F.lit(x) for x in (2, 4, 8, 12)]), (F.col("ex_id") % 4 + 1).cast("int"))
-        e = e.withColumn("k", k).withColumn("truth", F.floor(ex.uniform(11, "ex_id") * F.col("k")).cast("int"))
+        # settled: a later filter on what is made of the draws would make them again, element by element
+        e = ex.settle(e.withColumn("k", k), {"truth": F.floor(ex.uniform(11, "ex_id") * F.col("k")).cast("int")})
         qtype = F.when(F.col("k") == 2, "noul").when((F.col("k") <= 10) & (F.col("ex_id") % 3 == 0), "score").otherwise("choice")
         sharp = 1.0 + 0.3 * F.log1p("value")
         logits = F.transform(
@@ -230,13 +231,10 @@ class Tables:
                 sharp * (F.when(i == F.col("truth"), 1.2).otherwise(0.0) + 2.0 * ex.uniform(12, "ex_id", i)), 6
             ),
         )
-        e = e.withColumn("qtype", qtype).withColumn("logits", logits)
-        return e.select(
-            "ex_id", "source", "qtype", "k",
-            F.when(F.col("ex_id") % 41 != 0, F.col("truth")).alias("label"),
-            "logits",
-            F.transform(ex.softmax("logits"), lambda x: F.round(x, 9)).alias("probs"),
-        )
+        e = ex.settle(e.withColumn("qtype", qtype), {"logits": logits})
+        e = ex.settle(e, {"probs": F.transform(ex.softmax("logits"), lambda x: F.round(x, 9))})
+        label = F.when(F.col("ex_id") % 41 != 0, F.col("truth")).alias("label")
+        return e.select("ex_id", "source", "qtype", "k", label, "logits", "probs")
 
     @cached_property
     def labelled(self) -> DataFrame:
