@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..functions import expr as ex
+from ..functions.joins import few
 from ..functions.lineage import cut_lineage
 from ..functions.ranks import exact_quantile, running
 from .evaluation import ALL, binned, ece_from_bins
@@ -17,14 +25,47 @@ MIN_SAMPLES = 50
 
 
 # ---------------------------------------------------------------- temperature
-def _nll(logits: Column, label: Column, t: Column) -> Column:
-    top = F.array_max(logits)
-    lse = F.ln(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp((x - top) / t)))
-    return lse - (F.get(logits, label) - top) / t
+#: Groups whose sums a task keeps before it hands them on.
+GROUPS_AT_ONCE = 4096
 
 
-def _binary_nll(logit: Column, y: Column, t: Column) -> Column:
-    return ex.softplus(logit / t) - y * logit / t
+@dataclass(frozen=True)
+class Loss:
+    """A row's loss at a temperature: the numbers it needs, made by Spark, and what is made of them in tasks.
+
+    ``cells`` are the row's columns ``_x`` and ``_y``; a row with a NULL among them has no loss.
+    ``at`` gives a function from temperatures (one a row) to losses for the values of a batch.
+    """
+
+    cells: tuple[Column, Column]
+    at: Callable[[pa.Array, pa.Array], Callable[[np.ndarray], np.ndarray]]
+
+
+def _option_losses(gaps: pa.Array, mark: pa.Array) -> Callable[[np.ndarray], np.ndarray]:
+    x, own, first = gaps.flatten().to_numpy(), mark.to_numpy(), gaps.offsets.to_numpy()
+    first, size = first[:-1] - first[0], np.diff(first)
+    return lambda t: np.log(np.add.reduceat(np.exp(x / np.repeat(t, size)), first)) - own / t
+
+
+def _binary_losses(logit: pa.Array, y: pa.Array) -> Callable[[np.ndarray], np.ndarray]:
+    z, wanted = logit.to_numpy(), y.to_numpy()
+
+    def at(t: np.ndarray) -> np.ndarray:
+        v = z / t
+        return np.maximum(v, 0.0) + np.log1p(np.exp(-np.abs(v))) - wanted * z / t
+
+    return at
+
+
+def option_loss(logits: str = "logits", label: str = "label") -> Loss:
+    """Negative log-likelihood of the labelled option; logits go to tasks less the row's largest."""
+    whole = F.forall(logits, lambda x: x.isNotNull())  # of no options none can be labelled
+    gaps = ex.bind(F.array_max(logits), lambda top: F.transform(logits, lambda x: x - top))
+    return Loss((F.when(whole, gaps), F.get(logits, F.col(label)) - F.array_max(logits)), _option_losses)
+
+
+def binary_loss(p: str = "prob", y: str = "relevant") -> Loss:
+    return Loss((logit_of(p), F.col(y).cast("double")), _binary_losses)
 
 
 def bucketed(records: DataFrame) -> DataFrame:
@@ -32,13 +73,61 @@ def bucketed(records: DataFrame) -> DataFrame:
     return records.filter(F.col("label").isNotNull()).select(ex.size_bucket("qtype", F.size("logits")).alias("bucket"), "logits", "label")
 
 
-def _loss_sums(rows: DataFrame, by: list[str], loss, grid: Column) -> DataFrame:
-    """(by.., i, s, n): the summed loss of every candidate of ``grid`` (an array) per group.
+def _numbers(rows: DataFrame, by: list[str], loss: Loss) -> DataFrame:
+    return rows.select(*by, loss.cells[0].alias("_x"), loss.cells[1].alias("_y"))
+
+
+def _loss_sums(rows: DataFrame, by: list[str], loss: Loss, grid: Callable[..., np.ndarray], bounds: list[str], total: tuple | None = None) -> DataFrame:
+    """(by.., i, s, n): the summed loss of every candidate of a group's grid.
 
-    A row's losses are one array made where the row lies; only numbers go on from there, and they
-    are added up before the shuffle.
+    ``rows`` are those of :func:`_numbers`; ``grid`` makes a group's candidates of its row's
+    ``bounds``. ``total`` (name, bounds..) is a further group that holds all rows. A task adds up
+    the rows of a batch as vectors and hands on one row per group, so only these are shuffled.
     """
-    return rows.select(*by, F.posexplode(F.transform(grid, loss)).alias("i", "_loss")).groupBy(*by, "i").agg(F.sum("_loss").alias("s"), F.count(F.lit(1)).alias("n"))
+    keys = [rows.schema[c] for c in by]
+    schema = StructType([*keys, StructField("s", ArrayType(DoubleType())), StructField("m", LongType()), StructField("n", LongType())])
+    arrow, losses_of = to_arrow_schema(schema), loss.at  # the columns of a loss can't be sent to tasks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            if held:
+                cells = [*zip(*held), *zip(*held.values())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, arrow.types)], names=arrow.names)
+                held.clear()
+
+        def add(group: tuple, *more) -> None:
+            held[group] = [a + b for a, b in zip(held[group], more)] if group in held else list(more)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code: dict[tuple, int] = {}
+            names = zip(*(batch[c].to_pylist() for c in by)) if by else [()] * batch.num_rows
+            of = np.array([code.setdefault(x, len(code)) for x in names])
+            first = np.unique(of, return_index=True)[1]
+            grids = np.array([grid(*(batch[c][int(k)].as_py() for c in bounds)) for k in first])
+            there = pc.and_(batch["_x"].is_valid(), batch["_y"].is_valid())
+            mine, has = of[there.to_numpy(zero_copy_only=False)], batch.filter(there)
+            sums, whole = np.zeros(grids.shape), np.zeros(grids.shape[1])
+            if len(mine):
+                at = losses_of(has["_x"], has["_y"])
+                for i in range(grids.shape[1]):
+                    sums[:, i] = np.bincount(mine, at(grids[mine, i]), len(code))
+                whole = np.array([at(np.full(len(mine), t)).sum() for t in grid(*total[1:])]) if total else whole
+            counts, losses = np.bincount(of, minlength=len(code)), np.bincount(mine, minlength=len(code))
+            for group, g in code.items():
+                add(group, sums[g], int(losses[g]), int(counts[g]))
+            if total:
+                add((total[0],), whole, len(mine), len(of))
+            if len(held) > GROUPS_AT_ONCE:
+                yield from handed_on()
+        yield from handed_on()
+
+    made = rows.mapInArrow(run, schema)
+    some = F.when(F.sum("m") > 0, F.sum("_s"))
+    return made.select(*by, "m", "n", F.posexplode("s").alias("i", "_s")).groupBy(*by, "i").agg(some.alias("s"), F.sum("n").alias("n"))
 
 
 def _best(sums: DataFrame, by: list[str], t: Column) -> DataFrame:
@@ -48,55 +137,46 @@ def _best(sums: DataFrame, by: list[str], t: Column) -> DataFrame:
     return rows.groupBy(*by).agg(best.alias("_b"), F.max("n").alias("n")).select(*by, F.col("_b._t").alias("t"), F.col("_b._m").alias("nll"), "n")
 
 
-def _whole(sums: DataFrame) -> DataFrame:
-    """The sums of everything from the sums of the groups."""
-    return sums.groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-
-
-def temperature_grid(rows: DataFrame, grid: list[float], by: list[str], loss=None, total: str | None = None) -> DataFrame:
+def temperature_grid(rows: DataFrame, grid: list[float], by: list[str], loss: Loss | None = None, total: str | None = None) -> DataFrame:
     """Single pass: the grid temperature with the lowest mean loss per group.
 
     ``total`` names a further group that holds all rows (then ``by`` is one column).
     """
-    loss = loss or (lambda t: _nll(F.col("logits"), F.col("label"), t))
-    ts = F.array(*[F.lit(float(g)) for g in grid])
-    sums = _loss_sums(rows, by, loss, ts)
+    ts = np.array(grid, float)
+    sums = _loss_sums(_numbers(rows, by, loss or option_loss()), by, loss or option_loss(), lambda: ts, [])
     if total is not None:
         sums = cut_lineage(sums)  # a row per group and candidate, read twice
-        sums = sums.unionByName(_whole(sums).withColumn(by[0], F.lit(total)))
-    return _best(sums, by, F.get(ts, F.col("i")))
+        whole = sums.groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        sums = sums.unionByName(whole.withColumn(by[0], F.lit(total)))
+    return _best(sums, by, F.get(F.array(*[F.lit(float(g)) for g in grid]), F.col("i")))
 
 
 def fit_temperature(
-    rows: DataFrame, by: list[str], lo: float = 0.02, hi: float = 10.0, points: int = 24, passes: int = 6, loss=None, total: str | None = None
+    rows: DataFrame, by: list[str], lo: float = 0.02, hi: float = 10.0, points: int = 24, passes: int = 6, loss: Loss | None = None, total: str | None = None
 ) -> DataFrame:
     """Temperature minimising the mean loss per group, by a narrowing grid.
 
     The loss has one minimum in t, so the neighbours of the best of ``points`` geometric
     candidates bracket it; every pass cuts the bracket (in log t) to 2/(points-1). All
     groups, and everything together under the name ``total``, are searched in the same pass,
-    one aggregate each. The rows are read ``passes`` times and kept for that long.
+    one aggregate each. The numbers that losses need are read ``passes`` times and kept for that
+    long; they are not shuffled, as the brackets of few groups are sent to them.
     """
-    rows = rows.persist()
-    loss = loss or (lambda t: _nll(F.col("logits"), F.col("label"), t))
+    loss = loss or option_loss()
+    rows = _numbers(rows, by, loss).persist()
     brackets = rows.select(*by).distinct()
     if total is not None:
         brackets = brackets.union(rows.sparkSession.createDataFrame([(total,)], brackets.schema))
     brackets = brackets.withColumns({"_lo": F.lit(float(lo)), "_hi": F.lit(float(hi))})
+    parts = np.arange(points) / (points - 1)
     for _ in range(passes):
+        brackets = cut_lineage(brackets)  # one row per group
+        known, whole = few(brackets.select(*by, "_lo", "_hi")), None
+        if total is not None:
+            whole = (total, *brackets.filter(F.col(by[0]) == total).select("_lo", "_hi").first())
+        sums = _loss_sums(rows.join(known, by), by, loss, lambda a, b: a * (b / a) ** parts, ["_lo", "_hi"], whole)
         step = F.pow(F.col("_hi") / F.col("_lo"), F.lit(1.0 / (points - 1)))
-        grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_lo") * F.pow(step, i))
-        # one row per group: small, and how they meet the rows is left to Spark
-        brackets = cut_lineage(brackets.withColumn("_grid", grid))
-        mine = rows.join(brackets.select(*by, "_grid"), by)
-        if total is None:
-            sums = _loss_sums(mine, by, loss, F.col("_grid"))
-        else:
-            whole = brackets.filter(F.col(by[0]) == total).select("_grid").scalar()
-            both = cut_lineage(_loss_sums(mine.withColumn("_grid", F.concat("_grid", whole)), by, loss, F.col("_grid")))
-            rest = _whole(both.filter(F.col("i") >= points)).select(F.lit(total).alias(by[0]), (F.col("i") - points).alias("i"), "s", "n")
-            sums = both.filter(F.col("i") < points).unionByName(rest)
-        best = _best(sums.join(brackets.select(*by, "_lo", "_hi", "_grid"), by), [*by, "_lo", "_hi"], F.get("_grid", F.col("i")))
+        best = _best(sums.join(known, by), [*by, "_lo", "_hi"], F.col("_lo") * F.pow(step, F.col("i")))
         brackets = best.select(*by, F.greatest(F.col("t") / step, F.col("_lo")).alias("_lo"), F.least(F.col("t") * step, F.col("_hi")).alias("_hi"), "nll", "n")
     found = cut_lineage(brackets.select(*by, "n", F.sqrt(F.col("_lo") * F.col("_hi")).alias("t"), "nll"))
     rows.unpersist()
@@ -137,13 +217,9 @@ def logit_of(p: Column | str, clip: float = 1e-6) -> Column:
     return F.ln(q / (1.0 - q))
 
 
-def _binary_loss(p: str, y: str):
-    return lambda t: _binary_nll(logit_of(p), F.col(y).cast("double"), t)
-
-
 def fit_binary_temperature(rows: DataFrame, by: list[str], p: str = "prob", y: str = "relevant", grid: list[float] | None = None) -> DataFrame:
     """Temperature on logit(p) in [0.05, 20]."""
-    loss = _binary_loss(p, y)
+    loss = binary_loss(p, y)
     if grid:
         return temperature_grid(rows, grid, by, loss)
     return fit_temperature(rows, by, 0.05, 20.0, loss=loss)
