@@ -8,11 +8,12 @@ phone, card or address; obfuscated and defanged e-mails. Features describe a can
 on its left). Gradient-boosted trees score them, and a candidate is a span if its score reaches its
 kind's threshold and it touches neither a base span nor a better candidate.
 
-The trees are trained here, on a bounded sample (the ``FIT_DOCS`` documents with the smallest hash
-of their id, at most ``FIT_ROWS`` candidates by hash): base spans and rewritten copies of them in
-other spellings at the same place are positives, other candidates and rewritten copies with broken
-digits are negatives. Thresholds are calibrated on the quarter of the sample that training does
-not see: the smallest score from which on at least ``MIN_PRECISION`` are right. A kind without
+The trees are trained here, on the candidates of all documents: base spans and rewritten copies of
+them in other spellings at the same place are positives, other candidates and rewritten copies with
+broken digits are negatives. Candidates of equal features are one row whose weight is their
+number, so what is fitted grows with the kinds of candidates and not with the texts. Thresholds are
+calibrated on the quarter of the candidates that training does not see (by a hash of their
+surroundings): the smallest score from which on at least ``MIN_PRECISION`` are right. A kind without
 ``MIN_CALIBRATION`` held-out positives adds nothing. Spark's own GBTClassifier does the fit; its
 trees are then applied to whole batches inside the tasks that read the texts, so no text is
 shuffled, and each text is searched whole.
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,11 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
+from ..functions.ranks import running
 from .common import per_batch
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_DOCS = 8_000
-FIT_ROWS = 40_000
 MIN_PRECISION = 0.99
 MIN_CALIBRATION = 10
 TREES, DEPTH = 12, 4
@@ -176,29 +177,30 @@ def _rewritten(text: str, start: int, kind: int, end: int):
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """(key, kind, label, x) of every candidate in ``docs``, real and rewritten."""
+    """(held_out, kind, label, x, n): how many candidates in ``docs``, real and rewritten, have these features."""
     def run(batch: pa.RecordBatch) -> dict:
-        out = {"key": [], "kind": [], "label": [], "x": []}
+        seen: Counter = Counter()
 
         def add(text, start, kind, end, label):
-            out["key"].append(zlib.crc32(text[max(0, start - CONTEXT):end + 2].encode()))
-            out["kind"].append(kind)
-            out["label"].append(label)
-            out["x"].append([float(v) for v in describe(text, start, kind, end)])
+            held_out = zlib.crc32(text[max(0, start - CONTEXT):end + 2].encode()) % 4 == 0
+            seen[held_out, kind, label, tuple(float(v) for v in describe(text, start, kind, end))] += 1
 
-        for text in batch["text"].to_pylist():
-            base = base_spans(text or "")
+        for text in batch["text"]:
+            text = text.as_py() or ""
+            base = base_spans(text)
             for s, k, e in base:
                 add(text, s, k, e, 1.0)
                 for other, a, b, label in _rewritten(text, s, k, e):
                     add(other, a, k, b, float(label))
             touched = _Taken(base)
-            for s, k, e in candidates(text or ""):
+            for s, k, e in candidates(text):
                 if not touched.hit(s, e):
                     add(text, s, k, e, 0.0)
-        return out
+        held_out, kind, label, x = zip(*seen) if seen else ((), (), (), ())
+        return {"held_out": held_out, "kind": kind, "label": label, "x": x, "n": list(seen.values())}
 
-    return per_batch(docs.select("text"), run, "key long, kind int, label double, x array<double>")
+    made = per_batch(docs.select("text"), run, "held_out boolean, kind int, label double, x array<double>, n long")
+    return made.groupBy("held_out", "kind", "label", "x").agg(F.sum("n").alias("n"))
 
 
 class _Taken:
@@ -289,35 +291,35 @@ def _arrays(node) -> tuple:
     return np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value)
 
 
-def learn(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_rows: int = FIT_ROWS) -> Trees:
-    """Boosted trees and calibrated thresholds from a bounded sample of ``docs``."""
+def learn(docs: DataFrame) -> Trees:
+    """Boosted trees and calibrated thresholds from all of ``docs``."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    ids = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    rows = training_rows(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))  # at most FIT_DOCS ids
-    rows = cut_lineage(rows.orderBy("key", "kind", "label", F.xxhash64("x")).limit(fit_rows))
-    held_out = F.col("key") % 4 == 0
-    seen = {(bool(r.held), r.label) for r in rows.select(held_out.alias("held"), "label").distinct().collect()}
+    rows = cut_lineage(training_rows(docs))
+    seen = {(bool(r.held_out), r.label) for r in rows.select("held_out", "label").distinct().collect()}
     if len(seen) < 4:  # both labels on both sides
         return Trees()
-    train = rows.filter(~held_out).select("label", array_to_vector("x").alias("features")).coalesce(1)
-    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, maxBins=64, cacheNodeIds=False, checkpointInterval=-1).fit(train)
+    train = rows.filter("NOT held_out").select("label", F.col("n").cast("double").alias("n"), array_to_vector("x").alias("features"))
+    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, maxBins=64, weightCol="n", cacheNodeIds=False, checkpointInterval=-1).fit(train)
     model = Trees([_arrays(t._call_java("rootNode")) for t in fitted.trees], list(fitted.treeWeights))
-    held = rows.filter(held_out).select("kind", "label", "x").collect()  # at most FIT_ROWS
-    scores = model.score(np.array([r.x for r in held]))
-    for kind in range(len(KINDS)):
-        mine = sorted(((s, r.label) for s, r in zip(scores.tolist(), held) if r.kind == kind), reverse=True)
-        right, best = 0.0, None
-        for n, (s, label) in enumerate(mine, 1):
-            right += label
-            if right >= max(MIN_CALIBRATION, MIN_PRECISION * n) and (n == len(mine) or mine[n][0] < s):
-                best = s
-        if best is not None:
-            model.thresholds[kind] = max(best, 0.5)
+    model.thresholds |= calibrated(rows.filter("held_out"), model)
     return model
 
 
+def calibrated(rows: DataFrame, model: Trees) -> dict[int, float]:
+    """The threshold of each kind that gets one, from all held-out ``rows`` (kind, label, x, n)."""
+    def run(batch: pa.RecordBatch) -> dict:
+        x = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1)
+        return {c: batch[c] for c in ("kind", "label", "n")} | {"score": model.score(x)}
+
+    scored = per_batch(rows.select("kind", "label", "x", "n"), run, "kind int, label double, n long, score double")
+    steps = scored.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right"))
+    upto = running(steps, ["kind"], [F.desc("score")], {"of": "n", "good": "right"})
+    good = upto.filter(F.col("good") >= F.greatest(F.lit(float(MIN_CALIBRATION)), MIN_PRECISION * F.col("of")))
+    return {r.kind: max(r.best, 0.5) for r in good.groupBy("kind").agg(F.min("score").alias("best")).collect()}
+
+
 def _listed(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 

@@ -91,3 +91,19 @@ def test_redaction(spark, model):
     docs = spark.createDataFrame([(1, "mail a@b.cc or +1 (603) 555-8791, card 4111 1111 1111 1111", 0), (2, None, 0)], "doc_id long, text string, n_chars long")
     out = {r.doc_id: r for r in pii.redact(docs, model).collect()}
     assert out[1].text == "mail [EMAIL] or [PHONE], card [CARD]" and out[1].n_chars == len(out[1].text) and out[2].text is None
+
+
+def test_all_documents_are_learned_from(spark):
+    """Candidates of one form are one row, whose weight counts them in every document."""
+    docs = spark.createDataFrame([(i, f"write to user{i % 7}@mail.example.com or 10.20.30.{i % 10}") for i in range(9_000)], "doc_id long, text string")
+    rows = pii.training_rows(docs.repartition(3)).collect()
+    real = [r for r in rows if r.label == 1 and (r.x[0] or r.x[1]) and not r.x[pii.FEATURES.index("hidden_at")] and not r.x[pii.FEATURES.index("brackets")] and not r.x[pii.FEATURES.index("parens")]]
+    assert sum(r.n for r in real) == 18_000 and len(rows) < 200
+
+
+def test_thresholds_count_every_candidate(spark):
+    half = (np.array([0, -1, -1]), np.array([0.5, 0.0, 0.0]), np.array([1, 0, 0]), np.array([2, 0, 0]), np.array([0.0, -1.0, 2.0]))
+    model = pii.Trees([half], [1.0])
+    rows = [(1, 1.0, [1.0], 990), (1, 0.0, [1.0], 10), (1, 0.0, [0.0], 500), (2, 1.0, [1.0], 989), (2, 0.0, [1.0], 11), (3, 1.0, [1.0], 9)]
+    df = spark.createDataFrame(rows, "kind int, label double, x array<double>, n long")
+    assert list(pii.calibrated(df, model)) == [1]
