@@ -38,7 +38,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of five-word Jaccard similarity 0.8 stays, the one with the smallest id."""
+    """One document of each class of five-word Jaccard similarity 0.8 stays, the one with the smallest id.
+
+    Links come from op2's index first, checked by the whole texts, then from exact candidates.
+    """
     _in_small_batches(spark)
     return copies.keep_one(docs)
 

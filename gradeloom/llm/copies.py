@@ -9,10 +9,12 @@ and phrases bring few texts together; any order gives the same links. A pair tha
 i and j can share at most min(|A| - i, |B| - j) shingles if it met nowhere before; where that
 is below 4/9 (|A| + |B|), which 0.8 needs, the pair goes without a look at its sets.
 
-Candidates are compared by their whole sets, in two rounds: first every member of a shingle's
-bucket with the bucket's first and last, then those pairs of a bucket whose classes the first
-round has not joined. So a large group of near copies costs a few comparisons for each member.
-Pairs are checked star by star, by their heads first and what these leave open by the whole
+Candidates are compared by their whole sets, in three rounds: first what op2's Gray-order index
+(:mod:`simhash`) links within two bits, then every member of a shingle's bucket with the bucket's
+center, then those pairs of a bucket whose classes are still apart. The center is the set that has
+the shingle at the earliest place: in a group of near copies that is the one with the fewest edits,
+as an edit puts rare shingles before the shared ones, so most members are similar to it and few
+pairs are left for the last round. Pairs are checked star by star, by their heads first and what these leave open by the whole
 texts: the centre is read once and its members stream past, so a task holds two sets; a star of
 many members is split over salts, each with its own copy of the centre.
 
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut_lineage
 from .common import beside, one_per_class, small_batches, text_key
 from .components import connected_components
+from .simhash import fingerprint, link_fingerprints
 
 SHINGLE_WORDS = 5
 #: One text in SAMPLE says which shingles are common: those that COMMON of its texts hold.
@@ -85,7 +88,7 @@ def _common(texts: DataFrame) -> np.ndarray:
 
 
 def _marked(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """(text_key, doc_id, fp, size, head) of every row of ``texts``."""
+    """(text_key, doc_id, fp, size, head, code) of every row of ``texts``; ``code`` is op2's fingerprint."""
     known = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,14 +97,14 @@ def _marked(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 part, out = batch.slice(at, ROWS), []
                 for text in part["text"]:
                     hashes = shingle_set(text.as_py())
-                    out.append((set_digest(hashes), len(hashes), head_of(hashes, known.value)))
-                fp, size, head = zip(*out)
+                    out.append((set_digest(hashes), len(hashes), head_of(hashes, known.value), fingerprint(text.as_py())))
+                fp, size, head, code = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [part["text_key"], part["doc_id"], pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(head, pa.list_(pa.int64()))],
-                    ["text_key", "doc_id", "fp", "size", "head"])
+                    [part["text_key"], part["doc_id"], pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(head, pa.list_(pa.int64())), pa.array(code, pa.int64())],
+                    ["text_key", "doc_id", "fp", "size", "head", "code"])
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    return cut_lineage(texts.mapInArrow(run, f"text_key long, doc_id {id_type}, fp long, size int, head array<long>"))
+    return cut_lineage(texts.mapInArrow(run, f"text_key long, doc_id {id_type}, fp long, size int, head array<long>, code long"))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -193,11 +196,35 @@ def candidate_rows(sets: DataFrame) -> DataFrame:
     return cut_lineage(_shared(sets.select("fp", "size", F.posexplode("head").alias("pos", "shingle")).select("shingle", "fp", "size", "pos")))
 
 
+def indexed_pairs(marked: DataFrame) -> DataFrame:
+    """(center, member): sets of one fingerprint, and of fingerprints that op2's index links, if their sizes are near.
+
+    One set stands for a fingerprint and the index gives a forest of links, so these are a few pairs a set at most.
+    """
+    coded = cut_lineage(marked.select("code", "fp", "size").distinct())
+    heads = cut_lineage(coded.groupBy("code").agg(F.min(F.struct("fp", "size")).alias("h")))
+    links = link_fingerprints(heads.select(F.col("code").alias("fp")))
+    same = coded.join(heads, "code").select(F.struct("fp", "size").alias("m"), F.col("h").alias("c"))
+    linked = links.join(heads.select(F.col("code").alias("a"), F.col("h").alias("m")), "a").join(heads.select(F.col("code").alias("b"), F.col("h").alias("c")), "b").select("m", "c")
+    near = 5 * F.least("m.size", "c.size") >= 4 * F.greatest("m.size", "c.size")
+    met = same.unionByName(linked).filter((F.col("m.fp") != F.col("c.fp")) & near)
+    return _centered(met.select(F.col("c.fp").alias("center"), F.col("m.fp").alias("member")))
+
+
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """(center, member): every row of a shingle with the shingle's first and last set."""
-    ends = rows.groupBy("shingle").agg(F.min(F.struct("fp", "size", "pos")).alias("first"), F.max(F.struct("fp", "size", "pos")).alias("last"))
-    met = rows.join(ends, "shingle").select("fp", "size", "pos", F.explode(F.array("first", "last")).alias("e"))
-    return _centered(met.filter((F.col("fp") != F.col("e.fp")) & _possible("size", "pos", "e.size", "e.pos")).select(F.col("e.fp").alias("center"), F.col("fp").alias("member")))
+    """(center, member): every row of a shingle with the set that has the shingle at the earliest place."""
+    first = rows.groupBy("shingle").agg(F.min(F.struct("pos", "fp", "size")).alias("e"))
+    met = rows.join(first, "shingle").filter((F.col("fp") != F.col("e.fp")) & _possible("size", "pos", "e.size", "e.pos"))
+    return _centered(met.select(F.col("e.fp").alias("center"), F.col("fp").alias("member")))
+
+
+def _apart(pairs: DataFrame, classes: DataFrame, seen: DataFrame) -> DataFrame:
+    """Those ``pairs`` that were not ``seen`` and that ``classes`` (fp, component) does not join."""
+    sides = [classes.select(F.col("fp").alias(side), F.col("component").alias(name)) for side, name in (("center", "_c"), ("member", "_m"))]
+    named = pairs.join(sides[0], "center", "left").join(sides[1], "member", "left")
+    open_ = named.filter(F.coalesce("_c", "center") != F.coalesce("_m", "member"))
+    x, y = F.least("center", "member").alias("x"), F.greatest("center", "member").alias("y")
+    return cut_lineage(open_.select("center", "member", x, y).join(seen.select(x, y), ["x", "y"], "left_anti").select("center", "member"))
 
 
 def open_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -211,19 +238,25 @@ def open_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def links_of(marked: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (center, member) that connect exactly the sets of ``marked`` (text_key, doc_id, fp, size, head) that are similar enough."""
+    """Links (center, member) that connect exactly the sets of ``marked`` (text_key, doc_id, fp, size, head, code) that are similar enough."""
     sets = distinct_sets(marked)
     # one row stands for all that have a set
     first = marked.groupBy("fp").agg(F.min(F.struct("text_key", F.col("doc_id").isNull().alias("none"), "doc_id")).alias("o"))
     owner = first.select("fp", F.col("o.text_key").alias("text_key"), F.col("o.doc_id").alias("owner"))
+    none = texts.sparkSession.createDataFrame([], "fp long, component long")
+
+    def classes_of(links: DataFrame) -> DataFrame:
+        return none if links.isEmpty() else connected_components(links, "center", "member").select(F.col("node").alias("fp"), "component")
+
+    seen = cut_lineage(indexed_pairs(marked))
+    near = _verified(seen, sets, owner, texts)
     rows = candidate_rows(sets)
-    stars = cut_lineage(star_pairs(rows))
-    near = _verified(stars, sets, owner, texts)
-    classes = connected_components(near, "center", "member").select(F.col("node").alias("fp"), "component")
-    seen = stars.select(F.least("center", "member").alias("x"), F.greatest("center", "member").alias("y"))
-    rest = open_pairs(rows, classes).withColumns({"x": F.least("center", "member"), "y": F.greatest("center", "member")})
-    rest = cut_lineage(rest.join(seen, ["x", "y"], "left_anti").select("center", "member"))
-    return near if rest.isEmpty() else near.union(_verified(rest, sets, owner, texts))
+    for make in (lambda classes: star_pairs(rows), lambda classes: open_pairs(rows, classes)):
+        classes = classes_of(near)
+        pairs = _apart(make(classes), classes, seen)
+        if not pairs.isEmpty():
+            near, seen = near.union(_verified(pairs, sets, owner, texts)), seen.union(pairs)
+    return near
 
 
 def text_classes(docs: DataFrame) -> DataFrame:

@@ -120,3 +120,35 @@ def test_heads_never_hide_a_link():
             assert copies._plausible(*heads) and copies._plausible(*heads[::-1])
     far = [np.arange(100), np.arange(70, 170)]
     assert not copies._plausible(*[(len(x), copies.head_of(x, np.empty(0, np.int64))) for x in far])
+
+
+def test_op2_links_are_checked_first(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(i, edited(rng, words, 1)) for i in range(8)] + [(9, "one text"), (10, "another one"), (11, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    marked = copies._marked(docs.select(copies.text_key().alias("text_key"), "doc_id", "text"), np.empty(0, np.int64))
+    code = {r.fp: r.code for r in marked.collect()}
+    got = {frozenset((r.center, r.member)) for r in copies.indexed_pairs(marked).collect()}
+
+    def linked(pairs):
+        root = {fp: fp for fp in code}
+        for pair in pairs:
+            a, b = ([root[x] for x in pair])
+            root = {k: b if v == a else v for k, v in root.items()}
+        return sorted(sorted(k for k in root if root[k] == r) for r in set(root.values()))
+
+    near = [(a, b) for a in code for b in code if a < b and ((code[a] ^ code[b]) & (1 << 64) - 1).bit_count() <= 2]
+    assert near and linked(got) == linked(near)
+
+
+def test_pairs_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    """Copies with up to three edits, which are mostly similar to the one without edits only."""
+    rng, looked_at, check = np.random.default_rng(4), [], copies._verified
+    monkeypatch.setattr(copies, "SAMPLE", 1)
+    monkeypatch.setattr(copies, "_verified", lambda pairs, *rest: looked_at.append(pairs.count()) or check(pairs, *rest))
+    words = [f"w{i}" for i in range(146)]
+    rows = [(0, " ".join(words))] + [(i, " ".join(f"x{i}_{k}" if k in at else w for k, w in enumerate(words)))
+                                     for i, at in ((i, set(rng.choice(146, int(rng.integers(1, 4)), replace=False).tolist())) for i in range(1, 200))]
+    assert stage(spark, rows) == sorted(brute_heads(rows))
+    assert sum(looked_at) < 4 * len(rows)
