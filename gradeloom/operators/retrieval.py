@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
-from ..functions.joins import few
+from ..functions.joins import FEW, few
 from ..functions.lineage import cut_lineage
 from ..sources.collections import full_text
 from . import text as tx
@@ -32,7 +37,86 @@ def bm25_topk(postings: DataFrame, terms: DataFrame, queries: DataFrame, k: int
     ``terms`` is (term, idf) and, where the index keeps them, (df, top) of :func:`term_bounds`.
     """
     known = terms if {"df", "top"} <= set(terms.columns) else terms.select("term", "idf").join(term_bounds(postings), "term")
-    return pruned_topk(postings, query_terms(queries).join(known, "term"), k)["ranked"]
+    return best_k(postings, query_terms(queries).join(known, "term"), k)
+
+
+#: Scores that a task holds at once: documents times queries.
+SCORES = 1 << 21
+
+
+def best_k(postings: DataFrame, asked: DataFrame, k: int = 100) -> DataFrame:
+    """The best k of every query from ``postings`` (term, doc_id, w) and ``asked`` (qid, term, qtf, idf, df, top).
+
+    The terms of few queries go to the postings, which meet by document; of more queries,
+    :func:`pruned_topk` forms the pairs as rows.
+    """
+    asked = cut_lineage(asked)
+    queries, rows = asked.agg(F.count_distinct("qid"), F.count(F.lit(1))).first()
+    if rows > FEW or queries * max(k, 1) > FEW:
+        return pruned_topk(postings, asked, k)["ranked"]
+    return scored_in_tasks(postings, asked, k)
+
+
+def scored_in_tasks(postings: DataFrame, asked: DataFrame, k: int = 100) -> DataFrame:
+    """:func:`best_k` for few queries: every pair that shares a term is scored where its document's
+    postings lie, as a sum of vectors, and a task hands on its best k of a query only."""
+    types = {c: d.schema[c].dataType.simpleString() for d, c in ((asked, "qid"), (postings, "doc_id"))}
+    told = asked.select("qid", "term", (F.col("idf") * F.col("qtf")).alias("gain")).orderBy("term").toArrow().combine_chunks()
+    if not told.num_rows:
+        return top_k(asked.sparkSession.createDataFrame([], f"qid {types['qid']}, doc_id {types['doc_id']}, score double"), k)
+    qids, terms = (told[c].combine_chunks().dictionary_encode() for c in ("qid", "term"))
+    names, first = terms.dictionary, np.r_[0, np.cumsum(np.bincount(terms.indices.to_numpy()))]
+    known = asked.sparkSession.sparkContext.broadcast((names, first, qids.dictionary, qids.indices.to_numpy().astype(np.int64), told["gain"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, first, ids, query, gain = known.value
+        n, best = len(ids), None  # best: (query, rounded score, document, score) of the first k so far
+
+        def added(part: pa.Table) -> None:
+            """``part`` holds whole documents, sorted."""
+            nonlocal best
+            part = part.combine_chunks()
+            doc = part["doc_id"].combine_chunks().dictionary_encode()
+            term = pc.index_in(part["term"], names).combine_chunks().to_numpy()
+            many = first[term + 1] - first[term]
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - first[term], many)
+            row, weight = np.repeat(doc.indices.to_numpy().astype(np.int64), many), np.repeat(part["w"].to_numpy(), many)
+            docs, step = doc.dictionary.to_numpy(zero_copy_only=False), max(1, SCORES // n)
+            edges = np.searchsorted(row, np.arange(0, len(docs) + step, step))
+            for lo, a, b in zip(range(0, len(docs), step), edges, edges[1:]):
+                size = min(step, len(docs) - lo)
+                score = np.bincount((row[a:b] - lo) * n + query[at[a:b]], weight[a:b] * gain[at[a:b]], size * n).reshape(size, n)
+                near = np.floor(score * 10.0**SCORE_DIGITS + 0.5)
+                floor = np.partition(near, size - k, 0)[size - k] if size > k else np.zeros(n)
+                d, q = np.nonzero((score > 0) & (near >= floor))
+                new = (q, near[d, q], docs[lo + d], score[d, q])
+                new = new if best is None else tuple(map(np.concatenate, zip(best, new)))
+                order = np.lexsort((new[2], -new[1], new[0]))
+                q = new[0][order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                best = tuple(x[order[place < k]] for x in new)
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size < 1 << 18:
+                continue
+            got = pa.concat_tables(held).combine_chunks()
+            last = pc.index(got["doc_id"], got["doc_id"][-1]).as_py()  # its document may go on in the next batch
+            if last:
+                added(got.slice(0, last))
+            held = [got.slice(last)]
+            size = held[0].num_rows
+        if held and size:
+            added(pa.concat_tables(held))
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(best[0])), pa.array(best[2]), pa.array(best[3], pa.float64())], ["qid", "doc_id", "score"])
+
+    met = postings.select("term", "doc_id", "w").join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    met = met.repartition("doc_id").sortWithinPartitions("doc_id")
+    found = met.mapInArrow(run, f"qid {types['qid']}, doc_id {types['doc_id']}, score double")
+    return top_k(found.withColumn("score", F.round("score", SCORE_DIGITS)), k)
 
 
 LEAD = 10  # the first guess reads a query's strongest terms until they name this many times k documents
@@ -99,23 +183,13 @@ def search(
     k1: float = tx.K1,
     b: float = tx.B,
 ) -> tuple[DataFrame, DataFrame]:
-    """Search without a stored index: one pass over the texts, and only tokens of the query
-    vocabulary are shuffled. Returns the ranking and the query terms' idf.
+    """Search without a stored index: one pass over the texts, which counts the query vocabulary's
+    terms where they lie. Returns the ranking and the query terms' idf.
 
     How the weighted query terms meet them is left to Spark's byte threshold and AQE.
     """
-    asked = query_terms(queries)
-    # every document keeps one marker row, so that lengths and counts need no second pass
-    marker = F.lit("")
-    vocabulary = asked.select("term").unionByName(asked.limit(1).select(marker.alias("term"))).distinct()
-    rows = corpus.select("doc_id", tx.tokens(text).alias("_t")).withColumn("dl", F.size("_t").cast("bigint"))
-    hits = cut_lineage(
-        rows.select("doc_id", "dl", F.explode(F.array_append("_t", marker)).alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy("doc_id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    return search_hits(hits.withColumn("term", F.nullif("term", marker)), queries, k, k1, b)
+    placed = tx.positional_hits(corpus, query_terms(queries), text)
+    return search_hits(cut_lineage(placed.select("doc_id", "dl", "term", "tf")), queries, k, k1, b)
 
 
 def search_hits(hits: DataFrame, queries: DataFrame, k: int = 100, k1: float = tx.K1, b: float = tx.B) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +203,7 @@ def search_hits(hits: DataFrame, queries: DataFrame, k: int = 100, k1: float = t
     weight = tx.doc_weight(F.col("tf"), F.col("dl"), avgdl, k1, b)
     weighted = hits.filter(F.col("term").isNotNull()).select("doc_id", "term", weight.alias("w"))
     known = cut_lineage(term_bounds(weighted).withColumn("idf", tx.idf(n_docs, F.col("df"))))
-    return pruned_topk(weighted, query_terms(queries).join(known, "term"), k)["ranked"], known.select("term", "idf")
+    return best_k(weighted, query_terms(queries).join(known, "term"), k), known.select("term", "idf")
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:

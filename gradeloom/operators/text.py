@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import col, strip
-from ..functions.joins import few, lookup
+from ..functions.joins import FEW, few, lookup
 from ..functions.lineage import cut_lineage
 
 # fixed values: the token pattern and the stop list
@@ -59,6 +60,85 @@ def apply_stems(counted: DataFrame, stems: DataFrame, by: list[str], n: str) ->
     )
 
 
+# ---------------------------------------------------------------------- hits
+#: What a byte of a lower-case text is: a blank of words() (1), part of a token (2) or neither.
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(b" \t\n\x0b\f\r")] = 1
+_KIND[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = 2
+#: Bytes of text that are looked at at once; a longer text is one piece.
+PIECE = 1 << 22
+
+
+def _tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(document, word, term) of every token of lower-case ``texts``, and the documents' numbers of words."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+    starts, kind = at - at[0], _KIND[data]
+    fresh = np.zeros(len(data) + 1, bool)  # where a document begins, runs of the one before end
+    fresh[starts] = True
+
+    def begins(inside: np.ndarray) -> np.ndarray:
+        return inside & (~np.r_[False, inside[:-1]] | fresh[:-1])
+
+    token, word = kind == 2, kind != 1
+    if not len(data):
+        return np.empty(0, np.int64), np.empty(0, np.int32), pa.array([], pa.string()), np.zeros(len(texts), np.int32)
+    first = np.flatnonzero(begins(token))
+    words_so_far = np.r_[0, np.cumsum(begins(word), dtype=np.int32)].astype(np.int32)
+    document = np.searchsorted(starts[1:], first, "right")
+    place = words_so_far[first + 1] - 1 - words_so_far[starts[document]]
+    offsets = np.r_[np.cumsum(token, dtype=np.int32)[first] - 1, np.count_nonzero(token)].astype(np.int32)
+    terms = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[token])))
+    return document, place, terms, np.diff(words_so_far[starts])
+
+
+def term_hits(corpus: DataFrame, vocabulary: pa.Array | None = None, text: Column | str = "text") -> DataFrame:
+    """(doc_id, dl, n_words, term, tf, positions) of the documents' terms, of ``vocabulary`` only if given.
+
+    Besides these every document has one row with a NULL term. A document's tokens are counted where
+    its text lies, so nothing is shuffled; see :func:`positional_hits` for the columns.
+    """
+    kind = corpus.schema["doc_id"].dataType.simpleString()
+    known = None if vocabulary is None else corpus.sparkSession.sparkContext.broadcast(vocabulary)
+    names = ["doc_id", "dl", "n_words", "term", "tf", "positions"]
+
+    def counted(ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        nothing, n = texts.is_null().to_numpy(zero_copy_only=False), len(texts)
+        document, place, terms, n_words = _tokens_of(texts.fill_null(""))
+        real = ~pc.is_in(terms, pa.array(STOPWORDS)).to_numpy(zero_copy_only=False)
+        dl = np.bincount(document[real], minlength=n)
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array(dl, pa.int64(), mask=nothing), pa.array(n_words, pa.int32(), mask=nothing), pa.nulls(n, pa.string()),
+             pa.array(np.zeros(n), pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], names)
+        if known is None:
+            coded = terms.dictionary_encode()
+            values, code = coded.dictionary, coded.indices.to_numpy()
+        else:
+            values, code = known.value, pc.index_in(terms, known.value).fill_null(-1).to_numpy()
+        wanted = np.flatnonzero(real & (code >= 0))
+        key = document[wanted].astype(np.int64) * max(len(values), 1) + code[wanted]
+        order = np.argsort(key, kind="stable")  # a term's places stay in the order of the text
+        key, wanted = key[order], wanted[order]
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        ends, row = np.r_[edges, len(key)].astype(np.int32), document[wanted[edges]]
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(row)), pa.array(dl[row], pa.int64()), pa.array(n_words[row], pa.int32()), values.take(pa.array(code[wanted[edges]])),
+             pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[wanted], pa.int32()))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch["doc_id"], batch["_lower"].cast(pa.string())
+            size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy())
+            lo = 0
+            while lo < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PIECE, "right")))
+                yield from counted(ids.slice(lo, hi - lo), texts.slice(lo, hi - lo))
+                lo = hi
+
+    rows = corpus.select("doc_id", F.lower(col(text)).alias("_lower"))
+    return rows.mapInArrow(run, f"doc_id {kind}, dl long, n_words int, term string, tf long, positions array<int>")
+
+
 # ------------------------------------------------------------------- postings
 def term_counts(df: DataFrame, key: str, text: str = "text", n: str = "tf") -> DataFrame:
     return (
@@ -93,8 +173,7 @@ def document_frequencies(corpus: DataFrame, text: Column | str = "text") -> Data
 
 def counted_terms(corpus: DataFrame, text: Column | str = "text") -> DataFrame:
     """(doc_id, dl, term, tf); the length is computed in the document's own row and carried along."""
-    rows = corpus.select("doc_id", tokens(text).alias("_t")).withColumn("dl", F.size("_t").cast("bigint"))
-    return rows.select("doc_id", "dl", F.explode("_t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return term_hits(corpus, None, text).filter("term IS NOT NULL").select("doc_id", "dl", "term", "tf")
 
 
 def build_postings(
@@ -181,24 +260,19 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(col(text), F.lit(r"\S+"), F.lit(0))
 
 
-def positional_hits(corpus: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
+def positional_hits(corpus: DataFrame, vocabulary: DataFrame, text: Column | str = "text") -> DataFrame:
     """(doc_id, dl, n_words, term, tf, positions): where the words of a vocabulary (``term``) stand.
 
     One row per document and term, made in one pass over the texts; a position counts the
     document's words (runs of anything but blanks), of which a word with several tokens holds
     several terms. A document without such a word has one row with a NULL term.
     """
-    rows = corpus.select("doc_id", tokens(text).alias("_t"), words(text).alias("_w")).select(
-        "doc_id", F.size("_t").cast("bigint").alias("dl"), F.size("_w").alias("n_words"), "_w")
-    placed = (
-        rows.select("doc_id", "dl", "n_words", F.posexplode("_w").alias("_pos", "_word"))
-        .select("doc_id", "dl", "n_words", "_pos", F.explode(tokens("_word")).alias("term"))
-        .join(vocabulary.select("term").distinct(), "term", "left_semi")
-    )
-    found = placed.groupBy("doc_id", "dl", "n_words", "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("_pos")).alias("positions"))
-    marks = rows.select("doc_id", "dl", "n_words", F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("tf"), F.lit(None).cast("array<int>").alias("positions"))
-    return found.unionByName(marks)
+    known = vocabulary.select("term").distinct()
+    terms = known.limit(FEW + 1).toArrow()["term"].combine_chunks()
+    if len(terms) <= FEW:
+        return term_hits(corpus, terms, text)
+    hits = cut_lineage(term_hits(corpus, None, text))
+    return hits.filter("term IS NULL").unionByName(hits.join(known, "term", "left_semi"))
 
 
 def best_starts(hits: DataFrame, window: int = 40, stride: int = 10) -> DataFrame:

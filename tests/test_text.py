@@ -66,3 +66,36 @@ def test_balanced_probes(spark):
     pool = spark.createDataFrame([(q, i, i, (i % 3) if q == 1 else 0) for q in (1, 2) for i in range(30)], "qid int, doc_id int, rank int, grade int")
     got = retrieval.balanced_probes(pool, 4, 2, 8).collect()
     assert {r.qid for r in got} == {1} and len(got) == 12 and max(r.rank for r in got) == 11
+
+
+def test_terms_are_placed_where_their_document_lies(spark):
+    import re
+
+    rows = [(1, None), (2, ""), (3, " \t"), (4, "A-b c1 d\x0bfoo-foo the FOO"), (5, "été xéy z q"), (6, "tail"), (7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    words = spark.createDataFrame([(w,) for w in ("a", "b", "c1", "foo", "x", "z", "tail", "the")], "term string")
+    want = set()
+    for doc, text in rows:
+        found, parts = {}, re.findall(r"[^ \t\n\x0b\f\r]+", text or "")
+        kept = [(i, t) for i, w in enumerate(parts) for t in re.findall("[a-z0-9]+", w.lower()) if t not in tx.STOPWORDS]
+        for i, t in kept:
+            found.setdefault(t, []).append(i)
+        size = (None, None) if text is None else (len(kept), len(parts))
+        want |= {(doc, *size, t, len(p), tuple(p)) for t, p in found.items() if t in {"b", "c1", "foo", "x", "z", "tail"}} | {(doc, *size, None, 0, None)}
+    hits = tx.positional_hits(docs, words)
+    assert {(*r[:5], r[5] and tuple(r[5])) for r in hits.collect()} == want
+    assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_k_is_that_of_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 40, int(rng.integers(0, 12)))) for _ in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:30])), "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(q, " ".join(f"w{w}" for w in rng.integers(0, 45, 5))) for q in range(9)], "qid long, text string")
+    monkeypatch.setattr(retrieval, "SCORES", 64)
+    got = sorted(map(tuple, retrieval.bm25_search(docs, queries, 7).collect()))
+    assert "scored_in_tasks" in dir(retrieval) and len(got) == 63
+    monkeypatch.setattr(retrieval, "FEW", 0)  # more queries than are sent to the postings
+    assert got == sorted(map(tuple, retrieval.bm25_search(docs, queries, 7).collect()))
