@@ -18,22 +18,28 @@ from gradeloom.llm.common import table
 BATCH_ROWS = 1000
 
 
-def _in_small_batches(spark: SparkSession) -> None:
-    """A setting of the pipeline's session: stages are run after their function has returned."""
+def _settle(spark: SparkSession) -> None:
+    """Settings of the pipeline's session: stages are run after their function has returned.
+
+    A stage runs many jobs, each over what the ones before have written out. Shuffle files go with
+    the job they serve; without that they lie on the executors' disks until the driver happens to
+    collect its garbage, and grow with the number of jobs.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     rows = int(spark.conf.get(name))
     spark.conf.set(name, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in none of the languages that ``lang`` names, go."""
-    _in_small_batches(spark)
+    _settle(spark)
     return language.accepted(docs, language.learn_profiles(docs))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents more likely toxic than not go."""
-    _in_small_batches(spark)
+    _settle(spark)
     return toxicity.clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
@@ -42,19 +48,19 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Links come from op2's index first, checked by the whole texts, then from exact candidates.
     """
-    _in_small_batches(spark)
+    _settle(spark)
     return copies.keep_one(docs)
 
 
 def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind."""
-    _in_small_batches(spark)
+    _settle(spark)
     return pii.redact(docs, pii.learn(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids, packed into windows."""
-    _in_small_batches(spark)
+    _settle(spark)
     return packing.pack_documents(docs)
 
 

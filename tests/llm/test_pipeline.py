@@ -1,3 +1,5 @@
+import re
+import time
 import zlib
 
 import numpy as np
@@ -89,3 +91,16 @@ def test_all_queries_are_registered():
 
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
+
+
+def test_shuffle_files_go_with_their_jobs(spark):
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return set(re.findall(r"shuffle_(\d+)_\d+_\d+\.data", files))
+
+    docs, before = spark.read.parquet(f"{SF}/documents.parquet").limit(300), shuffles()
+    corpus_pipeline.near_copy_stage(spark, docs, SF)  # has run all its jobs but the last
+    until = time.time() + 20
+    while len(left := shuffles() - before) > 3 and time.time() < until:
+        time.sleep(0.5)
+    assert len(left) <= 3
