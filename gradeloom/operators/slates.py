@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as ex
+from ..functions.lineage import cut_lineage
 from .budget import slate_budget
 from .text import CHARS_PER_TOKEN, cut
 
@@ -191,6 +192,8 @@ def yes_probability(no: Column | str, yes: Column | str) -> Column:
 
 # ------------------------------------------------------------ training slates
 MIX = {"hard": 0.3, "mixed": 0.5, "easy": 0.2}
+#: Candidates of a query that training slates are drawn from in one place.
+LOCAL_POOL = 1 << 14
 
 
 def training_slates(
@@ -202,63 +205,107 @@ def training_slates(
     mix: dict[str, float] | None = None,
     seed: int = 0,
     order: str = "first_rank",
+    local_pool: int = LOCAL_POOL,
 ) -> DataFrame:
     """Difficulty-mixed slates with quotas of positive, weak and negative candidates.
 
     After the quotas the picks are put in pool order and cut to the slate's size, and short
     slates are topped up at random; so a mixed slate can lose positives to the cut. Members
-    come from keyed draws. Anchors (qid, anchor_no, utility) are appended to every slate.
+    come from keyed draws. Anchors (qid, anchor_no, utility) are appended to every slate. Queries
+    above ``local_pool`` candidates, which are counted first, go by windows over their rows.
     """
     n = per_slate(max_options, n_anchors)
-    mix = mix or MIX
-    total = sum(mix.values())
-    w = Window.partitionBy("qid")
-    rows = (
-        pool.withColumn("_n", F.count(F.lit(1)).over(w))
-        .withColumn("_has_pos", F.max(F.col("grade") >= 2).over(w))
-        .filter(F.col("_n") >= n)
-        .withColumn("slate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slates_per_query - 1).cast("bigint"))))
+    pool = pool.select("qid", "doc_id", "grade", F.col(order).alias("_order"))
+    how = (n, slates_per_query, mix or MIX, seed)
+    full = pool.groupBy("qid").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n)
+    wide = full.filter(F.col("_n") > local_pool).select("qid")
+    if wide.isEmpty():
+        picked = _training_local(pool, *how)
+    else:
+        wide = cut_lineage(wide)
+        rest, large = (pool.join(wide, pool["qid"].eqNullSafe(wide["qid"]), kind) for kind in ("left_anti", "left_semi"))
+        picked = _training_local(rest, *how).unionByName(_training_wide(large, *how))
+    members = picked.select(
+        "qid", "slate", "difficulty", "item_id", "grade",
+        F.lit(None).cast("double").alias("utility"), F.lit(False).alias("is_anchor"),
     )
-    u, edge, difficulty = ex.uniform(seed, "qid", "slate"), 0.0, None
+    # a query that has slates has all of them
+    pivots = (
+        _training_slates_of(full.select("qid").join(anchors.filter(F.col("anchor_no") < n_anchors), "qid"), *how[1:])
+        .select(
+            "qid", "slate", "difficulty", (-F.col("anchor_no") - 1).cast("bigint").alias("item_id"),
+            F.lit(None).cast("int").alias("grade"), F.col("utility").cast("double").alias("utility"),
+            F.lit(True).alias("is_anchor"),
+        )
+    )
+    return members.unionByName(pivots)
+
+
+def _training_slates_of(rows: DataFrame, slates_per_query: int, mix: dict[str, float], seed: int) -> DataFrame:
+    """``rows`` (qid, ...) once for every slate, with its difficulty."""
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slates_per_query - 1).cast("bigint")))
+    u, edge, difficulty, total = ex.uniform(seed, "qid", "slate"), 0.0, None, sum(mix.values())
     for name, part in mix.items():
         edge += part / total
         hit = u < edge
         difficulty = F.when(hit, name) if difficulty is None else difficulty.when(hit, name)
-    difficulty = difficulty.otherwise(list(mix)[-1])
-    kind = F.when(F.col("grade") >= 2, "pos").when(F.col("grade") == 1, "weak").otherwise("neg")
-    easy = (F.col("difficulty") == "easy") & F.col("_has_pos")
-    hard = F.col("difficulty") == "hard"
-
-    def quota(a: int, b: int, c: int) -> Column:
-        return F.when(F.col("_kind") == "pos", a).when(F.col("_kind") == "weak", b).otherwise(c)
-
-    allowed = (
-        F.when(easy, quota(1, 0, n - 1))
-        .when(hard, quota(0, n // 2, n - n // 2))
-        .otherwise(quota(max(1, n // 4), n // 3, n))
+    return rows.withColumn("slate", each).withColumn("difficulty", difficulty.otherwise(list(mix)[-1]))
+
+
+def _kind(grade: Column) -> Column:
+    return F.when(grade >= 2, "pos").when(grade == 1, "weak").otherwise("neg")
+
+
+def _quotas(n: int, has_pos: Column) -> dict[str, Column]:
+    """Candidates of each kind that a slate takes."""
+    easy, hard = (F.col("difficulty") == "easy") & has_pos, F.col("difficulty") == "hard"
+    sizes = {"pos": (1, 0, max(1, n // 4)), "weak": (0, n // 2, n // 3), "neg": (n - 1, n - n // 2, n)}
+    return {kind: F.when(easy, a).when(hard, b).otherwise(c) for kind, (a, b, c) in sizes.items()}
+
+
+def _training_local(pool: DataFrame, n: int, slates_per_query: int, mix: dict[str, float], seed: int) -> DataFrame:
+    """Slates drawn where a query's candidates lie: no sort sees a candidate once for every slate."""
+    held = pool.groupBy("qid").agg(F.collect_list(F.struct("doc_id", "grade", "_order")).alias("_pool")).filter(F.size("_pool") >= n)
+    slates = _training_slates_of(held, slates_per_query, mix, seed)
+    placed = F.sort_array(F.transform("_pool", lambda d: F.struct(
+        ex.uniform(seed + 1, "qid", "slate", d["doc_id"]).alias("u"), d["doc_id"].alias("item_id"), d["grade"].alias("grade"), d["_order"].alias("at"))))
+    slates = ex.settle(slates, {"_by": placed}, ["qid", "slate", "difficulty"])
+    quotas = _quotas(n, F.exists("_by", lambda d: d["grade"] >= 2))
+
+    def of_kind(kind: str) -> Column:
+        return F.filter("_by", lambda d: _kind(d["grade"]) == kind)
+
+    slates = ex.settle(slates, {f"_{k}": of_kind(k) for k in quotas} | {f"_{k}_n": q for k, q in quotas.items()}, ["qid", "slate", "difficulty"])
+    sampled = F.concat(*[F.slice(f"_{k}", F.lit(1), F.col(f"_{k}_n")) for k in quotas])
+    rest = F.concat(*[F.slice(f"_{k}", F.col(f"_{k}_n") + 1, F.size(f"_{k}")) for k in quotas])
+    in_order = F.sort_array(F.transform(sampled, lambda d: F.struct(d["at"], d["u"], d["item_id"], d["grade"])))
+
+    def shown(rows: Column) -> Column:
+        return F.transform(rows, lambda d: F.struct(d["item_id"].alias("item_id"), d["grade"].alias("grade")))
+
+    first = F.slice(F.concat(shown(in_order), shown(F.sort_array(rest))), 1, n)
+    return slates.select("qid", "slate", "difficulty", F.inline(first))
+
+
+def _training_wide(pool: DataFrame, n: int, slates_per_query: int, mix: dict[str, float], seed: int) -> DataFrame:
+    """The same by windows over the candidates of every slate."""
+    w = Window.partitionBy("qid")
+    rows = (
+        pool.withColumn("_n", F.count(F.lit(1)).over(w))
+        .withColumn("_has_pos", F.max(F.col("grade") >= 2).over(w))
+        .filter(F.col("_n") >= n)
     )
-    rows = rows.withColumn("difficulty", difficulty).withColumn("_kind", kind)
+    rows = _training_slates_of(rows, slates_per_query, mix, seed).withColumn("_kind", _kind(F.col("grade")))
+    quotas = _quotas(n, F.col("_has_pos"))
+    allowed = F.when(F.col("_kind") == "pos", quotas["pos"]).when(F.col("_kind") == "weak", quotas["weak"]).otherwise(quotas["neg"])
     rows = rows.withColumn("_u", ex.uniform(seed + 1, "qid", "slate", "doc_id"))
     by_kind = Window.partitionBy("qid", "slate", "_kind").orderBy("_u", "doc_id")
     rows = rows.withColumn("_sampled", F.row_number().over(by_kind) <= allowed)
     fill = Window.partitionBy("qid", "slate").orderBy(
-        F.col("_sampled").desc(), F.when(F.col("_sampled"), F.col(order)), "_u", "doc_id"
+        F.col("_sampled").desc(), F.when(F.col("_sampled"), F.col("_order")), "_u", "doc_id"
     )
     picked = rows.withColumn("_at", F.row_number().over(fill)).filter(F.col("_at") <= n)
-    members = picked.select(
-        "qid", "slate", "difficulty", F.col("doc_id").alias("item_id"), "grade",
-        F.lit(None).cast("double").alias("utility"), F.lit(False).alias("is_anchor"),
-    )
-    pivots = (
-        members.select("qid", "slate", "difficulty").distinct()
-        .join(anchors.filter(F.col("anchor_no") < n_anchors), "qid")
-        .select(
-            "qid", "slate", "difficulty", (-F.col("anchor_no") - 1).cast("bigint").alias("item_id"),
-            F.lit(None).cast("int").alias("grade"), F.col("utility").cast("double").alias("utility"),
-            F.lit(True).alias("is_anchor"),
-        )
-    )
-    return members.unionByName(pivots)
+    return picked.select("qid", "slate", "difficulty", F.col("doc_id").alias("item_id"), "grade")
 
 
 def training_slate_stats(items: DataFrame) -> DataFrame:

@@ -123,3 +123,16 @@ def test_score_contract(spark):
     assert [r.problem for r in slates.scorer_violations(short).collect()] == ["count"]
     wrong = slates.score_slates(packed, lambda p: [[float("nan"), 0.0, 0.0] for _ in p["options"]])
     assert [r.problem for r in slates.scorer_violations(wrong).collect()] == ["not finite"]
+
+
+def test_training_slates_sort_no_row_for_every_slate(spark):
+    rows = [(q, d, g, (d * 7 + (q or 0)) % 23) for q in (1, 2, 3, None) for d in range(5 if q == 3 else 20) for g in [None if q == 2 and d % 3 == 0 else (d * d + (q or 0)) % 4]]
+    pool = spark.createDataFrame(rows, "qid long, doc_id long, grade int, first_rank long")
+    anchors = spark.createDataFrame([(q, a, 1.0 * a) for q in (1, 2, 3) for a in range(4)], "qid long, anchor_no int, utility double")
+    items = slates.training_slates(pool, anchors, slates_per_query=12, seed=5)
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    wide = slates.training_slates(pool, anchors, slates_per_query=12, seed=5, local_pool=10)
+    assert "Window" in wide._jdf.queryExecution().optimizedPlan().toString()
+    assert wide.exceptAll(items).isEmpty() and items.exceptAll(wide).isEmpty()
+    assert items.filter("NOT is_anchor").count() == 3 * 12 * 6 and items.filter("is_anchor").count() == 2 * 12 * 4
