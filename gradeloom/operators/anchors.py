@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions import expr as ex
+from ..functions.whole import LOCAL, over_groups, split_wide, starts_of
 
 # our own wording; grades and utilities are the fixed scale
 TEMPLATES = [
@@ -82,29 +88,90 @@ def graded_anchors(pool: DataFrame, n: int = 4, depth: int = 30, grade: str = "e
     return _chosen(_pooled(pool, grade, rank, depth), picks).withColumn("utility", F.col("v") * 2.0 - 3.0)
 
 
-def spread_anchors(pool: DataFrame, n: int = 4, value: str = "utility", rank: str = "first_rank") -> DataFrame:
+def spread_anchors(
+    pool: DataFrame, n: int = 4, value: str = "utility", rank: str = "first_rank", keep: tuple[str, ...] = (), local_pool: int = LOCAL
+) -> DataFrame:
     """The n candidates nearest to an even grid of the 5 % to 95 % quantiles of a value.
 
     Targets take turns; each takes the nearest candidate not used yet (ties to nine
-    digits: better rank). A target can need no more than its n nearest candidates on either side, so
-    only these (2 n per target) are gathered, whatever the size of the pool.
+    digits: better rank). ``keep`` names columns of the pool that go with an anchor. Queries are
+    worked on as vectors where their candidates lie; of those above ``local_pool`` candidates, a
+    target can need no more than its n nearest on either side, so only these (2 n per target) are gathered.
     """
     levels = [0.05 + 0.90 * t / max(n - 1, 1) for t in range(n)]
-    rows = pool.select("qid", "doc_id", F.col(value).cast("double").alias("v"), F.col(rank).cast("bigint").alias("at")).filter("v IS NOT NULL")
+    rows = pool.select("qid", "doc_id", F.col(value).cast("double").alias("v"), F.col(rank).cast("bigint").alias("at"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    near, wide = split_wide(rows.filter("v IS NOT NULL AND qid IS NOT NULL"), "qid", local_pool)
+    chosen = _spread_local(near, levels)
+    if wide is not None:
+        chosen = chosen.unionByName(_spread_wide(wide, levels))
+    return chosen.withColumnsRenamed({f"_keep_{c}": c for c in keep})
+
+
+def _round9(x: np.ndarray) -> np.ndarray:
+    """Nine digits as Spark rounds them: halves of the shortest decimal go up."""
+    y = x * 1e9
+    out = np.rint(y) / 1e9
+    unsure = np.flatnonzero((np.abs(y - np.floor(y) - 0.5) <= 1e-4 + y * 2.0**-50) | (y > 2.0**50))
+    for i in unsure[np.isfinite(x[unsure])]:
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+    return out
+
+
+def _spread_local(rows: DataFrame, levels: list[float]) -> DataFrame:
+    own = rows.schema
+    kept = [c for c in rows.columns if c.startswith("_keep_")]
+    schema = StructType([
+        StructField("qid", own["qid"].dataType), StructField("anchor_no", IntegerType()), StructField("doc_id", own["doc_id"].dataType),
+        StructField("v", DoubleType()), StructField("rank", LongType()), *[StructField(c, own[c].dataType) for c in kept]])
+
+    def choose(rows: pa.Table, starts: np.ndarray):
+        v, n = rows["v"].to_numpy(), np.diff([*starts, len(rows)])
+        query = np.repeat(np.arange(len(starts)), n)
+        at = rows["at"].fill_null(0).to_numpy()
+        taken = rows["at"].is_null().to_numpy().copy()  # what has no rank is not taken
+        picked = np.zeros(len(rows), bool)
+        last = np.iinfo(np.int64).max
+        for level in levels:
+            place = (n - 1) * level
+            low, high = np.floor(place).astype(np.int64), np.ceil(place).astype(np.int64)
+            a, b = v[starts + low], v[starts + high]
+            target = np.where(a == b, a, (high - place) * a + (place - low) * b)
+            target = np.where(low == high, a, target)
+            gap = _round9(np.abs(v - target[query]))
+            gap[np.isnan(gap) | taken] = np.inf
+            best = ~taken & (gap == np.minimum.reduceat(gap, starts)[query])
+            pick = np.minimum.reduceat(np.where(best, at, last), starts)[query]
+            now = ~taken & (at == pick) & (np.logical_or.reduceat(best, starts)[query])
+            picked, taken = picked | now, taken | now
+        where = np.flatnonzero(picked)
+        mine = rows.take(pa.array(where))
+        new = np.ones(len(where), bool)  # equal rows count once
+        new[1:] = (query[where][1:] != query[where][:-1]) | (v[where][1:] != v[where][:-1]) | (at[where][1:] != at[where][:-1])
+        new[starts_of(mine["doc_id"])] = True
+        where, mine = where[new], mine.filter(pa.array(new))
+        number = np.arange(len(where)) - np.searchsorted(query[where], query[where])
+        fields = [mine["qid"], pa.array(number, pa.int32()), mine["doc_id"], mine["v"], mine["at"], *[mine[c] for c in kept]]
+        yield from pa.table(fields, names=["qid", "anchor_no", "doc_id", "v", "rank", *kept]).combine_chunks().to_batches()
+
+    return over_groups(rows, "qid", ["v", "at", "doc_id"], choose, schema)
+
+
+def _spread_wide(rows: DataFrame, levels: list[float]) -> DataFrame:
+    n, kept = len(levels), [c for c in rows.columns if c.startswith("_keep_")]
     targets = rows.groupBy("qid").agg(F.percentile("v", F.array(*[F.lit(x) for x in levels])).alias("_targets"))
-    near = rows.join(targets, "qid").select("qid", "doc_id", "v", "at", "_targets", F.posexplode("_targets").alias("_t", "_to"))
+    near = rows.join(targets, "qid").select(*rows.columns, "_targets", F.posexplode("_targets").alias("_t", "_to"))
     side = Window.partitionBy("qid", "_t", F.col("v") < F.col("_to")).orderBy(F.round(F.abs(F.col("v") - F.col("_to")), 9), "at")
     near = near.withColumn("_n", F.row_number().over(side)).filter(F.col("_n") <= n)
-    item = F.struct("v", "at", "doc_id")
+    item = F.struct("v", "at", "doc_id", *kept)
     gathered = near.groupBy("qid").agg(F.sort_array(F.collect_set(item)).alias("_items"), F.first("_targets").alias("_targets"))
-    return _chosen(gathered, _greedy(F.col("_items"), n, lambda t: F.get("_targets", t)))
+    return _chosen(gathered, _greedy(F.col("_items"), n, lambda t: F.get("_targets", t)), kept)
 
 
-def _chosen(rows: DataFrame, picks: Column) -> DataFrame:
-    kept = rows.withColumn("_picks", picks)
+def _chosen(rows: DataFrame, picks: Column, kept: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    held = rows.withColumn("_picks", picks)
     mine = F.filter("_items", lambda x: F.array_contains("_picks", x["at"]))
-    return kept.select("qid", F.posexplode(mine).alias("anchor_no", "_x")).select(
-        "qid", "anchor_no", F.col("_x.doc_id").alias("doc_id"), F.col("_x.v").alias("v"), F.col("_x.at").alias("rank")
+    return held.select("qid", F.posexplode(mine).alias("anchor_no", "_x")).select(
+        "qid", "anchor_no", F.col("_x.doc_id").alias("doc_id"), F.col("_x.v").alias("v"), F.col("_x.at").alias("rank"), *[F.col("_x")[c].alias(c) for c in kept]
     )
 
 

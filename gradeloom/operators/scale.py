@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as ex
@@ -12,24 +12,18 @@ BASE_SIGMA = 0.35
 MAX_RESIDUAL = 0.75
 
 
-def _fit_columns(
-    lp: str, utility: str, method: str, lam: float, prior: Column, over: WindowSpec | None = None
-) -> dict[str, Column]:
-    """Closed-form fit from moments, as aggregates or as window functions.
-
-    Rows whose utility is NULL (candidates) take no part. The residual follows from the
-    same moments, so one pass is enough.
-    """
-    if method not in METHODS:
-        raise ValueError(f"unknown method {method!r}")
+def _moments(lp: str, utility: str) -> dict[str, Column]:
+    """What a fit needs to know of its rows; those whose utility is NULL (candidates) take no part."""
     known = F.col(utility).isNotNull() & F.col(lp).isNotNull()
     x, u = F.when(known, F.col(lp)), F.when(known, F.col(utility))
+    return {"n": F.count(x), "mx": F.avg(x), "mu": F.avg(u), "cov": F.covar_pop(x, u), "vx": F.var_pop(x), "vu": F.var_pop(u)}
 
-    def m(c: Column) -> Column:
-        return c.over(over) if over is not None else c
 
-    n, mx, mu = m(F.count(x)), m(F.avg(x)), m(F.avg(u))
-    cov, vx, vu = m(F.covar_pop(x, u)), m(F.var_pop(x)), m(F.var_pop(u))
+def _fit_columns(moments: dict[str, Column], method: str, lam: float, prior: Column) -> dict[str, Column]:
+    """Closed-form fit from moments. The residual follows from the same moments, so one pass is enough."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}")
+    n, mx, mu, cov, vx, vu = (moments[k] for k in ("n", "mx", "mu", "cov", "vx", "vu"))
     if method == "shift":
         slope, intercept = prior, mu - prior * mx
     elif method == "affine":
@@ -63,7 +57,7 @@ def fit_slates(
     utility: str = "utility",
 ) -> DataFrame:
     """One affine map per slate from its anchors (rows with a utility)."""
-    cols = _fit_columns(lp, utility, method, lam, F.lit(float(slope_prior)))
+    cols = _fit_columns(_moments(lp, utility), method, lam, F.lit(float(slope_prior)))
     fits = items.groupBy(*(by or ["qid", "slate"])).agg(*[c.alias(k) for k, c in cols.items()])
     return fits.withColumn("suspect", F.col("residual") > MAX_RESIDUAL)
 
@@ -76,22 +70,29 @@ def calibrate(
     by: list[str] | None = None,
     lp: str = "lp",
     base_sigma: float = BASE_SIGMA,
+    least: str | None = None,
 ) -> DataFrame:
     """Candidates with utility and sigma on the common scale.
 
     The fit is a window over the slate (at most ``max_options`` rows), so candidates meet
     their map without a join and without leaving the partitioning by query. A slate without
-    anchors has no map: its candidates come out with NULL, which ``unplaced`` reports.
+    anchors has no map: its candidates come out with NULL, which ``unplaced`` reports. ``least``
+    names a column whose smallest value over the slate's candidates is added as ``_least``.
     """
     w = Window.partitionBy(*(by or ["qid", "slate"]))
     known = items.withColumn("_u", F.when(F.col("is_anchor"), F.col("utility")))
-    fitted = known.withColumns(_fit_columns(lp, "_u", method, lam, _prior(slope_prior), w))
+    # as columns first: a window would work a moment out again wherever the fit mentions it
+    moments = {f"_{k}": m.over(w) for k, m in _moments(lp, "_u").items()}
+    if least is not None:
+        moments["_least"] = F.min(F.when(~F.col("is_anchor"), F.col(least))).over(w)
+    fit = _fit_columns({k: F.col(f"_{k}") for k in ("n", "mx", "mu", "cov", "vx", "vu")}, method, lam, _prior(slope_prior))
+    fitted = known.withColumns(moments).withColumns(fit)
     return (
         fitted.filter(~F.col("is_anchor"))
         .withColumn("utility", F.col("slope") * F.col(lp) + F.col("intercept"))
         .withColumn("sigma", F.lit(base_sigma) * F.abs("slope") * (1.0 + F.col("residual")))
         .withColumn("suspect", F.col("residual") > MAX_RESIDUAL)
-        .drop("_u", "is_anchor")
+        .drop("_u", "is_anchor", "_n", "_mx", "_mu", "_cov", "_vx", "_vu")
     )
 
 
@@ -130,21 +131,27 @@ def scale_report(
     Slates without an anchor or without a candidate are left out.
     """
     slate = [*dict.fromkeys([*by, "qid", "slate"])]
-    cal = calibrate(items, method, lam, slope_prior, by=slate).filter(F.col("slope").isNotNull())
-    pooled = cal.groupBy(*by).agg(
-        F.count_distinct(*[F.col(c) for c in slate]).alias("n_slates"),
+    there, named = F.lit(True), F.lit(True)
+    for c in slate:
+        there = there & F.col(c).isNotNull()
+    for c in by:
+        named = named & F.col(c).isNotNull()
+    numbered = items.filter(named).withColumn("_row", F.monotonically_increasing_id())
+    cal = calibrate(numbered, method, lam, slope_prior, by=slate, least="_row").filter(F.col("slope").isNotNull())
+    # one candidate speaks for its slate, so that rows are read once for slates and candidates
+    one = F.col("_row") == F.col("_least")
+    cal = cal.withColumns({"_s": F.when(one, F.col("slope")), "_r": F.when(one, F.col("residual")), "_there": one & there})
+    report = cal.groupBy(*by).agg(
+        F.count(F.when(F.col("_there"), 1)).alias("n_slates"),
         F.count(F.lit(1)).alias("n_pooled"),
         ex.safe_corr("lp", truth).alias("r_naive"),
         ex.safe_corr("utility", truth).alias("r_anchored"),
         F.sqrt(F.avg(F.pow(F.col("utility") - F.col(truth), F.lit(2.0)))).alias("rmse_anchored"),
+        F.avg("_r").alias("anchor_residual_mean"),
+        F.avg("_s").alias("slope_mean"),
+        F.stddev_pop("_s").alias("slope_std"),
     )
-    per_slate = cal.groupBy(*slate).agg(F.first("slope").alias("s"), F.first("residual").alias("r"))
-    fits = per_slate.groupBy(*by).agg(
-        F.avg("r").alias("anchor_residual_mean"),
-        F.avg("s").alias("slope_mean"),
-        F.stddev_pop("s").alias("slope_std"),
-    )
-    return pooled.join(fits, by).withColumn("delta_r", F.col("r_anchored") - F.col("r_naive"))
+    return report.withColumn("delta_r", F.col("r_anchored") - F.col("r_naive"))
 
 
 SWEEP = ("r_naive", "r_anchored", "delta_r", "rmse_anchored", "anchor_residual_mean", "slope_mean", "slope_std")

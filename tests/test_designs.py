@@ -1,8 +1,12 @@
+import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gradeloom.operators import designs
+from gradeloom.functions import draws
+from gradeloom.operators import anchors as anchors_of, designs, scale
 
 
 def candidates(spark):
@@ -24,3 +28,63 @@ def test_large_queries_give_the_same_slates(spark):
         assert rows == sorted(map(tuple, designs._sample(pool, 9, 30, 0.7, 5, only_full, 81, ("l",)).collect()), key=str)  # some queries
         assert rows == sorted(map(tuple, designs._sample(pool, 9, 30, 0.7, 5, only_full, 0, ("l",)).collect()), key=str)  # all of them
         assert len(rows) == 11 * 30 * 9 and all(r[4] == r[2] * 0.5 for r in rows)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_anchors_stand_in_every_slate_without_a_second_draw(spark):
+    """The anchors go to the query's candidates; slates are not drawn again to learn which there are."""
+    pool = candidates(spark)
+    anchors = pool.filter("doc_id % 40 = 3").select("qid", "doc_id")
+    design = designs.anchored_design(pool, anchors, 4, 10, 12, 0.7, seed=3, keep=("l",))
+    plan = plan_of(design)
+    assert len(re.findall(r"Exchange hashpartitioning\(qid", plan)) == 1 and plan.count("MapInArrow") == 1 and "Join" not in plan and "Aggregate" not in plan
+    near, wide = (
+        sorted(map(tuple, designs._inlined(designs._slates(pool, 6, 12, 0.7, 3, True, n, ("l",), anchors)).collect()), key=str) for n in (designs.LOCAL_POOL, 0))
+    assert near == wide == sorted(map(tuple, design.collect()), key=str)
+    named = {tuple(r) for r in anchors.collect()}
+    assert {(r[0], r[2]) for r in near if r[5]} == named and not {(r[0], r[2]) for r in near if not r[5]} & named
+    assert sum(r[5] for r in near) == 12 * len(named) and sum(not r[5] for r in near) == 11 * 12 * 6
+
+
+def test_a_report_reads_its_slates_once(spark):
+    pool = candidates(spark)
+    design = designs.anchored_design(pool, pool.filter("doc_id % 40 = 3").select("qid", "doc_id"), 4, 10, 12, seed=3, keep=("l",))
+    items = design.withColumns({"utility": F.col("l"), "lp": F.sin("l"), "truth": F.col("grade").cast("double")})
+    report = scale.scale_report(items, ["qid"])
+    plan = plan_of(report)
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Expand" not in plan
+    assert len(re.findall(r"covar_pop\([^)]*\) windowspec", plan)) == 1  # a moment of a slate is worked out once
+    rows = {r.qid: r for r in report.collect()}
+    cal = scale.calibrate(items).toPandas()
+    for qid, mine in cal.groupby("qid"):
+        slates = mine.groupby("slate")[["slope", "residual"]].first()
+        r = rows.pop(qid)
+        assert r.n_slates == len(slates) == 12 and r.n_pooled == len(mine)
+        assert abs(r.slope_mean - slates.slope.mean()) < 1e-9 and abs(r.slope_std - slates.slope.std(ddof=0)) < 1e-9 and abs(r.anchor_residual_mean - slates.residual.mean()) < 1e-9
+    assert not rows
+
+
+def test_digests_of_vectors_are_those_of_the_rows(spark):
+    heads, tails = [b"61|%d|%d" % (q, s) for q in (7, 123456789) for s in (0, 31)], ["", "|5", "|1234567", "|" + "ü" * 30]
+    ends = draws.Texts(pa.array(tails))
+    for head in heads:
+        got = draws.digest_words(draws.Texts([head]), np.array([0]), ends, np.arange(4)[None, :])[0]
+        short = draws.digest_words(draws.Texts([head]), np.array([0]), ends, np.arange(3)[None, :])[0]  # without the one that needs two blocks
+        want = [int(hashlib.md5(head + t.encode()).hexdigest()[:8], 16) for t in tails]
+        assert got.tolist() == want and short.tolist() == want[:3]
+
+
+def test_spread_anchors_sort_no_row_for_every_target(spark):
+    rows = [(q, d, float((d * 37 + q) % 19) / 7 if d % 9 else None, (d * 11 + q) % 50) for q in (1, 2, 3) for d in range(2 if q == 3 else 50)]
+    pool = spark.createDataFrame(rows, "qid int, doc_id long, utility double, first_rank int")
+    near = anchors_of.spread_anchors(pool, 5, keep=("first_rank",))
+    plan = plan_of(near)
+    assert "Window" not in plan and "Generate" not in plan and len(re.findall(r"Exchange hashpartitioning\(qid", plan)) == 1
+    wide = anchors_of.spread_anchors(pool, 5, keep=("first_rank",), local_pool=0)
+    assert "Window" in plan_of(wide) and near.columns == wide.columns
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, wide.collect()))
+    assert near.filter("rank = first_rank").count() == 11
+    assert anchors_of._round9(np.array([0.0000000005, 1.0000000015, 0.25, 3e7 + 0.1])).tolist() == [1e-9, 1.000000002, 0.25, 3e7 + 0.1]
