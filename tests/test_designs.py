@@ -88,3 +88,37 @@ def test_spread_anchors_sort_no_row_for_every_target(spark):
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, wide.collect()))
     assert near.filter("rank = first_rank").count() == 11
     assert anchors_of._round9(np.array([0.0000000005, 1.0000000015, 0.25, 3e7 + 0.1])).tolist() == [1e-9, 1.000000002, 0.25, 3e7 + 0.1]
+
+
+def test_recovery_makes_its_observations_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(q, s, int(i), bool(i % 5 == 0), float(np.round(rng.normal(), 3))) for q in (1, 2, 3, 4) for s in range(12) for i in rng.choice(20 if q < 4 else 90, 5, replace=False)]
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    obs = spark.createDataFrame(rows, "qid int, slate long, item_id long, is_anchor boolean, y double").repartition(3)
+    got = designs.anchor_recovery(designs.fit_additive(obs.mapInArrow(counted, obs.schema), most=60), "is_anchor").collect()
+    assert made.value == len(rows)
+    named = obs.filter("is_anchor").select("qid", F.col("item_id").alias("doc_id")).distinct()
+    want = {r.qid: r for r in designs.anchor_recovery(designs.fit_additive(obs, local_obs=0), named).collect()}
+    assert len(got) == len(want) == 4
+    for r in got:
+        assert all(a == b or abs(a - b) < 1e-6 for a, b in zip(r, want[r.qid]))
+
+
+def test_queries_solved_together_are_solved_alone(spark):
+    rng = np.random.default_rng(4)
+    rows = [(q if q != 9 else None, s, None if i == 3 else int(i), float(rng.normal())) for q in range(10) for s in range(3 + q) for i in rng.choice(9 + 4 * q, 4, replace=False)]
+    obs = spark.createDataFrame(rows, "qid int, slate long, item_id long, y double")
+    fit = designs.fit_additive(obs)
+    assert plan_of(fit).count("MapInArrow") == 1 and "FlatMap" not in plan_of(fit)
+    for _, mine in fit.toPandas().groupby("qid", dropna=False):
+        slates, slate = np.unique(mine.slate, return_inverse=True)
+        item = np.unique(mine.item_id.fillna(-1), return_inverse=True)[1]
+        component, l_hat, c_hat = designs.solve_additive(slate, item, mine.y.to_numpy(), 1e-11)
+        assert (slates[component][slate] == mine.component).all()
+        assert np.allclose(l_hat[item], mine.l_hat, atol=1e-8) and np.allclose(c_hat[slate], mine.c_hat, atol=1e-8)
