@@ -16,8 +16,13 @@ from .lineage import cut_lineage
 LOCAL = 1 << 14
 
 
-def split_wide(df: DataFrame, by: str, local: int = LOCAL) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups with at most ``local`` rows, which are counted first, and the others, if any."""
+def split_wide(df: DataFrame, by: str, local: int = LOCAL, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups with at most ``local`` rows, and the others, if any.
+
+    Groups are counted first, unless the caller knows that none has above ``most`` rows and these are few.
+    """
+    if most is not None and most <= local:
+        return df, None
     wide = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > local).select(by)
     if wide.isEmpty():
         return df, None

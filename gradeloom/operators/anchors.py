@@ -89,7 +89,8 @@ def graded_anchors(pool: DataFrame, n: int = 4, depth: int = 30, grade: str = "e
 
 
 def spread_anchors(
-    pool: DataFrame, n: int = 4, value: str = "utility", rank: str = "first_rank", keep: tuple[str, ...] = (), local_pool: int = LOCAL
+    pool: DataFrame, n: int = 4, value: str = "utility", rank: str = "first_rank", keep: tuple[str, ...] = (), local_pool: int = LOCAL,
+    most: int | None = None,
 ) -> DataFrame:
     """The n candidates nearest to an even grid of the 5 % to 95 % quantiles of a value.
 
@@ -97,10 +98,11 @@ def spread_anchors(
     digits: better rank). ``keep`` names columns of the pool that go with an anchor. Queries are
     worked on as vectors where their candidates lie; of those above ``local_pool`` candidates, a
     target can need no more than its n nearest on either side, so only these (2 n per target) are gathered.
+    ``most`` is how many candidates a query has at most, where that is known.
     """
     levels = [0.05 + 0.90 * t / max(n - 1, 1) for t in range(n)]
     rows = pool.select("qid", "doc_id", F.col(value).cast("double").alias("v"), F.col(rank).cast("bigint").alias("at"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    near, wide = split_wide(rows.filter("v IS NOT NULL AND qid IS NOT NULL"), "qid", local_pool)
+    near, wide = split_wide(rows.filter("v IS NOT NULL AND qid IS NOT NULL"), "qid", local_pool, most)
     chosen = _spread_local(near, levels)
     if wide is not None:
         chosen = chosen.unionByName(_spread_wide(wide, levels))

@@ -25,15 +25,16 @@ from .scale import fit_slates, scale_report
 
 
 def block_design(
-    pool: DataFrame, slate_size: int = 10, n_slates: int = 60, single_grade: float = 0.5, seed: int = 0, keep: tuple[str, ...] = (), packed: bool = False
+    pool: DataFrame, slate_size: int = 10, n_slates: int = 60, single_grade: float = 0.5, seed: int = 0, keep: tuple[str, ...] = (), packed: bool = False,
+    most: int | None = None,
 ) -> DataFrame:
     """Slates sampled without replacement; a share of them from one grade only.
 
     A grade with fewer candidates than a slate needs falls back to the whole pool. ``keep`` names
     columns of the pool (of types with an order) that go with a candidate. ``packed`` leaves
-    one row a slate, for :func:`unpacked`.
+    one row a slate, for :func:`unpacked`. ``most`` is how many candidates a query has at most, where that is known.
     """
-    drawn = _slates(pool, slate_size, n_slates, single_grade, seed, keep=keep)
+    drawn = _slates(pool, slate_size, n_slates, single_grade, seed, keep=keep, most=most)
     return drawn if packed else _inlined(drawn)
 
 
@@ -47,16 +48,17 @@ def anchored_design(
     seed: int = 0,
     keep: tuple[str, ...] = (),
     packed: bool = False,
+    most: int | None = None,
 ) -> DataFrame:
     """The same anchors (qid, doc_id) in every slate plus sampled candidates.
 
-    Grades too small for a slate's candidates are not drawn at all. ``keep`` and ``packed`` as in
-    :func:`block_design`.
+    Grades too small for a slate's candidates are not drawn at all. ``keep``, ``packed`` and ``most``
+    as in :func:`block_design`.
     """
     per = slate_size - n_anchors
     if per < 1:
         raise ValueError("a slate needs room for at least one candidate beside its anchors")
-    drawn = _slates(pool, per, n_slates, single_grade, seed, only_full=True, keep=keep, anchors=anchors)
+    drawn = _slates(pool, per, n_slates, single_grade, seed, only_full=True, keep=keep, anchors=anchors, most=most)
     return drawn if packed else _inlined(drawn)
 
 
@@ -90,7 +92,7 @@ def _sample(pool, size, n_slates, single_grade, seed, only_full=False, local_poo
     return _inlined(_slates(pool, size, n_slates, single_grade, seed, only_full, local_pool, keep))
 
 
-def _slates(pool, size, n_slates, single_grade, seed, only_full=False, local_pool=LOCAL_POOL, keep=(), anchors=None):
+def _slates(pool, size, n_slates, single_grade, seed, only_full=False, local_pool=LOCAL_POOL, keep=(), anchors=None, most=None):
     """(qid, slate, items): the ``size`` candidates of each slate with the smallest keyed draws.
 
     ``items`` holds (item_id, grade, ``keep``). With ``anchors`` (qid, doc_id) these are not drawn
@@ -98,7 +100,7 @@ def _slates(pool, size, n_slates, single_grade, seed, only_full=False, local_poo
     its slates are drawn from them, as vectors, where they lie. Queries above ``local_pool``
     candidates, which are counted first, go by windows over their rows.
     """
-    near, wide = split_wide(pool.select("qid", "doc_id", "grade", *keep), "qid", local_pool)
+    near, wide = split_wide(pool.select("qid", "doc_id", "grade", *keep), "qid", local_pool, most)
     how = (anchors, size, n_slates, single_grade, seed, only_full, keep)
     drawn = _sample_local(near, *how)
     return drawn if wide is None else drawn.unionByName(_sample_wide(wide, *how))
@@ -548,7 +550,8 @@ def fixed_anchor_rows(
     if by not in ANCHORS_BY:
         raise ValueError(f"anchors are spread by one of {ANCHORS_BY}")
     pool = cut_lineage(pool.filter("known IS NOT NULL").select("qid", "doc_id", "grade", "known", "first_rank", *keep))
-    free = score(unpacked(block_design(pool, slate_size, free_slates, 0.5, seed, keep, packed=True)))
+    most = pool.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]  # counted once for all designs
+    free = score(unpacked(block_design(pool, slate_size, free_slates, 0.5, seed, keep, True, most)))
     free = cut_lineage(free) if by == "latent" else free
     spread = free.groupBy("qid").agg(F.stddev_pop("lp").alias("_s"))
     priors = cut_lineage(pool.groupBy("qid").agg(F.stddev_pop("known").alias("_k")).join(spread, "qid").select(
@@ -556,13 +559,13 @@ def fixed_anchor_rows(
     value = "known"
     if by == "latent":
         latent = fit_additive(free.withColumnRenamed("lp", "y")).groupBy("qid", F.col("item_id").alias("doc_id")).agg(F.first("l_hat").alias("_latent"))
-        pool, value = pool.join(latent, ["qid", "doc_id"]), "_latent"
+        pool, value = pool.join(latent, ["qid", "doc_id"]), "_latent"  # one value each: not more candidates than before
     pool = cut_lineage(pool.join(priors, "qid").withColumnsRenamed({"known": "_known", "slope_prior": "_prior"}))
     value = "_known" if value == "known" else value
     rows = None
     for nth, a in enumerate(c for c in counts if slate_size - c >= 3):
-        anchors = cut_lineage(spread_anchors(pool, a, value, keep=("_known",)))
-        design = unpacked(anchored_design(pool, anchors, a, slate_size, n_slates, single_grade, seed + 10 * (nth + 1), (*keep, "_known", "_prior"), packed=True))
+        anchors = cut_lineage(spread_anchors(pool, a, value, keep=("_known",), most=most))
+        design = unpacked(anchored_design(pool, anchors, a, slate_size, n_slates, single_grade, seed + 10 * (nth + 1), (*keep, "_known", "_prior"), True, most))
         items = score(design).withColumns({"utility": F.col("_known"), "truth": F.col("grade").cast("double"), "slope_prior": F.col("_prior")})
         distinct = anchors.groupBy("qid").agg(F.count_distinct(F.round("_known", 3)).alias("distinct_anchor_utilities"))
         report = scale_report(items, ["qid"], slope_prior="slope_prior").join(priors, "qid").join(distinct, "qid").withColumn("a", F.lit(a))

@@ -122,3 +122,18 @@ def test_queries_solved_together_are_solved_alone(spark):
         component, l_hat, c_hat = designs.solve_additive(slate, item, mine.y.to_numpy(), 1e-11)
         assert (slates[component][slate] == mine.component).all()
         assert np.allclose(l_hat[item], mine.l_hat, atol=1e-8) and np.allclose(c_hat[slate], mine.c_hat, atol=1e-8)
+
+
+def test_known_sizes_are_not_counted(spark):
+    sc, pool = spark.sparkContext, candidates(spark)
+    anchors = pool.filter("doc_id % 40 = 3").select("qid", "doc_id")
+    sc.setJobGroup("known sizes", "")
+    try:
+        designs.block_design(pool, 8, 20, most=82)
+        designs.anchored_design(pool, anchors, 4, 10, 20, most=82)
+        anchors_of.spread_anchors(pool, 4, "l", "doc_id", most=82)
+        assert not sc.statusTracker().getJobIdsForGroup("known sizes")
+        designs.block_design(pool, 8, 20, most=designs.LOCAL_POOL + 1)  # too many, so they are
+        assert sc.statusTracker().getJobIdsForGroup("known sizes")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
