@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gradeloom.functions import draws
+from gradeloom.functions import draws, expr as ex
 from gradeloom.operators import anchors as anchors_of, designs, scale
 
 
@@ -137,3 +137,21 @@ def test_known_sizes_are_not_counted(spark):
         assert sc.statusTracker().getJobIdsForGroup("known sizes")
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_scores_that_go_with_the_candidates_are_those_that_are_joined(spark):
+    pool = candidates(spark).filter("grade IS NOT NULL").withColumns({"known": F.col("grade") + F.sin("l"), "first_rank": F.col("doc_id")})
+    latent = pool.select("qid", F.col("doc_id").alias("item_id"), "l")
+
+    def score(design):
+        joins.append("l" not in design.columns)
+        d = design.join(latent, ["qid", "item_id"]) if joins[-1] else design
+        return ex.log_softmax_rows(d.withColumn("l", F.col("grade") + F.sin("l")), "l", ["qid", "slate"], "lp").drop("l")
+
+    joins = []
+    how = dict(counts=(2, 5), free_slates=15, n_slates=9)
+    near = designs.fixed_anchor_rows(pool, score, **how, keep=("l",))
+    assert joins == [False] * 3 and "Join" not in plan_of(score(designs.block_design(pool, keep=("l",))))
+    joined = designs.fixed_anchor_rows(pool, score, **how)
+    a, b = ({(r.a, r.qid): tuple(None if v is None else round(v, 9) for v in r) for r in d.select(*near.columns).collect()} for d in (near, joined))
+    assert a == b and len(a) == 22
