@@ -569,6 +569,7 @@ def fixed_anchor_rows(
         items = score(design).withColumns({"utility": F.col("_known"), "truth": F.col("grade").cast("double"), "slope_prior": F.col("_prior")})
         distinct = anchors.groupBy("qid").agg(F.count_distinct(F.round("_known", 3)).alias("distinct_anchor_utilities"))
         report = scale_report(items, ["qid"], slope_prior="slope_prior").join(priors, "qid").join(distinct, "qid").withColumn("a", F.lit(a))
+        report = cut_lineage(report)  # a task works on the slates of one count
         rows = report if rows is None else rows.unionByName(report)
     if rows is None:
         raise ValueError("no anchor count leaves room for candidates")
